@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import mixing
+from tessera.llm.bpe import round_trip_digests
 from tessera.llm.near_dups import near_duplicates
 from tessera.llm.quality import quality_verdicts
 from tessera.llm.substrings import removal_digests
@@ -15,6 +18,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.queue(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(_table(spark, sf_dir, "documents"))
 
@@ -28,9 +40,16 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # beside the package; the driver may delete both
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_substring_dedup, op7_quality_rules, op8_minhash_near_dedup)}
+    own = (op2_weighted_fair_mix, op3_bpe_round_trip, op6_substring_dedup, op7_quality_rules, op8_minhash_near_dedup, pipeline)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_weighted_fair_mix": mixing.ORACLE_SQL}
