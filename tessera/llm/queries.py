@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing
+from tessera.llm import mixing, warc
 from tessera.llm.bpe import round_trip_digests
+from tessera.llm.pieces import piece_counts
 from tessera.llm.near_dups import near_duplicates
 from tessera.llm.quality import quality_verdicts
 from tessera.llm.substrings import removal_digests
+from tessera.llm.toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +46,15 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # beside the package; the driver may delete both
 
@@ -47,9 +62,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_weighted_fair_mix, op3_bpe_round_trip, op6_substring_dedup, op7_quality_rules, op8_minhash_near_dedup, pipeline)
+    own = (op2_weighted_fair_mix, op3_bpe_round_trip, op5_word_piece_counts, op6_substring_dedup, op7_quality_rules, op8_minhash_near_dedup, op9_toxicity, op10_warc_revisits, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_weighted_fair_mix": mixing.ORACLE_SQL}
+    return {"op2_weighted_fair_mix": mixing.ORACLE_SQL, "op10_warc_revisits": warc.ORACLE_SQL}
