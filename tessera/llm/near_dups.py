@@ -3,11 +3,12 @@
 Equal shingle sets fall into one class first; one document stands for each. ``trees`` independent trees
 then branch the representatives: a node chooses coordinates of the 64-value minwise signature (one at a
 root, two below it, so that a pair at the threshold goes on meeting), and each child holds the documents
-that agree there. Nodes of at most ``LEAF`` documents are compared exhaustively by signature; larger ones
-branch again. Nodes still larger at ``DEPTH`` (their documents agree again and again) are compared in
-blocks and with their smallest document, and what that leaves apart is compared with every block. All
-pairs that may reach the threshold are confirmed on the full sets, and components follow from confirmed
-links alone.
+that agree there. Nodes of at most ``LEAF`` documents are compared exhaustively by signature, and pairs that may
+reach the threshold are confirmed on the full sets. Larger nodes branch again; what is still larger at
+``DEPTH`` agrees again and again, and its documents form a crowd. A crowd is dealt into blocks, each
+compared on the full sets, exhaustively and with a few pivots that go to every block; documents which that
+leaves apart from the crowd's largest component are then compared with all its blocks. Only spanning
+links leave a block. Components follow from links on full sets alone.
 
 Defined cases: letters A-Z count as a-z; fewer than five words make one shingle; null texts and texts
 without words have an empty set, no links and themselves as component; rows with one doc_id are one
@@ -28,6 +29,7 @@ from tessera.llm.words import Block, blocks, mix, ngram_hashes
 
 SHINGLE, SIGNATURE = 5, 64
 LEAF, DEPTH = 64, 5
+BLOCK, PIVOTS = 128, 4
 #: Signatures (64 values of 8 bits) of sets at 0.85 agree in 54 places on average, give or take 2.9.
 ESTIMATE_SLACK = 0.16
 _U = np.uint64
@@ -129,46 +131,98 @@ def _branch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children).view(np.int64)), pa.array(np.tile(ids, 2))], names=["node", "id"])
 
 
-def _leaf_pairs(share: float, between: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (node, id, n, sig[, side]) sorted by node and id: the pairs in a node whose sizes and signatures
-    let them reach the threshold; with ``between``, only those with a row of side 1 and one of side 0."""
-
-    def pairs(node: np.ndarray, ids: np.ndarray, n: np.ndarray, sig: np.ndarray, side: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        left, right = [], []
-        need = (share - ESTIMATE_SLACK) * SIGNATURE
-        alive = np.arange(len(node))
-        for d in range(1, len(node)):
-            alive = alive[alive + d < len(node)]
-            alive = alive[node[alive] == node[alive + d]]
-            if not len(alive):
-                break
-            i, j = alive, alive + d
-            fit = np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])
-            fit &= ids[i] != ids[j]
-            if side is not None:
-                fit &= side[i] != side[j]
-            i, j = i[fit], j[fit]
-            near = (sig[i] == sig[j]).sum(1) >= need
-            left.append(ids[i[near]])
-            right.append(ids[j[near]])
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that no group of equal first values (rows are sorted by it) is parted."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        first = held.column(0).to_numpy()
+        cut = int(np.searchsorted(first, first[-1]))
+        if cut:
+            yield held.slice(0, cut).combine_chunks().to_batches()[0]
+            held = held.slice(cut)
+    if held is not None:
+        yield held.combine_chunks().to_batches()[0]
+
+
+def _leaf_pairs(share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (node, id, n, crowd, sig) sorted by node and id: the pairs in a node, not of one crowd, whose sizes
+    and signatures let them reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            side = batch.column(4).to_numpy() if between else None
-            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3)).astype(np.uint8), side)
-            if held is not None:
-                now = tuple(None if y is None else np.concatenate((x, y)) for x, y in zip(held, now))
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on
-            held = tuple(None if x is None else x[cut:] for x in now)
-            yield from pairs(*(None if x is None else x[:cut] for x in now))
-        if held is not None:
-            yield from pairs(*held)
+        for batch in _grouped(batches):
+            node, ids, n, crowd = (batch.column(k).to_numpy() for k in range(4))
+            sig = _matrix(batch.column(4)).astype(np.uint8)
+            left, right = [], []
+            need = (share - ESTIMATE_SLACK) * SIGNATURE
+            alive = np.arange(len(node))
+            for d in range(1, len(node)):
+                alive = alive[alive + d < len(node)]
+                alive = alive[node[alive] == node[alive + d]]
+                if not len(alive):
+                    break
+                i, j = alive, alive + d
+                fit = (np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])) & (ids[i] != ids[j]) & (crowd[i] != crowd[j])
+                i, j = i[fit], j[fit]
+                near = (sig[i] == sig[j]).sum(1) >= need
+                left.append(ids[i[near]])
+                right.append(ids[j[near]])
+            if left:
+                a, b = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _spanning(ids: np.ndarray, chosen: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of the documents whose sets reach the threshold pairwise. Pairs count
+    if ``chosen`` differs between them, or everywhere if nobody is chosen."""
+    size = np.array([len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = times[column] > 1
+    place = np.cumsum(times > 1) - 1
+    row, column = row[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (low, low + 4096))
+        table = np.zeros((len(sets), 4096), np.float32)
+        table[row[a:b], column[a:b] - low] = 1
+        both += table @ table.T
+    linked = 100.0 * both >= percent * (size[:, None] + size[None, :] - both.astype(float))
+    if chosen.any():
+        linked &= chosen[:, None] != chosen[None, :]
+    np.fill_diagonal(linked, True)
+    label = np.arange(len(sets))
+    while True:
+        low = np.where(linked, label[None, :], len(sets)).min(1)
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    out = np.flatnonzero(label != np.arange(len(sets)))
+    return ids[label[out]], ids[out]
+
+
+def _block_links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (node, id, chosen, shingles) sorted by node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _grouped(batches):
+            node, ids, chosen = (batch.column(k).to_numpy() for k in range(3))
+            heads = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(node)]):
+                sets = [_shingles(x.as_py()) for x in batch.column(3).slice(a, b - a)]
+                one, two = _spanning(ids[a:b], chosen[a:b], sets, percent)
+                fresh = one != two
+                if fresh.any():
+                    one, two = one[fresh], two[fresh]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two), pa.int64()), pa.array(np.maximum(one, two), pa.int64())], names=["a", "b"])
 
     return run
 
@@ -218,21 +272,41 @@ def _sized(members: DataFrame) -> DataFrame:
     return materialize(members.join(sizes, "node"), "nodes")
 
 
-def _compare(members: DataFrame, features: DataFrame, share: float, between: bool = False) -> DataFrame:
-    columns = ["node", "id", "n", "sig", *(["side"] if between else [])]
-    rows = members.join(features.select("id", "n", "sig"), "id").select(*columns)
-    return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_leaf_pairs(share, between), "a bigint, b bigint")
-
-
-def _confirmed(pairs: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
-    """The pairs that hold on the full shingle sets of the documents' whole texts."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = keyed.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialize(texts.select("id", "text").mapInArrow(_set_batches, "id bigint, shingles binary"), "sets")
+def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    wide = rows.join(sets, "id").select("node", "id", "chosen", "shingles")
+    return wide.repartition("node").sortWithinPartitions("node").mapInArrow(_block_links(percent), "a bigint, b bigint")
+
+
+def _crowd_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """``links`` and the links inside crowds; members: (id, crowd)."""
+    sizes = members.groupBy("crowd").agg(F.count("*").alias("size"), F.array_distinct(F.array(F.min("id"), *(F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(1, PIVOTS)))).alias("pivots"))
+    blocks_of = F.ceil(F.col("size") / BLOCK)
+    dealt = materialize(members.join(sizes.select("crowd", blocks_of.alias("blocks")), "crowd").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "crowds")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks_of - 1)).alias("block")
+    pivots = sizes.where(blocks_of > 1).select("crowd", "pivots", every).select("crowd", "block", F.explode("pivots").alias("id"))
+    rows = dealt.select("crowd", "block", "id").unionByName(pivots).distinct()
+    first = _in_blocks(rows.select(F.xxhash64("crowd", "block").alias("node"), "id", F.lit(0).alias("chosen")), sets, percent)
+    links = materialize(links.unionByName(first).distinct(), "links")
+
+    placed = materialize(dealt.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    largest = placed.groupBy("crowd", "component").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    apart = placed.join(largest, "crowd").where("component <> main and blocks > 1").select("crowd", "id", "blocks")
+    slices = apart.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).alias("slices"))
+    apart = materialize(apart.join(slices, "crowd").withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices"))), "apart")
+    if apart.limit(1).count() == 0:
+        return links
+    # every block of the crowd meets every slice of what is apart
+    ours = apart.select("crowd", "id", "slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("chosen"))
+    theirs = dealt.join(slices, "crowd").select("crowd", "id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"), "block", F.lit(0).alias("chosen"))
+    rows = ours.unionByName(theirs).select(F.xxhash64("crowd", "slice", "block").alias("node"), "id", "chosen")
+    return links.unionByName(_in_blocks(rows, sets, percent))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that hold on the full shingle sets."""
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a")
     both = first.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b").select("a", "b", "one", "two")
-    return materialize(both.mapInArrow(_confirm_batches(percent), "a bigint, b bigint"), "links")
+    return both.mapInArrow(_confirm_batches(percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, trees: int = 12) -> DataFrame:
@@ -258,26 +332,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             break
         wide = nodes.select("node", "id").join(reps.select("id", "sig"), "id").select("node", "id", "sig")
         nodes = _sized(wide.mapInArrow(_branch_batches, "node bigint, id bigint"))
-    crowded = nodes.select("node", "id", "size", "least")
-    count = F.ceil(F.col("size") / LEAF)
-    blocked = crowded.withColumn("block", F.pmod(F.xxhash64("id", "node"), count)).withColumn("blocks", count)
-    own_block = F.xxhash64("node", "block").alias("node")
-    pairs = _compare(leaves.unionByName(blocked.select(own_block, "id")), reps, share)
-    stars = crowded.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    links = _confirmed(pairs.unionByName(stars), keyed, percent)
-
-    if crowded.limit(1).count():
-        known = components(links)
-        label = crowded.join(known, "id", "left").select("node", "id", "least", "size", F.coalesce("component", "id").alias("component"))
-        main = known.select(F.col("id").alias("least"), F.col("component").alias("main"))
-        apart = materialize(label.join(main, "least", "left").where(~F.col("component").eqNullSafe(F.coalesce("main", "least"))).select("node", "id", "size"), "apart")
-        if apart.limit(1).count():
-            spread = apart.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.ceil(F.col("size") / LEAF) - 1).cast("bigint"))))
-            sides = spread.select(own_block, "id", F.lit(1).alias("side"))
-            busy = apart.select("node").distinct()
-            sides = sides.unionByName(blocked.join(busy, "node").select(own_block, "id", F.lit(0).alias("side")))
-            more = _compare(sides, reps, share, between=True)
-            links = links.unionByName(_confirmed(more, keyed, percent))
+    stars = nodes.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    crowds = components(stars).withColumnRenamed("component", "crowd")
+
+    rows = leaves.join(reps, "id").join(crowds, "id", "left").select("node", "id", "n", F.coalesce("crowd", "id").alias("crowd"), "sig")
+    pairs = rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_leaf_pairs(share), "a bigint, b bigint")
+    pairs = materialize(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowds.select("id")).distinct()
+    # texts move by their ids at every size: what is wanted grows with the documents
+    texts = keyed.join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    sets = materialize(texts.select("id", "text").mapInArrow(_set_batches, "id bigint, shingles binary"), "sets")
+    links = _confirmed(pairs, sets, percent)
+    if crowds.limit(1).count():
+        links = _crowd_links(crowds, sets, links, percent)
     found = components(links)
     out = labelled.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     # a vertex that repeats with different texts joins its classes: take the least over them

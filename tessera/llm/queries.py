@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing, warc
 from tessera.llm.bpe import round_trip_digests
-from tessera.llm.pieces import piece_counts
+from tessera.llm.html import extract_main_text
 from tessera.llm.near_dups import near_duplicates
+from tessera.llm.pieces import piece_counts
 from tessera.llm.quality import quality_verdicts
 from tessera.llm.substrings import removal_digests
 from tessera.llm.toxicity import score_toxicity
@@ -29,6 +30,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -62,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_weighted_fair_mix, op3_bpe_round_trip, op5_word_piece_counts, op6_substring_dedup, op7_quality_rules, op8_minhash_near_dedup, op9_toxicity, op10_warc_revisits, pipeline)
+    own = (op2_weighted_fair_mix, op3_bpe_round_trip, op4_html_main_text, op5_word_piece_counts, op6_substring_dedup, op7_quality_rules, op8_minhash_near_dedup, op9_toxicity, op10_warc_revisits, pipeline)
     return {f.__name__: f for f in own}
 
 
