@@ -11,6 +11,7 @@ from tessera.llm import mixing, warc
 from tessera.llm.bpe import round_trip_digests
 from tessera.llm.html import extract_main_text
 from tessera.llm.near_dups import near_duplicates
+from tessera.llm.neighbours import nearest
 from tessera.llm.pieces import piece_counts
 from tessera.llm.quality import quality_verdicts
 from tessera.llm.substrings import removal_digests
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op2_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.queue(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -67,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_weighted_fair_mix, op3_bpe_round_trip, op4_html_main_text, op5_word_piece_counts, op6_substring_dedup, op7_quality_rules, op8_minhash_near_dedup, op9_toxicity, op10_warc_revisits, pipeline)
+    own = (op1_multi_index_neighbours, op2_weighted_fair_mix, op3_bpe_round_trip, op4_html_main_text, op5_word_piece_counts, op6_substring_dedup, op7_quality_rules, op8_minhash_near_dedup, op9_toxicity, op10_warc_revisits, pipeline)
     return {f.__name__: f for f in own}
 
 
