@@ -2,8 +2,8 @@
 
 Equal shingle sets fall into one class first; one document stands for each. ``trees`` independent trees
 then branch the representatives: a node chooses coordinates of the 64-value minwise signature (one at a
-root, two below it, so that a pair at the threshold goes on meeting), and each child holds the documents
-that agree there. Nodes of at most ``LEAF`` documents are compared exhaustively by signature, and pairs that may
+root; below it one or two, 1 / threshold on average, so that a pair at the threshold goes on meeting), and
+each child holds the documents that agree there. Nodes of at most ``LEAF`` documents are compared exhaustively by signature, and pairs that may
 reach the threshold are confirmed on the full sets. Larger nodes branch again; what is still larger at
 ``DEPTH`` agrees again and again, and its documents form a crowd. A crowd is dealt into blocks, each
 compared on the full sets, exhaustively and with a few pivots that go to every block; documents which that
@@ -28,7 +28,7 @@ from tessera.llm.scratch import materialize, shuffle_partitions
 from tessera.llm.words import Block, blocks, mix, ngram_hashes
 
 SHINGLE, SIGNATURE = 5, 64
-LEAF, DEPTH = 64, 5
+LEAF, DEPTH = 64, 4
 BLOCK, PIVOTS = 128, 4
 #: Signatures (64 values of 8 bits) of sets at 0.85 agree in 54 places on average, give or take 2.9.
 ESTIMATE_SLACK = 0.16
@@ -120,15 +120,21 @@ def _root_batches(trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def _branch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        node, ids, sig = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), _matrix(batch.column(2))
-        children = []
-        for k in (1, 2):
-            path = mix(node + _U(k))
-            chosen = sig[np.arange(len(node)), (path % _U(SIGNATURE)).astype(np.int64)].astype(np.uint64)
-            children.append(mix(path ^ mix(chosen + _U(k))))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children).view(np.int64)), pa.array(np.tile(ids, 2))], names=["node", "id"])
+def _branch_batches(share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, ids, sig = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), _matrix(batch.column(2))
+            # the node decides, for all its documents alike, whether it has a second coordinate
+            twice = (mix(node + _U(9)) >> _U(11)).astype(np.float64) / (1 << 53) < 1 / share - 1
+            children, whose = [], []
+            for k, rows in ((1, np.arange(len(node))), (2, np.flatnonzero(twice))):
+                path = mix(node[rows] + _U(k))
+                chosen = sig[rows, (path % _U(SIGNATURE)).astype(np.int64)].astype(np.uint64)
+                children.append(mix(path ^ mix(chosen + _U(k))))
+                whose.append(ids[rows])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children).view(np.int64)), pa.array(np.concatenate(whose))], names=["node", "id"])
+
+    return run
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +337,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if depth == DEPTH - 1 or nodes.limit(1).count() == 0:
             break
         wide = nodes.select("node", "id").join(reps.select("id", "sig"), "id").select("node", "id", "sig")
-        nodes = _sized(wide.mapInArrow(_branch_batches, "node bigint, id bigint"))
+        nodes = _sized(wide.mapInArrow(_branch_batches(share), "node bigint, id bigint"))
     stars = nodes.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     crowds = components(stars).withColumnRenamed("component", "crowd")
 
