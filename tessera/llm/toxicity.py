@@ -69,7 +69,8 @@ def _learn_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def learning_fold(labels: DataFrame) -> DataFrame:
-    """(__id, __toxic) of at most LEARN_ROWS labelled rows outside the held-out fold."""
+    """(__id, __toxic) of at most LEARN_ROWS labelled rows outside the held-out fold: under a megabyte, so it
+    goes to the documents and not they to it."""
     known = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
     return materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARN_ROWS).withColumnRenamed("doc_id", "__id"), "learning-fold")
 
@@ -77,7 +78,7 @@ def learning_fold(labels: DataFrame) -> DataFrame:
 def learned_marks(docs: DataFrame, fold: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[str]:
     """Words ("=word") and beginnings ("4begi") whose documents are toxic far beyond chance: what they gain
     over the base rate must outweigh the number of candidates."""
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).join(fold, "__id").select("__text", "__toxic")
+    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(fold), "__id").select("__text", "__toxic")
     counts = rows.mapInArrow(_learn_batches, "mark string, toxic bigint, clean bigint").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = materialize(counts.where("toxic >= 3"), "marks")
     totals = fold.agg(F.sum(F.when(F.col("__toxic") == 1, 1).otherwise(0)).alias("toxic"), F.count("*").alias("n")).first()
@@ -229,7 +230,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_evidence_batches(marks), fields)
     rows = materialize(rows, "evidence")
     n_voters = len(voters_of(marks)) + 1
-    known = rows.join(fold, F.col("doc_id") == F.col("__id"), "left")
+    known = rows.join(F.broadcast(fold), F.col("doc_id") == F.col("__id"), "left")
     label = F.col("__toxic")
     per = known.groupBy("votes").agg(F.count("*").alias("n"), F.count_if(label == 1).alias("toxic"), F.count_if(label == 0).alias("clean"))
     seen = per.orderBy(F.desc("n"), "votes").limit(PATTERNS).collect()
