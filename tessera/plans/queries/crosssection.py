@@ -30,9 +30,9 @@ def xs_even_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PANEL}, m AS (SELECT *, median(close) OVER (PARTITION BY date) AS mid FROM panel), d AS (SELECT *, median(abs(close - mid)) OVER (PARTITION BY date) AS mad FROM m)
-  SELECT code, date, round(CASE WHEN mad > 0 THEN least(greatest(close, mid - mad * 1.4826::DOUBLE * 3.0), mid + mad * 1.4826::DOUBLE * 3.0) ELSE close END, 8) AS winsorized FROM d""")
+  SELECT code, date, round(CASE WHEN mad > 0 THEN least(greatest(close, mid - mad * 1.4826::DOUBLE * 3.0), mid + mad * 1.4826::DOUBLE * 3.0) ELSE close END, 7) AS winsorized FROM d""")
 def xs_mad_winsorize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(xs.mad_winsorize(price_panel(spark, sf_dir), "close").select("code", "date", "winsorized"), 8)
+    return rounded(xs.mad_winsorize(price_panel(spark, sf_dir), "close").select("code", "date", "winsorized"), 7)
 
 
 @query(f"""WITH {PANEL}, e AS (SELECT date, quantile_cont(close, 0.05) AS lo, quantile_cont(close, 0.95) AS hi FROM panel GROUP BY date)
