@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 from tessera.llm.scratch import materialize
 
 LEXICON = 1 << 17
-MEMO = 200_000
+MEMO = 300_000
 _BATCH_CHARS = 1 << 20
 #: Fixed values of the format: how the file's pre-tokenizer parts lower-cased text.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _END = "</w>"
+_BLANK = regex.compile(r"\p{White_Space}+")
+_SEPARATOR = regex.compile("[\x1c-\x1f]")  # split() takes these for white space, the format doesn't
 
 
 def _byte_letters() -> list[str]:
@@ -105,11 +107,16 @@ class Merges:
                 offer(before[i])
         return [x for x in ids if x >= 0]
 
-    def pieces(self, text: str) -> list[str]:
-        """Words as the merges take them. Lower-casing goes letter by letter: no special final sigma."""
+    def tokens_of(self, text: str) -> list[str]:
+        """Lower-cased runs without white space, which no piece crosses. Lower-casing goes letter by letter:
+        no special final sigma."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return _PIECE.findall(text.lower())
+        text = text.lower()
+        return text.split() if _SEPARATOR.search(text) is None else [t for t in _BLANK.split(text) if t]
+
+    def pieces_of(self, token: str) -> list[str]:
+        return [token] if token.isalpha() else _PIECE.findall(token)
 
     def parts(self, text: str) -> Iterator[tuple[str | None, str]]:
         """Plain stretches as (None, text), special strings as (string, "")."""
@@ -225,41 +232,64 @@ class Lexicon:
 
 
 class Encoder:
-    """Encodes texts in one task."""
+    """Encodes texts in one task. What it knows of tokens and pieces is kept in a form that joins: their ids
+    as text and strings, or as arrays. Words of the lexicon stay known; the rest is forgotten when it is much."""
 
-    def __init__(self, path: str, lexicon: bytes):
-        self.merges, self.lexicon = merges_of(path), Lexicon(lexicon)
-        self.ids: dict[str, list[int]] = {}
+    def __init__(self, path: str, lexicon: bytes, digest: bool):
+        self.merges, self.lexicon, self.digest = merges_of(path), Lexicon(lexicon), digest
         self.said: dict[str, str] = {}
         self.shown: dict[str, str] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.ids) + len(pieces) > MEMO:
-            self.ids.clear(), self.said.clear(), self.shown.clear()
-            pieces = {*pieces, *self._now}
+        self.ids: dict[str, bytes] = {}
         for s, i in self.merges.special.items():
             self._remember(s, [i])
-        fresh = [p for p in pieces if p not in self.ids]
-        for p, ids in zip(fresh, self.lexicon.find(fresh)):
-            self._remember(p, self.merges.merge(p) if ids is None else ids)
+        self.lasting = (dict(self.said), dict(self.shown), dict(self.ids))
 
-    def _remember(self, piece: str, ids: list[int]) -> None:
-        self.ids[piece] = ids
-        self.said[piece] = " ".join(map(str, ids))
-        self.shown[piece] = " ".join([self.merges.tokens[i] for i in ids])
+    def _known(self) -> dict:
+        return self.said if self.digest else self.ids
 
-    def pieces(self, texts: list[str | None]) -> list[list[str]]:
-        """The pieces of each text; every one of them is known afterwards."""
+    def _remember(self, piece: str, ids: list[int]) -> None:
+        if self.digest:
+            self.said[piece] = " ".join(map(str, ids))
+            self.shown[piece] = " ".join([self.merges.tokens[i] for i in ids])
+        else:
+            self.ids[piece] = np.array(ids, np.int32).tobytes()
+
+    def _join(self, token: str, pieces: list[str]) -> None:
+        if self.digest:
+            self.said[token] = " ".join([self.said[p] for p in pieces])
+            self.shown[token] = " ".join([self.shown[p] for p in pieces])
+        else:
+            self.ids[token] = b"".join([self.ids[p] for p in pieces])
+
+    def _learn(self, tokens: set[str]) -> None:
+        fresh = tokens.difference(self._known())
+        if len(self._known()) + len(fresh) > MEMO:
+            self.said, self.shown, self.ids = (dict(d) for d in self.lasting)
+            fresh = tokens.difference(self._known())
+        parted = {t: self.merges.pieces_of(t) for t in fresh}
+        pieces = [*{p for own in parted.values() for p in own}.difference(self._known())]
+        for p, ids in zip(pieces, self.lexicon.find(pieces)):
+            self._remember(p, self.merges.merge(p) if ids is None else ids)
+            if ids is not None and len(self.lasting[0 if self.digest else 2]) <= LEXICON:
+                for kept, now in zip(self.lasting, (self.said, self.shown, self.ids)):
+                    if p in now:
+                        kept[p] = now[p]
+        for t, own in parted.items():
+            if len(own) != 1 or own[0] != t:
+                self._join(t, own)
+
+    def tokens(self, texts: list[str | None]) -> list[list[str]]:
+        """The tokens of each text; every one of them is known afterwards."""
         out = []
         for text in texts:
             mine: list[str] = []
             for special, plain in self.merges.parts(text or ""):
-                mine.extend([special] if special is not None else self.merges.pieces(plain))
+                mine.extend([special] if special is not None else self.merges.tokens_of(plain))
             out.append(mine)
-        self._now = {p for mine in out for p in mine}
-        fresh = self._now.difference(self.ids)
-        if fresh:
-            self._learn(fresh)
+        now: set[str] = set()
+        for mine in out:
+            now.update(mine)
+        self._learn(now)
         return out
 
 
@@ -276,21 +306,25 @@ def _in_bits(texts: list[str | None]) -> Iterator[list[str | None]]:
 
 
 def _count_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def rows(seen: Counter) -> pa.RecordBatch:
+    def rows(merges: Merges, tokens: Counter) -> pa.RecordBatch:
+        seen: dict[str, int] = {}
+        for token, n in tokens.items():
+            for p in merges.pieces_of(token):
+                seen[p] = seen.get(p, 0) + n
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, seen = merges_of(path), Counter()
+        merges, tokens = merges_of(path), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for special, plain in merges.parts(text or ""):
                     if special is None:
-                        seen.update(merges.pieces(plain))
-                if len(seen) > 2 * MEMO:
-                    yield rows(seen)
-                    seen = Counter()
-        if seen:
-            yield rows(seen)
+                        tokens.update(merges.tokens_of(plain))
+                if len(tokens) > 2 * MEMO:
+                    yield rows(merges, tokens)
+                    tokens = Counter()
+        if tokens:
+            yield rows(merges, tokens)
 
     return run
 
@@ -319,23 +353,26 @@ def build_lexicon(docs: DataFrame, path: str, text: str = "text", most: int = LE
 
 def _encode_batches(path: str, shared: object, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, shared.value)
+        encoder = Encoder(path, shared.value, digest)
         for batch in batches:
             *passed, text = batch.columns
             at = 0
             for texts in _in_bits(text.to_pylist()):
-                encoded = encoder.pieces(texts)
+                encoded = encoder.tokens(texts)
                 columns = [c.slice(at, len(texts)) for c in passed]
                 at += len(texts)
+                names = [*batch.schema.names[:-1], "__n", "__ids"]
                 if digest:
-                    said = [" ".join(map(encoder.said.__getitem__, p)) for p in encoded]
-                    shown = [" ".join(map(encoder.shown.__getitem__, p)) for p in encoded]
-                    sums = [[hashlib.sha256(s.encode()).hexdigest() for s in x] for x in (said, shown)]
+                    said = [" ".join(map(encoder.said.__getitem__, t)) for t in encoded]
+                    sums = [[hashlib.sha256(s.encode()).hexdigest() for s in said], [hashlib.sha256(" ".join(map(encoder.shown.__getitem__, t)).encode()).hexdigest() for t in encoded]]
                     n = [s.count(" ") + 1 if s else 0 for s in said]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), *(pa.array(s, pa.string()) for s in sums)], names=[*batch.schema.names[:-1], "__n", "__ids", "__back"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), *(pa.array(s, pa.string()) for s in sums)], names=[*names, "__back"])
                 else:
-                    ids = [[i for p in mine for i in encoder.ids[p]] for mine in encoded]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "__n", "__ids"])
+                    data = [b"".join(map(encoder.ids.__getitem__, t)) for t in encoded]
+                    n = np.array([len(d) // 4 for d in data], np.int64)
+                    bounds = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(data), np.int32), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), ids], names=names)
 
     return run
 
