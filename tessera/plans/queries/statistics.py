@@ -73,7 +73,7 @@ def st_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stages(spark, sf_dir).select("date", "stage")
 
 
-@query(f"WITH {_DAYS}, t AS (SELECT stage AS now, lead(stage) OVER (ORDER BY date) AS nx FROM stage), c AS (SELECT now, nx, count(*) AS n FROM t WHERE nx IS NOT NULL GROUP BY 1, 2) SELECT now, nx AS "next", n, round(n / sum(n) OVER (PARTITION BY now), 6)::DOUBLE AS share FROM c")
+@query(f"WITH {_DAYS}, t AS (SELECT stage AS now, lead(stage) OVER (ORDER BY date) AS nx FROM stage), c AS (SELECT now, nx, count(*) AS n FROM t WHERE nx IS NOT NULL GROUP BY 1, 2) SELECT now, nx AS next, n, round(n / sum(n) OVER (PARTITION BY now), 6)::DOUBLE AS share FROM c")
 def st_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(st.transitions(_stages(spark, sf_dir), "stage", "date"))
 
