@@ -19,9 +19,9 @@ def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS b, avg(value) AS mean, stddev_samp(value) AS s FROM events GROUP BY 1),
   d AS (SELECT event_type, median(abs(value - m)) AS mad FROM events JOIN q USING (event_type) GROUP BY 1)
-  SELECT event_id, round((value - mean) / nullif(s, 0), 6) AS z, round(0.6745::DOUBLE * ((value - m) / nullif(mad, 0)), 6) AS mad_z, (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AS beyond FROM events JOIN q USING (event_type) JOIN d USING (event_type)""")
+  SELECT event_id, round((value - mean) / nullif(s, 0), 9) AS z, round(0.6745::DOUBLE * ((value - m) / nullif(mad, 0)), 9) AS mad_z, (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AS beyond FROM events JOIN q USING (event_type) JOIN d USING (event_type)""")
 def st_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.outliers(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "value", "event_type").select("event_id", "z", "mad_z", "beyond"))
+    return rounded(st.outliers(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "value", "event_type").select("event_id", "z", "mad_z", "beyond"), 9)
 
 
 @query(f"""WITH {_R}, c AS (SELECT code, (close IS NULL)::INT + coalesce(close <= 0, false)::INT + coalesce(abs(ret) > 0.3, false)::INT + coalesce(date_diff('day', lag(date) OVER (PARTITION BY code ORDER BY date), date) > 21, false)::INT AS i FROM r)
