@@ -91,6 +91,14 @@ def rolling(x: Column | str, how: str, w: WindowSpec, n: int, min_periods: int |
     raise ValueError(f"unknown aggregate {how}")
 
 
+def corr(x: Column | str, y: Column | str, frame: WindowSpec | None = None) -> Column:
+    """Correlation over rows where both are known; missing, not an error, where either doesn't vary."""
+    both = col(x).isNotNull() & col(y).isNotNull()
+    a, b = F.when(both, col(x)), F.when(both, col(y))
+    over = (lambda c: c) if frame is None else (lambda c: c.over(frame))
+    return F.try_divide(over(F.covar_pop(a, b)), over(F.stddev_pop(a)) * over(F.stddev_pop(b)))
+
+
 def rolling_pair(x: Column | str, y: Column | str, how: str, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
     """Trailing corr, cov, beta (of x on y) or slope of two columns, over rows where both are known."""
     a, b = col(x), col(y)
@@ -98,7 +106,7 @@ def rolling_pair(x: Column | str, y: Column | str, how: str, w: WindowSpec, n: i
     both = a.isNotNull() & b.isNotNull()
     p, q = F.when(both, a), F.when(both, b)
     value = {
-        "corr": lambda: F.corr(p, q).over(frame),
+        "corr": lambda: corr(p, q, frame),
         "cov": lambda: F.covar_samp(p, q).over(frame),
         "beta": lambda: safe_div(F.covar_samp(p, q).over(frame), F.var_samp(q).over(frame)),
         "slope": lambda: F.regr_slope(p, q).over(frame),

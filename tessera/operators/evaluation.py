@@ -7,19 +7,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import average_rank, ordered, pct_rank, safe_div, trailing
+from tessera.functions.expr import average_rank, corr, ordered, pct_rank, safe_div, trailing
 
 
 def rank_ic(df: DataFrame, factor: str, label: str, time: str = "date", least: int = 30, by: tuple[str, ...] = ()) -> DataFrame:
     """Per time (and ``by``): correlation of average ranks over jointly known rows, and their number."""
     group = [*by, time]
     rows = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull()).withColumn("__f", average_rank(factor, group)).withColumn("__l", average_rank(label, group))
-    return rows.groupBy(*group).agg(F.corr("__f", "__l").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return rows.groupBy(*group).agg(corr("__f", "__l").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def pearson_ic(df: DataFrame, factor: str, label: str, time: str = "date", least: int = 30) -> DataFrame:
     rows = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
-    return rows.groupBy(time).agg(F.corr(factor, label).alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return rows.groupBy(time).agg(corr(factor, label).alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def ic_summary(ic: DataFrame, by: tuple[str, ...] = (), periods: int = 252) -> DataFrame:
@@ -71,7 +71,7 @@ def factor_correlation(df: DataFrame, factors: list[str], time: str = "date", le
     """Mean over times of the rank correlation of each pair of factors."""
     ranks = df.select(time, *(average_rank(c, [time]).alias(c) for c in factors))
     pairs = [(a, b) for k, a in enumerate(factors) for b in factors[k + 1 :]]
-    each = ranks.groupBy(time).agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
+    each = ranks.groupBy(time).agg(*(corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
     long = each.unpivot([time], [F.col(f"`{a}|{b}`") for a, b in pairs], "pair", "rho").where("rho is not null")
     out = long.groupBy("pair").agg(F.avg("rho").alias("rho"), F.count("*").alias("times")).where(F.col("times") >= least)
     return out.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "rho", "times")
@@ -90,7 +90,7 @@ def holdout_diagnostics(df: DataFrame, factor: str, label: str, q: int = 5, spli
     place = buckets.select(time).distinct().withColumn("__p", F.percent_rank().over(Window.orderBy(time)))
     rows = buckets.join(place, time).withColumn("part", F.when(F.col("__p") < split, "in").otherwise("out"))
     means = rows.groupBy("part", "bucket").agg(F.avg("mean").alias("mean")).withColumn("__r", average_rank("mean", ["part"]))
-    return means.groupBy("part").agg(F.corr("__r", F.col("bucket").cast("double")).alias("monotonicity"), F.max(F.when(F.col("bucket") == q - 1, F.col("mean"))).alias("top"), F.max(F.when(F.col("bucket") == 0, F.col("mean"))).alias("bottom"))
+    return means.groupBy("part").agg(corr("__r", F.col("bucket").cast("double")).alias("monotonicity"), F.max(F.when(F.col("bucket") == q - 1, F.col("mean"))).alias("top"), F.max(F.when(F.col("bucket") == 0, F.col("mean"))).alias("bottom"))
 
 
 def trailing_calibration(df: DataFrame, factor: str, label: str, known_on: str, q: int = 10, least: int = 20, time: str = "date") -> DataFrame:

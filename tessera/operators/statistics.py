@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import average_rank, ordered, pct_change, rolling, safe_div, trailing
+from tessera.functions.expr import average_rank, corr, ordered, pct_change, rolling, safe_div, trailing
 
 
 def outliers(df: DataFrame, value: str, by: str) -> DataFrame:
@@ -102,7 +102,7 @@ def lagged_correlation(df: DataFrame, x: str, y: str, lags: int, key: str = "cod
     """Correlation of x with y k rows later, over all keys."""
     w = ordered(key, time)
     rows = df.select(x, *(F.lead(y, k).over(w).alias(f"y{k}") for k in range(lags + 1)))
-    out = rows.agg(*(F.corr(x, f"y{k}").alias(f"y{k}") for k in range(lags + 1)))
+    out = rows.agg(*(corr(x, f"y{k}").alias(f"y{k}") for k in range(lags + 1)))
     return out.unpivot([], [f"y{k}" for k in range(lags + 1)], "lag", "corr").withColumn("lag", F.substring("lag", 2, 3).cast("int"))
 
 

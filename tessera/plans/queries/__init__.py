@@ -1,6 +1,6 @@
 """All registered queries; importing a module registers its own."""
 
-from tessera.plans.queries import crosssection, evaluation, joins, portfolio, relational, statistics, streams, textual, timeseries  # noqa: F401
+from tessera.plans.queries import crosssection, evaluation, factors, joins, portfolio, relational, statistics, streams, textual, timeseries  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
