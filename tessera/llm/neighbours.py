@@ -58,7 +58,7 @@ def learn_rotations(x: np.ndarray, bits: int, rounds: int = 25) -> np.ndarray:
     """A (dim, bits) projection: for every ``dim`` bits, principal axes turned so that signs lose least."""
     rng = np.random.default_rng(7)
     dim = x.shape[1]
-    _, _, axes = np.linalg.svd(x, full_matrices=True)
+    axes = np.linalg.eigh(x.T @ x)[1].T[::-1]  # dim x dim; the sample's own decomposition would be rows x rows
     v = x @ axes.T
     parts = []
     while sum(p.shape[1] for p in parts) < bits:
