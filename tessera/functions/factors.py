@@ -36,8 +36,8 @@ def register(name: str, family: str, direction: int = 1) -> Callable[[Builder],
     return add
 
 
-def _families(n: int) -> dict[str, tuple[str, int, Builder]]:
-    """Every family at horizon n; ``ret`` and ``rank`` columns are made by ``with_factors`` first."""
+def _families(n: int) -> dict[str, Builder]:
+    """The builders of every family at horizon n; ``ret`` and ``rank`` columns are made by ``with_factors`` first."""
     ret, close, high, low, volume, amount = (F.col(c) for c in ("ret", "close", "high", "low", "volume", "amount"))
 
     def range_place(w: WindowSpec) -> Column:
@@ -48,38 +48,45 @@ def _families(n: int) -> dict[str, tuple[str, int, Builder]]:
         return enough(ret, F.sqrt(F.avg(F.when(ret.isNotNull(), F.pow(F.when(keep, ret).otherwise(0.0), 2))).over(trailing(w, n))), trailing(w, n), n)
 
     return {
-        "mom": ("momentum", 1, lambda w: pct_change(close, w, n)),
-        "rev": ("reversal", 1, lambda w: -pct_change(close, w, n)),
-        "ma_gap": ("momentum", 1, lambda w: safe_div(close, rolling(close, "mean", w, n)) - 1),
-        "place": ("momentum", 1, range_place),
-        "near_high": ("momentum", 1, lambda w: safe_div(close, rolling(high, "max", w, n))),
-        "near_low": ("reversal", -1, lambda w: safe_div(close, rolling(low, "min", w, n))),
-        "up_share": ("momentum", 1, lambda w: enough(ret, F.avg(F.when(ret.isNotNull(), (ret > 0).cast("double"))).over(trailing(w, n)), trailing(w, n), n)),
-        "vol": ("risk", -1, lambda w: rolling(ret, "std", w, n)),
-        "down_vol": ("risk", -1, lambda w: part(ret < 0, w)),
-        "up_vol": ("risk", 1, lambda w: part(ret > 0, w)),
-        "skew": ("risk", -1, lambda w: rolling(ret, "skew", w, n)),
-        "kurt": ("risk", -1, lambda w: rolling(ret, "kurt", w, n)),
-        "max_ret": ("lottery", -1, lambda w: rolling(ret, "max", w, n)),
-        "min_ret": ("lottery", 1, lambda w: rolling(ret, "min", w, n)),
-        "range": ("risk", -1, lambda w: rolling(safe_div(high - low, close), "mean", w, n)),
-        "illiquid": ("liquidity", 1, lambda w: rolling(safe_div(F.abs(ret), amount) * 1e6, "mean", w, n)),
-        "volume_ratio": ("liquidity", -1, lambda w: safe_div(volume, rolling(volume, "mean", w, n))),
-        "volume_cv": ("liquidity", -1, lambda w: safe_div(rolling(volume, "std", w, n), rolling(volume, "mean", w, n))),
-        "amount_mean": ("size", -1, lambda w: F.log(rolling(amount, "mean", w, n))),
-        "price_volume": ("volume", -1, lambda w: rolling_pair(close, volume, "corr", w, n)),
-        "ret_volume": ("volume", -1, lambda w: rolling_pair(ret, volume, "corr", w, n)),
-        "vwap_gap": ("volume", -1, lambda w: safe_div(close, safe_div(F.sum(close * volume).over(trailing(w, n)), F.sum(volume).over(trailing(w, n)))) - 1),
-        "sharpe": ("momentum", 1, lambda w: safe_div(rolling(ret, "mean", w, n), rolling(ret, "std", w, n))),
-        "gap": ("overnight", -1, lambda w: rolling(safe_div(F.col("open"), F.lag("close").over(w)) - 1, "mean", w, n)),
-        "intraday": ("intraday", 1, lambda w: rolling(safe_div(close, F.col("open")) - 1, "mean", w, n)),
+        "mom": lambda w: pct_change(close, w, n),
+        "rev": lambda w: -pct_change(close, w, n),
+        "ma_gap": lambda w: safe_div(close, rolling(close, "mean", w, n)) - 1,
+        "place": range_place,
+        "near_high": lambda w: safe_div(close, rolling(high, "max", w, n)),
+        "near_low": lambda w: safe_div(close, rolling(low, "min", w, n)),
+        "up_share": lambda w: enough(ret, F.avg(F.when(ret.isNotNull(), (ret > 0).cast("double"))).over(trailing(w, n)), trailing(w, n), n),
+        "vol": lambda w: rolling(ret, "std", w, n),
+        "down_vol": lambda w: part(ret < 0, w),
+        "up_vol": lambda w: part(ret > 0, w),
+        "skew": lambda w: rolling(ret, "skew", w, n),
+        "kurt": lambda w: rolling(ret, "kurt", w, n),
+        "max_ret": lambda w: rolling(ret, "max", w, n),
+        "min_ret": lambda w: rolling(ret, "min", w, n),
+        "range": lambda w: rolling(safe_div(high - low, close), "mean", w, n),
+        "illiquid": lambda w: rolling(safe_div(F.abs(ret), amount) * 1e6, "mean", w, n),
+        "volume_ratio": lambda w: safe_div(volume, rolling(volume, "mean", w, n)),
+        "volume_cv": lambda w: safe_div(rolling(volume, "std", w, n), rolling(volume, "mean", w, n)),
+        "amount_mean": lambda w: F.log(rolling(amount, "mean", w, n)),
+        "price_volume": lambda w: rolling_pair(close, volume, "corr", w, n),
+        "ret_volume": lambda w: rolling_pair(ret, volume, "corr", w, n),
+        "vwap_gap": lambda w: safe_div(close, safe_div(F.sum(close * volume).over(trailing(w, n)), F.sum(volume).over(trailing(w, n)))) - 1,
+        "sharpe": lambda w: safe_div(rolling(ret, "mean", w, n), rolling(ret, "std", w, n)),
+        "gap": lambda w: rolling(safe_div(F.col("open"), F.lag("close").over(w)) - 1, "mean", w, n),
+        "intraday": lambda w: rolling(safe_div(close, F.col("open")) - 1, "mean", w, n),
     }
 
 
 HORIZONS = (5, 10, 20, 60)
+#: Families: what they measure, and whether more (1) or less (-1) is taken to be better.
+FAMILIES = {
+    "mom": ("momentum", 1), "rev": ("reversal", 1), "ma_gap": ("momentum", 1), "place": ("momentum", 1), "near_high": ("momentum", 1), "near_low": ("reversal", -1), "up_share": ("momentum", 1),
+    "vol": ("risk", -1), "down_vol": ("risk", -1), "up_vol": ("risk", 1), "skew": ("risk", -1), "kurt": ("risk", -1), "max_ret": ("lottery", -1), "min_ret": ("lottery", 1), "range": ("risk", -1),
+    "illiquid": ("liquidity", 1), "volume_ratio": ("liquidity", -1), "volume_cv": ("liquidity", -1), "amount_mean": ("size", -1), "price_volume": ("volume", -1), "ret_volume": ("volume", -1),
+    "vwap_gap": ("volume", -1), "sharpe": ("momentum", 1), "gap": ("overnight", -1), "intraday": ("intraday", 1),
+}
 for _n in HORIZONS:
-    for _name, (_family, _direction, _build) in _families(_n).items():
-        register(f"{_name}_{_n}", _family, _direction)(_build)
+    for _name, (_family, _direction) in FAMILIES.items():
+        register(f"{_name}_{_n}", _family, _direction)(lambda w, n=_n, name=_name: _families(n)[name](w))
 
 
 def with_factors(panel: DataFrame, names: list[str], key: str = "code", time: str = "date") -> DataFrame:

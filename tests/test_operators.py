@@ -1,6 +1,7 @@
 """Cases that queries on the driver's tables don't reach."""
 
 import datetime
+import pathlib
 
 import numpy as np
 import pandas as pd
@@ -149,6 +150,14 @@ def test_streamed_windows(spark, tmp_path):
     assert mine and all(whole[k] == n for k, n in mine.items())
 
 
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], capture_output=True, text=True, cwd=pathlib.Path(__file__).parents[1])
+    assert int(said.stdout.split()[-1]) > 100
+
+
 def test_entry_works_without_training_operators(monkeypatch):
     import __spark_entry__ as e
 
