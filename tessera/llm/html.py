@@ -36,29 +36,50 @@ _DROPPED = frozenset("head nav footer aside form script style noscript template
 _RAW = frozenset("script style textarea title noscript iframe template".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HINT = regex.compile(
-    r"(?<![a-z])(?:ads?|adverts?|advertisements?|adbox|adslot|advertising|banners?|cookies?|consent|gdpr|notices?|alerts?|promos?|promotions?|sponsors?|sponsored|sidebars?|navs?|navbar|navigation|menus?|"
-    r"breadcrumbs?|footers?|comments?|commentlist|disqus|replies|share|sharing|social|related|recommended|newsletters?|subscribe|signup|login|popups?|modals?|widgets?|masthead|complementary|contentinfo|search)(?![a-z])"
-)
-_HEADER = regex.compile(r"(?<![a-z])(?:headers?|banner|topbar|site-title)(?![a-z])")
+#: Whole class or role tokens, and ids, of what is not main text; "_" counts as "-".
+_HINTS = frozenset((
+    "ad ads advert adverts advertisement advertisements adbox adslot ad-slot ad-box ad-banner ad-container ad-unit ad-wrapper advertising banner banners cookie cookies cookie-banner cookie-notice cookie-bar cookie-consent cookie-policy consent gdpr gdpr-banner "
+    "notice notices alert alerts promo promos promotion promotions sponsor sponsors sponsored sidebar sidebars sidebar-left sidebar-right left-sidebar right-sidebar side-bar nav navs navbar navigation main-nav main-navigation site-nav site-navigation nav-bar nav-menu nav-links post-navigation "
+    "menu menus main-menu menubar breadcrumb breadcrumbs footer footers site-footer page-footer footer-nav footer-links comment comments comment-list commentlist comment-form comments-area comment-respond disqus disqus-thread reply replies share sharing share-buttons share-links social social-links social-share social-media "
+    "related related-posts related-articles related-content related-links recommended recommended-posts recommendations newsletter newsletters newsletter-signup subscribe signup sign-up login popup popups modal modals widget widgets widget-area masthead complementary contentinfo search search-form searchbox search-box"
+).split())
+_HEADERS = frozenset("header headers site-header page-header top-header topbar top-bar site-title".split())
+#: Elements whose ids are often made from their headings and say what the text is about.
+_NAMED = frozenset("h1 h2 h3 h4 h5 h6 section p li dt dd td th tr".split())
 _TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", regex.S)
-_ATTRIBUTE = regex.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
-_HIDDEN = regex.compile(r"(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", regex.I)
+_ATTRIBUTE = regex.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = regex.compile(r"\s+")
 
 
+def _attributes(source: str) -> dict[str, str]:
+    """Lower-case names and values of a tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        out.setdefault(m[1].lower(), _html.unescape(m[2] or m[3] or m[4] or "").lower())
+    return out
+
+
+def _unseen(said: dict[str, str]) -> bool:
+    style = (d.partition(":") for d in said.get("style", "").split(";"))
+    return "hidden" in said or said.get("aria-hidden", "").strip() == "true" or any(k.strip() == "display" and v.split("!")[0].strip() == "none" for k, _, v in style)
+
+
 def _kind(name: str, attributes: str, inside: bool) -> str:
     """ "drop", "main" or "" for an element's content."""
     if name in _DROPPED or (name == "header" and not inside):
         return "drop"
-    if attributes:
-        if _HIDDEN.search(attributes):
+    if attributes and not attributes.isspace() and name not in ("html", "body"):  # pages hide their body till they are loaded
+        said = _attributes(attributes)
+        if _unseen(said):
             return "drop"
-        said = " ".join(m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)).lower()
-        if said and name not in ("html", "body", "article", "main"):
-            if "main" in said.split() and 'role' in attributes.lower():
+        if name not in ("article", "main"):
+            classes, roles = ({*said.get(k, "").replace("_", "-").split()} for k in ("class", "role"))
+            if "main" in roles:
                 return "main"
-            if _HINT.search(said) or (not inside and _HEADER.search(said)):
+            names = classes | roles
+            if name not in _NAMED and "section" not in classes:
+                names.add(said.get("id", "").replace("_", "-").strip())
+            if names & _HINTS or (not inside and names & _HEADERS):
                 return "drop"
     return "main" if name in ("article", "main") else ""
 

@@ -55,6 +55,15 @@ def test_html_structure():
     assert html.split_page("<p>cut<script>never closed")[1] == ["cut"]
 
 
+def test_html_hints_are_whole_tokens():
+    body = """<body style="overflow:hidden"><article class="post" style="overflow-x: hidden"><h1 title="A hidden valley">valley</h1><h2 id="related-work">work</h2><section id="search-algorithms"><p>search</p></section>
+      <section id="search"><p>exact</p></section><div id="social-impact" data-hidden="1" aria-label="Search hints">impact</div><div class="share-price">price</div><h3 id="comments">remarks</h3>
+      <div hidden>gone1</div><div aria-hidden="true">gone2</div><div style="color:red; Display : none !important">gone3</div><div class="x Related">gone4</div><div role=navigation>gone5</div><div class="cookie_banner">gone6</div></article></body>"""
+    article, _, dropped, marked = html.split_page(body)
+    assert marked and article == ["valley", "work", "search", "exact", "impact", "price", "remarks"] and dropped == [f"gone{k}" for k in range(1, 7)]
+    assert html.split_page("<body style='display:none' class=search><p>shown when loaded</p></body>")[1] == ["shown when loaded"]
+
+
 def test_html_boilerplate_by_host(spark):
     menu = "<div>Home About us Contact and help Shop now Sign in here</div>"
     rows = [(k, f"http://h.example/{k}", f"{menu}<p>page {k} has words of its own {k}a {k}b</p>") for k in range(30)] + [(100, "http://other.example/", f"{menu}<p>alone</p>"), (100, None, None), (101, "u", "")]
