@@ -102,8 +102,10 @@ def _ratios() -> dict[str, Column]:
     }
 
 
-#: A ratio is out of range beyond median + spread * (upper quantile - median) + slack of its group.
-SPREAD, UPPER = 3.0, 0.9
+#: A ratio is out of range beyond median + spread * (median - lower quantile) + slack of its group: rows that
+#: are bad by high ratios, if they are fewer than half, leave the lower side to the others. What a group's
+#: spread adds must not lift its limit above that of all documents.
+SPREAD, LOWER = 3.0, 0.25
 SLACK = {"word_length": 4.0, "symbols": 0.2, "dup_lines": 0.05, "repeats": 0.3}
 #: Groups with fewer documents take the limits of all documents.
 MIN_GROUP = 20
@@ -112,9 +114,9 @@ MIN_GROUP = 20
 def _limits(counts: DataFrame, by: list[str], tag: str, k: int) -> DataFrame:
     usable = counts.where(~F.col("base_failed"))
     aggs = [F.kll_sketch_agg_double(c, k).alias(name) for name, c in _ratios().items()]
-    at = F.array(F.lit(0.5), F.lit(UPPER))
+    at = F.array(F.lit(0.5), F.lit(LOWER))
     quantiles = {name: F.kll_sketch_get_quantile_double(name, at) for name in SLACK}
-    limit = [F.when(F.col("__n") > 0, q[0] + SPREAD * (q[1] - q[0]) + SLACK[name]).alias(f"__{tag}_{name}") for name, q in quantiles.items()]
+    limit = [F.when(F.col("__n") > 0, x).alias(f"__{tag}_{name}{end}") for name, q in quantiles.items() for end, x in (("", q[0] + SPREAD * (q[0] - q[1]) + SLACK[name]), ("_least", q[0] + SLACK[name]))]
     sketches = usable.groupBy(*by).agg(F.count("*").alias("__n"), *aggs)
     return sketches.select(*(F.col(c).alias(f"__by_{c}") for c in by), F.col("__n").alias(f"__{tag}_n"), *limit)
 
@@ -128,7 +130,8 @@ def judge(counts: DataFrame, by: tuple[str, ...] = ("lang", "source"), sketch_k:
     joined = counts.join(own, [counts[c].eqNullSafe(own[f"__by_{c}"]) for c in by], "left").crossJoin(F.broadcast(everyone))
     fits = F.lit(True)
     for name, ratio in _ratios().items():
-        limit = F.when(F.col("__own_n") >= MIN_GROUP, F.col(f"__own_{name}")).otherwise(F.col(f"__all_{name}"))
+        bound = F.greatest(f"__own_{name}_least", f"__all_{name}")
+        limit = F.when(F.col("__own_n") >= MIN_GROUP, F.least(f"__own_{name}", bound)).otherwise(F.col(f"__all_{name}"))
         fits = fits & F.coalesce(ratio <= limit, F.lit(True))
     return joined.select(*counts.columns, (~F.col("base_failed") & fits).alias("kept"))
 

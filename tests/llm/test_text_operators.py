@@ -132,6 +132,15 @@ def test_quality_limits_follow_their_group(spark):
     assert quality.quality_filter(df).columns == df.columns and quality.quality_filter(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.15, 0.3, 0.45])
+def test_quality_limits_stand_a_bad_minority(spark, share):
+    bad = int(100 * share)
+    noisy = [(k, " ".join(f"w{k}x{i}" + ("##" if k < bad else "") for i in range(80 + k % 7)), "fr", "hot") for k in range(100)]
+    plain = [(1000 + k, " ".join(f"w{k}x{i}" for i in range(80)), "fr", "plain") for k in range(100)]
+    df = spark.createDataFrame(noisy + plain, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in quality.quality_filter(df).select("doc_id").collect()} == {*range(bad, 100), *range(1000, 1100)}
+
+
 def similar(rows, percent):
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     sets = {}
