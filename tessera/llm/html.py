@@ -1,12 +1,16 @@
 """HTML extraction (4): structure first, then a suffix array per host.
 
 A page is parsed into blocks of text. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments go by their elements and by their class, id or role. If the page marks its
-article (``article``, ``main`` or that role), what is inside it is the main text, whatever else repeats it.
-Text that no element explains is judged by its host: the token streams of the host's pages (all text
-outside articles) are concatenated, a suffix array finds the substrings of ``LONG`` tokens that distinct
-pages repeat, the words that these cover are removed, and unique runs stay. A repeat may run on from a menu
-into the first words of the text after it, so a block that is covered by less than half stays whole.
+styles and reader comments go by their elements and by their class, id or role. What is left is judged by
+its host: the token streams of the host's pages are concatenated, a suffix array finds the substrings of
+``LONG`` tokens that pages repeat, the words that these cover are removed, and unique runs stay. A repeat
+may run on from a menu into the first words of the text after it, so a block that is covered by less than
+half stays whole. What structure drops is evidence of repeats.
+
+An article that a page marks (``article``, ``main`` or that role) is evidence too: if it holds most of what
+is left, a substring that reaches into it must be on at least ``MANY`` pages and a share of ``MOST`` of the
+host's, so that passages which articles share stay and notices in all of them go. Everywhere else, and on
+pages whose mark holds less, it takes ``FEW`` pages and a share of ``SOME``.
 
 A host is cut into shards of about ``SHARD`` pages, each with an array of its own; one row per repeated or
 single prefix leaves a shard, and prefixes meet across shards by their hash. So no host is in one task.
@@ -31,6 +35,11 @@ from tessera.llm.scratch import materialize
 from tessera.llm.words import blocks, ngram_hashes
 
 LONG, SHARD = 8, 2000
+FEW, SOME = 2, 0.05
+MANY, MOST = 4, 0.5
+#: A shard may leave out prefixes that are on under a quarter of the pages it can expect to hold them, if it
+#: expects so many: the deal is at random, and less than one in ten million needed ones falls so far short.
+EXPECTED = 40
 #: Fixed element names.
 _DROPPED = frozenset("head nav footer aside form script style noscript template iframe object button select textarea svg canvas menu dialog audio video map".split())
 _RAW = frozenset("script style textarea title noscript iframe template".split())
@@ -43,6 +52,8 @@ _HINTS = frozenset((
     "menu menus main-menu menubar breadcrumb breadcrumbs footer footers site-footer page-footer footer-nav footer-links comment comments comment-list commentlist comment-form comments-area comment-respond disqus disqus-thread reply replies share sharing share-buttons share-links social social-links social-share social-media "
     "related related-posts related-articles related-content related-links recommended recommended-posts recommendations newsletter newsletters newsletter-signup subscribe signup sign-up login popup popups modal modals widget widgets widget-area masthead complementary contentinfo search search-form searchbox search-box"
 ).split())
+#: Those that an article element of its own may be: not the story.
+_BESIDES = frozenset("ad ads advert advertisement comment comments reply replies related related-posts recommended promo promos sponsor sponsored newsletter widget sidebar".split())
 _HEADERS = frozenset("header headers site-header page-header top-header topbar top-bar site-title".split())
 #: Elements whose ids are often made from their headings and say what the text is about.
 _NAMED = frozenset("h1 h2 h3 h4 h5 h6 section p li dt dd td th tr".split())
@@ -72,8 +83,10 @@ def _kind(name: str, attributes: str, inside: bool) -> str:
         said = _attributes(attributes)
         if _unseen(said):
             return "drop"
+        classes, roles = ({*said.get(k, "").replace("_", "-").split()} for k in ("class", "role"))
+        if name == "article" and (classes | roles) & (_HINTS if inside else _BESIDES):
+            return "drop"
         if name not in ("article", "main"):
-            classes, roles = ({*said.get(k, "").replace("_", "-").split()} for k in ("class", "role"))
             if "main" in roles:
                 return "main"
             names = classes | roles
@@ -84,12 +97,10 @@ def _kind(name: str, attributes: str, inside: bool) -> str:
     return "main" if name in ("article", "main") else ""
 
 
-def split_page(source: str) -> tuple[list[str], list[str], list[str], bool]:
-    """Blocks of the marked article, other blocks that structure keeps, blocks that it drops, and whether there
-    is a marked article."""
-    article: list[str] = []
-    loose: list[str] = []
-    dropped: list[str] = []
+def read_page(source: str) -> tuple[list[tuple[str, str]], bool]:
+    """The page's blocks in order, each with its zone ("main", "" or "drop"), and whether there is a marked
+    article."""
+    found: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # open containers and what they are
     held: list[str] = []
     drops = mains = 0
@@ -101,7 +112,7 @@ def split_page(source: str) -> tuple[list[str], list[str], list[str], bool]:
             text = _SPACE.sub(" ", _html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                (dropped if drops else article if mains else loose).append(text)
+                found.append(("drop" if drops else "main" if mains else "", text))
 
     while True:
         m = _TOKEN.search(source, at)
@@ -148,19 +159,36 @@ def split_page(source: str) -> tuple[list[str], list[str], list[str], bool]:
         mains += kind == "main"
         marked |= kind == "main" and not drops
     flush()
+    return found, marked
+
+
+def split_page(source: str) -> tuple[list[str], list[str], list[str], bool]:
+    """Blocks of the marked article, other blocks that structure keeps, blocks that it drops, and whether there
+    is a marked article."""
+    found, marked = read_page(source)
+    article, loose, dropped = ([text for z, text in found if z == zone] for zone in ("main", "", "drop"))
     return article, loose, dropped, marked
 
 
+def kept_blocks(source: str) -> tuple[list[str], list[int], str]:
+    """The blocks that structure keeps, the words of each (negative outside an article that holds most of
+    them), and the text that structure drops."""
+    found, _ = read_page(source)
+    kept = [(text, text.count(" ") + 1, zone) for zone, text in found if zone != "drop"]
+    trusted = 2 * sum(n for _, n, zone in kept if zone) > sum(n for _, n, _ in kept)
+    return [text for text, _, _ in kept], [n if zone and trusted else -n for _, n, zone in kept], " ".join(text for zone, text in found if zone == "drop")
+
+
 def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         *passed, source = batch.columns
-        main, loose, outside = [], [], []
+        text, words, outside = [], [], []
         for page in source:
-            article, others, dropped, marked = split_page(page.as_py() or "")
-            main.append("\n".join(article) if marked else None)
-            loose.append([] if marked else others)
-            outside.append(" ".join([*others, *dropped]) if marked else " ".join(others))
-        yield pa.RecordBatch.from_arrays([*passed, pa.array(main, pa.string()), pa.array(loose, pa.list_(pa.string())), pa.array(outside, pa.string())], names=[*batch.schema.names[:-1], "__main", "__loose", "__outside"])
+            own, spans, dropped = kept_blocks(page.as_py() or "")
+            text.append("\n".join(own))
+            words.append(spans)
+            outside.append(dropped)
+        yield pa.RecordBatch.from_arrays([*passed, pa.array(text, pa.string()), pa.array(words, pa.list_(pa.int32())), pa.array(outside, pa.string())], names=[*batch.schema.names[:-1], "__text", "__words", "__dropped"])
 
 
 def suffix_order(tokens: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,46 +206,66 @@ def suffix_order(tokens: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _shard_prefixes(pages: pd.DataFrame) -> pd.DataFrame:
-    """One row for each distinct prefix of ``LONG`` tokens in a shard: its hash, least and largest page and
-    all places (page, word)."""
-    host = pages["__host"].iloc[0]
-    words, page, word = [], [], []
-    keys = pages["__page"].to_numpy()
-    for b in blocks(pa.array(pages["__outside"], pa.string())):
+    """One row for each distinct prefix of ``LONG`` tokens in a shard that may be on enough of the host's pages:
+    its hash, how many pages of the shard hold it, and its places (page, word) in what structure keeps."""
+    host, n_host, shards = (pages[c].iloc[0] for c in ("__host", "__pages", "__shards"))
+    needs = max(FEW, int(np.ceil(SOME * n_host))), max(MANY, int(np.ceil(MOST * n_host)))
+    least = [need if shards == 1 else need / shards / 4 if need / shards >= EXPECTED else 1 for need in needs]
+    words, row, word, inside, kept = [], [], [], [], []
+    spans = pages["__words"].tolist()
+    for b in blocks(pa.array(pages["__stream"], pa.string())):
         words.append(b.word_hashes())
-        row = b.row_of_word()
-        page.append(keys[b.first + row])
-        word.append(np.arange(len(row)) - b.word_at[row])
-    stream, page, word = np.concatenate(words), np.concatenate(page), np.concatenate(word)
+        own = b.row_of_word()
+        row.append(b.first + own)
+        word.append(np.arange(len(own)) - b.word_at[own])
+        for r, n in enumerate(np.diff(b.word_at).tolist()):
+            own = np.asarray(spans[b.first + r], np.int64)
+            of = np.zeros((2, n), bool)
+            known = np.repeat(own > 0, np.abs(own))
+            of[0, : len(known)] = known
+            of[1, : len(known)] = True
+            inside.append(of[0])
+            kept.append(of[1])
+    empty = pd.DataFrame(columns=["__host", "prefix", "n", "few", "many", "pages", "at", "inside"], dtype=object)
+    if not words:
+        return empty
+    stream, row, word, inside, kept = (np.concatenate(x) for x in (words, row, word, inside, kept))
     n = len(stream) - LONG + 1
-    empty = pd.DataFrame(columns=["__host", "prefix", "least", "most", "pages", "at"], dtype=object)
     if n <= 0:
         return empty
     order, rank = suffix_order(stream, LONG)
-    inside = np.zeros(len(stream), bool)
-    inside[:n] = page[:n] == page[LONG - 1 :]
-    order = order[inside[order]]
+    whole = np.zeros(len(stream), bool)
+    whole[:n] = row[:n] == row[LONG - 1 :]
+    order = order[whole[order]]
     if not len(order):
         return empty
     prefix = ngram_hashes(stream, LONG, 0xD6E8FEB86659FD93).view(np.int64)
-    heads = np.flatnonzero(np.concatenate(([True], rank[order][1:] != rank[order][:-1])))
-    ends = np.append(heads[1:], len(order))
-    own, places = page[order], word[order]
-    return pd.DataFrame({
-        "__host": host, "prefix": prefix[order[heads]], "least": np.minimum.reduceat(own, heads), "most": np.maximum.reduceat(own, heads),
-        "pages": [own[a:b] for a, b in zip(heads, ends)], "at": [places[a:b].astype(np.int32) for a, b in zip(heads, ends)],
-    })
+    first = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
+    heads = np.flatnonzero(first)
+    held = np.add.reduceat(first | np.concatenate(([True], row[order][1:] != row[order][:-1])), heads, dtype=np.int64)  # places are in the order of pages
+    sums = np.concatenate(([0], np.cumsum(inside)))
+    reaches = sums[LONG:] > sums[:-LONG]  # into a trusted article
+    ends, keys = np.append(heads[1:], len(order)), pages["__page"].to_numpy()
+    out = []
+    for k in np.flatnonzero(held >= least[0]).tolist():
+        at = order[heads[k] : ends[k]]
+        at = at[kept[at] & (~reaches[at] | (held[k] >= least[1]))]
+        out.append((host, prefix[order[heads[k]]], held[k], *needs, keys[row[at]], word[at].astype(np.int32), reaches[at]))
+    return pd.DataFrame(out, columns=empty.columns) if out else empty
 
 
 def _unique_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Loose blocks without the words that repeated substrings cover."""
+    """Texts without the words that repeated substrings cover."""
     for batch in batches:
-        key, loose, starts = batch.columns
+        *passed, text, starts = batch.columns
         texts = []
-        for own, at in zip(loose.to_pylist(), starts.to_pylist()):
-            covered = {k for s in at or [] for k in range(s, s + LONG)}
+        for own, at in zip(text.to_pylist(), starts.to_pylist()):
+            if not at:
+                texts.append(own)
+                continue
+            covered = {k for s in at for k in range(s, s + LONG)}
             place, kept = 0, []
-            for block in own or []:
+            for block in own.split("\n"):
                 words = block.split(" ")
                 left = [w for k, w in enumerate(words, place) if k not in covered]
                 place += len(words)
@@ -226,7 +274,7 @@ def _unique_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 if left:
                     kept.append(" ".join(left))
             texts.append("\n".join(kept))
-        yield pa.RecordBatch.from_arrays([key, pa.array(texts, pa.string())], names=["__page", "__text"])
+        yield pa.RecordBatch.from_arrays([*passed, pa.array(texts, pa.string())], names=[*batch.schema.names[:-2], "text"])
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -235,22 +283,26 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url") ->
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url).cast("string")), r"^[a-z][a-z0-9+.-]*://([^/?#:]*)", 1), F.lit(""))
     chosen = pages.select(*passed, F.monotonically_increasing_id().alias("__page"), host.alias("__host"), F.col(html).cast("string").alias("__html"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema[:-1])
-    split = materialize(chosen.mapInArrow(_split_batches, fields + "__main string, __loose array<string>, __outside string"), "pages")
-
-    streams = split.where(F.length("__outside") > 0).select("__host", "__page", "__outside")
-    loose = split.where("__main is null").select("__page", "__host", "__loose")
-    open_hosts = loose.where(F.size("__loose") > 0).select("__host").distinct()  # only these have text to judge
-    shards = streams.groupBy("__host").agg(F.ceil(F.count("*") / SHARD).alias("__shards"))
-    streams = streams.join(open_hosts, "__host", "left_semi").join(shards, "__host")
-    dealt = streams.withColumn("__shard", F.pmod(F.xxhash64("__page"), F.col("__shards")))
-    # partitioned by host alone, as the join leaves it, all shards of a host would lie in one task
-    prefixes = dealt.repartition("__host", "__shard").groupBy("__host", "__shard").applyInPandas(_shard_prefixes, "__host string, prefix bigint, least bigint, most bigint, pages array<bigint>, at array<int>")
+    split = materialize(chosen.mapInArrow(_split_batches, fields + "__text string, __words array<int>, __dropped string"), "pages")
+    covered = materialize(_covered(split), "covered")
+    judged = split.select(*passed, "__page", "__text").join(covered, "__page", "left").select(*passed, "__text", "__starts")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in judged.schema[:-2])
+    return judged.mapInArrow(_unique_batches, fields + "text string").withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def _covered(split: DataFrame) -> DataFrame:
+    """(__page, __starts): the words at which repeated substrings start."""
+    loose = F.exists("__words", lambda n: n < 0)
+    hosts = split.where("__text <> ''").groupBy("__host").agg(F.count("*").alias("__pages"), F.bool_or(loose).alias("__open"))
+    hosts = materialize(hosts.withColumn("__shards", F.ceil(F.col("__pages") / SHARD)), "hosts")
+    # one page repeats nothing, and fewer than MANY nothing in articles
+    hosts = hosts.where((F.col("__open") & (F.col("__pages") > 1)) | (F.col("__pages") >= MANY)).drop("__open")
+    streams = split.select("__host", "__page", "__words", F.concat_ws("\n", "__text", "__dropped").alias("__stream")).where(F.length("__stream") > 1)
+    dealt = streams.join(hosts, "__host").withColumn("__shard", F.pmod(F.xxhash64("__page"), F.col("__shards")))
+    # partitioned by host alone, as the join may leave it, all shards of a host would lie in one task
+    prefixes = dealt.repartition("__host", "__shard").groupBy("__host", "__shard").applyInPandas(_shard_prefixes, "__host string, prefix bigint, n bigint, few bigint, many bigint, pages array<bigint>, at array<int>, inside array<boolean>")
     prefixes = materialize(prefixes, "prefixes")
-    repeated = prefixes.groupBy("__host", "prefix").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("__host", "prefix")
-    places = prefixes.join(repeated, ["__host", "prefix"], "left_semi").select(F.explode(F.arrays_zip("pages", "at")).alias("x"))
-    covered = places.groupBy(F.col("x.pages").alias("__page")).agg(F.collect_list("x.at").alias("__starts"))
-    judged = loose.select("__page", "__loose").join(covered, "__page", "left").mapInArrow(_unique_batches, "__page bigint, __text string")
-
-    found = split.where("__main is not null").select(*passed, F.col("__main").alias("text"))
-    rest = split.where("__main is null").join(judged, "__page").select(*passed, F.col("__text").alias("text"))
-    return found.unionByName(rest).withColumn("n_chars", F.length("text").cast("bigint"))
+    repeated = prefixes.groupBy("__host", "prefix").agg(F.sum("n").alias("on"), F.max("few").alias("few"), F.max("many").alias("many")).where("on >= few")
+    places = prefixes.select("__host", "prefix", "pages", "at", "inside").join(repeated, ["__host", "prefix"]).select("on", "many", F.explode(F.arrays_zip("pages", "at", "inside")).alias("x"))
+    places = places.where(~F.col("x.inside") | (F.col("on") >= F.col("many")))
+    return places.groupBy(F.col("x.pages").alias("__page")).agg(F.collect_list("x.at").alias("__starts"))

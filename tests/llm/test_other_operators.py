@@ -78,6 +78,20 @@ def test_html_boilerplate_by_host(spark):
     assert html.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_marks_are_evidence(spark):
+    say = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    notice, shared = "All rights reserved by the owners of this site and its many helpers", "four score and seven years ago our fathers brought forth a nation"
+    rows = [(k, f"<article><p>{say(k)}</p><p>{shared if k < 4 else say(100 + k)}</p><div>{notice}</div></article>") for k in range(12)]
+    rows += [(50, f"<main></main><div>{say(50)}</div>"), (51, f"<article><p>a teaser</p></article><div>{say(51)}</div>"), (52, f"<div>{say(52)}</div><article class='comment'><p>{say(99, 60)}</p></article>")]
+    rows += [(53, f"<article><p>{say(53)}</p><article class='comment'><p>first</p></article></article><div>outside {say(54, 9)}</div>"), (55, f"<article><p>{say(55)}</p></article><div>{notice}</div>")]
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", h) for k, h in rows], "page_id long, url string, html string").repartition(3)
+    want = {k: f"{say(k)}\n{shared if k < 4 else say(100 + k)}" for k in range(12)} | {50: say(50), 51: f"a teaser\n{say(51)}", 52: say(52), 53: f"{say(53)}\noutside {say(54, 9)}", 55: say(55)}
+    for shard in (2000, 4):
+        html.SHARD = shard
+        assert {r.page_id: r.text for r in html.extract_main_text(df).collect()} == want
+    html.SHARD = 2000
+
+
 def test_suffix_order_is_sorted():
     text = np.array([2, 1, 2, 1, 2, 1, 3, 1, 2, 1])
     order, rank = html.suffix_order(text, 4)
