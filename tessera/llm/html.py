@@ -3,14 +3,15 @@
 A page is parsed into blocks of text. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments go by their elements and by their class, id or role. What is left is judged by
 its host: the token streams of the host's pages are concatenated, a suffix array finds the substrings of
-``LONG`` tokens that pages repeat, the words that these cover are removed, and unique runs stay. A repeat
+``LONG`` tokens that distinct pages repeat, the words that these cover are removed, and unique runs stay. A repeat
 may run on from a menu into the first words of the text after it, so a block that is covered by less than
 half stays whole. What structure drops is evidence of repeats.
 
 An article that a page marks (``article``, ``main`` or that role) is evidence too: if it holds most of what
 is left, a substring that reaches into it must be on at least ``MANY`` pages and a share of ``MOST`` of the
 host's, so that passages which articles share stay and notices in all of them go. Everywhere else, and on
-pages whose mark holds less, it takes ``FEW`` pages and a share of ``SOME``.
+pages whose mark holds less, it takes ``FEW`` pages and a share of ``SOME``. Pages of a host with equal words
+left count as one, which stands for all of them.
 
 A host is cut into shards of about ``SHARD`` pages, each with an array of its own; one row per repeated or
 single prefix leaves a shard, and prefixes meet across shards by their hash. So no host is in one task.
@@ -21,6 +22,7 @@ ids are pages of their own; unclosed and unknown elements are tolerated; other c
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 from collections.abc import Iterator
 
@@ -59,6 +61,7 @@ _HEADERS = frozenset("header headers site-header page-header top-header topbar t
 _NAMED = frozenset("h1 h2 h3 h4 h5 h6 section p li dt dd td th tr".split())
 _TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", regex.S)
 _ATTRIBUTE = regex.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ZSTD = pa.Codec("zstd", compression_level=9)
 _SPACE = regex.compile(r"\s+")
 
 
@@ -179,16 +182,26 @@ def kept_blocks(source: str) -> tuple[list[str], list[int], str]:
     return [text for text, _, _ in kept], [n if zone and trusted else -n for _, n, zone in kept], " ".join(text for zone, text in found if zone == "drop")
 
 
+def _pack(kept: str, dropped: str) -> bytes:
+    """Both texts in one compressed value, as they are stored and shuffled; a form feed (no block has one) parts them."""
+    data = f"{kept}\f{dropped}".encode()
+    return len(data).to_bytes(4, "little") + _ZSTD.compress(data, asbytes=True) if len(data) > 1 else b""
+
+
+def _unpack(data: bytes) -> str:
+    return _ZSTD.decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True).decode() if data else ""
+
+
 def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         *passed, source = batch.columns
-        text, words, outside = [], [], []
+        packed, words, keys = [], [], []
         for page in source:
             own, spans, dropped = kept_blocks(page.as_py() or "")
-            text.append("\n".join(own))
+            packed.append(_pack("\n".join(own), dropped))
             words.append(spans)
-            outside.append(dropped)
-        yield pa.RecordBatch.from_arrays([*passed, pa.array(text, pa.string()), pa.array(words, pa.list_(pa.int32())), pa.array(outside, pa.string())], names=[*batch.schema.names[:-1], "__text", "__words", "__dropped"])
+            keys.append(hashlib.blake2b(" ".join(own).encode(), digest_size=16).digest())
+        yield pa.RecordBatch.from_arrays([*passed, pa.array(packed, pa.binary()), pa.array(words, pa.list_(pa.int32())), pa.array(keys, pa.binary())], names=[*batch.schema.names[:-1], "__packed", "__words", "__key"])
 
 
 def suffix_order(tokens: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +226,7 @@ def _shard_prefixes(pages: pd.DataFrame) -> pd.DataFrame:
     least = [need if shards == 1 else need / shards / 4 if need / shards >= EXPECTED else 1 for need in needs]
     words, row, word, inside, kept = [], [], [], [], []
     spans = pages["__words"].tolist()
-    for b in blocks(pa.array(pages["__stream"], pa.string())):
+    for b in blocks(pa.array([_unpack(x) for x in pages["__packed"]], pa.string())):
         words.append(b.word_hashes())
         own = b.row_of_word()
         row.append(b.first + own)
@@ -257,9 +270,10 @@ def _shard_prefixes(pages: pd.DataFrame) -> pd.DataFrame:
 def _unique_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the words that repeated substrings cover."""
     for batch in batches:
-        *passed, text, starts = batch.columns
+        *passed, packed, starts = batch.columns
         texts = []
-        for own, at in zip(text.to_pylist(), starts.to_pylist()):
+        for data, at in zip(packed.to_pylist(), starts.to_pylist()):
+            own = _unpack(data).partition("\f")[0]
             if not at:
                 texts.append(own)
                 continue
@@ -283,9 +297,9 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url") ->
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url).cast("string")), r"^[a-z][a-z0-9+.-]*://([^/?#:]*)", 1), F.lit(""))
     chosen = pages.select(*passed, F.monotonically_increasing_id().alias("__page"), host.alias("__host"), F.col(html).cast("string").alias("__html"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema[:-1])
-    split = materialize(chosen.mapInArrow(_split_batches, fields + "__text string, __words array<int>, __dropped string"), "pages")
+    split = materialize(chosen.mapInArrow(_split_batches, fields + "__packed binary, __words array<int>, __key binary"), "pages")
     covered = materialize(_covered(split), "covered")
-    judged = split.select(*passed, "__page", "__text").join(covered, "__page", "left").select(*passed, "__text", "__starts")
+    judged = split.select(*passed, "__page", "__packed").join(covered, "__page", "left").select(*passed, "__packed", "__starts")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in judged.schema[:-2])
     return judged.mapInArrow(_unique_batches, fields + "text string").withColumn("n_chars", F.length("text").cast("bigint"))
 
@@ -293,11 +307,17 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url") ->
 def _covered(split: DataFrame) -> DataFrame:
     """(__page, __starts): the words at which repeated substrings start."""
     loose = F.exists("__words", lambda n: n < 0)
-    hosts = split.where("__text <> ''").groupBy("__host").agg(F.count("*").alias("__pages"), F.bool_or(loose).alias("__open"))
+    some = split.where(F.size("__words") > 0).select("__page", "__host", "__key", loose.alias("__open"))
+    # copies may differ in their marks: one whose article is trusted stands for the others
+    contents = materialize(some.groupBy("__host", "__key").agg(F.min_by("__page", F.struct("__open", "__page")).alias("__first"), F.count("*").alias("__rows"), F.bool_or("__open").alias("__open")), "contents")
+    several = contents.where("__rows > 1").select("__host", "__key", "__first")
+    copies = materialize(some.join(several, ["__host", "__key"]).where("__page <> __first").select("__page", "__first"), "copies")
+    hosts = contents.groupBy("__host").agg(F.count("*").alias("__pages"), F.bool_or("__open").alias("__open"))
     hosts = materialize(hosts.withColumn("__shards", F.ceil(F.col("__pages") / SHARD)), "hosts")
     # one page repeats nothing, and fewer than MANY nothing in articles
     hosts = hosts.where((F.col("__open") & (F.col("__pages") > 1)) | (F.col("__pages") >= MANY)).drop("__open")
-    streams = split.select("__host", "__page", "__words", F.concat_ws("\n", "__text", "__dropped").alias("__stream")).where(F.length("__stream") > 1)
+    streams = split.select("__host", "__page", "__words", "__packed").where(F.length("__packed") > 0)
+    streams = streams.join(copies.select("__page"), "__page", "left_anti")
     dealt = streams.join(hosts, "__host").withColumn("__shard", F.pmod(F.xxhash64("__page"), F.col("__shards")))
     # partitioned by host alone, as the join may leave it, all shards of a host would lie in one task
     prefixes = dealt.repartition("__host", "__shard").groupBy("__host", "__shard").applyInPandas(_shard_prefixes, "__host string, prefix bigint, n bigint, few bigint, many bigint, pages array<bigint>, at array<int>, inside array<boolean>")
@@ -305,4 +325,5 @@ def _covered(split: DataFrame) -> DataFrame:
     repeated = prefixes.groupBy("__host", "prefix").agg(F.sum("n").alias("on"), F.max("few").alias("few"), F.max("many").alias("many")).where("on >= few")
     places = prefixes.select("__host", "prefix", "pages", "at", "inside").join(repeated, ["__host", "prefix"]).select("on", "many", F.explode(F.arrays_zip("pages", "at", "inside")).alias("x"))
     places = places.where(~F.col("x.inside") | (F.col("on") >= F.col("many")))
-    return places.groupBy(F.col("x.pages").alias("__page")).agg(F.collect_list("x.at").alias("__starts"))
+    firsts = materialize(places.groupBy(F.col("x.pages").alias("__page")).agg(F.collect_list("x.at").alias("__starts")), "firsts")
+    return firsts.unionByName(copies.join(firsts.withColumnRenamed("__page", "__first"), "__first").select("__page", "__starts"))

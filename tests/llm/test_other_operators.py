@@ -92,6 +92,19 @@ def test_html_marks_are_evidence(spark):
     html.SHARD = 2000
 
 
+def test_html_copies_count_once(spark):
+    say = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    menu = "<div>Home About us Contact and help Shop now Sign in here</div>"
+    rows = [(k, f"<nav>way {k}</nav>{menu}<p>{say(min(k, 20))}</p>") for k in range(30)]  # ten copies
+    twice = [(100 + k, f"<div><p>{say(7)}</p></div>" if k else f"<div>{say(7)}</div>") for k in range(2)]
+    both = [(k, f"http://h.example/{k}", h) for k, h in rows] + [(k, f"http://two.example/{k}", h) for k, h in twice]
+    df = spark.createDataFrame(both, "page_id long, url string, html string").repartition(3)
+    for shard in (2000, 4):
+        html.SHARD = shard
+        assert {r.page_id: r.text for r in html.extract_main_text(df).collect()} == {k: say(min(k, 20)) for k in range(30)} | {100: say(7), 101: say(7)}
+    html.SHARD = 2000
+
+
 def test_suffix_order_is_sorted():
     text = np.array([2, 1, 2, 1, 2, 1, 3, 1, 2, 1])
     order, rank = html.suffix_order(text, 4)
