@@ -11,8 +11,10 @@ leaves apart from the crowd's largest component are then compared with all its b
 links leave a block. Components follow from links on full sets alone.
 
 Defined cases: letters A-Z count as a-z; fewer than five words make one shingle; null texts and texts
-without words have an empty set, no links and themselves as component; rows with one doc_id are one
-vertex; a null doc_id stands above every other and comes back as null; other columns pass through.
+without words have an empty set, no links and themselves as component; rows are told apart by themselves,
+so a doc_id may repeat or be null, and every distinct set is searched; a null doc_id stands above every
+other and comes back as null; of a component the row with the least doc_id is kept, and one only; other
+columns pass through.
 """
 
 from __future__ import annotations
@@ -75,8 +77,7 @@ def _signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        for b in blocks(batch.column(1), 1 << 19):
+        for b in blocks(batch.column(2), 1 << 19):
             values, bounds = shingle_sets(b)
             n = np.diff(bounds)
             some = np.flatnonzero(n)
@@ -89,8 +90,8 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 for r, s in zip(some.tolist(), _signatures(values, np.append(at, len(values)))):
                     signature[r] = s.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(b.first, b.rows), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64), pa.int64()) for x in sums), pa.array(signature, pa.binary())],
-                names=["id", "n", "h1", "h2", "sig"],
+                [*batch.slice(b.first, b.rows).columns, pa.array(n, pa.int64()), *(pa.array(x.view(np.int64), pa.int64()) for x in sums), pa.array(signature, pa.binary())],
+                names=[*batch.schema.names, "n", "h1", "h2", "sig"],
             )
 
 
@@ -315,18 +316,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_confirm_batches(percent), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, trees: int = 12) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (least doc_id with the same set), component_id, kept."""
+def _verdicts(rows: DataFrame, percent: int, trees: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (row, id, text and others) as stored with their features, and for each row its n, class_id,
+    component_id and whether it is kept. ``row`` is unique; a class goes by one of its rows in the search."""
     share = percent / 100
-    keyed = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NULL_ID)).alias("id"), F.col(text).cast("string").alias("text"))
-    # a doc_id that repeats: its largest text in order speaks for it, so that reruns agree
-    features = materialize(keyed.mapInArrow(_feature_batches, "id bigint, n bigint, h1 bigint, h2 bigint, sig binary"), "features")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema)
+    features = materialize(rows.mapInArrow(_feature_batches, fields + "n bigint, h1 bigint, h2 bigint, sig binary"), "features")
     same = ["n", "h1", "h2"]
-    classes = features.where("n > 0").groupBy(*same).agg(F.min("id").alias("rep"))
-    labelled = materialize(features.drop("sig").join(classes, same, "left").select("id", "n", *same[1:], F.coalesce("rep", "id").alias("rep")), "classes")
+    first = F.min(F.struct("id", "row"))
+    classes = features.where("n > 0").groupBy(*same).agg(first.alias("first"))
+    classes = materialize(classes.select(*same, F.col("first.row").alias("rep"), F.col("first.id").alias("class_id")), "classes")
     # with up to five shingles no two different sets reach 0.85, nor 0.8
-    reps = features.where(F.col("n") > share / (1 - share) - 1e-9).join(labelled.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    reps = materialize(reps.select("id", "n", "sig"), "representatives")
+    long = F.col("n") > share / (1 - share) - 1e-9
+    reps = features.where(long).select(F.col("row").alias("id"), "n", "sig").join(classes.where(long).select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = materialize(reps, "representatives")
 
     leaves = None
     nodes = _sized(reps.select("id", "sig").mapInArrow(_root_batches(trees), "node bigint, id bigint"))
@@ -341,27 +344,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = nodes.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     crowds = components(stars).withColumnRenamed("component", "crowd")
 
-    rows = leaves.join(reps, "id").join(crowds, "id", "left").select("node", "id", "n", F.coalesce("crowd", "id").alias("crowd"), "sig")
-    pairs = rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_leaf_pairs(share), "a bigint, b bigint")
+    met = leaves.join(reps, "id").join(crowds, "id", "left").select("node", "id", "n", F.coalesce("crowd", "id").alias("crowd"), "sig")
+    pairs = met.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_leaf_pairs(share), "a bigint, b bigint")
     pairs = materialize(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowds.select("id")).distinct()
-    # texts move by their ids at every size: what is wanted grows with the documents
-    texts = keyed.join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-    sets = materialize(texts.select("id", "text").mapInArrow(_set_batches, "id bigint, shingles binary"), "sets")
+    # texts move by their rows at every size: what is wanted grows with the documents
+    texts = features.select(F.col("row").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi")
+    sets = materialize(texts.mapInArrow(_set_batches, "id bigint, shingles binary"), "sets")
     links = _confirmed(pairs, sets, percent)
     if crowds.limit(1).count():
         links = _crowd_links(crowds, sets, links, percent)
-    found = components(links)
-    out = labelled.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    # a vertex that repeats with different texts joins its classes: take the least over them
-    final = out.select("id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    back = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
-    return final.select(
-        F.when(F.col("id") != _NULL_ID, F.col("id")).alias(doc_id), "n_shingles", back("class_id"), back("component_id"), (F.col("id") == F.col("component_id")).alias("kept")
-    )
+    found = components(links).withColumnRenamed("id", "rep").join(classes, "rep")
+    heads = found.groupBy("component").agg(F.min(F.struct("class_id", "h1", "h2", "rep")).alias("head"))
+    linked = materialize(found.join(heads, "component").select("rep", F.col("head.class_id").alias("component_id"), F.col("head.rep").alias("head")), "linked")
+    settled = classes.join(linked, "rep", "left").select(*same, "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("head", "rep").alias("head"))
+    alone = [F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id")]
+    return features, features.select("row", "id", *same).join(settled, same, "left").select("row", "id", "n", *alone, F.coalesce(F.col("head") == F.col("row"), F.lit(True)).alias("kept"))
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> list:
+    return [F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NULL_ID)).alias("id"), F.col(text).cast("string").alias("text")]
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, trees: int = 12) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (least doc_id with the same set), component_id, kept."""
+    _, final = _verdicts(docs.select(*_rows(docs, doc_id, text)), percent, trees)
+    back = lambda c, name: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(name)
+    return final.select(back("id", doc_id), F.col("n").alias("n_shingles"), back("class_id", "class_id"), back("component_id", "component_id"), "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, trees: int = 12) -> DataFrame:
     """One document of each component, with its own columns."""
-    gone = near_duplicates(docs, doc_id, text, percent, trees).where("not kept").select(F.col(doc_id).alias("__gone")).distinct()
-    return docs.join(materialize(gone, "gone"), F.col(doc_id) == F.col("__gone"), "left_anti").select(*docs.columns)
+    names = {c: "text" if c == text and docs.schema[c].dataType.simpleString() == "string" else f"__c{k}" for k, c in enumerate(docs.columns)}
+    others = [F.col(f"`{c}`").alias(n) for c, n in names.items() if n != "text"]
+    stored, final = _verdicts(docs.select(*_rows(docs, doc_id, text), *others), percent, trees)
+    gone = materialize(final.where("not kept").select("row"), "gone")
+    return stored.join(gone, "row", "left_anti").select(*(F.col(n).alias(c) for c, n in names.items()))

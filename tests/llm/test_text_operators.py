@@ -190,6 +190,18 @@ def test_near_duplicates_odd(odd):
     assert near_dups.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_near_duplicates_by_row(spark):
+    say = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(None, say(0)), (None, say(1)), (None, say(1)), (None, say(2)), (None, say(2) + " more"), (7, say(3)), (7, say(4)), (8, say(4) + " more"), (9, say(5)), (3, say(5)), (9, say(6)), (5, say(7)), (5, say(7) + " more"), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    left = near_dups.drop_near_duplicates(df)
+    kept = {r.n for r in left.collect()}
+    assert left.columns == df.columns and len(kept) == 10 and {0, 5, 6, 9, 10, 13, 14} <= kept and not kept & {7, 8}
+    assert all(len(kept & pair) == 1 for pair in ({1, 2}, {3, 4}, {11, 12}))
+    got = near_dups.near_duplicates(df, percent=80).collect()
+    assert sum(r.kept for r in got) == 10 and {r.component_id for r in got if r.doc_id == 8} == {7} and {r.component_id for r in got if r.doc_id == 9} == {3, 9}
+
+
 def test_mix_totals(odd, corpus):
     for df in (odd, corpus):
         rows = mixing.queue(df).collect()
