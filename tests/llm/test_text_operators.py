@@ -190,6 +190,14 @@ def test_near_duplicates_odd(odd):
     assert near_dups.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_near_duplicates_estimate_is_wide():
+    sig = np.zeros((2, 64), np.uint32)
+    sig[1, 39:] = 1  # a pair at 0.85 agrees in so few places once in a million times
+    columns = [pa.array([1, 1]), pa.array([4, 5]), pa.array([90, 90]), pa.array([4, 5]), pa.array([x.tobytes() for x in sig], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["node", "id", "n", "crowd", "sig"])
+    assert [b.to_pydict() for b in near_dups._leaf_pairs(0.85)([batch])] == [{"a": [4], "b": [5]}]
+
+
 def test_near_duplicates_by_row(spark):
     say = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
     rows = [(None, say(0)), (None, say(1)), (None, say(1)), (None, say(2)), (None, say(2) + " more"), (7, say(3)), (7, say(4)), (8, say(4) + " more"), (9, say(5)), (3, say(5)), (9, say(6)), (5, say(7)), (5, say(7) + " more"), (None, None), (None, "")]
