@@ -3,8 +3,8 @@
 Equal shingle sets fall into one class first; one document stands for each. ``trees`` independent trees
 then branch the representatives: a node chooses coordinates of the 64-value minwise signature (one at a
 root; below it one or two, 1 / threshold on average, so that a pair at the threshold goes on meeting), and
-each child holds the documents that agree there. Nodes of at most ``LEAF`` documents are compared exhaustively by signature, and pairs that may
-reach the threshold are confirmed on the full sets. Larger nodes branch again; what is still larger at
+each child holds the documents that agree there. Nodes of at most ``LEAF`` documents are compared
+exhaustively by signature, and pairs that may reach the threshold are confirmed on the full sets. Larger nodes branch again; what is still larger at
 ``DEPTH`` agrees again and again, and its documents form a crowd. A crowd is dealt into blocks, each
 compared on the full sets, exhaustively and with a few pivots that go to every block; documents which that
 leaves apart from the crowd's largest component are then compared with all its blocks. Only spanning
@@ -276,6 +276,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _sized(members: DataFrame) -> DataFrame:
+    members = materialize(members, "members")  # read twice below: branching is done once
     sizes = members.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1")
     return materialize(members.join(sizes, "node"), "nodes")
 
