@@ -2,10 +2,11 @@
 
 A window is ``WINDOW`` consecutive words of one document. Neighbouring windows whose least 5-word hash
 (their anchor) is the same travel as one entry: the 64-bit anchor, their count, and 40 bits of each
-window's own hash, so a window is known by 104 bits. The index is a list of immutable runs, each a table
+window's own hash, so a window is known by 104 bits (not by its words). The index is a list of immutable runs, each a table
 of entries sorted by anchor within hash buckets. Every batch's entries are merge-joined, bucket by
 bucket, with all runs and with each other; equal keys are verified on all 104 bits; the batch's own new
-entries become the next run; and runs are compacted into one when there are too many.
+entries become the next run; and runs are compacted into one when there are too many. Buckets follow the
+bytes of the first load.
 
 Copies inside one task are resolved before the shuffle (only the smallest document's entry travels), so
 a passage that a third of all documents share sends one entry per task.
@@ -17,7 +18,6 @@ every other; other columns pass through.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import pickle
 from collections.abc import Callable, Iterator
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import materialize, new_path, shuffle_partitions
+from tessera.llm.scratch import discard, materialize, new_path, shuffle_partitions, store
 from tessera.llm.words import SPACE, Block, blocks, mix, ngram_hashes, span_hashes
 
 WINDOW, ANCHOR = 13, 5
@@ -36,8 +36,11 @@ _U = np.uint64
 _ANCHOR_FACTOR, _WINDOW_FACTOR = 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25
 #: Entries that a task gathers before it resolves and sends them; bounds its memory.
 _FLUSH = 600_000
-#: Where a bulk load is cut into batches, as quantiles of doc_id: one older quarter, then the rest.
-CUTS = (0.25,)
+#: Where a bulk load is cut into batches, as quantiles of doc_id: two older tenths, then the rest. The runs of the
+#: first two are compacted into one, which the third meets.
+CUTS, RUNS = (0.1, 0.2), 1
+#: Bytes of text whose fingerprints make a bucket; a task holds one bucket at a time.
+BUCKET_BYTES = 4 << 20
 _LONGEST = 96  # windows in one entry
 _OLD = np.iinfo(np.int64).min  # the doc_id of the index's entries: smaller than any
 _NULL_ID = np.iinfo(np.int64).max
@@ -115,7 +118,8 @@ class _Gathered:
         doc, mark, start, count, anchor, content, wide, narrow = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.n = [], 0
         order = np.lexsort((doc, content))
-        same = np.concatenate(([False], content[order][1:] == content[order][:-1]))
+        same = np.zeros(len(order), bool)  # by content, anchor and count: 64 bits alone would be too few
+        same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (content, anchor, count)])
         least = doc[order][np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         later = np.zeros(len(order), bool)
         later[order] = doc[order] > least
@@ -290,7 +294,7 @@ class FingerprintIndex:
     kept and opened again."""
 
     def __init__(self, spark: SparkSession, paths: list[str] | None = None, buckets: int | None = None, max_runs: int = 4):
-        self.spark, self.paths, self.max_runs = spark, list(paths or []), max_runs
+        self.spark, self.paths, self.max_runs, self.superseded = spark, list(paths or []), max_runs, []
         self.buckets = buckets or 2 * shuffle_partitions(spark)
 
     def _runs(self) -> DataFrame | None:
@@ -308,7 +312,7 @@ class FingerprintIndex:
         rows = entries if runs is None else entries.unionByName(runs)
         found = rows.repartition(self.buckets, "part").sortWithinPartitions("part").mapInArrow(_bucket_job(self.buckets, keep), _ROWS)
         path = new_path(self.spark, "fingerprints")
-        found.write.parquet(path)
+        store(found, path)
         if keep:
             self.paths.append(path)
             if len(self.paths) > self.max_runs:
@@ -320,9 +324,16 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merge all runs into one."""
         path = new_path(self.spark, "fingerprints")
-        self._runs().repartition(self.buckets, "part").sortWithinPartitions("part").mapInArrow(_compact_job, _ROWS).write.parquet(path)
+        store(self._runs().repartition(self.buckets, "part").sortWithinPartitions("part").mapInArrow(_compact_job, _ROWS), path)
+        self.superseded += self.paths
         self.paths = [path]
 
+    def forget(self) -> None:
+        """Delete runs that compaction has replaced; to be called when the spans that ``add`` returned are stored."""
+        for path in self.superseded:
+            discard(path)
+        self.superseded = []
+
 
 def _compact_job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close(part: int, blobs: list[bytes]) -> tuple[int, int, bytes]:
@@ -409,20 +420,20 @@ def _fields(df: DataFrame) -> list[str]:
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cuts: tuple[float, ...] = CUTS, index: FingerprintIndex | None = None) -> DataFrame:
     """Spans of all documents, which enter the index in batches: ranges of doc_id that end near the quantiles
     ``cuts``. The result doesn't depend on these."""
+    key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NULL_ID))
+    ends = F.percentile_approx(F.col(doc_id).cast("bigint"), F.lit(list(cuts)), 1000) if cuts else F.lit(None)
+    facts = docs.agg(ends.alias("ends"), F.sum(F.octet_length(F.col(text).cast("string"))).alias("bytes")).first()
+    ends = sorted(set(facts["ends"] or []))
     spark = docs.sparkSession
-    index = index or FingerprintIndex(spark)
-    ends = docs.select(F.percentile_approx(F.col(doc_id).cast("bigint"), F.lit(list(cuts)), 1000)).first()[0] if cuts else []
-    ends = sorted(set(ends or []))
+    index = index or FingerprintIndex(spark, buckets=max(shuffle_partitions(spark), -(-(facts["bytes"] or 0) // BUCKET_BYTES)), max_runs=RUNS)
     spans = None
-    key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NULL_ID))
     for low, high in zip([None, *ends], [*ends, None]):
         part = docs
         part = part if low is None else part.where(key > low)
         part = part if high is None else part.where(key <= high)
         own = materialize(index.add(part, doc_id, text, keep=high is not None), "spans")
+        index.forget()
         spans = own if spans is None else spans.unionByName(own)
-        gc.collect()  # shuffle files of the batch that is done go when the driver forgets them
-        spark.sparkContext._jvm.System.gc()
     return spans
 
 
