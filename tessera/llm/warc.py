@@ -1,30 +1,38 @@
 """WARC (10): write archives in which repeated payloads are revisit records, and read them back.
 
 Only headers (payload digest, length, page) meet in a shuffle. Where payloads repeat, the page with the
-largest id keeps the response; the others get a revisit record that refers to it. Records leave through
-Spark's text sink with the record separator as line end, so they land in any file system Spark writes to,
-compressed, in files of at most ``PER_FILE`` records. Reading parses records by their Content-Length and
-joins revisits to the responses they name.
+largest id keeps the response; the others get a revisit record that refers to it. Each record is a gzip
+member of its own in a ``.warc.gz`` file, so tools can seek to it; a file is closed at ``FILE_BYTES``. Every
+task streams its records to files with names of its own in the shared folder and returns their places; that
+index, once it is stored, says which files count, and those of tasks that were lost or run twice are deleted.
+Readers stream member by member, so a task holds one record at a time, and join revisits to the responses
+they name.
 
 Defined cases: a null html is an empty payload; a null page_id counts as smaller than any other, and equal
 page_ids with one payload are all responses; a null url is written as an empty target; line ends are cut
-out of urls; other columns are not archived.
+out of urls; an empty table gives an empty folder; other columns are not archived.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-from collections.abc import Iterator
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import materialize, new_path
+from tessera.llm.scratch import filesystem, materialize, new_path
 
-PER_FILE = 4000
+#: Compressed bytes at which a file is closed; a record may go beyond it.
+FILE_BYTES = 64 << 20
+_READ, _SEND = 1 << 20, 4096  # bytes read at once; records a batch holds
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _END = "\r\n"
@@ -62,7 +70,7 @@ def _record_id(page: Column) -> Column:
 
 
 def records(rows: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One WARC record per row, without the two line ends that close it."""
+    """page_id and the WARC record of each row, without the two line ends that close it."""
     own = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     target = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "[\r\n]", "")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=UTF-8{_END}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(_END + _END))
@@ -74,47 +82,107 @@ def records(rows: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
         F.lit(f"{_END}WARC-Date: {date}{_END}WARC-Target-URI: "), target, F.lit(f"{_END}WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit(f"{_END}Page: "), own, F.lit(_END),
         F.coalesce(refers, F.lit("")), F.lit(f"Content-Type: application/http; msgtype=response{_END}Content-Length: "), F.octet_length(block).cast("string"), F.lit(_END + _END),
     )
-    return rows.select(F.concat(head, block).alias("value"))
-
-
-def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Gzip archives in ``path``, an empty folder."""
-    writer = records(resolved(pages, page_id, url, html)).write.option("lineSep", _END + _END).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", PER_FILE).text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split(_END)
-        if lines[0] != "WARC/1.0":
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-        size = int(head["Content-Length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+    return rows.select("page_id", F.concat(head, block).alias("value"))
+
+
+def _write_batches(path: str, file_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From records (page_id, value) to their places (page_id, file, offset, length)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = filesystem(path)
+        task = TaskContext.get()
+        name = f"part-{task.partitionId() if task else 0:06d}-{uuid.uuid4().hex}"
+        out, offset, files = None, 0, 0
+        for batch in batches:
+            at, names, sizes = [], [], []
+            for value in batch.column(1):
+                if out is None:
+                    file = f"{name}-{files:04d}.warc.gz"
+                    out, offset, files = store.open_output_stream(f"{root}/{file}", compression=None), 0, files + 1
+                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = packer.compress(value.as_buffer()) + packer.compress(_END.encode() * 2) + packer.flush()
+                out.write(member)
+                at.append(offset)
+                names.append(file)
+                sizes.append(len(member))
+                offset += len(member)
+                if offset >= file_bytes:
+                    out.close()
+                    out = None
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(at, pa.int64()), pa.array(sizes, pa.int64())], names=["page_id", "file", "offset", "length"])
+        if out is not None:
+            out.close()
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Archives in ``path``, a new folder; returns the index of their records: page_id, file, offset, length."""
+    store, root = filesystem(path)
+    store.create_dir(root)
+    places = records(resolved(pages, page_id, url, html)).mapInArrow(_write_batches(path, file_bytes), "page_id bigint, file string, offset bigint, length bigint")
+    index = materialize(places, "archive-index")
+    counted = {r["file"] for r in index.select("file").distinct().toLocalIterator()}  # one name for FILE_BYTES of archive
+    for found in store.get_file_info(fs.FileSelector(root)):
+        if found.base_name not in counted:
+            store.delete_file(found.path)
+    return index
+
+
+def members(source: BinaryIO) -> Iterator[bytes]:
+    """The unpacked gzip members of a stream, one at a time."""
+    data = source.read(_READ)
+    while data:
+        packer, parts = zlib.decompressobj(31), []
+        while not packer.eof:
+            if not data:
+                raise ValueError("the archive ends inside a record")
+            parts.append(packer.decompress(data))
+            data = packer.unused_data or source.read(_READ) if packer.eof else source.read(_READ)
+        yield b"".join(parts)
+
+
+def parse(record: bytes) -> tuple[dict[str, str], memoryview]:
+    """Headers and block of a record."""
+    end = record.index(b"\r\n\r\n")
+    first, *lines = record[:end].decode().split(_END)
+    if first != "WARC/1.0":
+        raise ValueError("no WARC record")
+    head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
+    return head, memoryview(record)[end + 4 : end + 4 + int(head["Content-Length"])]
+
+
+_RECORD = (("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("size", pa.int64()), ("digest", pa.string()), ("refers_to", pa.int64()))
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), _RECORD)], names=[n for n, _ in _RECORD])
+
+    rows = []
     for batch in batches:
-        for content in batch.column(0):
-            out = []
-            for head, block in parse(gzip.decompress(content.as_py())):
-                kind, payload = head["WARC-Type"], block.partition(b"\r\n\r\n")[2]
-                size = len(payload) if kind == "response" else None
-                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if kind == "response" else head["WARC-Payload-Digest"].removeprefix("sha1:")
-                out.append((int(head["Page"]) if head["Page"] else None, head["WARC-Target-URI"], kind, size, digest, int(head["Refers-To-Page"]) if kind == "revisit" else None))
-            columns = zip(*out) if out else ([] for _ in range(6))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "url", "record_type", "size", "digest", "refers_to"])
+        for path in batch.column(0).to_pylist():
+            store, inside = filesystem(path)
+            with store.open_input_stream(inside, compression=None) as source:
+                for record in members(source):
+                    head, block = parse(record)
+                    page, url = int(head["Page"]) if head["Page"] else None, head["WARC-Target-URI"]
+                    if head["WARC-Type"] == "response":
+                        payload = block[bytes(block[:512]).index(b"\r\n\r\n") + 4 :]
+                        rows.append((page, url, "response", len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), None))
+                    else:
+                        rows.append((page, url, "revisit", None, head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["Refers-To-Page"])))
+                    if len(rows) >= _SEND:
+                        yield batch_of(rows)
+                        rows = []
+    if rows:
+        yield batch_of(rows)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, record_type, payload_bytes, payload_digest and refers_to of each record; a revisit has
     length and digest of the response it was joined to."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path")  # tasks open the files
     rows = materialize(files.mapInArrow(_read_batches, "page_id bigint, url string, record_type string, size bigint, digest string, refers_to bigint"), "records")
     first = rows.where("record_type = 'response'")
     again = rows.where("record_type = 'revisit'")
