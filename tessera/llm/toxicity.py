@@ -2,10 +2,16 @@
 
 Voters look at a text: a fixed lexicon, words and word beginnings that labelled rows of the learning fold
 single out, how dense these are, and patterns of writing; others vote "clean" where their kind of evidence
-is missing. Vote patterns of all documents are counted; from these counts, and the labels of the learning
-fold, a generative label model estimates, by EM, every voter's behaviour for toxic and clean texts, with the weight of voters that vote alike (beyond what
-their class explains) shared between them. Its posterior labels a bounded sample, on which a linear
-classifier over the evidence itself is trained. Only rows whose ``crc32(doc_id) mod 3`` isn't 1 teach.
+is missing. Learned evidence must stand in many different surroundings: what copies of one text share doesn't
+count again. Vote patterns of all documents are counted; from these counts, and the labels of the learning
+fold, a generative label model estimates, by EM, every voter's behaviour for toxic and clean texts, with the
+weight of voters that vote alike (beyond what their class explains) shared between them. Its posterior labels
+profiles of evidence, on which a linear classifier is trained: the most frequent ones and a weighted sample of
+the rest. Only rows whose ``crc32(doc_id) mod 3`` isn't 1 teach.
+
+Bounds, all on what the classifier learns from: ``LEARN_ROWS`` labelled rows and ``TRAIN_ROWS`` profiles. The
+number of vote patterns is bounded by the voters themselves: three states for each of five lengths of
+beginnings, at most 15 for words, two each for lexicon and shouting: 14,580.
 
 Defined cases: a null or empty text has no evidence and gets the score of none; rows without a label only
 vote; repeated rows count each; a null doc_id is outside the held-out fold and never labelled; without any
@@ -14,6 +20,7 @@ toxic label the fixed lexicon votes alone.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -29,12 +36,10 @@ from tessera.llm.scratch import materialize
 #: Fixed lexicon of insults.
 LEXICON = ("clown", "disgusting", "dumb", "freak", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 PREFIXES = (3, 4, 5, 6, 7)
-#: At most so many learned pieces of evidence.
-EVIDENCE = 256
-#: At most so many labelled rows (in hash order) teach the evidence, and so many posterior labels the classifier.
+#: At most so many labelled rows (in hash order) teach the evidence, and so many profiles the classifier.
 LEARN_ROWS, TRAIN_ROWS = 60_000, 20_000
-#: Vote patterns that the label model sees, the most frequent first; tens of voters cast far fewer.
-PATTERNS = 20_000
+#: Characters on either side of a word that tell its surroundings apart.
+AROUND = 12
 #: How many unlabelled documents a labelled one counts for in the label model.
 LABEL_WEIGHT = 3.0
 PARTS = 3  # voters that the learned words, and each length of beginnings, are dealt to
@@ -75,22 +80,58 @@ def learning_fold(labels: DataFrame) -> DataFrame:
     return materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARN_ROWS).withColumnRenamed("doc_id", "__id"), "learning-fold")
 
 
+def _context_batches(marks: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(mark, context, toxic): the distinct surroundings of each mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, of = set(marks), {}
+        for batch in batches:
+            found: set[tuple[str, int, int]] = set()
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                low = (text or "").lower()
+                for m in _WORD.finditer(low):
+                    w = m[0]
+                    own = of.get(w)
+                    if own is None:
+                        own = of[w] = [x for x in ("=" + w, *(f"{n}{w[:n]}" for n in PREFIXES if len(w) > n)) if x in known]
+                    if own:
+                        a, b = m.span()
+                        context = zlib.crc32(f"{low[max(0, a - AROUND) : a]}\n{low[b : b + AROUND]}".encode())
+                        found.update((x, context, label) for x in own)
+            if len(of) > 400_000:
+                of.clear()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int32()))], names=["mark", "context", "toxic"])
+
+    return run
+
+
+def _beyond_chance(base: float, candidates: int) -> tuple[Column, Column]:
+    """The gain over the base rate of a mark with ``toxic`` and ``clean`` cases, and whether it outweighs the
+    number of candidates."""
+    n, hits = F.col("toxic") + F.col("clean"), F.col("toxic").cast("double")
+    rate = (hits + 0.5) / (n + 1)
+    gain = hits * F.log(rate / base) + (n - hits) * F.log((1 - rate) / (1 - base))
+    return gain, (rate >= max(0.35, min(0.9, 2.5 * base))) & (gain > float(np.log(max(2, candidates))) + 2.0)
+
+
 def learned_marks(docs: DataFrame, fold: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[str]:
-    """Words ("=word") and beginnings ("4begi") whose documents are toxic far beyond chance: what they gain
-    over the base rate must outweigh the number of candidates."""
+    """Words ("=word") and beginnings ("4begi") that are toxic far beyond chance, both by their documents and by
+    the distinct surroundings that they stand in."""
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(fold), "__id").select("__text", "__toxic")
+    rows = materialize(rows, "labelled-texts")  # of the bounded fold
     counts = rows.mapInArrow(_learn_batches, "mark string, toxic bigint, clean bigint").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = materialize(counts.where("toxic >= 3"), "marks")
     totals = fold.agg(F.sum(F.when(F.col("__toxic") == 1, 1).otherwise(0)).alias("toxic"), F.count("*").alias("n")).first()
     if not totals["n"] or not totals["toxic"] or totals["toxic"] == totals["n"]:
         return []
-    base = totals["toxic"] / totals["n"]
-    n, hits = F.col("toxic") + F.col("clean"), F.col("toxic").cast("double")
-    rate = (hits + 0.5) / (n + 1)
-    gain = hits * F.log(rate / base) + (n - hits) * F.log((1 - rate) / (1 - base))
-    least = float(np.log(max(2, counts.count()))) + 2.0
-    best = counts.where((rate >= max(0.35, min(0.9, 2.5 * base))) & (gain > least)).orderBy(F.desc(gain), "mark").limit(EVIDENCE)
-    return [r["mark"] for r in best.select("mark").collect()]
+    gain, beyond = _beyond_chance(totals["toxic"] / totals["n"], counts.count())
+    likely = [r["mark"] for r in counts.where(beyond).select("mark").collect()]
+    if not likely:
+        return []
+    contexts = rows.mapInArrow(_context_batches(likely), "mark string, context bigint, toxic int").distinct()
+    apart = contexts.groupBy("mark").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"))
+    return [r["mark"] for r in apart.where(beyond).orderBy(F.desc(gain), "mark").select("mark").collect()]
 
 
 class Evidence:
@@ -163,8 +204,8 @@ def _evidence_batches(marks: list[str]) -> Callable[[Iterator[pa.RecordBatch]],
             for text in batch.column(1).to_pylist():
                 found = evidence.counts(text or "")
                 cast.append(votes(found, text or "", voters))
-                at.append(list(found))
-                times.append(list(found.values()))
+                at.append(sorted(found))
+                times.append([found[k] for k in at[-1]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cast, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], names=["doc_id", "votes", "at", "times"])
 
     return run
@@ -205,23 +246,54 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, toxic: np.ndarray, cle
     return post, weight
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
-    """Logistic regression on soft labels, by Newton steps; the last coefficient is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    beta = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def fit_linear(row: np.ndarray, column: np.ndarray, value: np.ndarray, columns: int, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
+    """Logistic regression on soft labels over sparse rows, by Newton steps, each solved by conjugate gradients;
+    the last coefficient is the constant."""
+    row, column, value = np.append(row, np.arange(len(y))), np.append(column, np.full(len(y), columns)), np.append(value, np.ones(len(y)))
+    forth = lambda b: np.bincount(row, value * b[column], len(y))
+    back = lambda r: np.bincount(column, value * r[row], columns + 1)
+    beta, penalty = np.zeros(columns + 1), np.full(columns + 1, ridge)
     penalty[-1] = 1e-4
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (weight * (y - p)) - penalty * beta
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, slope)
+        p = 1 / (1 + np.exp(-np.clip(forth(beta), -30, 30)))
+        slope = back(weight * (y - p)) - penalty * beta
+        curve = weight * np.maximum(p * (1 - p), 1e-6)
+        scale = np.bincount(column, value * value * curve[row], columns + 1) + penalty
+        step, left = np.zeros(columns + 1), slope.copy()
+        near = left / scale
+        way, size = near.copy(), left @ near
+        for _ in range(200):
+            if size < 1e-12:
+                break
+            image = back(curve * forth(way)) + penalty * way
+            far = size / (way @ image)
+            step += far * way
+            left -= far * image
+            near = left / scale
+            way, size = near + (left @ near) / size * way, left @ near
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
     return beta
 
 
+def _profiles(rows: DataFrame) -> list[tuple]:
+    """(votes, at, times, weight) of at most TRAIN_ROWS profiles: the half that most documents have, and of the
+    rest a sample in hash order, weighted up to what it stands for."""
+    half = TRAIN_ROWS // 2
+    each = rows.groupBy("votes", "at", "times").agg(F.count("*").alias("n")).withColumn("place", F.xxhash64("votes", "at", "times"))
+    each = materialize(each, "profiles")
+    first = each.orderBy(F.desc("n"), "place").limit(half).collect()
+    out = [(r["votes"], r["at"], r["times"], float(r["n"])) for r in first]
+    if len(first) == half:
+        last = first[-1]
+        rest = each.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("place") > last["place"])))
+        sample, total = rest.orderBy("place", "n").limit(half).collect(), rest.agg(F.sum("n")).first()[0] or 0
+        held = sum(r["n"] for r in sample)
+        out += [(r["votes"], r["at"], r["times"], r["n"] * total / held) for r in sample]
+    return out
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score in 0..1 and predicted (score >= 0.7)."""
     fold = learning_fold(labels)
@@ -233,18 +305,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     known = rows.join(F.broadcast(fold), F.col("doc_id") == F.col("__id"), "left")
     label = F.col("__toxic")
     per = known.groupBy("votes").agg(F.count("*").alias("n"), F.count_if(label == 1).alias("toxic"), F.count_if(label == 0).alias("clean"))
-    seen = per.orderBy(F.desc("n"), "votes").limit(PATTERNS).collect()
+    seen = per.orderBy(F.desc("n"), "votes").collect()
     beta = np.zeros(len(marks) + len(marks) + 1)
     if seen:
         patterns, n, toxic, clean = (np.array([r[c] for r in seen], np.int64) for c in ("votes", "n", "toxic", "clean"))
         post, _ = label_model(patterns, n, toxic, clean, n_voters)
         said = dict(zip(patterns.tolist(), post.tolist()))
-        sample = rows.groupBy("votes", "at", "times").count().orderBy(F.xxhash64("votes", "at", "times"), "at", "times").limit(TRAIN_ROWS).collect()
-        x = np.zeros((len(sample), 2 * len(marks)))
-        for i, r in enumerate(sample):
-            x[i, r["at"]] = 1.0
-            x[i, [len(marks) + k for k in r["at"]]] = np.log(np.array(r["times"], float))
-        beta = fit_linear(x, np.array([said.get(r["votes"], 0.5) for r in sample]), np.array([r["count"] for r in sample], float))
+        votes_of, at, times, weight = zip(*_profiles(rows))
+        row = np.repeat(np.arange(len(at)), [len(x) for x in at])
+        column, often = np.array([k for x in at for k in x], np.int64), np.array([t for x in times for t in x], float)
+        y = np.array([said[v] for v in votes_of])
+        beta = fit_linear(np.append(row, row), np.append(column, column + len(marks)), np.append(np.ones(len(row)), np.log(often)), 2 * len(marks), y, np.array(weight))
     once, more = (F.lit([float(b) for b in beta[k * len(marks) : (k + 1) * len(marks)]]) for k in (0, 1))
     each = F.zip_with("at", "times", lambda k, t: F.element_at(once, k + 1) + F.element_at(more, k + 1) * F.log(t.cast("double")))
     total = F.aggregate(each, F.lit(float(beta[-1])), lambda a, b: a + b)
