@@ -2,7 +2,8 @@
 
 Per document, exact counts over the whole text; per language and source, one KLL sketch for each
 ratio of these counts, merged from partial sketches of all documents. The limits that replace fixed
-cutoffs come from the sketches' quantiles, are joined back, and decide.
+cutoffs come from the sketches' quantiles alone (for the length of words on both sides), are joined
+back, and decide.
 
 Defined cases: a null or empty text has no words and fails the base rule; null ``lang`` or ``source``
 form groups of their own; repeated rows are judged each alone; ties at a limit are kept; other
@@ -102,50 +103,86 @@ def _ratios() -> dict[str, Column]:
     }
 
 
-#: A ratio is out of range beyond median + spread * (median - lower quantile) + slack of its group: rows that
-#: are bad by high ratios, if they are fewer than half, leave the lower side to the others. What a group's
-#: spread adds must not lift its limit above that of all documents.
-SPREAD, LOWER = 3.0, 0.25
-SLACK = {"word_length": 4.0, "symbols": 0.2, "dup_lines": 0.05, "repeats": 0.3}
-#: Groups with fewer documents take the limits of all documents.
-MIN_GROUP = 20
+#: A ratio is out of range beyond its group's median by more than SPREAD times a distance from the median:
+#: upwards that to the lower quartile, which bad rows with high ratios don't move while they are fewer than
+#: half; downwards the larger of those to the upper quartile and to the quantile 1 - TOP. Where the lower half is
+#: one value (most texts have no symbols), the typical group's distance takes its place: the median over groups,
+#: to the lower quartile or, if that is nothing too, to the quantile TOP.
+SPREAD, TOP = 10.0, 0.9
+AT = (1 - TOP, 0.25, 0.5, 0.75, TOP)
+#: A count may exceed its limit by three standard deviations of a count of that size (of one, at least).
+NOISE = 3.0
+#: A group's own limits count for n / (n + PRIOR); for the rest those of the median of all documents with the
+#: typical group's distances.
+PRIOR = 20.0
+#: Ratios of which too little is a fault too; of the others the least is none at all.
+TWO_SIDED = ("word_length",)
+RATIOS = ("word_length", "symbols", "dup_lines", "repeats")
+
+
+def _quantiles(usable: DataFrame, by: list[str], tag: str, k: int) -> DataFrame:
+    """By group: documents, and each ratio's quantiles AT, from one sketch each."""
+    aggs = [F.kll_sketch_agg_double(c, k).alias(name) for name, c in _ratios().items()]
+    sketches = usable.groupBy(*by).agg(F.count("*").alias(f"__{tag}_n"), *aggs)
+    at = F.lit(list(AT))
+    found = [F.when(F.col(f"__{tag}_n") > 0, F.kll_sketch_get_quantile_double(name, at)).alias(f"__{tag}_{name}") for name in RATIOS]
+    return sketches.select(*(F.col(c).alias(f"__by_{c}") for c in by), f"__{tag}_n", *found)
 
 
-def _limits(counts: DataFrame, by: list[str], tag: str, k: int) -> DataFrame:
+def group_limits(counts: DataFrame, by: tuple[str, ...], sketch_k: int = 400) -> DataFrame:
+    """One row per group with documents that the base rules pass: ``__by_*``, and each ratio's
+    ``__limit_low_*`` and ``__limit_high_*``. What a group's own spread adds must not lift a limit above that of all documents."""
     usable = counts.where(~F.col("base_failed"))
-    aggs = [F.kll_sketch_agg_double(c, k).alias(name) for name, c in _ratios().items()]
-    at = F.array(F.lit(0.5), F.lit(LOWER))
-    quantiles = {name: F.kll_sketch_get_quantile_double(name, at) for name in SLACK}
-    limit = [F.when(F.col("__n") > 0, x).alias(f"__{tag}_{name}{end}") for name, q in quantiles.items() for end, x in (("", q[0] + SPREAD * (q[0] - q[1]) + SLACK[name]), ("_least", q[0] + SLACK[name]))]
-    sketches = usable.groupBy(*by).agg(F.count("*").alias("__n"), *aggs)
-    return sketches.select(*(F.col(c).alias(f"__by_{c}") for c in by), F.col("__n").alias(f"__{tag}_n"), *limit)
+    own = materialize(_quantiles(usable, list(by), "own", sketch_k), "quantiles")
+    gaps = {"low": (2, 1), "top": (4, 2), "up": (3, 2), "bottom": (2, 0)}
+    typical = own.agg(*(F.percentile_approx(F.col(f"__own_{r}")[i] - F.col(f"__own_{r}")[j], 0.5, 10_000).alias(f"__{g}_{r}") for r in RATIOS for g, (i, j) in gaps.items()))
+    rows = own.crossJoin(F.broadcast(_quantiles(usable, [], "all", sketch_k))).crossJoin(F.broadcast(typical))  # one row each
+    share = F.col("__own_n") / (F.col("__own_n") + PRIOR)
+    limits = []
+    for r in RATIOS:
+        bottom, low, mid, up = (F.col(f"__own_{r}")[k] for k in range(4))
+        middle = F.col(f"__all_{r}")[2]
+        usual = F.when(F.col(f"__low_{r}") > 0, F.col(f"__low_{r}")).otherwise(F.col(f"__top_{r}"))
+        top, base = middle + SPREAD * usual, middle - SPREAD * F.greatest(f"__up_{r}", f"__bottom_{r}")
+        high = F.least(mid + SPREAD * F.when(mid > low, mid - low).otherwise(usual), F.greatest(mid, top))
+        least = mid - SPREAD * F.greatest(up - mid, mid - bottom)
+        limits += [(share * high + (1 - share) * top).alias(f"__limit_high_{r}"), (share * least + (1 - share) * base).alias(f"__limit_low_{r}")]
+    return rows.select(*(f"__by_{c}" for c in by), *limits)
+
+
+def _based(counts: DataFrame) -> DataFrame:
+    n = F.col("n_words")
+    return counts.withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
 
 
-def judge(counts: DataFrame, by: tuple[str, ...] = ("lang", "source"), sketch_k: int = 400) -> DataFrame:
-    """Add ``base_failed`` and ``kept`` to rows that have the five counts and the ``by`` columns."""
+def judge(counts: DataFrame, limits: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """Add ``kept`` to rows that have the five counts, ``base_failed`` and the ``by`` columns."""
     n = F.col("n_words")
-    counts = counts.withColumn("base_failed", (n < 50) | (100 * F.col("n_repeat_words") > 50 * n))
-    own = _limits(counts, list(by), "own", sketch_k)
-    everyone = _limits(counts, [], "all", sketch_k)  # one row
-    joined = counts.join(own, [counts[c].eqNullSafe(own[f"__by_{c}"]) for c in by], "left").crossJoin(F.broadcast(everyone))
+    joined = counts.join(limits, [counts[c].eqNullSafe(limits[f"__by_{c}"]) for c in by], "left")
     fits = F.lit(True)
-    for name, ratio in _ratios().items():
-        bound = F.greatest(f"__own_{name}_least", f"__all_{name}")
-        limit = F.when(F.col("__own_n") >= MIN_GROUP, F.least(f"__own_{name}", bound)).otherwise(F.col(f"__all_{name}"))
-        fits = fits & F.coalesce(ratio <= limit, F.lit(True))
+    for r, ratio in _ratios().items():
+        high = F.col(f"__limit_high_{r}")
+        noise = NOISE * F.sqrt(F.greatest(high * n, F.lit(1.0))) / F.greatest(n, F.lit(1))
+        fits = fits & F.coalesce(ratio <= high + noise, F.lit(True))
+        if r in TWO_SIDED:
+            fits = fits & F.coalesce(ratio >= F.col(f"__limit_low_{r}") - noise, F.lit(True))
     return joined.select(*counts.columns, (~F.col("base_failed") & fits).alias("kept"))
 
 
 def quality_verdicts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """One row per document: ``keys``, ``by``, the counts, ``base_failed`` and ``kept``."""
     chosen = docs.select(*dict.fromkeys([*keys, *by]), F.col(text).cast("string").alias("__text"))
-    return judge(materialize(text_counts(chosen, "__text"), "quality-counts"), by)
+    counts = _based(materialize(text_counts(chosen, "__text"), "quality-counts"))
+    return judge(counts, materialize(group_limits(counts, by), "limits"), by)
 
 
 def quality_filter(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """The documents that pass, with their own columns and whatever these are called."""
+    """The documents that pass, with their own columns and whatever these are called. Texts are counted twice, for
+    the limits and for the verdicts: that moves and stores none of them."""
     names = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
     renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    counted = materialize(text_counts(renamed, names[text], keep_text=True), "quality-counts")
-    kept = judge(counted, tuple(names[c] for c in by)).where("kept")
+    groups = tuple(names[c] for c in by)
+    seen = _based(materialize(text_counts(renamed.select(*groups, names[text]), names[text]), "quality-counts"))
+    limits = materialize(group_limits(seen, groups), "limits")  # stored, its true size lets the planner broadcast it
+    kept = judge(_based(text_counts(renamed, names[text], keep_text=True)), limits, groups).where("kept")
     return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
