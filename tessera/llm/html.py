@@ -13,7 +13,7 @@ host's, so that passages which articles share stay and notices in all of them go
 pages whose mark holds less, it takes ``FEW`` pages and a share of ``SOME``. Pages of a host with equal words
 left count as one, which stands for all of them.
 
-A host is cut into shards of about ``SHARD`` pages, each with an array of its own; one row per repeated or
+A host is cut into shards of bounded pages and bytes, each with an array of its own; one row per repeated or
 single prefix leaves a shard, and prefixes meet across shards by their hash. So no host is in one task.
 
 Defined cases: a null or empty html has an empty text; a null url belongs to the host ""; pages with equal
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from tessera.llm.scratch import materialize
 from tessera.llm.words import blocks, ngram_hashes
 
-LONG, SHARD = 8, 2000
+#: A shard holds about so many pages, or so many bytes of packed text, if these are reached first.
+LONG, SHARD, SHARD_BYTES = 8, 2000, 4 << 20
 FEW, SOME = 2, 0.05
 MANY, MOST = 4, 0.5
 #: A shard may leave out prefixes that are on under a quarter of the pages it can expect to hold them, if it
@@ -59,6 +60,16 @@ _BESIDES = frozenset("ad ads advert advertisement comment comments reply replies
 _HEADERS = frozenset("header headers site-header page-header top-header topbar top-bar site-title".split())
 #: Elements whose ids are often made from their headings and say what the text is about.
 _NAMED = frozenset("h1 h2 h3 h4 h5 h6 section p li dt dd td th tr".split())
+#: Elements that are often left open: the start tags that end them, and the open elements beyond which these
+#: don't reach.
+_OPEN_ENDED = {
+    **dict.fromkeys(("p", "h1", "h2", "h3", "h4", "h5", "h6"), (frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), frozenset("table caption td th".split()))),
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
+    **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), frozenset(("dl",)))),
+    **dict.fromkeys(("td", "th"), (frozenset("td th tr tbody tfoot".split()), frozenset(("table",)))),
+    "tr": (frozenset("tr tbody tfoot".split()), frozenset(("table",))),
+    "option": (frozenset(("option", "optgroup")), frozenset(("select",))),
+}
 _TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", regex.S)
 _ATTRIBUTE = regex.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _ZSTD = pa.Codec("zstd", compression_level=9)
@@ -117,6 +128,14 @@ def read_page(source: str) -> tuple[list[tuple[str, str]], bool]:
             if text:
                 found.append(("drop" if drops else "main" if mains else "", text))
 
+    def close(k: int) -> None:
+        """End the open container at ``k`` and all in it."""
+        nonlocal drops, mains
+        for _, kind in stack[k:]:
+            drops -= kind == "drop"
+            mains -= kind == "main"
+        del stack[k:]
+
     while True:
         m = _TOKEN.search(source, at)
         if m is None:
@@ -134,10 +153,7 @@ def read_page(source: str) -> tuple[list[tuple[str, str]], bool]:
             flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for _, kind in stack[k:]:
-                        drops -= kind == "drop"
-                        mains -= kind == "main"
-                    del stack[k:]
+                    close(k)
                     break
             continue
         if name in _INLINE:
@@ -149,14 +165,20 @@ def read_page(source: str) -> tuple[list[tuple[str, str]], bool]:
             end = regex.compile(rf"</{regex.escape(name)}\s*>", regex.I).search(source, at)
             at = end.end() if end else len(source)
             continue
+        beyond: set[str] = set()
+        for k in range(len(stack) - 1, -1, -1):
+            ends, limits = _OPEN_ENDED.get(stack[k][0], ((), ()))
+            if name in ends and not beyond & limits:
+                close(k)
+                break
+            beyond.add(stack[k][0])
         if name in _VOID or m[3].endswith("/"):
             continue
-        if name == "body":  # a head that was never closed ends here
-            while stack and stack[-1][0] == "head":
-                drops -= stack.pop()[1] == "drop"
+        if name == "body" and stack and stack[-1][0] == "head":  # never closed
+            close(len(stack) - 1)
         kind = _kind(name, m[3], mains > 0)
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "h1", "h2", "h3", "h4", "h5", "h6") and not kind:
-            continue  # often left open: blocks, but not containers
+        if name in _OPEN_ENDED and not kind:
+            continue  # blocks, but not containers
         stack.append((name, kind))
         drops += kind == "drop"
         mains += kind == "main"
@@ -307,13 +329,13 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url") ->
 def _covered(split: DataFrame) -> DataFrame:
     """(__page, __starts): the words at which repeated substrings start."""
     loose = F.exists("__words", lambda n: n < 0)
-    some = split.where(F.size("__words") > 0).select("__page", "__host", "__key", loose.alias("__open"))
+    some = split.where(F.size("__words") > 0).select("__page", "__host", "__key", loose.alias("__open"), F.length("__packed").alias("__bytes"))
     # copies may differ in their marks: one whose article is trusted stands for the others
-    contents = materialize(some.groupBy("__host", "__key").agg(F.min_by("__page", F.struct("__open", "__page")).alias("__first"), F.count("*").alias("__rows"), F.bool_or("__open").alias("__open")), "contents")
+    contents = materialize(some.groupBy("__host", "__key").agg(F.min_by("__page", F.struct("__open", "__page")).alias("__first"), F.count("*").alias("__rows"), F.bool_or("__open").alias("__open"), F.max("__bytes").alias("__bytes")), "contents")
     several = contents.where("__rows > 1").select("__host", "__key", "__first")
     copies = materialize(some.join(several, ["__host", "__key"]).where("__page <> __first").select("__page", "__first"), "copies")
-    hosts = contents.groupBy("__host").agg(F.count("*").alias("__pages"), F.bool_or("__open").alias("__open"))
-    hosts = materialize(hosts.withColumn("__shards", F.ceil(F.col("__pages") / SHARD)), "hosts")
+    hosts = contents.groupBy("__host").agg(F.count("*").alias("__pages"), F.bool_or("__open").alias("__open"), F.sum("__bytes").alias("__bytes"))
+    hosts = materialize(hosts.select("__host", "__pages", "__open", F.ceil(F.greatest(F.col("__pages") / SHARD, F.col("__bytes") / SHARD_BYTES)).alias("__shards")), "hosts")
     # one page repeats nothing, and fewer than MANY nothing in articles
     hosts = hosts.where((F.col("__open") & (F.col("__pages") > 1)) | (F.col("__pages") >= MANY)).drop("__open")
     streams = split.select("__host", "__page", "__words", "__packed").where(F.length("__packed") > 0)
