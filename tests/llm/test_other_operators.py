@@ -1,5 +1,9 @@
 """Vectors, pages and the pipeline."""
 
+import gzip
+import hashlib
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,12 +40,23 @@ def test_neighbours_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0), every=20).count() == 0
 
 
+def test_index_prunes_clustered_vectors():
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(200, 32))[:, None, :] + 0.08 * rng.normal(size=(200, 30, 32))).reshape(-1, 32)
+    projection, radius, width = neighbours.fit(x, float(np.linalg.norm(x, axis=1).max()), 20)
+    codes = neighbours.codes_of(neighbours.lifted(x, float(np.linalg.norm(x, axis=1).max())), projection)
+    index = neighbours.MultiIndex(codes, width)
+    asked = [neighbours.codes_of(np.append(q / np.linalg.norm(q), 0.0)[None, :], projection)[0] for q in x[:100]]
+    assert np.mean([len(index.probed(q, radius)) for q in asked]) < 0.3 * len(x)
+
+
 def test_index_probes_all_within_radius():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 1 << 16, (500, 8)).astype(np.uint16)
     codes[100:150] = codes[7] ^ (1 << rng.integers(0, 16, (50, 8))).astype(np.uint16)
-    index = neighbours.MultiIndex(codes)
-    for radius in (0, 7, 8, 40, 60, 128):
+    for radius, width in itertools.product((0, 1, 7, 8, 9, 40, 60, 128), neighbours.WIDTHS):
+        index = neighbours.MultiIndex(codes, width)
+        assert len(index.probed(codes[7], radius)) <= (60 if radius < 10 and width == 16 else 500)
         assert index.within(codes[7], radius).tolist() == np.flatnonzero(neighbours.hamming(codes[7], codes) <= radius).tolist()
 
 
@@ -64,6 +79,13 @@ def test_html_hints_are_whole_tokens():
     assert html.split_page("<body style='display:none' class=search><p>shown when loaded</p></body>")[1] == ["shown when loaded"]
 
 
+def test_html_open_elements_end_where_others_start():
+    assert html.split_page('<main><p class="ad">buy<p>real text<p>more</main>')[0] == ["real text", "more"]
+    assert html.split_page('<main><ul><li class="ad">buy<ul><li>deal</ul><li>real</ul><p hidden>x<b>y</b><table><tr><td><p>cell</table></main>')[0] == ["real", "cell"]
+    assert html.split_page('<main><dl><dt class="promo">a<dd>b</dl><table><tr class="ad"><td>c<tr><td class="ad">d<td>e</table></main>')[0] == ["b", "e"]
+    assert html.split_page('<p class="ad"><span>sp</span> still ad</p>after')[1] == ["after"]
+
+
 def test_html_boilerplate_by_host(spark):
     menu = "<div>Home About us Contact and help Shop now Sign in here</div>"
     rows = [(k, f"http://h.example/{k}", f"{menu}<p>page {k} has words of its own {k}a {k}b</p>") for k in range(30)] + [(100, "http://other.example/", f"{menu}<p>alone</p>"), (100, None, None), (101, "u", "")]
@@ -122,6 +144,23 @@ def test_warc_round_trip(spark):
     assert got[1].url == "http://ab" and warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_files_are_bounded_and_seekable(spark, tmp_path):
+    rows = [(k, f"http://h/{k}", f"page {k} " + "".join(hashlib.sha256(b"%d %d" % (k, i)).hexdigest() for i in range(60))) for k in range(60)] + [(100, "u", "y" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    index = warc.write_archives(df, f"file://{tmp_path}/w", file_bytes=20_000).collect()
+    files = {p.name: p for p in (tmp_path / "w").iterdir()}
+    assert {r.file for r in index} == set(files) and len(files) > 4 and all(n.endswith(".warc.gz") for n in files)
+    payload = {k: h.encode() for k, _, h in rows}
+    for r in index:
+        data = files[r.file].read_bytes()
+        assert r.offset < 20_000 and r.offset + r.length <= len(data)
+        head, block = warc.parse(gzip.decompress(data[r.offset : r.offset + r.length]))
+        assert int(head["Page"]) == r.page_id and bytes(block).partition(b"\r\n\r\n")[2] == payload[r.page_id]
+    (tmp_path / "w" / "cut.warc.gz").write_bytes(files[index[0].file].read_bytes()[:-5])
+    with pytest.raises(Exception, match="ends inside a record"):
+        warc.read_archives(spark, f"file://{tmp_path}/w").count()
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     docs, out = spark.read.parquet(f"{DATA}/documents.parquet"), []

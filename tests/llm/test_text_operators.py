@@ -141,6 +141,60 @@ def test_quality_limits_stand_a_bad_minority(spark, share):
     assert {r.doc_id for r in quality.quality_filter(df).select("doc_id").collect()} == {*range(bad, 100), *range(1000, 1100)}
 
 
+def exact_limits(rows):
+    """As ``group_limits``, from exact quantiles of (group, ratio) rows."""
+    values = {}
+    for g, x in rows:
+        values.setdefault(g, []).append(x)
+    cut = lambda x, p: float(np.quantile(x, p, method="inverted_cdf"))
+    halfway = lambda x: sorted(x)[(len(x) + 1) // 2 - 1]
+    found = {g: [cut(x, p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)] for g, x in values.items()}
+    above = halfway([q[2] - q[1] for q in found.values()]) or halfway([q[4] - q[2] for q in found.values()])
+    below = max(halfway([q[3] - q[2] for q in found.values()]), halfway([q[2] - q[0] for q in found.values()]))
+    middle = cut([x for _, x in rows], 0.5)
+    top = middle + quality.SPREAD * above
+    out = {}
+    for g, (bottom, low, mid, up, _) in found.items():
+        high = min(mid + quality.SPREAD * (mid - low or above), max(mid, top))
+        least = mid - quality.SPREAD * max(up - mid, mid - bottom)
+        share = len(values[g]) / (len(values[g]) + quality.PRIOR)
+        out[g] = share * least + (1 - share) * (middle - quality.SPREAD * below), share * high + (1 - share) * top
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_quality_limits_against_exact_quantiles(spark, parts):
+    rng = np.random.default_rng(11)
+    rows = []
+    for g, size in enumerate((3000, 900, 12)):  # more than a sketch holds exactly, and a small group
+        for length in rng.normal(5 + g, 0.3, size):
+            rows.append((f"s{g}", "en", 1000, round(1000 * length), int(rng.poisson(3 * g)), 0, 0))
+    counts = spark.createDataFrame(rows, "source string, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long").repartition(parts)
+    got = {r["__by_source"]: r for r in quality.group_limits(counts.withColumn("base_failed", F.lit(False)), ("source",)).collect()}
+    for name, at, scale in (("word_length", 3, 0.3), ("symbols", 4, 0.002)):
+        want = exact_limits([(r[0], r[at] / 1000) for r in rows])
+        for g, (low, high) in want.items():
+            assert abs(got[g][f"__limit_low_{name}"] - low) < quality.SPREAD * scale * 0.1 and abs(got[g][f"__limit_high_{name}"] - high) < quality.SPREAD * scale * 0.1
+
+
+def test_quality_verdicts_whole_table_against_exact_quantiles(spark):
+    """Groups here are smaller than a sketch's exact part, so the verdicts are those of exact quantiles."""
+    rows = [r for r in quality.quality_verdicts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()]
+    value = {"word_length": "word_chars", "symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words"}
+    sound = [r for r in rows if not r.base_failed]
+    limits = {k: exact_limits([((r.lang, r.source), r[c] / r.n_words) for r in sound]) for k, c in value.items()}
+    differ = 0
+    for r in rows:
+        want = not r.base_failed
+        for k, c in value.items():
+            if want:
+                low, high = limits[k][r.lang, r.source]
+                noise = quality.NOISE * max(high * r.n_words, 1.0) ** 0.5 / r.n_words
+                want = (k != "word_length" or low - noise <= r[c] / r.n_words) and r[c] / r.n_words <= high + noise
+        differ += want != r.kept
+    assert differ <= len(rows) // 200  # the sketch of all documents is not exact
+
+
 def similar(rows, percent):
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     sets = {}
@@ -164,6 +218,24 @@ def similar(rows, percent):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
+def test_components_against_union_find(spark):
+    rng = np.random.default_rng(6)
+    pairs = [(k, k + 1) for k in range(100, 140)] + [(500, k) for k in range(450, 500)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1300, (180, 2))] + [(7, 7), (2000, 2001), (2001, 2000)]
+    label = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in pairs:
+        label[max(root(a), root(b))] = min(root(a), root(b))
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    assert {r.id: r.component for r in near_dups.components(df).collect()} == {x: root(x) for x in linked}
+    assert near_dups.components(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_near_duplicates(spark, corpus, percent):
     rng = np.random.default_rng(5)
@@ -297,6 +369,40 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_toxicity(docs.limit(5), known.limit(0)).count() == 5
 
 
+def test_toxic_copies_teach_once(spark):
+    rng = np.random.default_rng(3)
+    word = lambda k: "".join(chr(97 + (k // 26**i) % 26) for i in range(3))
+    say = lambda tag, n: [tag + word(int(rng.integers(400))) for _ in range(n)]
+    rows = [(d, say("calm", 50), 0) for d in range(600)]
+    for d in range(600, 680):
+        w = say("calm", 50)
+        w[int(rng.integers(1, 49))] = "zornig"
+        rows.append((d, w, 1))
+    copied = [word(k) + "rare" for k in range(50)]
+    for d in range(700, 730):  # near copies: their words aren't evidence, however many there are
+        w = list(copied)
+        w[int(rng.integers(50))] = "zornig"
+        rows.append((d, w, 1))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w, _ in rows], "doc_id long, text string").repartition(3)
+    fold = toxicity.learning_fold(spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, toxic int"))
+    marks = toxicity.learned_marks(docs, fold)
+    assert "=zornig" in marks and not any("rare" in m for m in marks)
+    doubled = docs.unionByName(docs)
+    assert len(toxicity.score_toxicity(doubled, spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, toxic int")).collect()) == 2 * len(rows)
+
+
+def test_linear_fit_is_the_dense_solution():
+    rng = np.random.default_rng(1)
+    x = np.where(rng.random((300, 8)) < 0.4, rng.normal(size=(300, 8)), 0.0)
+    y = 1 / (1 + np.exp(-(x @ rng.normal(size=8) - 0.5)))
+    weight = rng.integers(1, 9, 300).astype(float)
+    row, column = np.nonzero(x)
+    beta = toxicity.fit_linear(row, column, x[row, column], 8, y, weight)
+    full = np.hstack([x, np.ones((300, 1))])
+    slope = full.T @ (weight * (y - 1 / (1 + np.exp(-full @ beta)))) - np.append(np.full(8, 0.05), 1e-4) * beta
+    assert np.abs(slope).max() < 1e-4
+
+
 def test_label_model_finds_the_poor_voter():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
