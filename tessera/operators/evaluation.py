@@ -141,3 +141,35 @@ def four_gates(stats: DataFrame) -> DataFrame:
         .when((F.abs("ic") < 0.02) & (F.col("icir") < 0.3), "weak").when((F.col("win_rate") < 0.55) | (F.col("psi") > 0.25), "watch").otherwise("active")
     )
     return stats.withColumn("status", status)
+
+
+def factor_return_volatility(df: DataFrame, factor: str, ret: str, window: int = 60, least: int | None = None, time: str = "date", names: int = 20) -> DataFrame:
+    """Per date the mean of standardised factor times return (at least ``names`` rows), and its rolling deviation."""
+    rows = df.where(F.col(factor).isNotNull() & F.col(ret).isNotNull())
+    daily = rows.groupBy(time).agg(F.count("*").alias("n"), safe_div(F.covar_pop(factor, ret), F.stddev_samp(factor)).alias("spread")).where((F.col("n") >= names) & F.col("spread").isNotNull())
+    w = Window.orderBy(time).rowsBetween(1 - window, 0)  # one row per date
+    enough = F.count("spread").over(w) >= (least or max(5, window // 2))
+    return daily.withColumn("volatility", F.when(enough, F.stddev_samp("spread").over(w))).select(time, "spread", "volatility")
+
+
+def long_short_turnover(df: DataFrame, factor: str, share: float = 0.2, key: str = "code", time: str = "date", names: int = 15) -> DataFrame:
+    """Per date: names that entered or left the top and bottom ``share`` since the date before, over the leg's
+    size, both legs averaged. Dates with fewer than ``names`` names have no legs."""
+    rows = df.where(F.col(factor).isNotNull()).select(key, time, factor)
+    dates = rows.groupBy(time).agg(F.count("*").alias("n"), F.percentile(factor, F.lit(1 - share)).alias("top"), F.percentile(factor, F.lit(share)).alias("bottom"))
+    dates = dates.withColumn("before", F.lag(F.when(F.col("n") >= names, F.col(time))).over(Window.orderBy(time)))  # one row per date
+    legs = rows.join(dates.where(F.col("n") >= names), time).select(key, time, "before", (F.col(factor) >= F.col("top")).alias("long"), (F.col(factor) <= F.col("bottom")).alias("short")).where("long or short")
+    past = legs.select(F.col(key), F.col(time).alias("before"), F.col("long").alias("was_long"), F.col("short").alias("was_short"))
+    kept = legs.join(past, [key, "before"], "left")
+    both = kept.groupBy(time, "before").agg(*(F.count_if(c).alias(n) for n, c in (("longs", F.col("long")), ("shorts", F.col("short")), ("same_longs", F.col("long") & F.col("was_long")), ("same_shorts", F.col("short") & F.col("was_short")))))
+    sizes = both.select(F.col(time).alias("before"), F.col("longs").alias("were_longs"), F.col("shorts").alias("were_shorts"))
+    turn = lambda leg: safe_div(F.col(f"{leg}s") + F.col(f"were_{leg}s") - 2 * F.col(f"same_{leg}s"), F.greatest(f"{leg}s", F.lit(1)))
+    return both.join(sizes, "before").select(time, ((turn("long") + turn("short")) / 2).alias("turnover"))
+
+
+def crowding(df: DataFrame, factors: list[str], threshold: float = 0.7) -> DataFrame:
+    """One row: the mean correlation of all pairs of factors, its level, and the pairs beyond ``threshold``."""
+    pairs = [F.corr(a, b) for k, a in enumerate(factors) for b in factors[k + 1 :]]
+    rows = df.agg(F.array(*pairs).alias("r")).select(F.expr("aggregate(r, 0D, (a, x) -> a + x) / size(r)").alias("avg_correlation"), F.size(F.filter("r", lambda x: F.abs(x) > threshold)).cast("bigint").alias("n_high_pairs"))
+    level = F.when(F.col("avg_correlation") > 0.7, "high").when(F.col("avg_correlation") > 0.4, "medium").otherwise("low")
+    return rows.withColumn("level", level)

@@ -133,3 +133,14 @@ def ladder(df: DataFrame, board: str, time: str, broken: str, later: str) -> Dat
 
 
 __all__ = [n for n, v in list(globals().items()) if callable(v) and getattr(v, "__module__", None) == __name__] + ["average_rank"]
+
+
+def price_anomalies(df: DataFrame, close: str = "close", key: str = "code", time: str = "date", limit: float = 4.0, error: float = 15.0, least: int = 10) -> DataFrame:
+    """Returns in percent that are over ``limit`` deviations (ddof 0) from their key's mean, and whether they are
+    so large that an error is likely; keys with fewer than ``least`` prices are left out."""
+    rows = df.where(F.col(close).isNotNull()).withColumn("__before", F.lag(close).over(ordered(key, time))).withColumn("__n", F.count("*").over(Window.partitionBy(key)))
+    rows = rows.where((F.col("__n") >= least) & F.col("__before").isNotNull()).withColumn("pct", F.coalesce((safe_div(close, "__before") - 1) * 100, F.lit(0.0)))
+    everything = Window.partitionBy(key)
+    spread = F.stddev_pop("pct").over(everything)
+    z = (F.col("pct") - F.avg("pct").over(everything)) / F.when(spread > 0, spread).otherwise(1.0)
+    return rows.select(key, time, "pct", z.alias("z")).where(F.abs("z") > limit).withColumn("likely_error", F.abs("pct") > error)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -19,24 +20,25 @@ def words(text: Column | str) -> Column:
 def mood(df: DataFrame, text: str, up: list[str], down: list[str], negations: list[str], flips: list[str] | None = None) -> DataFrame:
     """``mood``: (ups - downs) / (ups + downs + 1), held to +-0.9; a word after a negation counts for the other
     side, and a text that holds a flipping phrase is turned."""
-    bag = words(text)
-    before = F.concat(F.array(F.lit("")), F.slice(bag, F.lit(1), F.greatest(F.size(bag) - 1, F.lit(0))))
-    pairs = F.zip_with(bag, F.slice(before, F.lit(1), F.size(bag)), lambda w, b: F.struct(w.alias("w"), b.alias("b")))
-
-    def hits(own: list[str], other: list[str]) -> Column:
-        lit = lambda ws: F.array(*(F.lit(w) for w in ws))
-        straight = F.filter(pairs, lambda p: F.array_contains(lit(own), p["w"]) & ~F.array_contains(lit(negations), p["b"]))
-        turned = F.filter(pairs, lambda p: F.array_contains(lit(other), p["w"]) & F.array_contains(lit(negations), p["b"]))
-        return F.size(straight) + F.size(turned)
-
-    ups, downs = hits(up, down), hits(down, up)
+    lit = lambda ws: F.array(*(F.lit(w) for w in ws))
+    start = F.struct(F.lit(0).alias("ups"), F.lit(0).alias("downs"), F.lit(False).alias("negated"))
+
+    def step(a: Column, w: Column) -> Column:
+        good, bad = F.array_contains(lit(up), w), F.array_contains(lit(down), w)
+        rise, fall = (good & ~a["negated"]) | (bad & a["negated"]), (bad & ~a["negated"]) | (good & a["negated"])
+        return F.struct((a["ups"] + rise.cast("int")).alias("ups"), (a["downs"] + fall.cast("int")).alias("downs"), F.array_contains(lit(negations), w).alias("negated"))
+
+    # one fold over the words, which are found once; the optimiser keeps it apart as its result is used twice
+    rows = df.withColumn("__mood", F.aggregate(words(text), start, step))
+    rows = rows.withColumn("ups", F.col("__mood.ups")).withColumn("downs", F.col("__mood.downs")).drop("__mood")
+    ups, downs = F.col("ups"), F.col("downs")
     score = (ups - downs) / (ups + downs + 1)
     if flips:
         turned = F.lit(False)
         for phrase in flips:
             turned = turned | F.contains(F.lower(F.col(text)), F.lit(phrase))
         score = F.when(turned, -score).otherwise(score)
-    return df.withColumn("ups", ups).withColumn("downs", downs).withColumn("mood", F.least(F.greatest(score, F.lit(-0.9)), F.lit(0.9)))
+    return rows.withColumn("mood", F.least(F.greatest(score, F.lit(-0.9)), F.lit(0.9)))
 
 
 def entities(df: DataFrame, text: str) -> DataFrame:
@@ -46,13 +48,14 @@ def entities(df: DataFrame, text: str) -> DataFrame:
 
 
 def chunks(df: DataFrame, text: str, keep: list[str], most: int = 400) -> DataFrame:
-    """Paragraphs (parted by line ends) packed in order into chunks of at most ``most`` characters; a longer
-    paragraph is a chunk of its own. Rows: ``keep``, chunk_no, chunk."""
-    parts = F.filter(F.transform(F.split(F.col(text), r"\n+"), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
+    """Paragraphs (parted by blank lines) packed in order into chunks of at most ``most`` characters, line ends
+    between them not counted; a longer paragraph is a chunk of its own. Rows: ``keep``, chunk_no, chunk."""
+    bare = lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")
+    parts = F.filter(F.transform(F.split(F.col(text), r"\n\s*\n"), bare), lambda p: F.length(p) > 0)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def add(a: Column, p: Column) -> Column:
-        fits = (F.length(a["open"]) == 0) | (F.length(a["open"]) + F.length(p) + 1 <= most)
+        fits = (F.length(a["open"]) == 0) | (F.length(a["open"]) + F.length(p) <= most)
         joined = F.when(F.length(a["open"]) == 0, p).otherwise(F.concat(a["open"], F.lit("\n"), p))
         return F.struct(F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"), F.when(fits, joined).otherwise(p).alias("open"))
 
@@ -61,17 +64,26 @@ def chunks(df: DataFrame, text: str, keep: list[str], most: int = 400) -> DataFr
 
 
 def trigram_embedding(text: Column | str, dim: int = 256) -> Column:
-    """Unit vector of hashed character trigrams: lower case, white space collapsed, bucket and sign from an
-    8-byte BLAKE2b of each, which Spark doesn't have."""
+    """Unit vector of hashed character trigrams: lower case, runs of white space as one space; of an 8-byte
+    BLAKE2b, which Spark doesn't have, the first four bytes name the bucket and the fifth's lowest bit the sign.
+    Shorter texts have a zero vector."""
 
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, float]] = {}
+
+        def place(gram: str) -> tuple[int, float]:
+            if gram not in known:
+                h = hashlib.blake2b(gram.encode(), digest_size=8).digest()
+                known[gram] = int.from_bytes(h[:4], "little") % dim, 1.0 if h[4] % 2 else -1.0
+            return known[gram]
+
         def one(t: str | None) -> np.ndarray:
-            clean = " ".join((t or "").lower().split())
+            clean = re.sub(r"\s+", " ", (t or "").lower())
             v = np.zeros(dim)
-            for k in range(max(1, len(clean) - 2)):
-                h = int.from_bytes(hashlib.blake2b(clean[k : k + 3].encode(), digest_size=8).digest(), "little")
-                v[h % dim] += 1.0 if h >> 63 == 0 else -1.0
+            for k in range(len(clean) - 2):
+                at, sign = place(clean[k : k + 3])
+                v[at] += sign
             norm = np.linalg.norm(v)
             return v / norm if norm > 0 else v
 
@@ -80,6 +92,23 @@ def trigram_embedding(text: Column | str, dim: int = 256) -> Column:
     return embed(F.col(text) if isinstance(text, str) else text)
 
 
+def report_date(path: Column | str) -> Column:
+    """The date that a path or file name holds: year, month and day apart by slashes or their signs; eight digits
+    or dashed; six digits of this century. The first form that is a date counts; missing if none is."""
+    c = F.col(path) if isinstance(path, str) else path
+    forms = (
+        (r"(?:^|[^0-9])([0-9]{4})[年/]([0-9]{1,2})[月/]([0-9]{1,2})(?:[^0-9]|$)", ""),
+        (r"(?:^|[^0-9])(20[0-9]{2})[-_]?([0-9]{2})[-_]?([0-9]{2})(?:[^0-9]|$)", ""),
+        (r"(?:^|[^0-9])(2[0-9])(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])(?:[^0-9]|$)", "20"),
+    )
+    found = []
+    for pattern, century in forms:
+        year, month, day = (F.regexp_extract(c, pattern, k) for k in (1, 2, 3))
+        y, m, d = F.concat(F.lit(century), year).try_cast("int"), month.try_cast("int"), day.try_cast("int")
+        found.append(F.when(y.between(2000, 2099) & m.between(1, 12) & d.between(1, 31), F.format_string("%04d-%02d-%02d", y, m, d)))
+    return F.coalesce(*found)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 

@@ -300,3 +300,26 @@ def range_volatility(df: DataFrame, n: int = 20, key: str = "code", time: str =
 def with_rsi(df: DataFrame, n: int = 14, key: str = "code", time: str = "date") -> DataFrame:
     w = ordered(key, time)
     return df.withColumn("rsi", rsi("close", w, n))
+
+
+def back_fill(df: DataFrame, column: str, key: str = "code", time: str = "date") -> DataFrame:
+    """Each missing value becomes the next one that isn't."""
+    w = ordered(key, time).rowsBetween(0, Window.unboundedFollowing)
+    return df.withColumn(column, F.first(column, ignorenulls=True).over(w))
+
+
+def price_lines(df: DataFrame, span: int = 60, key: str = "code", time: str = "date") -> DataFrame:
+    """``twap`` (mean of a bar's four prices), ``vwap`` (amount over volume; without volume the last known one, or
+    else the close), what the close is above either in percent, and how far the close is below the ``span`` closes
+    before it (``reversal_strength``, 0 to 100) and their low over their high (``reversal_ratio``)."""
+    w = ordered(key, time)
+    before = w.rowsBetween(-span, -1)
+    full = F.count("close").over(before) >= span
+    low, high = F.when(full, F.min("close").over(before)), F.when(full, F.max("close").over(before))
+    known = F.last(safe_div("amount", "volume"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = df.withColumn("twap", (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4).withColumn("vwap", F.coalesce(known, "close"))
+    rows = rows.withColumn("__low", low).withColumn("__high", high)
+    rows = rows.withColumn("twap_deviation", (safe_div("close", "twap") - 1) * 100).withColumn("vwap_deviation", (safe_div("close", "vwap") - 1) * 100)
+    place = safe_div(F.col("close") - F.col("__low"), F.col("__high") - F.col("__low"))
+    rows = rows.withColumn("reversal_strength", clip((1 - place) * 100, 0.0, 100.0)).withColumn("reversal_ratio", clip(safe_div("__low", "__high"), 0.0, 1.0))
+    return rows.drop("__low", "__high")

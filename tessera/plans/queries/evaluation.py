@@ -125,3 +125,24 @@ def ev_four_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = factor_panel(spark, sf_dir).where("mom is not null and forward is not null")
     stats = rows.groupBy("industry").agg(F.count("*").alias("n"), F.corr("mom", "forward").alias("ic"), (F.avg("mom") / F.stddev_samp("mom")).alias("icir"), F.avg((F.col("forward") > 0).cast("double")).alias("win_rate"))
     return ev.four_gates(stats.withColumn("psi", (F.col("industry") % 10) / 20.0)).select("industry", "status")
+
+
+@query(f"""WITH {_FACTORS}, d AS (SELECT date, count(*) AS n, covar_pop(forward, mom) / nullif(stddev_samp(mom), 0) AS spread FROM fp WHERE mom IS NOT NULL AND forward IS NOT NULL GROUP BY date HAVING count(*) >= 20)
+  SELECT date, round(spread, 6) AS spread, CASE WHEN count(spread) OVER w >= 6 THEN round(stddev_samp(spread) OVER w, 6) END AS volatility FROM d WHERE spread IS NOT NULL WINDOW w AS (ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
+def ev_factor_return_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ev.factor_return_volatility(factor_panel(spark, sf_dir), "mom", "forward", 12))
+
+
+@query(f"""WITH {_FACTORS}, r AS (SELECT code, date, mom FROM fp WHERE mom IS NOT NULL), d AS (SELECT date, count(*) AS n, quantile_cont(mom, 0.8) AS t, quantile_cont(mom, 0.2) AS b FROM r GROUP BY date),
+  e AS (SELECT *, lag(CASE WHEN n >= 15 THEN date END) OVER (ORDER BY date) AS before FROM d), l AS (SELECT code, date, before, 'long' AS leg FROM r JOIN e USING (date) WHERE n >= 15 AND mom >= t UNION ALL SELECT code, date, before, 'short' FROM r JOIN e USING (date) WHERE n >= 15 AND mom <= b),
+  s AS (SELECT date, before, leg, count(*) AS n FROM l GROUP BY ALL), m AS (SELECT a.date, a.leg, count(*) AS same FROM l a JOIN l b ON a.code = b.code AND a.leg = b.leg AND a.before = b.date GROUP BY ALL)
+  SELECT s.date, round(avg((s.n + p.n - 2 * coalesce(same, 0))::DOUBLE / s.n), 6) AS turnover FROM s JOIN s p ON p.date = s.before AND p.leg = s.leg LEFT JOIN m ON m.date = s.date AND m.leg = s.leg GROUP BY s.date""")
+def ev_long_short_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ev.long_short_turnover(factor_panel(spark, sf_dir), "mom"))
+
+
+@query(f"""WITH {_FACTORS}, c AS (SELECT corr(volume, amount) AS a, corr(volume, mom) AS b, corr(volume, close) AS c, corr(amount, mom) AS d, corr(amount, close) AS e, corr(mom, close) AS f FROM fp),
+  r AS (SELECT (a + b + c + d + e + f) / 6 AS m, ((abs(a) > 0.7)::INT + (abs(b) > 0.7)::INT + (abs(c) > 0.7)::INT + (abs(d) > 0.7)::INT + (abs(e) > 0.7)::INT + (abs(f) > 0.7)::INT)::BIGINT AS n FROM c)
+  SELECT round(m, 6) AS avg_correlation, n AS n_high_pairs, CASE WHEN m > 0.7 THEN 'high' WHEN m > 0.4 THEN 'medium' ELSE 'low' END AS level FROM r""")
+def ev_crowding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ev.crowding(factor_panel(spark, sf_dir), ["volume", "amount", "mom", "close"]))

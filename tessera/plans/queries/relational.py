@@ -186,3 +186,28 @@ def rel_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = (before.isNull() | (F.col("ts") > before + F.expr("INTERVAL 6 HOURS"))).cast("int")
     rows = table(spark, sf_dir, "events").withColumn("new", new).withColumn("s", F.sum("new").over(w))
     return rows.groupBy("user_id", "s").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+_HISTORY = "SELECT event_type AS factor, CAST(ts AS DATE) AS date, value / 1000.0 AS rank_ic, (event_id % 7) / 10.0 AS icir, user_id AS n_stocks FROM events"
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ten = lambda x, y: x.cast("double") / F.lit(y)
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("factor"), F.to_date("ts").alias("date"), ten(F.col("value"), 1000.0).alias("rank_ic"), ten(F.col("event_id") % 7, 10.0).alias("icir"), F.col("user_id").alias("n_stocks"))
+
+
+@query(f"SELECT factor, count(*) AS n_periods, min(date) AS first, max(date) AS last, round(avg(rank_ic), 6) AS avg_rank_ic, round(avg(icir::DOUBLE), 6) AS avg_icir, round(avg(n_stocks), 6) AS avg_n_stocks FROM ({_HISTORY}) GROUP BY 1")
+def view_ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(views.ic_summary_view(_history(spark, sf_dir)))
+
+
+@query("SELECT CAST(ts AS DATE) AS date, event_id, event_type AS trend FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)")
+def view_regime_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.latest_rows(table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), "event_id", F.col("event_type").alias("trend")))
+
+
+@query("SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 AND c_mktsegment <> 'it''s ? \"x\"' GROUP BY 1")
+def rel_sql_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {"tessera_orders": table(spark, sf_dir, "orders"), "tessera_customer": table(spark, sf_dir, "customer")}
+    text = "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM tessera_orders JOIN tessera_customer ON o_custkey = c_custkey WHERE o_totalprice > ? AND c_mktsegment <> ? GROUP BY 1"
+    return views.select(spark, text, tables, [1000, "it's ? \"x\""])

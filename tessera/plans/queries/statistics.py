@@ -126,3 +126,10 @@ def st_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _returns(spark, sf_dir).withColumn("nx", F.lead("ret").over(ordered("code", "date"))).where("ret > 0.5")
     rows = rows.withColumn("board", F.floor(F.col("volume") / 50).cast("bigint")).withColumn("broken", F.col("low") < F.col("open") * 0.5)
     return rounded(st.ladder(rows, "board", "date", "broken", "nx"))
+
+
+@query(f"""WITH {PANEL}, r AS (SELECT code, date, coalesce((close / nullif(lag(close) OVER w, 0) - 1) * 100, 0.0) AS pct, lag(close) OVER w AS p, count(*) OVER (PARTITION BY code) AS n FROM panel WINDOW w AS (PARTITION BY code ORDER BY date)),
+  z AS (SELECT code, date, pct, (pct - avg(pct) OVER k) / CASE WHEN stddev_pop(pct) OVER k > 0 THEN stddev_pop(pct) OVER k ELSE 1.0 END AS z FROM r WHERE n >= 10 AND p IS NOT NULL WINDOW k AS (PARTITION BY code))
+  SELECT code, date, round(pct, 6) AS pct, round(z, 6) AS z, abs(pct) > 15 AS likely_error FROM z WHERE abs(z) > 2.5""")
+def st_price_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(st.price_anomalies(price_panel(spark, sf_dir), limit=2.5))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.catalog import quoted
@@ -60,3 +60,25 @@ def latest_factor(df: DataFrame) -> DataFrame:
 def performance_view(df: DataFrame) -> DataFrame:
     """Per strategy: mean and summed return, benchmark, and their difference (summed, not compounded)."""
     return df.groupBy("strategy").agg(F.avg("ret").alias("mean_ret"), F.sum("ret").alias("sum_ret"), F.avg("bench").alias("mean_bench"), F.sum(F.col("ret") - F.col("bench")).alias("excess"))
+
+
+def ic_summary_view(df: DataFrame) -> DataFrame:
+    """Per factor of (factor, date, rank_ic, icir, n_stocks): periods, their range, and means."""
+    return df.groupBy("factor").agg(
+        F.count("*").alias("n_periods"), F.min("date").alias("first"), F.max("date").alias("last"),
+        F.avg("rank_ic").alias("avg_rank_ic"), F.avg("icir").alias("avg_icir"), F.avg("n_stocks").alias("avg_n_stocks"),
+    )
+
+
+def latest_rows(df: DataFrame, date: str = "date") -> DataFrame:
+    """Rows of the table's last date."""
+    return df.join(F.broadcast(df.agg(F.max(date).alias(date))), date, "left_semi")  # one row
+
+
+def select(spark: SparkSession, text: str, tables: Mapping[str, DataFrame], args: list | tuple = ()) -> DataFrame:
+    """Run a query with ``?`` parameters over named tables and views. Values only reach it as parameters."""
+    if text.split(None, 1)[0].lower() not in ("select", "with"):
+        raise ValueError("only queries are allowed")
+    for name, rows in tables.items():
+        rows.createOrReplaceTempView(quoted(name))
+    return spark.sql(text, args=list(args)) if args else spark.sql(text)

@@ -79,6 +79,14 @@ def test_exit_checks_stop_before_target(spark):
 def test_capped_weights():
     w = pf.capped_weights(np.array([8.0, 1.0, 1.0]), 0.5)
     assert w == pytest.approx([0.5, 0.25, 0.25]) and pf.capped_weights(np.zeros(3), 0.5).sum() == 0
+    assert pf.capped_weights(np.array([1.0, 0.0, 2.0, np.nan]), 0.3) == pytest.approx([0.3, 0, 0.3, 0])  # too few to spend all
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        raw, cap = rng.exponential(size=8) ** 2, rng.uniform(0.13, 0.6)
+        w = pf.capped_weights(raw, cap)
+        free = w < cap - 1e-9
+        assert w.sum() == pytest.approx(1) and w.max() <= cap + 1e-9 and np.ptp((w / raw)[free]) < 1e-9
+        assert not free.any() or ((w / raw)[~free] <= (w / raw)[free][0] + 1e-9).all()
 
 
 def test_simulator_books_balance(spark):
@@ -163,3 +171,38 @@ def test_entry_works_without_training_operators(monkeypatch):
 
     monkeypatch.setattr(e, "_llm", None)
     assert set(e.oracle_sql()) <= set(e.queries()) and not any(n.startswith("op") for n in e.queries())
+
+
+def test_trigram_embedding_against_brute_force(spark):
+    import hashlib
+    import re
+
+    from tessera.operators import text as tx
+
+    texts = ["Hello  World\n again", " ab", "ab", "", None, "abcabcabc", "ΩΩΩ é"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.v for r in df.select("k", tx.trigram_embedding("t", 16).alias("v")).collect()}
+    for k, t in enumerate(texts):
+        clean, want = re.sub(r"\s+", " ", (t or "").lower()), [0.0] * 16
+        for gram in (clean[i : i + 3] for i in range(len(clean) - 2)):
+            h = hashlib.blake2b(gram.encode(), digest_size=8).digest()
+            want[(h[0] + 256 * h[1] + 65536 * h[2] + 16777216 * h[3]) % 16] += 1 if h[4] & 1 else -1
+        size = sum(x * x for x in want) ** 0.5
+        assert got[k] == pytest.approx([x / size if size else 0.0 for x in want])
+
+
+def test_report_dates(spark):
+    from tessera.operators import text as tx
+
+    cases = {"a/2024/3/5/x": "2024-03-05", "2024年12月31日": "2024-12-31", "r_20260819.pdf": "2026-08-19", "n 2026-08-19": "2026-08-19", "m260819.pdf": "2026-08-19", "600519": None, "20261399": None, "1999/1/1": None, "120260819": None, None: None}
+    df = spark.createDataFrame([(c,) for c in cases], "p string")
+    assert {r.p: r.d for r in df.select("p", tx.report_date("p").alias("d")).collect()} == cases
+
+
+def test_select_takes_values_only_as_parameters(spark):
+    from tessera.plans import views
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b'; drop")], "k int, s string")
+    assert [r.k for r in views.select(spark, "SELECT k FROM t_select WHERE s = ?", {"t_select": rows}, ["b'; drop"]).collect()] == [2]
+    with pytest.raises(ValueError):
+        views.select(spark, "DROP VIEW t_select", {})
