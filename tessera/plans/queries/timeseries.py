@@ -250,9 +250,9 @@ def ts_back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PANEL}, a AS (SELECT code, date, close, (open + high + low + close) / 4 AS twap, coalesce(last_value(CASE WHEN volume <> 0 THEN amount / volume END IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING), close) AS vwap,
     CASE WHEN count(close) OVER b >= 20 THEN min(close) OVER b END AS lo, CASE WHEN count(close) OVER b >= 20 THEN max(close) OVER b END AS hi FROM panel WINDOW b AS ({_W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
-  SELECT code, date, round(twap, 6) AS twap, round(vwap, 6) AS vwap, round((close / nullif(twap, 0) - 1) * 100, 3) AS twap_deviation, round((close / nullif(vwap, 0) - 1) * 100, 3) AS vwap_deviation,
+  SELECT code, date, round(twap, 6) AS twap, vwap, round((close / nullif(twap, 0) - 1) * 100, 3) AS twap_deviation, round((close / nullif(vwap, 0) - 1) * 100, 3) AS vwap_deviation,
     CASE WHEN hi > lo THEN round(least(greatest((1 - (close - lo) / (hi - lo)) * 100, 0.0), 100.0), 3) END AS reversal_strength, CASE WHEN hi IS NOT NULL THEN round(least(greatest(lo / nullif(hi, 0), 0.0), 1.0), 6) END AS reversal_ratio FROM a""")
 def ts_price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ts.price_lines(price_panel(spark, sf_dir), 20)
     rows = rows.withColumns({c: F.round(c, 3) for c in ("twap_deviation", "vwap_deviation", "reversal_strength")})
-    return rounded(rows.select("code", "date", "twap", "vwap", "twap_deviation", "vwap_deviation", "reversal_strength", "reversal_ratio"))
+    return rows.select("code", "date", F.round("twap", 6).alias("twap"), "vwap", "twap_deviation", "vwap_deviation", "reversal_strength", F.round("reversal_ratio", 6).alias("reversal_ratio"))
