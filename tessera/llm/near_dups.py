@@ -259,19 +259,22 @@ def _shingles(data: bytes) -> np.ndarray:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) for every id in ``links`` (a, b): the least id reachable. Each round takes the least
-    label among neighbours and then its label's label; it ends when no label changes."""
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        now = materialize(lower.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("far", "component")).alias("component")), "labels")
-        changed = now.where("component < was").limit(1).count()
-        labels = now.select("id", "component")
-        if not changed:
+    """(id, component) for every id that ``links`` (a, b) join to another: the least id reachable. In each round
+    every id goes to its least neighbour's least neighbour, and what is left are the links between these."""
+    ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    edges = materialize(ordered(links), "edges")
+    labels = edges.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
+    for k in range(rounds):
+        if edges.isEmpty():
             return labels
+        ends = edges.select(F.col("b").alias("id"), F.col("a").alias("to")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("to")))
+        near = materialize(ends.groupBy("id").agg(F.min("to").alias("to")), "near")
+        step = materialize(near.join(near.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")), "steps")
+        first = edges.join(step.select(F.col("id").alias("a"), F.col("to").alias("one")), "a")
+        both = first.join(step.select(F.col("id").alias("b"), F.col("to").alias("two")), "b")
+        edges = materialize(ordered(both.select(F.col("one").alias("a"), F.col("two").alias("b"))), "edges")
+        moved = labels.join(step.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        labels = materialize(moved if k else step.withColumnRenamed("to", "component"), "labels")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
