@@ -107,7 +107,8 @@ def _ratios() -> dict[str, Column]:
 #: upwards that to the lower quartile, which bad rows with high ratios don't move while they are fewer than
 #: half; downwards the larger of those to the upper quartile and to the quantile 1 - TOP. Where the lower half is
 #: one value (most texts have no symbols), the typical group's distance takes its place: the median over groups,
-#: to the lower quartile or, if that is nothing too, to the quantile TOP.
+#: to the lower quartile or, if that is nothing too, to the quantile TOP. Groups of n rows on average tell it
+#: as far as such a group has a row beyond the quantile TOP, 1 - TOP^n; for the rest all documents do.
 SPREAD, TOP = 10.0, 0.9
 AT = (1 - TOP, 0.25, 0.5, 0.75, TOP)
 #: A count may exceed its limit by three standard deviations of a count of that size (of one, at least).
@@ -135,15 +136,19 @@ def group_limits(counts: DataFrame, by: tuple[str, ...], sketch_k: int = 400) ->
     usable = counts.where(~F.col("base_failed"))
     own = materialize(_quantiles(usable, list(by), "own", sketch_k), "quantiles")
     gaps = {"low": (2, 1), "top": (4, 2), "up": (3, 2), "bottom": (2, 0)}
-    typical = own.agg(*(F.percentile_approx(F.col(f"__own_{r}")[i] - F.col(f"__own_{r}")[j], 0.5, 10_000).alias(f"__{g}_{r}") for r in RATIOS for g, (i, j) in gaps.items()))
+    typical = own.agg(*(F.percentile_approx(F.col(f"__own_{r}")[i] - F.col(f"__own_{r}")[j], 0.5, 10_000).alias(f"__{g}_{r}") for r in RATIOS for g, (i, j) in gaps.items()), F.avg("__own_n").alias("__mean_n"))
     rows = own.crossJoin(F.broadcast(_quantiles(usable, [], "all", sketch_k))).crossJoin(F.broadcast(typical))  # one row each
     share = F.col("__own_n") / (F.col("__own_n") + PRIOR)
+    known = 1 - F.pow(F.lit(TOP), F.col("__mean_n"))
     limits = []
     for r in RATIOS:
         bottom, low, mid, up = (F.col(f"__own_{r}")[k] for k in range(4))
         middle = F.col(f"__all_{r}")[2]
-        usual = F.when(F.col(f"__low_{r}") > 0, F.col(f"__low_{r}")).otherwise(F.col(f"__top_{r}"))
-        top, base = middle + SPREAD * usual, middle - SPREAD * F.greatest(f"__up_{r}", f"__bottom_{r}")
+        group = {g: F.col(f"__{g}_{r}") for g in gaps}
+        every = {g: F.col(f"__all_{r}")[i] - F.col(f"__all_{r}")[j] for g, (i, j) in gaps.items()}
+        above, below = ([F.when(d["low"] > 0, d["low"]).otherwise(d["top"]) for d in (group, every)], [F.greatest(d["up"], d["bottom"]) for d in (group, every)])
+        usual, under = (known * x + (1 - known) * y for x, y in (above, below))
+        top, base = middle + SPREAD * usual, middle - SPREAD * under
         high = F.least(mid + SPREAD * F.when(mid > low, mid - low).otherwise(usual), F.greatest(mid, top))
         least = mid - SPREAD * F.greatest(up - mid, mid - bottom)
         limits += [(share * high + (1 - share) * top).alias(f"__limit_high_{r}"), (share * least + (1 - share) * base).alias(f"__limit_low_{r}")]

@@ -149,8 +149,10 @@ def exact_limits(rows):
     cut = lambda x, p: float(np.quantile(x, p, method="inverted_cdf"))
     halfway = lambda x: sorted(x)[(len(x) + 1) // 2 - 1]
     found = {g: [cut(x, p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)] for g, x in values.items()}
-    above = halfway([q[2] - q[1] for q in found.values()]) or halfway([q[4] - q[2] for q in found.values()])
-    below = max(halfway([q[3] - q[2] for q in found.values()]), halfway([q[2] - q[0] for q in found.values()]))
+    every = [cut([x for _, x in rows], p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)]
+    known = 1 - 0.9 ** (len(rows) / len(found))
+    above = known * (halfway([q[2] - q[1] for q in found.values()]) or halfway([q[4] - q[2] for q in found.values()])) + (1 - known) * (every[2] - every[1] or every[4] - every[2])
+    below = known * max(halfway([q[3] - q[2] for q in found.values()]), halfway([q[2] - q[0] for q in found.values()])) + (1 - known) * max(every[3] - every[2], every[2] - every[0])
     middle = cut([x for _, x in rows], 0.5)
     top = middle + quality.SPREAD * above
     out = {}
