@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import factors as fz
 from tessera.operators import evaluation as ev
+from tessera.operators import series as sr
 from tessera.operators.timeseries import forward_return
 from tessera.plans.panel import PANEL, price_panel
 from tessera.plans.registry import query, rounded
@@ -35,3 +36,80 @@ def factor_registry_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = forward_return(panel, 4).select("code", "date", "forward")
     rows = fz.long_factors(panel, sorted(fz.FACTORS)).join(label, ["code", "date"])
     return rounded(ev.ic_summary(ev.rank_ic(rows, "value", "forward", least=8, by=("factor",)), by=("factor",)))
+
+
+def _full(x: str, value: str, n: int) -> str:
+    """``value`` over a named window wN of n rows, where all n values of x are known."""
+    return f"CASE WHEN count({x}) OVER w{n} >= {n} THEN {value.format(x=x, w=f'w{n}')} END"
+
+
+def _windows(*sizes: int) -> str:
+    return "WINDOW w AS (" + _W + ")" + "".join(f", w{n} AS ({_W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in sizes)
+
+
+def _mean(x: str, n: int) -> str:
+    return _full(x, "avg({x}) OVER {w}", n)
+
+
+def _corr(x: str, y: str, n: int) -> str:
+    spread = f"(stddev_pop({x}) OVER w{n} * stddev_pop({y}) OVER w{n})"
+    return f"CASE WHEN count({x} + {y}) OVER w{n} >= {n} AND {spread} > 1e-12 THEN covar_pop({x}, {y}) OVER w{n} / {spread} END"
+
+
+#: Prices over whole quantities often end in a half at the last place: both engines add this before they round.
+NUDGE = 1e-9
+#: Places of sums of large amounts.
+PLACES = {"gtja_009": 2, "gtja_011": 4}
+
+
+def _out(names: tuple[str, ...]) -> str:
+    return ", ".join(f"round({n} + {NUDGE}, {PLACES.get(n, 6)}) + 0 AS {n}" for n in names)
+
+
+def _shown(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return rows.select("code", "date", *((F.round(F.col(n) + NUDGE, PLACES.get(n, 6)) + 0.0).alias(n) for n in names))
+
+
+@query(f"""WITH {PANEL}, a AS (SELECT *, row_number() OVER w AS k, close / nullif(lag(close) OVER w, 0) - 1 AS ret, close - lag(close) OVER w AS mv, close / nullif(lag(close, 20) OVER w, 0) - 1 AS mom,
+    (high - low) / nullif(close, 0) AS rg, coalesce((open / nullif(lag(close) OVER w, 0) - 1 > 0.005)::INT, 0)::DOUBLE AS gap, sign(close - open)::DOUBLE AS side, (close - open) / nullif(high - low, 0) AS body FROM panel {_windows()}),
+  b AS (SELECT *, {_full("close", "list({x}) OVER {w}", 20)} AS l20, mv * lag(mv) OVER w AS pair, abs(ret) / nullif(amount, 0) AS cost, {_full("ret", "skewness({x}) OVER {w}", 20)} AS g1, {_full("ret", "kurtosis({x}) OVER {w}", 20)} AS g2 FROM a {_windows(20)}),
+  c AS (SELECT *, list_dot_product(l20, list_transform(range(1, 21), lambda i: i::DOUBLE)) / 210 AS wma, {_mean("pair", 20)} AS cv FROM b {_windows(20)}),
+  d AS (SELECT code, date, (close / nullif(amount / nullif(volume, 0), 0) - 1) * 100 AS vwap_bias, (amount / nullif({_mean("amount", 20)}, 0) - 1) * 100 AS amt_trend,
+    {_full("volume", "stddev_samp({x}) OVER {w}", 20)} / nullif({_mean("volume", 20)}, 0) AS volume_std_20, {_mean("rg", 20)} * 100 AS high_low_range_20, {_full("gap", "sum({x}) OVER {w}", 5)} AS gap_up_5d,
+    mom / nullif({_full("ret", "stddev_samp({x}) OVER {w}", 20)}, 0) AS mom_risk_adj, mom - {_mean("mom", 60)} AS res_mom_approx, (wma / nullif(lag(wma, 5) OVER w, 0) - 1) * 100 AS wma_mom, g1 AS skew_20, g2 AS kurt_20,
+    {_full("side", "sum({x}) OVER {w}", 5)} AS ofi_approx, {_mean("cost", 5)} AS amihud_5d, CASE WHEN cv < 0 THEN 2 * sqrt(-cv) END AS roll_spread, (close / nullif({_mean("close", 20)}, 0) - 1) * 100 AS alpha_rank_cm,
+    {_corr("close", "volume", 10)} AS alpha_corr_cv, len(list_filter(l20, lambda v: v < close)) / 20.0 AS alpha_tsrank_20, (volume / nullif(lag(volume, 5) OVER w, 0) - 1) * 100 AS alpha_delta_vol_5, {_mean("body", 20)} AS candle_strength FROM c {_windows(5, 10, 20, 60)})
+  SELECT code, date, {_out(sr.BAR_SERIES)} FROM d""")
+def factor_bar_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(sr.bar_series(price_panel(spark, sf_dir)), sr.BAR_SERIES)
+
+
+def _rank(x: str, n: int) -> str:
+    return f"CASE WHEN count({x}) OVER w{n} >= {n} THEN list({x}) OVER w{n} END AS {x}_l{n}"
+
+
+def _placed(x: str, n: int) -> str:
+    return f"(len(list_filter({x}_l{n}, lambda one: one < {x})) + (len(list_filter({x}_l{n}, lambda one: one = {x})) + 1) / 2.0) / {n} AS r_{x}"
+
+
+def _share(x: str) -> str:
+    return f"((rank() OVER (PARTITION BY code ORDER BY {x}) + (count(*) OVER (PARTITION BY code, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY code))"
+
+
+@query(f"""WITH {PANEL}, a AS (SELECT *, nullif(volume, 0) AS v, (high + low + close) / 3 AS typ, lag(close) OVER w AS bf, ((close - low) - (high - close)) / (high - low + 1e-8::DOUBLE) AS pl, lag(close, 5) OVER w AS c5, lag(close, 6) OVER w AS c6,
+    lag(high) OVER w AS hb, lag(low) OVER w AS lb, lead(1) OVER w IS NULL AS fin FROM panel {_windows()}),
+  b AS (SELECT *, round(ln(v) - ln(lag(v) OVER w), 12) AS dl, (close - open) / (open + 1e-8::DOUBLE) AS body, CASE WHEN bf IS NULL OR close = bf THEN 0 WHEN close > bf THEN close - least(low, bf) ELSE close - greatest(high, bf) END AS ps, pl * v AS fl, typ - close AS gp,
+    (high + low) / 2 * 0.2::DOUBLE + typ * 0.8::DOUBLE AS mx, open * 0.85::DOUBLE + high * 0.15::DOUBLE AS op, open - typ AS fo, close - typ AS fc, ((high + low) / 2 - (hb + lb) / 2) * (high - low) / (v + 1e-8::DOUBLE) AS sp,
+    typ - coalesce({_full("typ", "max({x}) OVER {w}", 15)}, typ) AS fall FROM a {_windows(15)}),
+  c AS (SELECT *, {_rank("dl", 6)}, {_rank("body", 6)}, {_rank("v", 5)}, {_rank("high", 5)}, {_rank("typ", 5)}, sign(coalesce(op - lag(op, 4) OVER w, 0)) AS sg, coalesce({_full("gp", "min({x}) OVER {w}", 3)}, 0) AS mn, coalesce({_full("gp", "max({x}) OVER {w}", 3)}, 0) AS mxg,
+    coalesce(v - lag(v, 3) OVER w, 0) AS d3, -coalesce(mx - lag(mx, 4) OVER w, 0) AS dm, list(sp) FILTER (sp IS NOT NULL) OVER (w ROWS UNBOUNDED PRECEDING) AS sps FROM b {_windows(3, 5, 6)}),
+  d AS (SELECT *, {_placed("dl", 6)}, {_placed("body", 6)}, {_placed("v", 5)}, {_placed("high", 5)}, {_placed("typ", 5)}, mxg + {_share("mn")} * {_share("d3")} AS bo FROM c),
+  e AS (SELECT *, {_corr("r_v", "r_high", 5)} AS vh, {_corr("r_v", "r_typ", 5)} AS vt, {_corr("r_dl", "r_body", 6)} AS db FROM d {_windows(5, 6)}),
+  f AS (SELECT code, date, -db AS gtja_001, -(pl - lag(pl) OVER w) AS gtja_002, {_full("ps", "sum({x}) OVER {w}", 6)} AS gtja_003, -{_full("vh", "max({x}) OVER {w}", 3)} AS gtja_005, CASE WHEN fin THEN -{_share("sg")} END AS gtja_006,
+    CASE WHEN fin THEN {_share("bo")} END AS gtja_007, CASE WHEN fin THEN {_share("dm")} END AS gtja_008, CASE WHEN len(sps) > 0 THEN list_reduce(sps, lambda s, x: s * 5::DOUBLE / 7 + x * 2::DOUBLE / 7) END AS gtja_009, {_full("fl", "sum({x}) OVER {w}", 6)} AS gtja_011,
+    CASE WHEN fin THEN {_share("fo")} * {_share("fc")} END AS gtja_012, sqrt(high * low) - typ AS gtja_013, close - c5 AS gtja_014, open / (bf + 1e-8::DOUBLE) - 1 AS gtja_015, -{_full("vt", "max({x}) OVER {w}", 5)} AS gtja_016,
+    CASE WHEN fin THEN sign(coalesce(close - c5, 0)) * {_share("fall")} END AS gtja_017, close / (c5 + 1e-8::DOUBLE) - 1 AS gtja_018, CASE WHEN close > c5 THEN (close - c5) / close ELSE (close - c5) / (c5 + 1e-8::DOUBLE) END AS gtja_019,
+    (close - c6) / (c6 + 1e-8::DOUBLE) * 100 AS gtja_020 FROM e {_windows(3, 5, 6)})
+  SELECT code, date, {_out(sr.ALPHAS)} FROM f""")
+def factor_alphas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(sr.alphas(price_panel(spark, sf_dir)), sr.ALPHAS)
