@@ -7,7 +7,7 @@ is a value whose window lacks a known row. Columns whose names begin with two un
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import enough, ordered, pct_change, pct_rank, rolling, safe_div, trailing
@@ -143,3 +143,104 @@ def alphas(panel: DataFrame, key: str = "code", time: str = "date") -> DataFrame
         **{n: F.when(F.col("__last"), x) for n, x in at_end.items()},
     }
     return rows.select(key, time, *(made[n].alias(n) for n in ALPHAS))
+
+
+LEVEL_SERIES = (
+    "tech_mom_accel", "tech_ret_20_60", "tech_ma_bull", "tech_ma20_slope", "tech_ma_cross_5_20", "tech_dmi_plus", "tech_sharpe_60", "tech_sortino_60", "tech_vol_contract", "tech_atr_pct",
+    "tech_boll_pos", "tech_boll_width", "tech_williams_r", "tech_hl_range10", "tech_vol_ratio", "tech_amount_trend", "tech_amount_z", "tech_price_vol_div", "tech_candle_body", "tech_upper_shadow",
+    "tech_high_20d", "tech_low_20d", "tech_close_pos", "tech_breakout_20", "tech_gap_fill", "tech_consec_up", "tech_up_down_ratio", "ma_cross", "bias12", "new_high_dist", "new_low_dist", "volume_trend",
+    "vol_20d", "volume_price_fit", "realized_vol", "downside_vol", "max_dd_12m", "vol_change", "amount_liquidity", "turnover_stability", "dmi", "donchian", "ma_trend", "beta_60d", "downside_beta",
+)
+#: Fixed value: sessions of a year.
+YEAR = 252
+
+
+def level_series(panel: DataFrame, key: str = "code", time: str = "date") -> DataFrame:
+    """Key, time, and LEVEL_SERIES: trends, channels, ranges, volumes and risks that windows alone can give. Flags are
+    0 where their window is not full; places in a channel are 0.5 where it has no width."""
+    w = ordered(key, time)
+    c, o, h, low, v, a = (F.col(x) for x in ("close", "open", "high", "low", "volume", "amount"))
+
+    def flag(test: Column) -> Column:
+        return F.coalesce(test.cast("double"), F.lit(0.0))
+
+    def mean(x: Column | str, n: int) -> Column:
+        return rolling(x, "mean", w, n)
+
+    def pop(x: str, n: int) -> Column:
+        return enough(F.col(x), F.stddev_pop(x).over(trailing(w, n)), trailing(w, n), n)
+
+    def channel(top: Column, bottom: Column) -> Column:
+        return F.when(top > bottom, (c - bottom) / (top - bottom)).otherwise(0.5)
+
+    before = F.lag(c).over(w)
+    rise, fall = h - F.lag(h).over(w), F.lag(low).over(w) - low
+    rows = layered(
+        panel,
+        {
+            "__before": before, "__ret": pct_change(c, w), "__dv": pct_change(v, w), "__range": F.greatest(h - low, F.abs(h - before), F.abs(low - before)), "__up": F.when(rise.isNotNull(), F.greatest(rise, F.lit(0.0))),
+            "__plus": flag((rise > fall) & (rise > 0)) * F.coalesce(rise, F.lit(0.0)), "__minus": flag((fall > rise) & (fall > 0)) * F.coalesce(fall, F.lit(0.0)), "__h": F.lag(h).over(w), "__l": F.lag(low).over(w), "__v": F.lag(v).over(w), "__a": F.lag(a, 5).over(w),
+            "__ma5": mean(c, 5), "__ma20": mean(c, 20), "__ma60": mean(c, 60), "__sd20": rolling(c, "std", w, 20), "__row": F.row_number().over(w),
+        },
+        {
+            "__loss": F.when(F.col("__ret").isNotNull(), F.least(F.col("__ret"), F.lit(0.0))), "__rises": flag(F.col("__ret") > 0), "__falls": flag(F.col("__ret") < 0),
+            "__cross": flag((F.col("__ma5") > F.col("__ma20")) & (F.lag("__ma5").over(w) <= F.lag("__ma20").over(w))), "__rest": F.max(F.when(~F.coalesce(F.col("__ret") > 0, F.lit(False)), F.col("__row"))).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        },
+        {"__n_loss": enough(F.col("__loss"), F.sum("__falls").over(trailing(w, 60)), trailing(w, 60), 60), "__sum_loss": rolling("__loss", "sum", w, 60), "__sum_square": rolling(F.col("__loss") * F.col("__loss"), "sum", w, 60)},
+        {"__sd_loss": F.sqrt(F.greatest(safe_div("__sum_square", "__n_loss") - F.pow(safe_div("__sum_loss", "__n_loss"), 2), F.lit(0.0)))},
+    )
+    x = {n: F.col(n) for n in rows.columns if n.startswith("__")}
+    low_risk = F.when((x["__n_loss"] < 2) | (x["__sd_loss"] < 1e-9), 1.0).otherwise(x["__sd_loss"])
+    top20, bottom20 = rolling("__h", "max", w, 20), rolling("__l", "min", w, 20)
+    high14, low14 = rolling(h, "max", w, 14), rolling(low, "min", w, 14)
+    sum_up, sum_down = rolling("__rises", "sum", w, 20), rolling("__falls", "sum", w, 20)
+    sum_loss = mean("__loss", 60) * 100
+    drop = enough(c, F.max(c).over(trailing(w, 250)), trailing(w, 250), 2)
+    made = {
+        "tech_mom_accel": pct_change(c, w, 20) - pct_change(c, w, 60),
+        "tech_ret_20_60": safe_div(pct_change(c, w, 20), F.abs(pct_change(c, w, 60))),
+        "tech_ma_bull": F.greatest(flag(x["__ma5"] > x["__ma20"]), flag(x["__ma20"] > x["__ma60"]), flag(c > x["__ma5"])),
+        "tech_ma20_slope": pct_change("__ma20", w, 5),
+        "tech_ma_cross_5_20": F.coalesce(rolling("__cross", "max", w, 3), F.lit(0.0)),
+        "tech_dmi_plus": safe_div(mean("__up", 14) * 100, mean("__range", 14)),
+        "tech_sharpe_60": safe_div(mean("__ret", 60), rolling("__ret", "std", w, 60)) * YEAR**0.5,
+        "tech_sortino_60": safe_div(mean("__ret", 60), low_risk) * YEAR**0.5,
+        "tech_vol_contract": safe_div(rolling("__ret", "std", w, 5), rolling("__ret", "std", w, 60)),
+        "tech_atr_pct": safe_div(mean("__range", 14), c),
+        "tech_boll_pos": F.when(x["__sd20"] >= 1e-9, (c - x["__ma20"] + 2 * x["__sd20"]) / (4 * x["__sd20"])).otherwise(0.5),
+        "tech_boll_width": safe_div("__sd20", "__ma20") * 4,
+        "tech_williams_r": safe_div(high14 - c, high14 - low14) * -100,
+        "tech_hl_range10": safe_div(rolling(h, "max", w, 10) - rolling(low, "min", w, 10), mean(h, 10)),
+        "tech_vol_ratio": safe_div(v, mean("__v", 5)),
+        "tech_amount_trend": safe_div(mean(a, 5), mean("__a", 6)) - 1,
+        "tech_amount_z": safe_div(a - mean(a, 20), rolling(a, "std", w, 20)),
+        "tech_price_vol_div": pct_change(c, w, 5) - pct_change(v, w, 5),
+        "tech_candle_body": safe_div(c - o, x["__before"]),
+        "tech_upper_shadow": safe_div(h - F.greatest(c, o), h),
+        "tech_high_20d": flag(h >= top20),
+        "tech_low_20d": flag(low <= bottom20),
+        "tech_close_pos": safe_div(c - rolling(c, "min", w, 20), rolling(c, "max", w, 20) - rolling(c, "min", w, 20)),
+        "tech_breakout_20": safe_div(c, top20) - 1,
+        "tech_gap_fill": flag((o > x["__before"] * 1.005) & (low <= x["__before"])),
+        "tech_consec_up": (x["__row"] - x["__rest"]).cast("double"),
+        "tech_up_down_ratio": safe_div(sum_up, sum_down),
+        "ma_cross": safe_div("__ma5", "__ma20") - 1,
+        "bias12": (safe_div(c, mean(c, 12)) - 1) * 100,
+        "new_high_dist": (safe_div(c, rolling(h, "max", w, 60)) - 1) * 100,
+        "new_low_dist": (safe_div(c, rolling(low, "min", w, 60)) - 1) * 100,
+        "volume_trend": safe_div(mean(v, 5), (rolling(v, "sum", w, 20) - rolling(v, "sum", w, 5)) / 15) - 1,
+        "vol_20d": F.log1p(mean(v, 20)),
+        "volume_price_fit": steady_corr("__ret", "__dv", w, 20),
+        "realized_vol": pop("__ret", 20) * YEAR**0.5 * 100,
+        "downside_vol": F.when(x["__n_loss"] < 3, 0.0).otherwise(x["__sd_loss"] * YEAR**0.5 * 100),
+        "max_dd_12m": (safe_div(c, drop) - 1) * 100,
+        "vol_change": safe_div(pop("__ret", 20), pop("__ret", 60)) - 1,
+        "amount_liquidity": F.log1p(mean(a, 20)),
+        "turnover_stability": -safe_div(pop("volume", 20), mean(v, 20)),
+        "dmi": safe_div((rolling("__plus", "sum", w, 14) - rolling("__minus", "sum", w, 14)) * 100, rolling("__range", "sum", w, 14)),
+        "donchian": channel(rolling(h, "max", w, 20), rolling(low, "min", w, 20)),
+        "ma_trend": safe_div("__ma20", "__ma60") - 1,
+        "beta_60d": mean("__ret", 60) * 100,
+        "downside_beta": F.when(sum_loss == 0, 1.0).otherwise(sum_loss),
+    }
+    return rows.select(key, time, *(made[n].alias(n) for n in LEVEL_SERIES))

@@ -113,3 +113,36 @@ def _share(x: str) -> str:
   SELECT code, date, {_out(sr.ALPHAS)} FROM f""")
 def factor_alphas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(sr.alphas(price_panel(spark, sf_dir)), sr.ALPHAS)
+
+
+def _agg(x: str, how: str, n: int) -> str:
+    return _full(x, how + "({x}) OVER {w}", n)
+
+
+def _flag(test: str) -> str:
+    return f"coalesce(({test})::INT, 0)::DOUBLE"
+
+
+@query(f"""WITH {PANEL}, a AS (SELECT *, lag(close) OVER w AS bf, close / nullif(lag(close) OVER w, 0) - 1 AS r, volume / nullif(lag(volume) OVER w, 0) - 1 AS dv, high - lag(high) OVER w AS ri, lag(low) OVER w - low AS fa, lag(high) OVER w AS hb, lag(low) OVER w AS lb,
+    lag(volume) OVER w AS vb, lag(amount, 5) OVER w AS ab, {_mean("close", 5)} AS m5, {_mean("close", 20)} AS m20, {_mean("close", 60)} AS m60, {_agg("close", "stddev_samp", 20)} AS sd, row_number() OVER w AS k,
+    close / nullif(lag(close, 20) OVER w, 0) - 1 AS p20, close / nullif(lag(close, 60) OVER w, 0) - 1 AS p60 FROM panel {_windows(5, 20, 60)}),
+  b AS (SELECT *, greatest(high - low, abs(high - bf), abs(low - bf)) AS tr, CASE WHEN ri IS NOT NULL THEN greatest(ri, 0) END AS up, CASE WHEN ri > fa AND ri > 0 THEN ri ELSE 0 END AS pl, CASE WHEN fa > ri AND fa > 0 THEN fa ELSE 0 END AS mi, CASE WHEN r IS NOT NULL THEN least(r, 0) END AS ls,
+    {_flag("r > 0")} AS ru, {_flag("r < 0")} AS rd, {_flag("m5 > m20 AND lag(m5) OVER w <= lag(m20) OVER w")} AS cr, max(CASE WHEN r > 0 THEN NULL ELSE k END) OVER (w ROWS UNBOUNDED PRECEDING) AS rest FROM a {_windows()}),
+  c AS (SELECT *, ls * ls AS l2, CASE WHEN count(ls) OVER w60 >= 60 THEN sum(rd) OVER w60 END AS nl FROM b {_windows(60)}),
+  d AS (SELECT *, sqrt(greatest({_agg("l2", "sum", 60)} / nullif(nl, 0) - pow({_agg("ls", "sum", 60)} / nullif(nl, 0), 2), 0)) AS sl, {_agg("hb", "max", 20)} AS t20, {_agg("lb", "min", 20)} AS b20, {_agg("high", "max", 14)} AS h14, {_agg("low", "min", 14)} AS l14,
+    {_agg("high", "max", 20)} AS h20, {_agg("low", "min", 20)} AS l20, {_agg("close", "max", 20)} AS c20, {_agg("close", "min", 20)} AS d20, {_mean("r", 60)} AS r60, {_mean("tr", 14)} AS atr, {_mean("ls", 60)} * 100 AS lm FROM c {_windows(14, 20, 60)}),
+  e AS (SELECT code, date, p20 - p60 AS tech_mom_accel, p20 / nullif(abs(p60), 0) AS tech_ret_20_60, {_flag("coalesce(m5 > m20, FALSE) OR coalesce(m20 > m60, FALSE) OR coalesce(close > m5, FALSE)")} AS tech_ma_bull, m20 / nullif(lag(m20, 5) OVER w, 0) - 1 AS tech_ma20_slope,
+    coalesce({_agg("cr", "max", 3)}, 0) AS tech_ma_cross_5_20, {_mean("up", 14)} * 100 / nullif(atr, 0) AS tech_dmi_plus, r60 / nullif({_agg("r", "stddev_samp", 60)}, 0) * sqrt(252) AS tech_sharpe_60, r60 / CASE WHEN nl < 2 OR sl < 1e-9 THEN 1 ELSE sl END * sqrt(252) AS tech_sortino_60,
+    {_agg("r", "stddev_samp", 5)} / nullif({_agg("r", "stddev_samp", 60)}, 0) AS tech_vol_contract, atr / nullif(close, 0) AS tech_atr_pct, CASE WHEN sd >= 1e-9 THEN (close - m20 + 2 * sd) / (4 * sd) ELSE 0.5 END AS tech_boll_pos, sd / nullif(m20, 0) * 4 AS tech_boll_width,
+    (h14 - close) / nullif(h14 - l14, 0) * -100 AS tech_williams_r, ({_agg("high", "max", 10)} - {_agg("low", "min", 10)}) / nullif({_mean("high", 10)}, 0) AS tech_hl_range10, volume / nullif({_mean("vb", 5)}, 0) AS tech_vol_ratio, {_mean("amount", 5)} / nullif({_mean("ab", 6)}, 0) - 1 AS tech_amount_trend,
+    (amount - {_mean("amount", 20)}) / nullif({_agg("amount", "stddev_samp", 20)}, 0) AS tech_amount_z, close / nullif(lag(close, 5) OVER w, 0) - 1 - (volume / nullif(lag(volume, 5) OVER w, 0) - 1) AS tech_price_vol_div, (close - open) / nullif(bf, 0) AS tech_candle_body,
+    (high - greatest(close, open)) / nullif(high, 0) AS tech_upper_shadow, {_flag("high >= t20")} AS tech_high_20d, {_flag("low <= b20")} AS tech_low_20d, (close - d20) / nullif(c20 - d20, 0) AS tech_close_pos, close / nullif(t20, 0) - 1 AS tech_breakout_20,
+    {_flag("open > bf * 1.005::DOUBLE AND low <= bf")} AS tech_gap_fill, (k - rest)::DOUBLE AS tech_consec_up, {_agg("ru", "sum", 20)} / nullif({_agg("rd", "sum", 20)}, 0) AS tech_up_down_ratio, m5 / nullif(m20, 0) - 1 AS ma_cross, (close / nullif({_mean("close", 12)}, 0) - 1) * 100 AS bias12,
+    (close / nullif({_agg("high", "max", 60)}, 0) - 1) * 100 AS new_high_dist, (close / nullif({_agg("low", "min", 60)}, 0) - 1) * 100 AS new_low_dist, {_mean("volume", 5)} / nullif(({_agg("volume", "sum", 20)} - {_agg("volume", "sum", 5)}) / 15, 0) - 1 AS volume_trend, ln(1 + {_mean("volume", 20)}) AS vol_20d,
+    {_corr("r", "dv", 20)} AS volume_price_fit, {_agg("r", "stddev_pop", 20)} * sqrt(252) * 100 AS realized_vol, CASE WHEN nl < 3 THEN 0 ELSE sl * sqrt(252) * 100 END AS downside_vol, CASE WHEN count(close) OVER w250 >= 2 THEN (close / nullif(max(close) OVER w250, 0) - 1) * 100 END AS max_dd_12m,
+    {_agg("r", "stddev_pop", 20)} / nullif({_agg("r", "stddev_pop", 60)}, 0) - 1 AS vol_change, ln(1 + {_mean("amount", 20)}) AS amount_liquidity, -({_agg("volume", "stddev_pop", 20)} / nullif({_mean("volume", 20)}, 0)) AS turnover_stability,
+    ({_agg("pl", "sum", 14)} - {_agg("mi", "sum", 14)}) * 100 / nullif({_agg("tr", "sum", 14)}, 0) AS dmi, CASE WHEN h20 > l20 THEN (close - l20) / (h20 - l20) ELSE 0.5 END AS donchian, m20 / nullif(m60, 0) - 1 AS ma_trend, r60 * 100 AS beta_60d, CASE WHEN lm = 0 THEN 1 ELSE lm END AS downside_beta
+    FROM d {_windows(3, 5, 6, 10, 12, 14, 20, 60, 250)})
+  SELECT code, date, {_out(sr.LEVEL_SERIES)} FROM e""")
+def factor_level_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(sr.level_series(price_panel(spark, sf_dir)), sr.LEVEL_SERIES)
