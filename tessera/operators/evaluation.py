@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import average_rank, corr, ordered, pct_rank, safe_div, trailing
+from tessera.functions.expr import average_rank, corr, ordered, pct_rank, safe_div, trailing, zscore
 
 
 def rank_ic(df: DataFrame, factor: str, label: str, time: str = "date", least: int = 30, by: tuple[str, ...] = ()) -> DataFrame:
@@ -173,3 +173,38 @@ def crowding(df: DataFrame, factors: list[str], threshold: float = 0.7) -> DataF
     rows = df.agg(F.array(*pairs).alias("r")).select(F.expr("aggregate(r, 0D, (a, x) -> a + x) / size(r)").alias("avg_correlation"), F.size(F.filter("r", lambda x: F.abs(x) > threshold)).cast("bigint").alias("n_high_pairs"))
     level = F.when(F.col("avg_correlation") > 0.7, "high").when(F.col("avg_correlation") > 0.4, "medium").otherwise("low")
     return rows.withColumn("level", level)
+
+
+def factor_weights(ic: DataFrame, how: str = "icir", half_life: float = 20, time: str = "date") -> DataFrame:
+    """(factor, weight), weights summing to 1, from coefficients by (factor, time): ``icir``, mean over deviation, and
+    ``decay``, mean with half the weight every ``half_life`` times back, count only above zero; ``ic`` is the size of the mean.
+    Where no factor has any, all weigh the same. Give rows known at the decision only: every row counts."""
+    age = F.row_number().over(Window.partitionBy("factor").orderBy(F.col(time).desc())) - 1
+    rows = ic.withColumn("__fade", F.pow(F.lit(0.5), age / F.lit(float(half_life))))
+    score = {
+        "icir": F.greatest(safe_div(F.avg("ic"), F.greatest(F.stddev_samp("ic"), F.lit(1e-12))), F.lit(0.0)),
+        "ic": F.abs(F.avg("ic")),
+        "decay": F.greatest(safe_div(F.sum(F.coalesce("ic", F.lit(0.0)) * F.col("__fade")), F.sum("__fade")), F.lit(0.0)),
+    }[how]
+    each = rows.groupBy("factor").agg(F.coalesce(score, F.lit(0.0)).alias("__score"))
+    total = each.agg(F.sum("__score").alias("__total"), F.count("*").alias("__n"))
+    return each.crossJoin(F.broadcast(total)).select("factor", F.when(F.col("__total") > 0, F.col("__score") / F.col("__total")).otherwise(1 / F.col("__n")).alias("weight"))  # one row
+
+
+def combined(df: DataFrame, factors: list[str], weights: DataFrame, key: str = "code", time: str = "date", limit: float = 5.0) -> DataFrame:
+    """(key, time, score): weighted sum of each time's standard scores (sample deviation; 0 without spread), held to
+    ``limit``. A row that lacks one of the factors has no score; a factor without a weight counts nothing."""
+    scores = df.select(key, time, *(F.when(F.col(c).isNotNull(), F.coalesce(zscore(c, [time], ddof=1, limit=limit), F.lit(0.0))).alias(c) for c in factors))
+    named = weights.groupBy().agg(*(F.sum(F.when(F.col("factor") == c, F.col("weight"))).alias(f"__w_{c}") for c in factors))
+    total = sum((F.col(c) * F.coalesce(F.col(f"__w_{c}"), F.lit(0.0)) for c in factors), F.lit(0.0))
+    return scores.crossJoin(F.broadcast(named)).select(key, time, total.alias("score"))  # one row
+
+
+def redundant_groups(pairs: DataFrame, factors: list[str], threshold: float = 0.7) -> dict[str, str]:
+    """Each factor's representative: the first factor, in order, that it correlates with by ``threshold`` or more and
+    that isn't itself represented. Takes (a, b, corr) with one row per pair of factors, so few rows reach the driver."""
+    close = {frozenset((r["a"], r["b"])) for r in pairs.where(F.abs("corr") >= threshold).select("a", "b").collect()}
+    chosen: dict[str, str] = {}
+    for f in factors:
+        chosen[f] = next((g for g in factors[: factors.index(f)] if chosen[g] == g and frozenset((f, g)) in close), f)
+    return chosen

@@ -146,3 +146,35 @@ def ev_long_short_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT round(m, 6) AS avg_correlation, n AS n_high_pairs, CASE WHEN m > 0.7 THEN 'high' WHEN m > 0.4 THEN 'medium' ELSE 'low' END AS level FROM r""")
 def ev_crowding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.crowding(factor_panel(spark, sf_dir), ["volume", "amount", "mom", "close"]))
+
+
+_LONG_IC = f"""{_FACTORS}, lg AS (SELECT 'mom' AS factor, code, date, mom AS value, forward FROM fp UNION ALL SELECT 'ret', code, date, ret, forward FROM fp),
+  lr AS (SELECT factor, date, {_rank('value', 'factor, date')} AS f, {_rank('forward', 'factor, date')} AS l FROM lg WHERE value IS NOT NULL AND forward IS NOT NULL),
+  li AS (SELECT factor, date, corr(f, l) AS ic FROM lr GROUP BY 1, 2 HAVING count(*) >= 30), fd AS (SELECT *, pow(0.5::DOUBLE, (row_number() OVER (PARTITION BY factor ORDER BY date DESC) - 1) / 20.0::DOUBLE) AS fade FROM li),
+  sc AS (SELECT factor, greatest(avg(ic) / greatest(stddev_samp(ic), 1e-12::DOUBLE), 0) AS icir, abs(avg(ic)) AS ic, greatest(sum(coalesce(ic, 0) * fade) / sum(fade), 0) AS decay FROM fd GROUP BY 1),
+  sl AS (SELECT 'icir' AS how, factor, icir AS s FROM sc UNION ALL SELECT 'ic', factor, ic FROM sc UNION ALL SELECT 'decay', factor, decay FROM sc),
+  wt AS (SELECT how, factor, CASE WHEN sum(s) OVER (PARTITION BY how) > 0 THEN s / sum(s) OVER (PARTITION BY how) ELSE 1.0::DOUBLE / count(*) OVER (PARTITION BY how) END AS weight FROM sl)"""
+
+
+def _coefficients(panel: DataFrame) -> DataFrame:
+    rows = panel.select("date", "forward", "mom", "ret").unpivot(["date", "forward"], ["mom", "ret"], "factor", "value")
+    return ev.rank_ic(rows, "value", "forward", by=("factor",))
+
+
+@query(f"WITH {_LONG_IC} SELECT how, factor, round(weight, 6) AS weight FROM wt")
+def ev_factor_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ic = _coefficients(factor_panel(spark, sf_dir))
+    each = [ev.factor_weights(ic, how).select(F.lit(how).alias("how"), "factor", "weight") for how in ("icir", "ic", "decay")]
+    return rounded(each[0].unionAll(each[1]).unionAll(each[2]))
+
+
+def _score(x: str) -> str:
+    own = f"({x} - avg({x}) OVER d) / nullif(stddev_samp({x}) OVER d, 0)"
+    return f"CASE WHEN {x} IS NOT NULL THEN greatest(least(coalesce({own}, 0), 5), -5) END"
+
+
+@query(f"""WITH {_LONG_IC}, z AS (SELECT code, date, {_score("mom")} AS zm, {_score("ret")} AS zr FROM fp WINDOW d AS (PARTITION BY date))
+  SELECT code, date, round(zm * coalesce((SELECT weight FROM wt WHERE how = 'ic' AND factor = 'mom'), 0) + zr * coalesce((SELECT weight FROM wt WHERE how = 'ic' AND factor = 'ret'), 0), 6) AS score FROM z""")
+def ev_combined_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = factor_panel(spark, sf_dir)
+    return rounded(ev.combined(panel, ["mom", "ret"], ev.factor_weights(_coefficients(panel), "ic")))

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import expr
+from tessera.operators import series as sr
+from tessera.operators import evaluation as ev
 from tessera.operators import crosssection as xs
 from tessera.operators import joins as jn
 from tessera.operators import portfolio as pf
@@ -206,3 +208,27 @@ def test_select_takes_values_only_as_parameters(spark):
     assert [r.k for r in views.select(spark, "SELECT k FROM t_select WHERE s = ?", {"t_select": rows}, ["b'; drop"]).collect()] == [2]
     with pytest.raises(ValueError):
         views.select(spark, "DROP VIEW t_select", {})
+
+
+def test_redundant_groups(spark):
+    pairs = spark.createDataFrame([("a", "b", 0.9), ("b", "c", -0.8), ("a", "c", 0.1), ("c", "d", 0.69)], "a string, b string, corr double")
+    assert ev.redundant_groups(pairs, ["a", "b", "c", "d"]) == {"a": "a", "b": "a", "c": "c", "d": "d"}
+
+
+def test_factor_weights_without_skill_are_equal(spark):
+    ic = spark.createDataFrame([("a", 1, -0.1), ("a", 2, -0.3), ("b", 1, None), ("b", 2, None)], "factor string, date int, ic double")
+    for how in ("icir", "decay"):
+        assert {r.factor: r.weight for r in ev.factor_weights(ic, how).collect()} == {"a": 0.5, "b": 0.5}
+    assert {r.factor: r.weight for r in ev.factor_weights(ic, "ic").collect()} == {"a": 1.0, "b": 0.0}
+
+
+def test_series_pass_over_short_keys_and_extra_columns(spark):
+    rows = [(1, k, 10.0 + k % 3, 12.0 + k % 3, 9.0, 11.0 + k % 2, 5.0 + k, 50.0, "x") for k in range(30)] + [(2, 0, None, None, None, None, None, None, "y")]
+    bars = spark.createDataFrame(rows, "code int, date int, open double, high double, low double, close double, volume double, amount double, skew_20 string")
+    for make, names in ((sr.bar_series, sr.BAR_SERIES), (sr.alphas, sr.ALPHAS), (sr.level_series, sr.LEVEL_SERIES)):
+        made = make(bars)
+        assert made.columns == ["code", "date", *names] and made.count() == 31 and make(bars.limit(0)).count() == 0
+    closes = [11.0 + k % 2 for k in range(30)]
+    got = {r.date: r.wma_mom for r in sr.bar_series(bars).where("code = 1").collect()}
+    mean = lambda t: sum((i + 1) * closes[t - 19 + i] for i in range(20)) / 210
+    assert got[23] is None and abs(got[29] - 100 * (mean(29) / mean(24) - 1)) < 1e-9
