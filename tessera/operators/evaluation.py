@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import average_rank, corr, ordered, pct_rank, safe_div, trailing, zscore
@@ -120,18 +120,24 @@ def fama_macbeth(df: DataFrame, label: str, factors: list[str], time: str = "dat
 
 
 def premium_summary(premia: DataFrame, lags: int | None = None, time: str = "date") -> DataFrame:
-    """Mean premium and its Newey-West t-value (Bartlett weights, 4 (T/100)^(2/9) lags unless given)."""
-    most = 12 if lags is None else lags
-    w = Window.partitionBy("factor").orderBy(time)
-    rows = premia.withColumn("e", F.col("premium") - F.avg("premium").over(Window.partitionBy("factor")))
-    rows = rows.select("factor", "premium", "e", *(F.lag("e", k).over(w).alias(f"e{k}") for k in range(1, most + 1)))
-    sums = rows.groupBy("factor").agg(F.avg("premium").alias("mean"), F.count("*").alias("n"), F.sum(F.col("e") * F.col("e")).alias("s0"), *(F.sum(F.col("e") * F.col(f"e{k}")).alias(f"s{k}") for k in range(1, most + 1)))
-    depth = F.floor(4 * F.pow(F.col("n") / 100, 2 / 9)) if lags is None else F.lit(lags)
-    omega = F.col("s0")
-    for k in range(1, most + 1):
-        omega = omega + F.when(F.lit(k) <= depth, 2 * (1 - k / (depth + 1)) * F.coalesce(f"s{k}", F.lit(0.0))).otherwise(0.0)
-    variance = F.greatest(omega / (F.col("n") * F.col("n")), F.lit(1e-12))
-    return sums.select("factor", "mean", "n", (F.col("mean") / F.sqrt(variance)).alias("t"))
+    """Mean premium and its Newey-West t-value (Bartlett weights, 4 (T/100)^(2/9) lags unless given, however many
+    these are). A factor's premia are one ordered array: one value per time."""
+    series = premia.groupBy("factor").agg(F.avg("premium").alias("mean"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(time, "premium"))).alias("__all"))
+    rows = series.withColumn("__e", F.transform("__all", lambda r: F.coalesce(r["premium"] - F.col("mean"), F.lit(0.0))))
+    n, e = F.col("n"), F.col("__e")
+    depth = (F.floor(4 * F.pow(n / 100, 2 / 9)) if lags is None else F.lit(lags)).cast("int")
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+    def at_lag(k: Column) -> Column:
+        products = F.zip_with(F.slice(e, F.lit(1), n.cast("int") - k), F.slice(e, k + 1, n.cast("int") - k), lambda x, y: x * y)
+        return total(products) * 2 * (1 - k / (depth + 1))
+
+    used = F.filter(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda k: (k <= depth) & (k < n))
+    omega = total(F.transform(e, lambda x: x * x)) + total(F.transform(used, at_lag))
+    variance = F.greatest(omega / (n * n), F.lit(1e-12))
+    return rows.select("factor", "mean", "n", (F.col("mean") / F.sqrt(variance)).alias("t"))
 
 
 def four_gates(stats: DataFrame) -> DataFrame:

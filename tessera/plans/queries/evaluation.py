@@ -112,7 +112,13 @@ def ev_fama_macbeth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.fama_macbeth(factor_panel(spark, sf_dir), "forward", ["mom"]), 5)
 
 
-@query()
+@query(f"""WITH {_FACTORS}, g AS (SELECT date, forward AS y, mom AS a, ln(amount) AS b FROM fp WHERE forward IS NOT NULL AND mom IS NOT NULL AND amount IS NOT NULL),
+  m AS (SELECT date, avg(y) AS y, avg(a) AS a, avg(b) AS b, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(a, b) AS ab, var_pop(a) AS aa, var_pop(b) AS bb FROM g GROUP BY date HAVING count(*) >= 10),
+  c AS (SELECT *, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS ca, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS cb FROM m),
+  p AS (SELECT date, 'const' AS factor, y - ca * a - cb * b AS premium FROM c UNION ALL SELECT date, 'mom', ca FROM c UNION ALL SELECT date, 'size', cb FROM c),
+  e AS (SELECT factor, premium, premium - avg(premium) OVER f AS e, count(*) OVER f AS n, floor(4 * pow(count(*) OVER f / 100.0::DOUBLE, 2 / 9.0::DOUBLE)) AS depth, row_number() OVER (PARTITION BY factor ORDER BY date) AS k FROM p WINDOW f AS (PARTITION BY factor)),
+  o AS (SELECT x.factor, sum(x.e * y.e * CASE WHEN x.k = y.k THEN 1 ELSE 2 * (1 - (y.k - x.k) / (x.depth + 1)) END) AS omega FROM e x JOIN e y ON x.factor = y.factor AND y.k BETWEEN x.k AND x.k + x.depth GROUP BY 1)
+  SELECT factor, round(avg(premium), 5) AS mean, count(*) AS n, round(avg(premium) / sqrt(greatest(any_value(omega) / pow(count(*), 2), 1e-12::DOUBLE)), 5) AS t FROM e JOIN o USING (factor) GROUP BY factor""")
 def ev_fama_macbeth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = factor_panel(spark, sf_dir).withColumn("size", F.log("amount"))
     return rounded(ev.premium_summary(ev.fama_macbeth(rows, "forward", ["mom", "size"])), 5)
