@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, warc
+from tessera.llm import audit, lines, manifest, mixing, warc
 from tessera.llm.bpe import round_trip_digests
 from tessera.llm.html import extract_main_text
 from tessera.llm.near_dups import near_duplicates
@@ -65,6 +65,18 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_check(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # beside the package; the driver may delete both
 
@@ -72,9 +84,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_multi_index_neighbours, op2_weighted_fair_mix, op3_bpe_round_trip, op4_html_main_text, op5_word_piece_counts, op6_substring_dedup, op7_quality_rules, op8_minhash_near_dedup, op9_toxicity, op10_warc_revisits, pipeline)
+    own = (op1_multi_index_neighbours, op2_weighted_fair_mix, op3_bpe_round_trip, op4_html_main_text, op5_word_piece_counts, op6_substring_dedup, op7_quality_rules, op8_minhash_near_dedup, op9_toxicity, op10_warc_revisits, op11_filter_interactions, op12_line_dedup, op13_merkle_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_weighted_fair_mix": mixing.ORACLE_SQL, "op10_warc_revisits": warc.ORACLE_SQL}
+    return {"op2_weighted_fair_mix": mixing.ORACLE_SQL, "op10_warc_revisits": warc.ORACLE_SQL, "op11_filter_interactions": audit.ORACLE_SQL, "op12_line_dedup": lines.ORACLE_SQL, "op13_merkle_manifest": manifest.ORACLE_SQL}
