@@ -30,7 +30,8 @@ from tessera.llm.scratch import shuffle_partitions
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 MASKS = 1 << len(FILTERS)
-HELD = 32 << 20
+#: Bytes of text that a task holds before it routes what it has, and that a partition is laid out for.
+HELD, PART = 32 << 20, 32 << 20
 SCHEMA = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 _CAPITALS, _MARKS = bytes(range(65, 91)), b"#$%&*|"
 
@@ -126,8 +127,9 @@ def settle(routed: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int | None, st
 def document_masks(docs: DataFrame, doc_id: str = "doc_id", part: str = "lang", text: str = "text") -> DataFrame:
     """One row per document, repeated rows summed in ``docs``: doc_id, part, mask, docs."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{part}`").cast("string"), F.col(f"`{text}`").cast("string")).rdd
-    routed = rows.mapPartitions(route).repartitionAndSortWithinPartitions(max(shuffle_partitions(spark), rows.getNumPartitions()), partitionFunc=int)
+    chosen = docs.select(F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{part}`").cast("string"), F.col(f"`{text}`").cast("string").alias("text"))
+    size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # nothing sizes an RDD's partitions at run time
+    routed = chosen.rdd.mapPartitions(route).repartitionAndSortWithinPartitions(max(shuffle_partitions(spark), -(-size // PART)), partitionFunc=int)
     return spark.createDataFrame(routed.mapPartitions(settle), "doc_id long, part string, mask int, docs long", verifySchema=False)
 
 
