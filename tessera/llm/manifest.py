@@ -165,6 +165,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, doc_id: str = "d
     keep = keep or {}
     group = F.when(F.col(source).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
     leaves = docs.select(F.col(doc_id).alias("doc_id"), group.alias("group"), leaf_digest([F.col(c) for c in fields]).alias("digest"), *(c.alias(name) for name, c in keep.items()))
+    leaves = materialize(leaves, "merkle-digests")  # a range sort reads its input twice: not the texts
     rounds, subroots = _climb(ranked(leaves, "group", ["doc_id", "digest"], "merkle-leaves"), fanout, levels)
     sources = subroots.select(F.lit("").alias("group"), F.col("group").alias("name"), "digest", "round")
     top_rounds, root = _climb(ranked(sources, "group", ["name"], "merkle-sources"), fanout, levels)
