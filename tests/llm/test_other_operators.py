@@ -194,5 +194,5 @@ def test_pipeline_decisions(spark, stages):
 
 def test_queries_are_registered():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)

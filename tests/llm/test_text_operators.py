@@ -428,3 +428,17 @@ def test_held_out_fold_is_crc32(spark):
 
     got = {r.i: r.h for r in spark.range(50).select(F.col("id").alias("i"), toxicity.held_out("id").alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)}
+
+
+def test_quality_limits_follow_the_group(spark):
+    """The same count of symbols is usual in one source and out of range in another; so are long words."""
+    rng = np.random.default_rng(12)
+
+    def doc(symbols, letters):
+        return " ".join("x" * int(rng.integers(letters - 1, letters + 2)) + str(rng.integers(0, 10**6)) + "#" * int(rng.random() < symbols) for _ in range(120))
+
+    rows = [(k, doc(0.5, 4), "en", "code") for k in range(300)] + [(1000 + k, doc(0.02, 4), "en", "prose") for k in range(300)] + [(2000 + k, doc(0.02, 14), "en", "names") for k in range(300)]
+    rows += [(9000, doc(0.5, 4), "en", "prose"), (9001, doc(0.5, 4), "en", "code"), (9002, doc(0.02, 14), "en", "prose"), (9003, doc(0.02, 14), "en", "names"), (9004, doc(0.02, 4), "en", "names"), (9005, doc(0.02, 4), "en", "prose")]
+    kept = {r.doc_id: r.kept for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
+    assert [kept[k] for k in range(9000, 9006)] == [False, True, False, True, False, True]
+    assert all(sum(kept[k] for k in range(lo, lo + 300)) >= 297 for lo in (0, 1000, 2000))
