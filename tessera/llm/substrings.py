@@ -42,8 +42,6 @@ CUTS, RUNS = (0.1, 0.2), 1
 #: Bytes of text whose fingerprints make a bucket; a task holds one bucket at a time.
 BUCKET_BYTES = 4 << 20
 _LONGEST = 96  # windows in one entry
-_OLD = np.iinfo(np.int64).min  # the doc_id of the index's entries: smaller than any
-_NULL_ID = np.iinfo(np.int64).max
 _ROWS = "kind int, part int, data binary"
 _HIT, _ENTRY, _RUN = 0, 1, 2
 
@@ -100,30 +98,44 @@ def _begins(count: np.ndarray) -> np.ndarray:
     return np.cumsum(count.astype(np.int64)) - count
 
 
+def _places(doc: np.ndarray, void: np.ndarray, old: np.ndarray | None = None) -> np.ndarray:
+    """The places of documents in their order, equal ones the same: ascending ids, then those without one (``void``). Before
+    them all, at 0, come entries of the index (``old``)."""
+    order = np.lexsort((doc, void))
+    step = np.ones(len(doc), np.int64)
+    step[1:] = (doc[order][1:] != doc[order][:-1]) | (void[order][1:] != void[order][:-1])
+    out = np.empty(len(doc), np.int64)
+    out[order] = np.cumsum(step)
+    if old is not None:
+        out[old] = 0
+    return out
+
+
 class _Gathered:
     """Entries of one task, resolved among themselves when they are sent."""
 
     def __init__(self, buckets: int):
         self.buckets, self.parts, self.n = buckets, [], 0
 
-    def add(self, doc: np.ndarray, mark: np.ndarray, entries: tuple[np.ndarray, ...]) -> None:
+    def add(self, doc: np.ndarray, void: np.ndarray, mark: np.ndarray, entries: tuple[np.ndarray, ...]) -> None:
         row, start, count, anchor, content, wide, narrow = entries
         if len(row):
-            self.parts.append((doc[row], mark[row], start.astype(np.int32), count.astype(np.int16), anchor, content, wide, narrow))
+            self.parts.append((doc[row], void[row], mark[row], start.astype(np.int32), count.astype(np.int16), anchor, content, wide, narrow))
             self.n += len(row)
 
     def send(self) -> Iterator[tuple[int, int, bytes]]:
         if not self.n:
             return
-        doc, mark, start, count, anchor, content, wide, narrow = (np.concatenate(x) for x in zip(*self.parts))
+        doc, void, mark, start, count, anchor, content, wide, narrow = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.n = [], 0
-        order = np.lexsort((doc, content))
+        place = _places(doc, void)
+        order = np.lexsort((place, content))
         same = np.zeros(len(order), bool)  # by content, anchor and count: 64 bits alone would be too few
         same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (content, anchor, count)])
-        least = doc[order][np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        least = place[order][np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         later = np.zeros(len(order), bool)
-        later[order] = doc[order] > least
-        yield from _hits(doc[later], mark[later], start[later], count[later], self.buckets)
+        later[order] = place[order] > least
+        yield from _hits(doc[later], void[later], mark[later], start[later], count[later], self.buckets)
         begin = _begins(count)
         kept = np.flatnonzero(~later)
         part = (anchor[kept] % _U(self.buckets)).astype(np.int64)
@@ -132,19 +144,19 @@ class _Gathered:
         for k in np.flatnonzero(np.diff(bounds)):
             own = kept[bounds[k] : bounds[k + 1]]
             windows = _ranges(begin[own], count[own].astype(np.int64))
-            yield _ENTRY, int(k), _pack(doc[own], mark[own], start[own], count[own], anchor[own], wide[windows], narrow[windows])
+            yield _ENTRY, int(k), _pack(doc[own], void[own], mark[own], start[own], count[own], anchor[own], wide[windows], narrow[windows])
 
 
-def _hits(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, count: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
+def _hits(doc: np.ndarray, void: np.ndarray, mark: np.ndarray, start: np.ndarray, count: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
     """Windows to remove, dealt out by document."""
     if not len(doc):
         return
-    part = (mix(doc.astype(np.uint64) + _U(5)) % _U(parts)).astype(np.int64)
-    order = np.lexsort((start, mark, doc, part))
+    part = (mix(doc.astype(np.uint64) + mix(mark.astype(np.uint64)) + _U(5)) % _U(parts)).astype(np.int64)
+    order = np.lexsort((start, mark, void, doc, part))
     bounds = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
     for k in np.flatnonzero(np.diff(bounds)):
         own = order[bounds[k] : bounds[k + 1]]
-        yield _HIT, int(k), _pack(doc[own], mark[own], start[own].astype(np.int32), count[own].astype(np.int16))
+        yield _HIT, int(k), _pack(doc[own], void[own], mark[own], start[own].astype(np.int32), count[own].astype(np.int16))
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -170,9 +182,11 @@ def _entries_of(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             held = _Gathered(buckets)
             for batch in batches:
                 doc = batch.column(0).to_numpy(zero_copy_only=False)
-                mark = batch.column(1).to_numpy(zero_copy_only=False)
-                for b in blocks(batch.column(2)):
-                    held.add(doc[b.first : b.first + b.rows], mark[b.first : b.first + b.rows], block_entries(b))
+                void = batch.column(1).to_numpy(zero_copy_only=False)
+                mark = batch.column(2).to_numpy(zero_copy_only=False)
+                for b in blocks(batch.column(3)):
+                    rows_of = slice(b.first, b.first + b.rows)
+                    held.add(doc[rows_of], void[rows_of], mark[rows_of], block_entries(b))
                     if held.n >= _FLUSH:
                         yield from held.send()
             yield from held.send()
@@ -183,16 +197,19 @@ def _entries_of(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def _merged(blobs: list[bytes], old: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Entries of a batch and then of the index, and which are of the index."""
     parts = [_unpack(x) for x in blobs]
+    new = sum(len(x[0]) for x in parts)
     for x in old:
         anchor, count, wide, narrow = _unpack(x)
         n = len(anchor)
-        parts.append([np.full(n, _OLD), np.zeros(n, np.int32), np.zeros(n, np.int32), count, anchor, wide, narrow])
-    return tuple(np.concatenate(x) for x in zip(*parts))
+        parts.append([np.zeros(n, np.int64), np.zeros(n, np.int8), np.zeros(n, np.int32), np.zeros(n, np.int32), count, anchor, wide, narrow])
+    merged = [np.concatenate(x) for x in zip(*parts)]
+    return *merged, np.arange(len(merged[0])) >= new
 
 
-def resolve(doc: np.ndarray, count: np.ndarray, anchor: np.ndarray, wide: np.ndarray, narrow: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window: its entry and place in it, and whether a smaller document has it."""
+def resolve(place_of: np.ndarray, count: np.ndarray, anchor: np.ndarray, wide: np.ndarray, narrow: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window: its entry and place in it, and whether an earlier document (by ``place_of``) has it."""
     entry = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(entry)) - _begins(count)[entry]
     lead = anchor[entry]
@@ -208,7 +225,7 @@ def resolve(doc: np.ndarray, count: np.ndarray, anchor: np.ndarray, wide: np.nda
     if not np.array_equal(same, same & equal()):  # two windows with one key: sort on all that is known of them
         order = np.lexsort((narrow, wide, lead))
         same = equal()
-    owner = doc[entry][order]
+    owner = place_of[entry][order]
     heads = np.flatnonzero(np.concatenate(([True], ~same)))[: len(order)]
     repeated = np.zeros(len(order), bool)
     if len(order):
@@ -225,20 +242,20 @@ def _bucket_job(parts: int, keep_run: bool) -> Callable[[Iterator[pa.RecordBatch
             yield _HIT, part, x
         if not blobs.get(_ENTRY):
             return
-        doc, mark, start, count, anchor, wide, narrow = _merged(blobs[_ENTRY], blobs.get(_RUN, []))
-        entry, place, repeated = resolve(doc, count, anchor, wide, narrow)
+        doc, void, mark, start, count, anchor, wide, narrow, old = _merged(blobs[_ENTRY], blobs.get(_RUN, []))
+        entry, place, repeated = resolve(_places(doc, void, old), count, anchor, wide, narrow)
         hit = np.flatnonzero(repeated)
         if len(hit):
             new = np.ones(len(hit), bool)
             new[1:] = (entry[hit][1:] != entry[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)
             first = np.flatnonzero(new)
             e = entry[hit][first]
-            yield from _hits(doc[e], mark[e], start[e] + place[hit][first].astype(np.int32), np.diff(np.append(first, len(hit))), parts)
+            yield from _hits(doc[e], void[e], mark[e], start[e] + place[hit][first].astype(np.int32), np.diff(np.append(first, len(hit))), parts)
         if keep_run:
             seen = np.ones(len(count), bool)  # an entry is new unless each of its windows is in an older place
             known = np.bincount(entry[repeated], minlength=len(count)) == count
             seen[known] = False
-            own = np.flatnonzero(seen & (doc != _OLD))
+            own = np.flatnonzero(seen & ~old)
             own = own[np.argsort(anchor[own], kind="stable")]
             windows = _ranges(_begins(count)[own], count[own].astype(np.int64))
             yield _RUN, part, _pack(anchor[own], count[own], wide[windows], narrow[windows])
@@ -265,13 +282,13 @@ def _spans_job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From all hits of a part to one row per document: first words and lengths of its spans to remove."""
 
     def close(blobs: list[bytes]) -> pa.RecordBatch:
-        doc, mark, start, count = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
-        order = np.lexsort((start, mark, doc))
-        doc, mark, start, count = doc[order], mark[order], start[order], count[order]
-        head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]))))
+        doc, void, mark, start, count = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
+        order = np.lexsort((start, mark, void, doc))
+        doc, void, mark, start, count = doc[order], void[order], mark[order], start[order], count[order]
+        head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (void[1:] != void[:-1]) | (mark[1:] != mark[:-1]))))
         to = np.append(head, len(doc)).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(x.astype(np.int32), pa.int32())) for x in (start, count)]
-        return pa.RecordBatch.from_arrays([pa.array(doc[head], pa.int64()), pa.array(mark[head], pa.int32()), *lists], names=["__id", "__mark", "__start", "__count"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[head], pa.int64()), pa.array(void[head], pa.int8()), pa.array(mark[head], pa.int32()), *lists], names=["__id", "__void", "__mark", "__start", "__count"])
 
     part, blobs = -1, []
     for batch in batches:
@@ -286,7 +303,9 @@ def _spans_job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> list:
-    return [F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NULL_ID)).alias("__id"), F.hash(F.col(text)).alias("__mark")]
+    """A row's id, whether it has none, and its text's hash: rows may share an id."""
+    number = F.col(doc_id).cast("bigint")
+    return [F.coalesce(number, F.lit(0)).alias("__id"), number.isNull().cast("tinyint").alias("__void"), F.hash(F.col(text)).alias("__mark")]
 
 
 class FingerprintIndex:
@@ -318,7 +337,7 @@ class FingerprintIndex:
             if len(self.paths) > self.max_runs:
                 self.compact()
         hits = self.spark.read.schema(_ROWS).parquet(path).where(F.col("kind") == _HIT).select("part", "data")
-        spans = hits.repartition("part").sortWithinPartitions("part").mapInArrow(_spans_job, "__id bigint, __mark int, __start array<int>, __count array<int>")
+        spans = hits.repartition("part").sortWithinPartitions("part").mapInArrow(_spans_job, "__id bigint, __void tinyint, __mark int, __start array<int>, __count array<int>")
         return spans
 
     def compact(self) -> None:
@@ -420,7 +439,7 @@ def _fields(df: DataFrame) -> list[str]:
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cuts: tuple[float, ...] = CUTS, index: FingerprintIndex | None = None) -> DataFrame:
     """Spans of all documents, which enter the index in batches: ranges of doc_id that end near the quantiles
     ``cuts``. The result doesn't depend on these."""
-    key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NULL_ID))
+    key = F.col(doc_id).cast("bigint")
     ends = F.percentile_approx(F.col(doc_id).cast("bigint"), F.lit(list(cuts)), 1000) if cuts else F.lit(None)
     facts = docs.agg(ends.alias("ends"), F.sum(F.octet_length(F.col(text).cast("string"))).alias("bytes")).first()
     ends = sorted(set(facts["ends"] or []))
@@ -429,7 +448,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = None
     for low, high in zip([None, *ends], [*ends, None]):
         part = docs
-        part = part if low is None else part.where(key > low)
+        part = part if low is None else part.where((key > low) | (key.isNull() if high is None else F.lit(False)))  # no id: the last
         part = part if high is None else part.where(key <= high)
         own = materialize(index.add(part, doc_id, text, keep=high is not None), "spans")
         index.forget()
@@ -440,7 +459,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _with_spans(docs: DataFrame, passed: list[str], doc_id: str, text: str, cuts: tuple[float, ...], index: FingerprintIndex | None) -> DataFrame:
     spans = repeated_spans(docs, doc_id, text, cuts, index)
     chosen = docs.select(*passed, F.col(text).cast("string").alias("__text"), *_keyed(docs, doc_id, text))
-    joined = chosen.join(spans, ["__id", "__mark"], "left")
+    joined = chosen.join(spans, ["__id", "__void", "__mark"], "left")
     return joined.select(*passed, "__text", "__start", "__count")
 
 
@@ -453,9 +472,12 @@ def removal_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cuts: tuple[float, ...] = CUTS, index: FingerprintIndex | None = None) -> DataFrame:
-    """The documents with repeated passages cut out of their texts; texts without any stay as they are."""
-    passed = [c for c in docs.columns if c != text]
-    joined = _with_spans(docs, passed, doc_id, text, cuts, index)
-    schema = ", ".join([*_fields(docs.select(*passed)), "__words bigint, __removed bigint, __kept string"])
-    out = joined.mapInArrow(_cut_batches(True), schema).withColumnRenamed("__kept", text)
-    return out.select(*docs.columns)
+    """The documents with repeated passages cut out of their texts; texts without any stay as they are. Columns may be called
+    anything."""
+    names = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    passed = [n for c, n in names.items() if c != text]
+    joined = _with_spans(rows, passed, names[doc_id], names[text], cuts, index)
+    schema = ", ".join([*_fields(rows.select(*passed)), "__words bigint, __removed bigint, __kept string"])
+    out = joined.mapInArrow(_cut_batches(True), schema).withColumnRenamed("__kept", names[text])
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()))
