@@ -315,15 +315,18 @@ def _unique_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """The columns of ``pages`` but ``html``, and the main text as ``text`` and its code points as ``n_chars``."""
-    passed = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    host = F.coalesce(F.regexp_extract(F.lower(F.col(url).cast("string")), r"^[a-z][a-z0-9+.-]*://([^/?#:]*)", 1), F.lit(""))
-    chosen = pages.select(*passed, F.monotonically_increasing_id().alias("__page"), host.alias("__host"), F.col(html).cast("string").alias("__html"))
+    names = {c: f"__c{k}" for k, c in enumerate(pages.columns) if c not in (html, "text", "n_chars")}
+    passed = list(names.values())
+    host = F.coalesce(F.regexp_extract(F.lower(F.col(f"`{url}`").cast("string")), r"^[a-z][a-z0-9+.-]*://([^/?#:]*)", 1), F.lit(""))
+    own = [F.col(f"`{c}`").alias(n) for c, n in names.items()]
+    chosen = pages.select(*own, F.monotonically_increasing_id().alias("__page"), host.alias("__host"), F.col(f"`{html}`").cast("string").alias("__html"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema[:-1])
     split = materialize(chosen.mapInArrow(_split_batches, fields + "__packed binary, __words array<int>, __key binary"), "pages")
     covered = materialize(_covered(split), "covered")
     judged = split.select(*passed, "__page", "__packed").join(covered, "__page", "left").select(*passed, "__packed", "__starts")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in judged.schema[:-2])
-    return judged.mapInArrow(_unique_batches, fields + "text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    out = judged.mapInArrow(_unique_batches, fields + "text string")
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()), "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def _covered(split: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ Running sums over a source that holds most rows are made in two steps: sums of `
 windows inside a slot. One row per source is all that is ever ordered in one task.
 
 Defined cases: a null text or one without words has size 0 and takes nothing; a null source is a source,
-the last one; equal hashes are ordered by doc_id and size; other columns pass through ``take``.
+the last one; equal hashes are ordered by doc_id and size; other columns, whatever they are called, pass through ``take``. As the budget is spent at virtual
+time 1 in every source, the global sort is the order of delivery: what is taken of a document follows from its place in its
+source and that time.
 """
 
 from __future__ import annotations
@@ -82,12 +84,15 @@ def queue(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
 def take(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself, in whole documents: each row of ``docs`` as often as rounds take at least half of it.
     Rows equal in doc_id and text share one place in the queue."""
-    mark = F.xxhash64(text).alias("__mark")
-    rows = queue(docs, doc_id, source, text, (mark,))
-    chosen = rows.where("copies > 0").groupBy("doc_id", "__mark").agg(F.max("copies").alias("__copies"))
+    names = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    own_id, own_text = F.col(names[doc_id]), F.col(names[text])
+    queued = queue(rows, names[doc_id], names[source], names[text], (F.xxhash64(own_text).alias("__mark"),))
+    chosen = queued.where("copies > 0").groupBy("doc_id", "__mark").agg(F.max("copies").alias("__copies"))
     chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__text_mark"), "__copies")
-    joined = docs.join(chosen, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__text_mark")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    joined = rows.join(chosen, own_id.eqNullSafe(F.col("__id")) & (F.xxhash64(own_text) == F.col("__text_mark")))
+    joined = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return joined.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 #: The same rows in DuckDB's SQL.
