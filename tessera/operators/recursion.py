@@ -183,6 +183,43 @@ def ewm_deviation(value: str, alpha: float, name: str) -> Recursion:
     return Recursion((value,), (name,), 9, elements, join, finish)
 
 
+def linear_chain(value: str, names: tuple[str, ...], carry: list[list[float]], gain: list[float], first: list[float]) -> Recursion:
+    """States that feed one another: s = carry s' + gain x, from ``first`` times the first known x on; rows without x keep them.
+    Elements: the product of the carries, what was added, the states where a series begins, and whether one has."""
+    a, b, s0 = np.array(carry, float), np.array(gain, float), np.array(first, float)
+    k = len(b)
+
+    def parts(e: np.ndarray) -> tuple[np.ndarray, ...]:
+        return e[:, : k * k].reshape(-1, k, k), e[:, k * k : k * k + k], e[:, k * k + k : -1], e[:, -1:]
+
+    def elements(rows: Rows) -> np.ndarray:
+        known = ~np.isnan(rows[value])[:, None]
+        x = np.where(known, rows[value][:, None], 0.0)
+        return np.concatenate([np.where(known, a.ravel(), np.eye(k).ravel()), x * b, x * s0, known.astype(float)], 1)
+
+    def join(earlier: np.ndarray, later: np.ndarray) -> np.ndarray:
+        (a1, c1, s1, seen1), (a2, c2, s2, seen2) = parts(earlier), parts(later)
+        on = lambda v: np.einsum("nij,nj->ni", a2, v) + c2
+        return np.concatenate([(a2 @ a1).reshape(-1, k * k), on(c1), np.where(seen1 > 0, on(s1), s2), np.maximum(seen1, seen2)], 1)
+
+    def finish(e: np.ndarray) -> tuple[np.ndarray, ...]:
+        *_, states, seen = parts(e)
+        return tuple(np.where(seen > 0, states, np.nan).T)
+
+    return Recursion((value,), names, k * k + 2 * k + 1, elements, join, finish)
+
+
+def macd(value: str, names: tuple[str, str, str], fast: int = 12, slow: int = 26, smooth: int = 9) -> Recursion:
+    """The two means of a value and the mean of their difference."""
+    f, s, d = (2 / (n + 1) for n in (fast, slow, smooth))
+    return linear_chain(value, names, [[1 - f, 0, 0], [0, 1 - s, 0], [d * (1 - f), -d * (1 - s), 1 - d]], [f, s, d * (f - s)], [1, 1, 0])
+
+
+def twice_smoothed(value: str, names: tuple[str, str], alpha: float = 1 / 3) -> Recursion:
+    """The mean of a value and the mean of that mean."""
+    return linear_chain(value, names, [[1 - alpha, 0], [alpha * (1 - alpha), 1 - alpha]], [alpha, alpha * alpha], [1, 1])
+
+
 def _filtered(earlier: np.ndarray, later: np.ndarray) -> np.ndarray:
     """Of a linear-Gaussian state with one component: conditional mean a x + b and variance c of the state after the
     steps, and information eta, j that they give on the state before."""
