@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import factors as fz
+from tessera.operators import chartseries as cs
 from tessera.operators import evaluation as ev
 from tessera.operators import series as sr
 from tessera.operators.timeseries import forward_return
@@ -59,7 +60,7 @@ def _corr(x: str, y: str, n: int) -> str:
 #: Prices over whole quantities often end in a half at the last place: both engines add this before they round.
 NUDGE = 1e-9
 #: Places of sums of large amounts.
-PLACES = {"gtja_009": 2, "gtja_011": 4}
+PLACES = {"gtja_009": 2, "gtja_011": 4, "tech_obv_slope": 3, "amihud_illiq": 5, "cci_20": 4, "tech_cci20": 4}
 
 
 def _out(names: tuple[str, ...]) -> str:
@@ -146,3 +147,40 @@ def _flag(test: str) -> str:
   SELECT code, date, {_out(sr.LEVEL_SERIES)} FROM e""")
 def factor_level_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(sr.level_series(price_panel(spark, sf_dir)), sr.LEVEL_SERIES)
+
+
+def _strength(n: int) -> str:
+    up, down = _mean("gain", n), _mean("loss", n)
+    return f"CASE WHEN {down} = 0 AND {up} > 0 THEN 100 WHEN {up} = 0 AND {down} > 0 THEN 0 WHEN {up} = 0 AND {down} = 0 THEN 50 ELSE 100 - 100 / (1 + {up} / nullif({down}, 0)) END"
+
+
+def _moved(*names: tuple[str, int]) -> str:
+    return ", ".join(f"close / nullif(lag(close, {k}) OVER w, 0) - 1 AS {n}" for n, k in names)
+
+
+@query(f"""WITH RECURSIVE {PANEL}, a AS (SELECT *, volume / 10000.0 AS turnover, row_number() OVER w AS k, lag(close) OVER w AS bf, close / nullif(lag(close) OVER w, 0) - 1 AS r, close - lag(close) OVER w AS mv, (high + low + close) / 3 AS typ, lag(volume) OVER w AS vb, (high - low) / nullif(close, 0) AS spr,
+    (close - {_agg("low", "min", 9)}) / nullif({_agg("high", "max", 9)} - {_agg("low", "min", 9)}, 0) * 100 AS rw FROM panel {_windows(9)}),
+  b AS (SELECT *, greatest(high - low, coalesce(abs(high - bf), 0), coalesce(abs(low - bf), 0)) AS tr, CASE WHEN mv IS NOT NULL THEN greatest(mv, 0) END AS gain, CASE WHEN mv IS NOT NULL THEN greatest(-mv, 0) END AS loss, coalesce(sign(mv) * volume, 0) AS sg, abs(r) / nullif(amount, 0) AS cost,
+    abs(typ - {_mean("typ", 20)}) AS dev, sum(coalesce(sign(mv) * volume, 0)) OVER (w ROWS UNBOUNDED PRECEDING) AS obv, {_full("typ", "list({x}) OVER {w}", 20)} AS typs, list(close) OVER w60 AS cl FROM a {_windows(20, 60)}),
+  s AS (SELECT code, k, close AS e12, close AS e26, 0.0::DOUBLE AS dea, coalesce(rw, 0)::DOUBLE AS kn, (rw IS NOT NULL)::INT::DOUBLE AS kd, coalesce(rw, 0)::DOUBLE AS dn, (rw IS NOT NULL)::INT::DOUBLE AS dd FROM b WHERE k = 1
+    UNION ALL SELECT code, k, e12, e26, 0.8 * dea + 0.2 * (e12 - e26), kn, kd, 2.0 / 3 * dn + CASE WHEN kd > 0 THEN kn / kd ELSE 0 END, 2.0 / 3 * dd + CASE WHEN kd > 0 THEN 1 ELSE 0 END
+    FROM (SELECT b.code, b.k, 2.0 / 13 * b.close + 11.0 / 13 * s.e12 AS e12, 2.0 / 27 * b.close + 25.0 / 27 * s.e26 AS e26, s.dea, 2.0 / 3 * s.kn + coalesce(b.rw, 0) AS kn, 2.0 / 3 * s.kd + (b.rw IS NOT NULL)::INT AS kd, s.dn, s.dd FROM s JOIN b ON b.code = s.code AND b.k = s.k + 1)),
+  j AS (SELECT b.*, e12 - e26 - dea AS hist, CASE WHEN kd > 0 THEN 3 * kn / kd - 2 * dn / dd END AS kdj FROM b JOIN s USING (code, k)),
+  g AS (SELECT *, {_flag("hist > 0 AND lag(hist) OVER w <= 0")} AS gold, CASE WHEN count(close) OVER w60 >= 60 THEN list_min(list_transform(cl, lambda x, i: x / list_max(cl[1:i]) - 1)) END AS fall,
+    {_full("obv", "regr_slope({x}, k::DOUBLE) OVER {w}", 25)} AS s25, {_full("obv", "regr_slope({x}, k::DOUBLE) OVER {w}", 20)} AS s20, list_avg(list_transform(typs, lambda x: abs(x - list_avg(typs)))) AS od FROM j {_windows(20, 25, 60)}),
+  e AS (SELECT code, date, {_moved(("tech_mom_3_10", 3), ("tech_mom_10", 10), ("tech_mom_20", 20), ("tech_mom_60", 60), ("tech_mom_120", 120), ("tech_ret_week", 5), ("tech_ret_250", 250), ("tech_cum_ret_10", 10))}, close / first_value(close) OVER w300 - 1 AS tech_ret_ytd,
+    close / {_mean("close", 5)} - 1 AS tech_ma5_dev, close / {_mean("close", 20)} - 1 AS tech_ma20_dev, close / {_mean("close", 60)} - 1 AS tech_ma60_dev, close / {_mean("close", 250)} - 1 AS tech_close_ma250, {_strength(6)} AS tech_rsi6, {_strength(14)} AS tech_rsi14, {_strength(20)} - {_strength(50)} AS tech_rsi_diff,
+    kdj AS tech_kdj_j, hist AS tech_macd_hist, coalesce({_agg("gold", "max", 3)}, 0) AS tech_macd_gold, {_agg("r", "stddev_samp", 20)} AS tech_vol20, {_full("r", "skewness({x}) OVER {w}", 60)} AS tech_vol_skew, fall AS tech_drawdown_60, (close / nullif(lag(close, 59) OVER w, 0) - 1) / nullif(abs(fall), 0) AS tech_calmar_60,
+    CASE WHEN od >= 1e-9 THEN (typ - {_mean("typ", 20)}) / (od * 0.015) ELSE 0 END AS tech_cci20, volume / nullif({_mean("volume", 20)}, 0) AS tech_vol_ma20, {_agg("volume", "stddev_samp", 20)} / nullif({_mean("volume", 20)}, 0) AS tech_vol_std20, (turnover - {_mean("turnover", 20)}) / nullif({_agg("turnover", "stddev_samp", 20)}, 0) AS tech_turnover_z,
+    s25 AS tech_obv_slope, ({_mean("obv", 20)} - lag(obv, 64) OVER w) / nullif(abs({_mean("obv", 60)} - lag(obv, 64) OVER w), 0) AS tech_obv_trend, open / nullif(bf, 0) - 1 AS tech_gap_up, (close - {_agg("close", "min", 250)}) / nullif({_agg("close", "max", 250)} - {_agg("close", "min", 250)}, 0) AS tech_high_52w_pos,
+    {_moved(("mom20", 20), ("mom1m", 21), ("mom3m", 63), ("mom6m", 126), ("mom12m", 252))}, -(close / nullif(lag(close, 5) OVER w, 0) - 1) AS rev5, (hist - lag(hist) OVER w) / nullif(close, 0) * 100 AS macd_cross, hist * 2 AS macd_hist,
+    {_flag(f"close <= {_agg('close', 'min', 30)} * 1.02::DOUBLE AND hist > {_agg('hist', 'min', 30)} * 1.1::DOUBLE")} - {_flag(f"close >= {_agg('close', 'max', 30)} * 0.98::DOUBLE AND hist < {_agg('hist', 'max', 30)} * 0.9::DOUBLE")} AS macd_div, (typ - {_mean("typ", 20)}) / nullif({_mean("dev", 20)} * 0.015, 0) AS cci_20,
+    CASE WHEN {_agg("close", "max", 252)} > {_agg("close", "min", 252)} THEN (close - {_agg("close", "min", 252)}) / ({_agg("close", "max", 252)} - {_agg("close", "min", 252)}) ELSE 0.5 END AS high_low_pos, volume / nullif({_mean("vb", 20)}, 0) AS volume_surge, volume / nullif({_mean("vb", 5)}, 0) AS volume_ratio,
+    s20 / (abs({_mean("obv", 20)} - lag(obv, 299) OVER w) + 1e-9) AS obv_slope, {_mean("tr", 14)} / close AS atr_ratio, {_mean("cost", 20)} * 1e6 AS amihud_illiq, {_mean("spr", 20)} AS spread_approx, kdj, ({_agg("high", "max", 14)} - close) / nullif({_agg("high", "max", 14)} - {_agg("low", "min", 14)}, 0) * 100 AS williams,
+    {_agg("close", "stddev_pop", 20)} / {_mean("close", 20)} * 4 AS boll_width, CASE WHEN 4 * {_agg("close", "stddev_pop", 20)} >= 1e-9 THEN (close - {_mean("close", 20)} + 2 * {_agg("close", "stddev_pop", 20)}) / (4 * {_agg("close", "stddev_pop", 20)}) ELSE 0.5 END AS boll_pos,
+    coalesce(CASE WHEN {_mean("loss", 14)} = 0 AND {_mean("gain", 14)} > 0 THEN 100 ELSE 100 - 100 / (1 + {_mean("gain", 14)} / nullif({_mean("loss", 14)}, 0)) END, 50) AS rsi14
+    FROM g {_windows(3, 5, 6, 14, 20, 30, 50, 60, 250, 252, 300)})
+  SELECT code, date, {_out((*cs.TECHNICAL, *cs.CLASSIC))} FROM e""")
+def factor_chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = price_panel(spark, sf_dir).withColumn("turnover", F.col("volume") / 10_000.0)
+    return _shown(cs.chart_series(panel), (*cs.TECHNICAL, *cs.CLASSIC))
