@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import safe_div
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str | None, left_time: str, right_time: str, columns: list[str], tolerance_days: int | None = None, tie: str | None = None) -> DataFrame:
@@ -28,13 +27,16 @@ def as_of(left: DataFrame, right: DataFrame, key: str | None, left_time: str, ri
 
 def available_on(releases: DataFrame, calendar: DataFrame, lag: int, announced: str, day: str = "date") -> DataFrame:
     """``available``: the session ``lag`` sessions after the first one at or after the announcement; missing
-    beyond the calendar. The calendar is one row per session."""
-    order = Window.orderBy(day)
-    sessions = calendar.select(day).distinct().withColumn("__row", F.row_number().over(order))
-    numbered = sessions.select(F.date_sub(day, 0).alias("__to"), F.date_add(F.lag(day).over(order), 1).alias("__from"), "__row")
-    first = releases.join(F.broadcast(numbered), (F.col(announced) <= F.col("__to")) & (F.col("__from").isNull() | (F.col(announced) >= F.col("__from"))), "left")
-    later = sessions.select(F.col(day).alias("available"), (F.col("__row") - lag).alias("__row"))
-    return first.join(later, "__row", "left").drop("__row", "__from", "__to")
+    beyond the calendar. The calendar is one row per session; each day up to a session is laid out with it, so that
+    releases are joined on equal days."""
+    sessions = calendar.select(F.col(day).cast("date").alias("__to")).distinct()
+    sessions = sessions.select("__to", F.lag("__to").over(Window.orderBy("__to")).alias("__last"), F.lead("__to", lag).over(Window.orderBy("__to")).alias("available"))
+    days = F.sequence(F.coalesce(F.date_add("__last", 1), F.col("__to")), F.col("__to"))
+    laid = sessions.select(F.explode(days).alias("__day"), "available")
+    first = sessions.agg(F.min("__to").alias("__first"))  # one row: earlier announcements wait for it
+    rows = releases.crossJoin(F.broadcast(first)).withColumn("__day", F.greatest(F.col(announced).cast("date"), F.col("__first")))
+    rows = rows.withColumn("__day", F.when(F.col(announced).isNotNull(), F.col("__day")))
+    return rows.join(laid, "__day", "left").drop("__day", "__first")
 
 
 def report_anchor(df: DataFrame, period: str, announced: str) -> DataFrame:
@@ -71,21 +73,21 @@ def overlap(df: DataFrame, group: str, member: str) -> DataFrame:
 
 
 def fifo_matches(trades: DataFrame, key: str, order: list[str], side: str, quantity: str, price: str) -> DataFrame:
-    """Sells matched to the oldest open buys: each side's trades are stretches of cumulative quantity, and a
-    match is where stretches overlap. Sells beyond all buys have no match. Buys should precede their sells."""
+    """Sells matched to the oldest open buys: each side's trades are stretches of cumulative quantity, and the ends of both
+    sides' stretches, in order, cut a key into pieces that belong to one buy and one sell. A key is sorted, its
+    trades aren't paired. Sells beyond all buys have no match. Buys should precede their sells."""
     w = Window.partitionBy(key, side).orderBy(*order)
-    upto = F.sum(quantity).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = trades.withColumn("__to", upto).withColumn("__from", upto - F.col(quantity)).withColumn("__row", F.row_number().over(w))
-    buys = rows.where(F.col(side) == "buy").select(key, F.col("__from").alias("bf"), F.col("__to").alias("bt"), F.col(price).alias("buy_price"), F.col("__row").alias("buy_no"))
-    sells = rows.where(F.col(side) == "sell").select(key, F.col("__from").alias("sf"), F.col("__to").alias("st"), F.col(price).alias("sell_price"), F.col("__row").alias("sell_no"))
-    matched = buys.join(sells, key).where("bf < st and sf < bt")
-    size = F.least("bt", "st") - F.greatest("bf", "sf")
-    return matched.select(key, "buy_no", "sell_no", size.alias("quantity"), "buy_price", "sell_price", (size * (F.col("sell_price") - F.col("buy_price"))).alias("profit"))
+    rows = trades.where(F.col(quantity) > 0).withColumn("__to", F.sum(quantity).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__row", F.row_number().over(w))
+    lot = lambda s: F.max(F.when(F.col(side) == s, F.struct(F.col("__row").alias("no"), F.col(price).alias("price")))).alias(s)
+    cuts = rows.groupBy(key, "__to").agg(lot("buy"), lot("sell"))
+    line = Window.partitionBy(key).orderBy("__to")
+    ahead = line.rowsBetween(0, Window.unboundedFollowing)
+    pieces = cuts.select(key, (F.col("__to") - F.coalesce(F.lag("__to").over(line), F.lit(0))).alias("quantity"), *(F.first(s, ignorenulls=True).over(ahead).alias(s) for s in ("buy", "sell")))
+    pieces = pieces.where("buy IS NOT NULL AND sell IS NOT NULL")
+    profit = F.col("quantity") * (F.col("sell.price") - F.col("buy.price"))
+    return pieces.select(key, F.col("buy.no").alias("buy_no"), F.col("sell.no").alias("sell_no"), "quantity", F.col("buy.price").alias("buy_price"), F.col("sell.price").alias("sell_price"), profit.alias("profit"))
 
 
 def benchmark_attached(df: DataFrame, benchmark: DataFrame, time: str, column: str) -> DataFrame:
     """All rows with one series' value of their time."""
     return df.join(benchmark.select(time, column), time, "left").withColumn("excess", F.col("ret") - F.col(column))
-
-
-__all__ = ["as_of", "available_on", "benchmark_attached", "fifo_matches", "next_day_pairs", "overlap", "report_anchor", "safe_div"]

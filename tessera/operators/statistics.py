@@ -91,9 +91,8 @@ def volume_profile(df: DataFrame, step: float, key: str = "code") -> DataFrame:
 
 def relative_strength(df: DataFrame, n: int = 20, key: str = "code", time: str = "date") -> DataFrame:
     """Price over the mean price of its time, its mean over n rows, the slope of the last five means, new highs."""
-    bench = df.groupBy(time).agg(F.avg("close").alias("bench"))
     w = ordered(key, time)
-    rows = df.join(bench, time).withColumn("rs", safe_div("close", "bench")).withColumn("rs_mean", rolling("rs", "mean", w, n)).withColumn("__k", F.row_number().over(w).cast("double"))
+    rows = df.withColumn("bench", F.avg("close").over(Window.partitionBy(time))).withColumn("rs", safe_div("close", "bench")).withColumn("rs_mean", rolling("rs", "mean", w, n)).withColumn("__k", F.row_number().over(w).cast("double"))
     slope = F.when(F.count("rs_mean").over(trailing(w, 5)) >= 5, F.regr_slope("rs_mean", "__k").over(trailing(w, 5)))
     return rows.withColumn("rs_slope", slope).withColumn("new_high", F.col("rs") >= F.max("rs").over(trailing(w, 60))).drop("__k")
 

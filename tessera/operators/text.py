@@ -70,24 +70,19 @@ def trigram_embedding(text: Column | str, dim: int = 256) -> Column:
 
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
-        known: dict[str, tuple[int, float]] = {}
-
-        def place(gram: str) -> tuple[int, float]:
-            if gram not in known:
-                h = hashlib.blake2b(gram.encode(), digest_size=8).digest()
-                known[gram] = int.from_bytes(h[:4], "little") % dim, 1.0 if h[4] % 2 else -1.0
-            return known[gram]
-
-        def one(t: str | None) -> np.ndarray:
-            clean = re.sub(r"\s+", " ", (t or "").lower())
-            v = np.zeros(dim)
-            for k in range(len(clean) - 2):
-                at, sign = place(clean[k : k + 3])
-                v[at] += sign
-            norm = np.linalg.norm(v)
-            return v / norm if norm > 0 else v
-
-        return texts.map(one)
+        clean = texts.fillna("").str.lower().str.replace(r"\s+", " ", regex=True)
+        letters = np.array(list("".join(clean)), dtype="U1")
+        ends = np.cumsum(clean.str.len().to_numpy(), dtype=np.int64)
+        owner = np.repeat(np.arange(len(clean)), np.diff(ends, prepend=0))
+        starts = np.flatnonzero(owner[2:] == owner[:-2]) if len(letters) > 2 else np.zeros(0, np.int64)
+        grams, which = np.unique(np.char.add(np.char.add(letters[starts], letters[starts + 1]), letters[starts + 2]), return_inverse=True)
+        digests = np.frombuffer(b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams.tolist()), np.uint8).reshape(-1, 8)
+        bucket = (digests[:, :4].astype(np.int64) << np.array([0, 8, 16, 24])).sum(1) % dim
+        sign = np.where(digests[:, 4] & 1, 1.0, -1.0)
+        out = np.zeros((len(clean), dim))
+        np.add.at(out, (owner[starts], bucket[which]), sign[which])
+        size = np.linalg.norm(out, axis=1, keepdims=True)
+        return pd.Series(list(out / np.where(size > 0, size, 1.0)), index=texts.index)
 
     return embed(F.col(text) if isinstance(text, str) else text)
 

@@ -244,23 +244,20 @@ def forward_return(df: DataFrame, h: int, key: str = "code", time: str = "date",
 
 def next_open_label(df: DataFrame, key: str = "code", time: str = "date") -> DataFrame:
     """Enter at the open of the next date of the common calendar, leave at the open of the one after."""
-    dates = df.select(time).distinct()
     w = Window.orderBy(time)  # one row per date
-    calendar = dates.select(time, F.lead(time, 1).over(w).alias("__in"), F.lead(time, 2).over(w).alias("__out"))
-    opens = df.select(F.col(key).alias("__key"), F.col(time).alias("__date"), "open")
-    enter = opens.select(F.col("__key"), F.col("__date").alias("__in"), F.col("open").alias("entry"))
-    leave = opens.select(F.col("__key"), F.col("__date").alias("__out"), F.col("open").alias("exit"))
-    rows = df.join(calendar, time).withColumn("__key", F.col(key))
-    out = rows.join(enter, ["__key", "__in"], "left").join(leave, ["__key", "__out"], "left")
-    return out.withColumn("label", safe_div("exit", "entry") - 1).drop("__key", "__in", "__out")
+    calendar = df.select(time).distinct().select(time, F.lead(time, 1).over(w).alias("__in"), F.lead(time, 2).over(w).alias("__out"))
+    own = ordered(key, time)
+    rows = df.select("*", *(F.lead(F.struct(F.col(time).alias("t"), F.col("open").alias("o")), k).over(own).alias(f"__{k}") for k in (1, 2))).join(calendar, time)
+    at = lambda day: F.when(F.col("__1.t") == F.col(day), F.col("__1.o")).when(F.col("__2.t") == F.col(day), F.col("__2.o"))
+    out = rows.withColumn("entry", at("__in")).withColumn("exit", at("__out"))
+    return out.withColumn("label", safe_div("exit", "entry") - 1).drop("__1", "__2", "__in", "__out")
 
 
 def market_features(df: DataFrame, key: str = "code", time: str = "date", value: str = "close", n: int = 20) -> DataFrame:
     """Trailing beta, correlation and slope of a key's return on the mean return of all."""
     w = ordered(key, time)
     returns = df.withColumn("ret", pct_change(value, w))
-    market = returns.groupBy(time).agg(F.avg("ret").alias("market"))
-    rows = returns.join(market, time)
+    rows = returns.withColumn("market", F.avg("ret").over(Window.partitionBy(time)))
     return rows.select("*", *(rolling_pair("ret", "market", how, w, n, n // 2).alias(f"{how}_{n}") for how in ("beta", "corr", "cov")))
 
 

@@ -73,9 +73,14 @@ def st_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stages(spark, sf_dir).select("date", "stage")
 
 
-@query(f"WITH {_DAYS}, t AS (SELECT stage AS now, lead(stage) OVER (ORDER BY date) AS nx FROM stage), c AS (SELECT now, nx, count(*) AS n FROM t WHERE nx IS NOT NULL GROUP BY 1, 2) SELECT now, nx AS next, n, round(n / sum(n) OVER (PARTITION BY now), 6)::DOUBLE AS share FROM c")
+@query(f"""WITH {PANEL}, s AS (SELECT code, date, CASE WHEN r > 0.02 THEN 'up' WHEN r < -0.02 THEN 'down' WHEN r IS NOT NULL THEN 'flat' ELSE 'unknown' END AS s FROM (SELECT code, date, close / nullif(lag(close) OVER (PARTITION BY code ORDER BY date), 0) - 1 AS r FROM panel)),
+  t AS (SELECT s AS now, lead(s) OVER (PARTITION BY code ORDER BY date) AS nx FROM s), c AS (SELECT now, nx, count(*) AS n FROM t WHERE nx IS NOT NULL GROUP BY 1, 2) SELECT now, nx AS next, n, round(n / sum(n) OVER (PARTITION BY now), 6)::DOUBLE AS share FROM c""")
 def st_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.transitions(_stages(spark, sf_dir), "stage", "date"))
+    """Of each code's weeks that rise, fall or do neither."""
+    move = pct_change("close", ordered("code", "date"))
+    rows = price_panel(spark, sf_dir).select("code", "date", move.alias("r"))
+    state = F.when(F.col("r") > 0.02, "up").when(F.col("r") < -0.02, "down").when(F.col("r").isNotNull(), "flat").otherwise("unknown")
+    return rounded(st.transitions(rows.withColumn("state", state), "state", "date", "code"))
 
 
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS date, count(*)::DOUBLE AS n, max(value) AS top, count(DISTINCT user_id)::DOUBLE AS users FROM events GROUP BY 1), s AS (SELECT stddev_pop(n) AS a, stddev_pop(top) AS b, stddev_pop(users) AS c FROM d), l AS (SELECT * FROM d ORDER BY date DESC LIMIT 1),

@@ -232,3 +232,56 @@ def test_series_pass_over_short_keys_and_extra_columns(spark):
     got = {r.date: r.wma_mom for r in sr.bar_series(bars).where("code = 1").collect()}
     mean = lambda t: sum((i + 1) * closes[t - 19 + i] for i in range(20)) / 210
     assert got[23] is None and abs(got[29] - 100 * (mean(29) / mean(24) - 1)) < 1e-9
+
+
+def test_fifo_pieces_equal_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"k{rng.integers(0, 3)}", t, "buy" if rng.random() < 0.5 else "sell", int(rng.integers(0, 6)), float(rng.integers(1, 9))) for t in range(120)]
+    df = spark.createDataFrame(rows, "key string, t int, side string, q int, p double").repartition(3)
+    got = sorted((r.key, r.buy_no, r.sell_no, r.quantity, r.profit) for r in jn.fifo_matches(df, "key", ["t"], "side", "q", "p").collect())
+    want = []
+    for key in ("k0", "k1", "k2"):
+        lots = {s: [(r[3], r[4]) for r in rows if r[0] == key and r[2] == s and r[3] > 0] for s in ("buy", "sell")}
+        owner = {s: [(k, p) for k, (q, p) in enumerate(x, 1) for _ in range(q)] for s, x in lots.items()}
+        units = {}
+        for (b, bp), (s, sp) in zip(owner["buy"], owner["sell"]):
+            n, profit = units.get((b, s), (0, 0.0))
+            units[b, s] = n + 1, profit + sp - bp
+        want += [(key, b, s, n, profit) for (b, s), (n, profit) in units.items()]
+    assert got == sorted(want)
+
+
+def test_availability_at_the_calendars_ends(spark):
+    calendar = spark.createDataFrame([(D(2024, 1, k),) for k in (3, 4, 8, 9)], "date date")
+    releases = spark.createDataFrame([(k, d) for k, d in enumerate([D(2023, 5, 1), D(2024, 1, 3), D(2024, 1, 5), D(2024, 1, 9), D(2024, 2, 1), None])], "n int, announced date")
+    got = {r.n: r.available for r in jn.available_on(releases, calendar, 1, "announced").collect()}
+    assert got == {0: D(2024, 1, 4), 1: D(2024, 1, 4), 2: D(2024, 1, 9), 3: None, 4: None, 5: None}
+
+
+def test_orthogonal_columns(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(80, 1))
+    x = np.concatenate([base, 0.8 * base + rng.normal(size=(80, 1)), base - rng.normal(size=(80, 1))], 1)
+    rows = [(D(2024, 1, 1 + k % 2), *map(float, v)) for k, v in enumerate(x)] + [(D(2024, 1, 1), None, 1.0, 2.0)] + [(D(2024, 1, 3), 1.0, 2.0, 3.0)]
+    out = xs.orthogonalized(spark.createDataFrame(rows, "date date, a double, b double, c double").repartition(3), ["a", "b", "c"]).toPandas()
+    for day in (D(2024, 1, 1), D(2024, 1, 2)):
+        part = out[(out["date"] == day) & out["a"].notna()]
+        got, own = part[["a_orth", "b_orth", "c_orth"]].to_numpy(), part[["a", "b", "c"]].to_numpy()
+        centred = got - np.array([got[:, 0].mean(), 0, 0])
+        assert np.allclose(centred.T @ centred - np.diag(np.diag(centred.T @ centred)), 0, atol=1e-9)
+        for k in (1, 2):
+            fit = np.column_stack([np.ones(len(own)), own[:, :k]])
+            assert np.allclose(got[:, k], own[:, k] - fit @ np.linalg.lstsq(fit, own[:, k], rcond=None)[0])
+    few = out[out["date"] == D(2024, 1, 3)].iloc[0]
+    assert (few["a_orth"], few["b_orth"], few["c_orth"]) == (1.0, 2.0, 3.0)
+
+
+def test_bootstrap_interval_is_that_of_the_mean(spark):
+    from tessera.operators import statistics as st
+
+    rng = np.random.default_rng(5)
+    x = {g: rng.normal(m, 2.0, 900) for g, m in (("a", 1.0), ("b", -3.0))}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in x.items() for v in vs] + [("a", None)], "g string, v double")
+    for r in st.bootstrap_mean(df, "v", "g", 400).collect():
+        half = 1.96 * x[r.g].std() / 30
+        assert r.draws == 400 and abs(r.low - (x[r.g].mean() - half)) < 0.35 * half and abs(r.high - (x[r.g].mean() + half)) < 0.35 * half
