@@ -212,7 +212,8 @@ def _evidence_batches(marks: list[str]) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_voters: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of "toxic" for each vote pattern, and each voter's weight. ``counts`` are a pattern's documents,
+    """Posterior of "toxic" for each vote pattern, and each voter's weight. The last two voters, the lexicon and shouting, need no
+    labels; without a toxic label they decide alone. ``counts`` are a pattern's documents,
     ``toxic`` and ``clean`` those among them whose label is known; these stay what they are. Every round
     re-estimates how often each voter casts each vote for either class, and how far pairs of voters agree
     beyond their class; a voter's say is divided by its redundancy."""
@@ -221,6 +222,9 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, toxic: np.ndarray, cle
     ups = (cast == 2).sum(1)
     post = np.where(toxic + clean > 0, (toxic + 0.1) / (toxic + clean + 1), np.clip(ups / n_voters, 0.02, 0.9))
     weight = np.ones(n_voters)
+    if not toxic.any():  # nothing tells which class is which but the voters that need no labels
+        lexicon, shouting = cast[:, -2] == 2, cast[:, -1] == 2
+        return np.where(lexicon, 0.95, np.where(shouting, 0.3, 0.02)), weight
     one_hot = np.stack([cast == v for v in range(3)], 2).astype(float)  # pattern, voter, vote
     signed = (cast == 2).astype(float) - (cast == 1)
     for _ in range(rounds):

@@ -50,3 +50,17 @@ def test_operators_take_any_names(spark, named):
     out = html.extract_main_text(pages)
     assert out.columns == [c for c in pages.columns if c != "html"] + ["text", "n_chars"] and out.where("__page = 'keep __page'").count() == pages.count()
     assert mixing.queue(named).count() == 60 and near_dups.near_duplicates(named, percent=85).count() == 60 and quality.quality_verdicts(named).count() == 60
+
+
+def test_toxicity_without_labels_follows_the_lexicon(spark):
+    from tessera.llm import toxicity
+
+    mild = [f"the weather in town {k} is nice today and the garden grows well" for k in range(60)]
+    rude = ["you are a stupid idiot", "what a pathetic loser , stupid and dumb"] + [f"he said that number {k} is a moron and a jerk" for k in range(8)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(mild + rude)] + [(900, None), (901, "")], "doc_id long, text string")
+    schema = "doc_id long, quality int, toxic int"
+    for labels in (spark.createDataFrame([], schema), spark.createDataFrame([(k, 1, 0) for k in range(20)], schema)):
+        score = {r.doc_id: (r.score, r.predicted) for r in toxicity.score_toxicity(df, labels).collect()}
+        worst_mild = max(score[k][0] for k in range(60))
+        assert min(score[k][0] for k in range(60, 70)) > worst_mild and score[900][0] == score[901][0] <= worst_mild
+        assert all(score[k][1] == 1 for k in (60, 61)) and not any(score[k][1] for k in (*range(60), 900, 901))
