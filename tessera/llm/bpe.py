@@ -7,15 +7,19 @@ from a file of their own that is unlinked at once, look words up in it, many at
 other word exactly. A bounded memo stands before both.
 
 Defined cases: a null text is empty; an empty text has no ids; the special strings of the tokenizer file
-become their ids wherever they stand in a text; long words are merged with a heap; other columns pass.
+become their ids wherever they stand in a text; long words are merged with a heap; texts with code points that
+Python's Unicode tables don't list are cased and parted by the library's own tables; other columns pass.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
 import os
+import re
+import sys
 import tempfile
 import unicodedata
 from collections import Counter
@@ -26,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessera.llm.scratch import materialize
 
@@ -39,6 +44,21 @@ _BLANK = regex.compile(r"\p{White_Space}+")
 _SEPARATOR = regex.compile("[\x1c-\x1f]")  # split() takes these for white space, the format doesn't
 
 
+@functools.cache
+def _unlisted() -> re.Pattern:
+    """Matches code points that Python's tables don't list, as newer ones may: how these are cased and parted is asked of the
+    tokenizers library itself."""
+    ranges, last = [], -2
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) == "Cn":
+            if c == last + 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+            last = c
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
 def _byte_letters() -> list[str]:
     """The printable stand-in of each byte: itself where it is visible, else the next free letter from 256."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -58,6 +78,7 @@ class Merges:
         self.ranks = {}
         for rank, (a, b) in enumerate(spec["model"]["merges"]):
             self.ranks[vocab[a] << 20 | vocab[b]] = (rank, vocab[a + b])
+        self.path, self.bytes_of, self._library = path, {c: b for b, c in enumerate(letters)}, None
         self.tokens = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
@@ -111,12 +132,25 @@ class Merges:
         """Lower-cased runs without white space, which no piece crosses. Lower-casing goes letter by letter:
         no special final sigma."""
         if not text.isascii():
+            if _unlisted().search(text) is not None:
+                return [t for t in self.library().normalizer.normalize_str(text).split(" ") if t]
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         return text.split() if _SEPARATOR.search(text) is None else [t for t in _BLANK.split(text) if t]
 
     def pieces_of(self, token: str) -> list[str]:
-        return [token] if token.isalpha() else _PIECE.findall(token)
+        if token.isalpha():
+            return [token]
+        if not token.isascii() and _unlisted().search(token) is not None:
+            parts = (p for p, _ in self.library().pre_tokenizer.pre_tokenize_str(token))
+            return [bytes(self.bytes_of[c] for c in p).decode() for p in parts]
+        return _PIECE.findall(token)
+
+    def library(self) -> Tokenizer:
+        """The file as the tokenizers library reads it."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
 
     def parts(self, text: str) -> Iterator[tuple[str | None, str]]:
         """Plain stretches as (None, text), special strings as (string, "")."""

@@ -64,3 +64,19 @@ def test_toxicity_without_labels_follows_the_lexicon(spark):
         worst_mild = max(score[k][0] for k in range(60))
         assert min(score[k][0] for k in range(60, 70)) > worst_mild and score[900][0] == score[901][0] <= worst_mild
         assert all(score[k][1] == 1 for k in (60, 61)) and not any(score[k][1] for k in (*range(60), 900, 901))
+
+
+def test_every_code_point_is_parted_as_the_library_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm import bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    mine, library = bpe.Merges(path), Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    texts = [f"A{chr(c)}b {chr(c)}1!{chr(c)}?" for c in (*range(0x20000), *range(0x2FA00, 0x32500), *range(0xE0000, 0xE0200)) if not 0xD800 <= c < 0xE000]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, ids in zip(texts, want) if [i for token in mine.tokens_of(t) for p in mine.pieces_of(token) for i in mine.merge(p)] != ids]
+    assert len(wrong) == 0, [hex(ord(t[1])) for t in wrong[:20]]
