@@ -18,7 +18,6 @@ import hashlib
 import heapq
 import json
 import os
-import re
 import sys
 import tempfile
 import unicodedata
@@ -45,18 +44,14 @@ _SEPARATOR = regex.compile("[\x1c-\x1f]")  # split() takes these for white space
 
 
 @functools.cache
-def _unlisted() -> re.Pattern:
-    """Matches code points that Python's tables don't list, as newer ones may: how these are cased and parted is asked of the
+def _unlisted() -> np.ndarray:
+    """Marks code points that Python's tables don't list, as newer ones may: how these are cased and parted is asked of the
     tokenizers library itself."""
-    ranges, last = [], -2
-    for c in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(c)) == "Cn":
-            if c == last + 1:
-                ranges[-1][1] = c
-            else:
-                ranges.append([c, c])
-            last = c
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def _has_unlisted(text: str) -> bool:
+    return bool(_unlisted()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
 
 
 def _byte_letters() -> list[str]:
@@ -132,7 +127,7 @@ class Merges:
         """Lower-cased runs without white space, which no piece crosses. Lower-casing goes letter by letter:
         no special final sigma."""
         if not text.isascii():
-            if _unlisted().search(text) is not None:
+            if _has_unlisted(text):
                 return [t for t in self.library().normalizer.normalize_str(text).split(" ") if t]
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
@@ -141,7 +136,7 @@ class Merges:
     def pieces_of(self, token: str) -> list[str]:
         if token.isalpha():
             return [token]
-        if not token.isascii() and _unlisted().search(token) is not None:
+        if not token.isascii() and _has_unlisted(token):
             parts = (p for p, _ in self.library().pre_tokenizer.pre_tokenize_str(token))
             return [bytes(self.bytes_of[c] for c in p).decode() for p in parts]
         return _PIECE.findall(token)
