@@ -136,7 +136,7 @@ class Merges:
     def pieces_of(self, token: str) -> list[str]:
         if token.isalpha():
             return [token]
-        if not token.isascii() and _has_unlisted(token):
+        if not token.isprintable() and _has_unlisted(token):  # what isn't listed isn't printable
             parts = (p for p, _ in self.library().pre_tokenizer.pre_tokenize_str(token))
             return [bytes(self.bytes_of[c] for c in p).decode() for p in parts]
         return _PIECE.findall(token)
