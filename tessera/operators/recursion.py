@@ -8,12 +8,15 @@ what runs in one task per key is a row a block.
 
 Within a block a scan is a balanced tree over numpy arrays, so each level is a few array operations.
 
+Keys of up to WHOLE rows aren't cut: each task holds some of them together, sorted, and takes the first row of all
+of them, then the second, and so on, so that a step is one array operation for all and states are those of the plain recursion.
+
 Rows of a key must differ in time: equal times are run in any order. Null keys are one key, null times come first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +28,9 @@ from tessera.sources.scratch import stored
 
 Rows = dict[str, np.ndarray]
 
+#: Rows of the longest key that one task takes whole, rows that are run together, and rows of a key up to which it is run row by row.
+WHOLE, BATCH, STEPS = 1 << 17, 1 << 16, 1 << 11
+
 
 @dataclass(frozen=True)
 class Recursion:
@@ -39,6 +45,8 @@ class Recursion:
     join: Callable[[np.ndarray, np.ndarray], np.ndarray]
     finish: Callable[[np.ndarray], tuple[np.ndarray, ...]]
     begin: Callable[[Rows], np.ndarray] | None = None
+    #: ``join`` of all that came before and one row, where that has a plainer form.
+    follow: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
 
 
 def joined(elements: np.ndarray, join: Callable) -> np.ndarray:
@@ -73,8 +81,85 @@ def blocks(df: DataFrame, key: str, time: str, parts: int | None = None) -> Data
     return stored(df.repartitionByRange(parts, *order).withColumn("__block", F.spark_partition_id()), "blocks")
 
 
+def _key_starts(column: pa.ChunkedArray) -> np.ndarray:
+    """Where a key begins in a sorted column."""
+    ids = column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of some BATCH rows that part no key; rows are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= BATCH:
+            table = pa.Table.from_batches(held)
+            cut = int(_key_starts(table.column(key))[-1])
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+            size -= cut
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def _stepped(r: Recursion, rows: Rows, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The joined elements of each key's rows up to each one, row by row for all keys at once."""
+    elements = r.elements(rows)
+    out = np.empty_like(elements)
+    order = np.argsort(-lengths, kind="stable")
+    at, n = starts[order], lengths[order]
+    state = elements[at]
+    if r.begin:
+        state = r.join(np.array([r.begin({c: rows[c][a : a + k] for c in r.inputs}) for a, k in zip(at.tolist(), n.tolist())]), state)
+    out[at] = state
+    long = int((n > STEPS).sum())
+    for k in range(long):
+        out[at[k] : at[k] + n[k]] = prefixes(np.concatenate([state[k : k + 1], elements[at[k] + 1 : at[k] + n[k]]]), r.join)
+    at, n, state = at[long:], n[long:], state[long:]
+    active = np.searchsorted(-n, -np.arange(1, (n[0] if len(n) else 0) + 1), side="right")  # keys with at least that many rows
+    for t in range(1, len(active)):
+        now = at[: active[t]] + t
+        state = (r.follow or r.join)(state[: active[t]], elements[now])
+        out[now] = state
+    return out
+
+
+def _scan_whole(df: DataFrame, recursions: list[Recursion], key: str, time: str, reverse: bool) -> DataFrame:
+    outputs = [c for r in recursions for c in r.outputs]
+    inputs = tuple(dict.fromkeys(c for r in recursions for c in r.inputs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_keys(batches, key):
+            starts = _key_starts(table.column(key))
+            lengths = np.diff(np.append(starts, table.num_rows))
+            rows = _rows(table, inputs)
+            out = {c: table.column(c) for c in table.column_names}
+            for r in recursions:
+                out |= {c: pa.array(x, pa.float64(), from_pandas=True) for c, x in zip(r.outputs, r.finish(_stepped(r, rows, starts, lengths)))}
+            yield from pa.table(out).to_batches(max_chunksize=10_000)
+
+    line = F.col(time).desc_nulls_last() if reverse else F.col(time).asc_nulls_first()
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{c}` double" for c in outputs)])
+    return df.repartition(key).sortWithinPartitions(F.col(key).asc_nulls_first(), line).mapInArrow(run, schema)
+
+
 def scan(df: DataFrame, recursions: list[Recursion], key: str = "code", time: str = "date", reverse: bool = False, parts: int | None = None) -> DataFrame:
-    """``df`` with the recursions' outputs; ``reverse`` runs them from the last row to the first."""
+    """``df`` with the recursions' outputs; ``reverse`` runs them from the last row to the first. With ``parts`` the rows
+    are cut into that many blocks, else only keys of more than WHOLE rows are cut."""
+    if parts:
+        return _scan_blocks(df, recursions, key, time, reverse, parts)
+    df = stored(df, "steps")
+    long = [r[0] for r in df.groupBy(key).count().where(F.col("count") > WHOLE).select(key).collect()]  # a key each WHOLE rows at most
+    if not long:
+        return _scan_whole(df, recursions, key, time, reverse)
+    is_long = F.coalesce(F.col(key).isin([k for k in long if k is not None]), F.lit(False)) | (F.col(key).isNull() & F.lit(None in long))
+    return _scan_whole(df.where(~is_long), recursions, key, time, reverse).unionByName(_scan_blocks(df.where(is_long), recursions, key, time, reverse))
+
+
+def _scan_blocks(df: DataFrame, recursions: list[Recursion], key: str, time: str, reverse: bool, parts: int | None = None) -> DataFrame:
     df = blocks(df, key, time, parts)
     inputs = tuple(dict.fromkeys(c for r in recursions for c in r.inputs))
     ends = np.cumsum([0, *(r.width for r in recursions)])
@@ -183,9 +268,9 @@ def ewm_deviation(value: str, alpha: float, name: str) -> Recursion:
     return Recursion((value,), (name,), 9, elements, join, finish)
 
 
-def linear_chain(value: str, names: tuple[str, ...], carry: list[list[float]], gain: list[float], first: list[float]) -> Recursion:
+def linear_chain(value: str, names: tuple[str, ...], carry: list[list[float]], gain: list[float], first: list[float], plain: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> Recursion:
     """States that feed one another: s = carry s' + gain x, from ``first`` times the first known x on; rows without x keep them.
-    Elements: the product of the carries, what was added, the states where a series begins, and whether one has."""
+    ``plain`` gives s from s' and gain x, one state after the other. Elements: the product of the carries, what was added, the states where a series begins, and whether one has."""
     a, b, s0 = np.array(carry, float), np.array(gain, float), np.array(first, float)
     k = len(b)
 
@@ -202,22 +287,39 @@ def linear_chain(value: str, names: tuple[str, ...], carry: list[list[float]], g
         on = lambda v: np.einsum("nij,nj->ni", a2, v) + c2
         return np.concatenate([(a2 @ a1).reshape(-1, k * k), on(c1), np.where(seen1 > 0, on(s1), s2), np.maximum(seen1, seen2)], 1)
 
+    def follow(earlier: np.ndarray, later: np.ndarray) -> np.ndarray:
+        (*_, s1, seen1), (_, c2, s2, seen2) = parts(earlier), parts(later)
+        moved = np.where(seen2 > 0, np.stack(plain(s1.T, c2.T), 1), s1)
+        out = later.copy()
+        out[:, k * k + k :] = np.concatenate([np.where(seen1 > 0, moved, s2), np.maximum(seen1, seen2)], 1)
+        return out
+
     def finish(e: np.ndarray) -> tuple[np.ndarray, ...]:
         *_, states, seen = parts(e)
         return tuple(np.where(seen > 0, states, np.nan).T)
 
-    return Recursion((value,), names, k * k + 2 * k + 1, elements, join, finish)
+    return Recursion((value,), names, k * k + 2 * k + 1, elements, join, finish, follow=follow)
 
 
 def macd(value: str, names: tuple[str, str, str], fast: int = 12, slow: int = 26, smooth: int = 9) -> Recursion:
     """The two means of a value and the mean of their difference."""
     f, s, d = (2 / (n + 1) for n in (fast, slow, smooth))
-    return linear_chain(value, names, [[1 - f, 0, 0], [0, 1 - s, 0], [d * (1 - f), -d * (1 - s), 1 - d]], [f, s, d * (f - s)], [1, 1, 0])
+
+    def plain(before: np.ndarray, added: np.ndarray) -> list[np.ndarray]:
+        near, far = added[0] + (1 - f) * before[0], added[1] + (1 - s) * before[1]
+        return [near, far, (1 - d) * before[2] + d * (near - far)]
+
+    return linear_chain(value, names, [[1 - f, 0, 0], [0, 1 - s, 0], [d * (1 - f), -d * (1 - s), 1 - d]], [f, s, d * (f - s)], [1, 1, 0], plain)
 
 
 def twice_smoothed(value: str, names: tuple[str, str], alpha: float = 1 / 3) -> Recursion:
     """The mean of a value and the mean of that mean."""
-    return linear_chain(value, names, [[1 - alpha, 0], [alpha * (1 - alpha), 1 - alpha]], [alpha, alpha * alpha], [1, 1])
+
+    def plain(before: np.ndarray, added: np.ndarray) -> list[np.ndarray]:
+        once = added[0] + (1 - alpha) * before[0]
+        return [once, (1 - alpha) * before[1] + alpha * once]
+
+    return linear_chain(value, names, [[1 - alpha, 0], [alpha * (1 - alpha), 1 - alpha]], [alpha, alpha * alpha], [1, 1], plain)
 
 
 def _filtered(earlier: np.ndarray, later: np.ndarray) -> np.ndarray:

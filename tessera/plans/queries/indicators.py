@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.expr import ordered, pct_change, rolling, safe_div
 from tessera.operators import indicators as ind
 from tessera.plans.panel import PANEL, price_panel, table
-from tessera.plans.registry import query, rounded
+from tessera.plans.registry import places, query, rounded
 from tessera.sources.scratch import stored
 
 _W = "PARTITION BY code ORDER BY t"
@@ -55,7 +55,7 @@ _BARS = f"{PANEL}, pb AS (SELECT code, date AS t, open, high, low, close, volume
 def in_daily_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ind.daily(price_panel(spark, sf_dir))
     exact = {"macd_hist": 6, "rsi_14": 6, "kdj_j": 6, "atr_14": 6, "trend_score": 6, "momentum_score": 5, "volume_score": 5, "risk_score": 5, "composite_score": 5}
-    return rows.select("code", "date", *(F.round(c, n).alias(c) for c, n in exact.items()))
+    return rows.select("code", "date", *(places(c, n).alias(c) for c, n in exact.items()))
 
 
 _PATTERN_TESTS = """CASE WHEN small AND top < 0.3 AND bot < 0.3 THEN 'doji' END, CASE WHEN small AND bot > 0.6 AND top < 0.1 THEN 'hammer' END, CASE WHEN small AND top > 0.6 AND bot < 0.1 THEN 'shooting_star' END,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles to ``places`` digits: sums in another order agree then."""
     return df.select(*(F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+def places(x: str, n: int) -> Column:
+    """x to n digits as DuckDB's SQL rounds: x is scaled as a double first, so one just below a half goes down."""
+    return F.round(F.col(x) * 10.0**n) / 10.0**n

@@ -7,3 +7,44 @@ def test_anti_join_looks_at_every_order(spark, tmp_path):
     spark.createDataFrame([(k,) for k in range(4)], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(0, 500000.0), (1, 10.0), (1, 450000.0), (2, 400000.0)], "o_custkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     assert [r.c_custkey for r in QUERIES["join_anti"](spark, str(tmp_path)).collect()] == [3]
+
+
+def test_places_round_a_double_below_a_half_down(spark):
+    from tessera.plans.registry import places
+
+    x = 528.0209375  # the double is less than the decimal
+    assert spark.createDataFrame([(x,), (-x,), (0.5,), (None,)], "x double").select(places("x", 6).alias("y")).toPandas()["y"].tolist()[:3] == [528.020937, -528.020937, 0.5]
+
+
+def test_scan_takes_whole_keys_row_by_row(spark, monkeypatch):
+    """States are those of the plain recursion to the last bit; long keys are cut or joined as a tree, with nulls among keys and values."""
+    import numpy as np
+
+    from tessera.operators import recursion as rc
+
+    rng = np.random.default_rng(4)
+    rows = [(k, t, None if rng.random() < 0.1 else float(rng.normal(100, 9))) for k, n in ((None, 30), (1, 1), (2, 200), (3, 41), (4, 90)) for t in range(n)]
+    want = {}
+    for k in {r[0] for r in rows}:
+        e = mean = fast = slow = None
+        dea = 0.0
+        for _, t, x in (r for r in rows if r[0] == k):
+            if x is not None:
+                mean = x if mean is None else (1 - 0.2) * mean + 0.2 * x
+                fast, slow = (x, x) if fast is None else (2 / 13 * x + (1 - 2 / 13) * fast, 2 / 27 * x + (1 - 2 / 27) * slow)
+                dea = (1 - 0.2) * dea + 0.2 * (fast - slow)
+            want[k, t] = (mean, fast, slow, None if fast is None else dea)
+    df = spark.createDataFrame(rows, "code int, date int, x double").repartition(5)
+    steps = [rc.ewm_mean("x", 0.2, "mean"), rc.macd("x", ("fast", "slow", "dea"))]
+    got = lambda: {(r.code, r.date): (r["mean"], r.fast, r.slow, r.dea) for r in rc.scan(df, steps).collect()}
+    assert got() == want
+    close = lambda a, b: all((p is None) == (q is None) and (p is None or abs(p - q) < 1e-9) for k in want for p, q in zip(a[k], b[k]))
+    monkeypatch.setattr(rc, "WHOLE", 80)
+    assert len(got()) == len(rows) and close(got(), want)
+    monkeypatch.undo()
+    starts, lengths = np.array([0, 30]), np.array([30, 7])
+    data = {"x": rng.normal(size=37)}
+    plain = rc._stepped(steps[0], data, starts, lengths)
+    monkeypatch.setattr(rc, "STEPS", 10)
+    monkeypatch.setattr(rc, "BATCH", 20)
+    assert np.allclose(rc._stepped(steps[0], data, starts, lengths)[:, 2], plain[:, 2])
