@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,46 @@ def rank_ic(df: DataFrame, factor: str, label: str, time: str = "date", least: i
     return rows.groupBy(*group).agg(corr("__f", "__l").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Average ranks; NaN are equal and the largest."""
+    order = np.argsort(x, kind="stable")
+    y = x[order]
+    new = np.concatenate(([True], (y[1:] != y[:-1]) & ~(np.isnan(y[1:]) & np.isnan(y[:-1]))))
+    first = np.flatnonzero(new)
+    ends = np.append(first[1:], len(x))
+    out = np.empty(len(x))
+    out[order] = ((first + 1 + ends) / 2)[np.cumsum(new) - 1]
+    return out
+
+
+def rank_ics(df: DataFrame, factors: list[str], label: str, time: str = "date", least: int = 30, width: int = 10, parts: int = 400) -> DataFrame:
+    """``rank_ic`` of many columns, by ``factor``. ``width`` columns of a time go to one task side by side with the label, so
+    that every value moves once, in eight bytes; a group holds one time's rows of these columns."""
+    groups = [factors[k : k + width] for k in range(0, len(factors), width)]
+    sets = F.array(*(F.struct(F.lit(k).alias("set"), F.array(*(F.col(c).cast("double") for c in g)).alias("values")) for k, g in enumerate(groups)))
+    rows = df.where(F.col(label).isNotNull()).select(time, F.col(label).cast("double").alias("__label"), F.explode(sets).alias("__s")).select(time, "__label", "__s.set", "__s.values")
+
+    def run(table: pa.Table) -> pa.Table:
+        names = groups[table.column("set")[0].as_py()]
+        values, label = table.column("values").combine_chunks(), table.column("__label").to_numpy()
+        flat = values.flatten()
+        known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, len(names))
+        x = flat.to_numpy(zero_copy_only=False).reshape(-1, len(names))
+        found = []
+        for k, name in enumerate(names):
+            on = known[:, k]
+            n = int(on.sum())
+            if n < least:
+                continue
+            a, b = (r - (n + 1) / 2 for r in (_ranks(x[on, k]), _ranks(label[on])))
+            spread = np.sqrt(np.mean(a * a)) * np.sqrt(np.mean(b * b))
+            found.append((name, float(np.mean(a * b) / spread) if spread else None, n))
+        return pa.table({time: table.column(time)[:1].take(pa.array([0] * len(found), pa.int64())), "factor": pa.array([f[0] for f in found], pa.string()), "ic": pa.array([f[1] for f in found], pa.float64()), "n": pa.array([f[2] for f in found], pa.int64())})
+
+    kind = df.schema[time].dataType.simpleString()
+    return rows.repartition(parts, time, "set").groupBy(time, "set").applyInArrow(run, f"`{time}` {kind}, factor string, ic double, n bigint")
+
+
 def pearson_ic(df: DataFrame, factor: str, label: str, time: str = "date", least: int = 30) -> DataFrame:
     rows = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
     return rows.groupBy(time).agg(corr(factor, label).alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)

@@ -33,10 +33,10 @@ def factor_panel_10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def factor_registry_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary of every registered factor's rank coefficients with the return over the next four rows."""
-    panel = price_panel(spark, sf_dir)
-    label = forward_return(panel, 4).select("code", "date", "forward")
-    rows = fz.long_factors(panel, sorted(fz.FACTORS)).join(label, ["code", "date"])
-    return rounded(ev.ic_summary(ev.rank_ic(rows, "value", "forward", least=8, by=("factor",)), by=("factor",)))
+    names = sorted(fz.FACTORS)
+    wide = fz.with_factors(forward_return(price_panel(spark, sf_dir), 4), names)
+    turned = wide.select("date", "forward", *((F.col(n) * fz.FACTORS[n].direction).alias(n) for n in names))
+    return rounded(ev.ic_summary(ev.rank_ics(turned, names, "forward", least=8), by=("factor",)))
 
 
 def _full(x: str, value: str, n: int) -> str:

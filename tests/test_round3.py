@@ -48,3 +48,22 @@ def test_scan_takes_whole_keys_row_by_row(spark, monkeypatch):
     monkeypatch.setattr(rc, "STEPS", 10)
     monkeypatch.setattr(rc, "BATCH", 20)
     assert np.allclose(rc._stepped(steps[0], data, starts, lengths)[:, 2], plain[:, 2])
+
+
+def test_rank_coefficients_of_many_columns(spark):
+    """Side by side they are those of the long table: ties, missing values, NaN, times with few rows, a flat column."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessera.operators import evaluation as ev
+
+    rng = np.random.default_rng(8)
+    value = lambda: [None if u < 0.1 else float("nan") if u < 0.15 else float(v) for u, v in zip(rng.random(3), rng.integers(-4, 5, 3))]
+    rows = [(t, None if rng.random() < 0.1 else float(rng.integers(0, 6)), *value(), 1.0) for t in range(5) for _ in range(40 if t else 6)]
+    names = ["a", "b", "c", "flat"]
+    df = spark.createDataFrame(rows, "date int, forward double, a double, b double, c double, flat double")
+    long = df.unpivot(["date", "forward"], names, "factor", "value").where("value is not null")
+    read = lambda x: {(r.factor, r.date): (None if r.ic is None else round(r.ic, 9), r.n) for r in x.collect()}
+    got = read(ev.rank_ics(df, names, "forward", least=8, width=3, parts=4))
+    assert got == read(ev.rank_ic(long.withColumn("value", F.col("value")), "value", "forward", least=8, by=("factor",)))
+    assert len(got) == 16 and got["flat", 1][0] is None
