@@ -90,6 +90,18 @@ def bar_series(panel: DataFrame, key: str = "code", time: str = "date") -> DataF
     return rows.select(key, time, *(made[n].alias(n) for n in BAR_SERIES))
 
 
+def _end_places(rows: DataFrame, names: tuple[str, ...], w: WindowSpec) -> DataFrame:
+    """The named values replaced by the share that the key's last one takes among all of them (ties averaged), by counting
+    what is below it: no sort by value."""
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({f"{n}_end": F.last(n).over(whole) for n in names})
+    below = lambda n: F.count_if(F.col(n) < F.col(f"{n}_end")).over(whole)
+    same = lambda n: F.count_if(F.col(n) == F.col(f"{n}_end")).over(whole)
+    places = {n: F.when(F.col(f"{n}_end").isNotNull(), (below(n) + (same(n) + 1) / 2.0) / F.count(n).over(whole)) for n in names}
+    kept = [c for c in rows.columns if c not in names and c.removesuffix("_end") not in names]
+    return rows.select(*kept, *(x.alias(n) for n, x in places.items()))
+
+
 def alphas(panel: DataFrame, key: str = "code", time: str = "date") -> DataFrame:
     """Key, time, and ALPHAS. Alphas that rank a value in the key's whole history (6, 7, 8, 12 and 17) are known at
     its last row only; the others at every row with enough rows before it."""
@@ -122,10 +134,6 @@ def alphas(panel: DataFrame, key: str = "code", time: str = "date") -> DataFrame
         {"__corr_vh": steady_corr("__rank_v", "__rank_h", w, 5), "__corr_vt": steady_corr("__rank_v", "__rank_typ", w, 5), "__both": known(rolling("__gap", "max", w, 3)) + pct_rank("__least", [key]) * pct_rank("__dv3", [key])},
     )
     change = delta(c, 5)
-    at_end = {
-        "gtja_006": -pct_rank("__sign", [key]), "gtja_007": pct_rank("__both", [key]), "gtja_008": pct_rank("__dmix", [key]),
-        "gtja_012": pct_rank("__from_open", [key]) * pct_rank(-F.col("__gap"), [key]), "gtja_017": F.signum(known(change)) * pct_rank("__fall", [key]),
-    }
     made = {
         "gtja_001": -steady_corr("__rank_dv", "__rank_body", w, 6),
         "gtja_002": -delta(F.col("__place"), 1),
@@ -140,9 +148,17 @@ def alphas(panel: DataFrame, key: str = "code", time: str = "date") -> DataFrame
         "gtja_018": c / (F.lag(c, 5).over(w) + TINY) - 1,
         "gtja_019": F.when(change > 0, safe_div(change, c)).otherwise(relative(c, 5)),
         "gtja_020": relative(c, 6) * 100,
-        **{n: F.when(F.col("__last"), x) for n, x in at_end.items()},
     }
-    return rows.select(key, time, *(made[n].alias(n) for n in ALPHAS))
+    ranked = ("__sign", "__both", "__dmix", "__from_open", "__below", "__fall")
+    rows = rows.withColumn("__below", -F.col("__gap"))
+    # values of the row first: lists of a window are folded here and go through no later sort
+    rows = rows.select(key, time, "__last", *ranked, F.signum(known(change)).alias("__change"), *(made[n].alias(n) for n in made))
+    place = _end_places(rows, ranked, w)
+    at_end = {
+        "gtja_006": -F.col("__sign"), "gtja_007": F.col("__both"), "gtja_008": F.col("__dmix"),
+        "gtja_012": F.col("__from_open") * F.col("__below"), "gtja_017": F.col("__change") * F.col("__fall"),
+    }
+    return place.select(key, time, *(F.when(F.col("__last"), at_end[n]).alias(n) if n in at_end else F.col(n) for n in ALPHAS))
 
 
 LEVEL_SERIES = (

@@ -67,3 +67,18 @@ def test_rank_coefficients_of_many_columns(spark):
     got = read(ev.rank_ics(df, names, "forward", least=8, width=3, parts=4))
     assert got == read(ev.rank_ic(long.withColumn("value", F.col("value")), "value", "forward", least=8, by=("factor",)))
     assert len(got) == 16 and got["flat", 1][0] is None
+
+
+def test_end_places_count_below_the_last_value(spark):
+    """The share of a key's last value, ties averaged and missing values left out, is what a ranking gives; no sort by value."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions.expr import ordered, pct_rank
+    from tessera.operators.series import _end_places
+
+    rows = [(k, t, v) for k, vs in ((1, [3.0, 1.0, None, 3.0]), (2, [2.0, None]), (3, [5.0]), (4, [1.0, 4.0, 2.0, 2.0, 0.0, 2.0])) for t, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "code int, date int, x double")
+    places = _end_places(df, ("x",), ordered("code", "date"))
+    got = {r.code: r.x for r in places.groupBy("code").agg(F.max_by("x", "date").alias("x")).collect()}
+    want = {r.code: r.p for r in df.withColumn("p", pct_rank("x", ["code"])).groupBy("code").agg(F.max_by("p", "date").alias("p")).collect()}
+    assert got == want and places._jdf.queryExecution().executedPlan().toString().count("Sort ") == 1
