@@ -109,49 +109,79 @@ def by_series(df: DataFrame, columns: dict[str, Callable[[pd.DataFrame], np.ndar
     return df.groupBy(key).applyInPandas(run, schema)
 
 
-def recursive_indicators(df: DataFrame, key: str = "code", time: str = "date") -> DataFrame:
-    """EMA 12 and 26, MACD (line, signal, histogram twice their difference), Wilder RSI and ATR 14, KDJ 9, ADX 14."""
-
-    def ema(x: pd.Series, n: int) -> pd.Series:
-        return x.ewm(span=n, adjust=False).mean()
-
-    def wilder(x: pd.Series, n: int) -> pd.Series:
-        return x.ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
-
-    def true_range(r: pd.DataFrame) -> pd.Series:
-        before = r["close"].shift(1)
-        return pd.concat([r["high"] - r["low"], (r["high"] - before).abs(), (r["low"] - before).abs()], axis=1).max(axis=1)
-
-    def macd(r: pd.DataFrame) -> pd.Series:
-        return ema(r["close"], 12) - ema(r["close"], 26)
-
-    def wilder_rsi(r: pd.DataFrame) -> pd.Series:
-        move = r["close"].diff()
-        gain, loss = wilder(move.clip(lower=0), 14), wilder((-move).clip(lower=0), 14)
-        return (100 - 100 / (1 + gain / loss.replace(0, np.nan))).where(loss > 0, np.where(gain > 0, 100.0, np.nan))
-
-    def raw_stochastic(r: pd.DataFrame) -> pd.Series:
-        low, high = r["low"].rolling(9, min_periods=1).min(), r["high"].rolling(9, min_periods=1).max()
-        return ((r["close"] - low) / (high - low).replace(0, np.nan) * 100).fillna(50.0)
-
-    def k_line(r: pd.DataFrame) -> pd.Series:
-        return raw_stochastic(r).ewm(com=2, adjust=False).mean()
-
-    def d_line(r: pd.DataFrame) -> pd.Series:
-        return k_line(r).ewm(com=2, adjust=False).mean()
-
-    def adx(r: pd.DataFrame) -> pd.Series:
-        up, down = r["high"].diff(), -r["low"].diff()
-        plus, minus = up.where((up > down) & (up > 0), 0.0), down.where((down > up) & (down > 0), 0.0)
-        size = wilder(true_range(r), 14).replace(0, np.nan)
-        p, m = 100 * wilder(plus, 14) / size, 100 * wilder(minus, 14) / size
-        return wilder(100 * (p - m).abs() / (p + m).replace(0, np.nan), 14)
-
-    return by_series(df, {
-        "ema_12": lambda r: ema(r["close"], 12), "ema_26": lambda r: ema(r["close"], 26), "macd": macd, "macd_signal": lambda r: ema(macd(r), 9),
-        "macd_hist": lambda r: 2 * (macd(r) - ema(macd(r), 9)), "rsi_wilder": wilder_rsi, "atr_wilder": lambda r: wilder(true_range(r), 14),
+def _ewm(x: np.ndarray, alpha: float, least: int = 0) -> np.ndarray:
+    """pandas' unadjusted exponential mean; missing before ``least`` known values."""
+    return pd.Series(x).ewm(alpha=alpha, adjust=False, min_periods=least).mean().to_numpy()
+
+
+def _line(f: Callable[[pd.DataFrame], np.ndarray]) -> Callable[[pd.DataFrame], np.ndarray]:
+    """Computed once for a key's rows, however many lines use it."""
+    last: list = []
+
+    def once(r: pd.DataFrame) -> np.ndarray:
+        if not last or last[0] is not r:
+            last[:] = [r, f(r)]
+        return last[1]
+
+    return once
+
+
+def recursive_indicators(df: DataFrame, key: str = "code", time: str = "date", names: tuple[str, ...] | None = None) -> DataFrame:
+    """EMA 12 and 26, MACD (line, signal, histogram twice their difference), Wilder RSI and ATR 14, KDJ 9, ADX 14; or only
+    those that are named."""
+    span = lambda n: 2 / (n + 1)
+    numbers = lambda r, c: r[c].to_numpy(float)
+    before = lambda x: np.concatenate(([np.nan], x[:-1]))
+
+    @_line
+    def fast(r: pd.DataFrame) -> np.ndarray:
+        return _ewm(numbers(r, "close"), span(12))
+
+    @_line
+    def slow(r: pd.DataFrame) -> np.ndarray:
+        return _ewm(numbers(r, "close"), span(26))
+
+    @_line
+    def signal(r: pd.DataFrame) -> np.ndarray:
+        return _ewm(fast(r) - slow(r), span(9))
+
+    def wilder_rsi(r: pd.DataFrame) -> np.ndarray:
+        move = numbers(r, "close") - before(numbers(r, "close"))
+        gain, loss = _ewm(np.maximum(move, 0), 1 / 14, 14), _ewm(np.maximum(-move, 0), 1 / 14, 14)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(loss > 0, 100 - 100 / (1 + gain / loss), np.where(gain > 0, 100.0, np.nan))
+
+    @_line
+    def size(r: pd.DataFrame) -> np.ndarray:
+        high, low, last = numbers(r, "high"), numbers(r, "low"), before(numbers(r, "close"))
+        return _ewm(np.fmax(np.fmax(high - low, np.abs(high - last)), np.abs(low - last)), 1 / 14, 14)
+
+    @_line
+    def k_line(r: pd.DataFrame) -> np.ndarray:
+        low, high = r["low"].rolling(9, min_periods=1).min().to_numpy(), r["high"].rolling(9, min_periods=1).max().to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            raw = np.where(high != low, (numbers(r, "close") - low) / (high - low) * 100, np.nan)
+        return _ewm(np.where(np.isnan(raw), 50.0, raw), 1 / 3)
+
+    @_line
+    def d_line(r: pd.DataFrame) -> np.ndarray:
+        return _ewm(k_line(r), 1 / 3)
+
+    def adx(r: pd.DataFrame) -> np.ndarray:
+        high, low = numbers(r, "high"), numbers(r, "low")
+        up, down = high - before(high), before(low) - low
+        plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
+        known = np.where(size(r) == 0, np.nan, size(r))
+        p, m = 100 * _ewm(plus, 1 / 14, 14) / known, 100 * _ewm(minus, 1 / 14, 14) / known
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return _ewm(np.where(p + m == 0, np.nan, 100 * np.abs(p - m) / (p + m)), 1 / 14, 14)
+
+    lines = {
+        "ema_12": fast, "ema_26": slow, "macd": lambda r: fast(r) - slow(r), "macd_signal": signal,
+        "macd_hist": lambda r: 2 * (fast(r) - slow(r) - signal(r)), "rsi_wilder": wilder_rsi, "atr_wilder": size,
         "kdj_k": k_line, "kdj_d": d_line, "kdj_j": lambda r: 3 * k_line(r) - 2 * d_line(r), "adx": adx,
-    }, key, time)
+    }
+    return by_series(df, {n: lines[n] for n in names or lines}, key, time)
 
 
 def true_range(w) -> Column:

@@ -82,3 +82,26 @@ def test_end_places_count_below_the_last_value(spark):
     got = {r.code: r.x for r in places.groupBy("code").agg(F.max_by("x", "date").alias("x")).collect()}
     want = {r.code: r.p for r in df.withColumn("p", pct_rank("x", ["code"])).groupBy("code").agg(F.max_by("p", "date").alias("p")).collect()}
     assert got == want and places._jdf.queryExecution().executedPlan().toString().count("Sort ") == 1
+
+
+def test_simulator_holds_one_date_at_a_time():
+    """Rows of a date that come in several frames are one date; a strategy begins anew; no frame holds more than a date."""
+    import datetime
+
+    import pandas as pd
+
+    from tessera.operators.portfolio import _by_date
+
+    d = [datetime.date(2024, 1, k) for k in (1, 2, 3)]
+    rows = pd.DataFrame({"s": ["a"] * 5 + ["b"] * 2, "date": [d[0], d[0], d[1], d[1], d[2], d[2], d[2]], "x": range(7)})
+    days = list(_by_date(iter([rows[:1], rows[1:3], rows[3:6], rows[6:]]), "s"))
+    assert [(n, t, r["x"].tolist()) for n, t, r in days] == [("a", d[0], [0, 1]), ("a", d[1], [2, 3]), ("a", d[2], [4]), ("b", d[2], [5, 6])]
+
+
+def test_only_named_recursive_lines_are_computed(spark):
+    from tessera.operators import timeseries as ts
+
+    rows = [(k, t, float(10 + (t * 7 + k) % 5)) for k in (1, 2) for t in range(30)]
+    df = spark.createDataFrame(rows, "code int, date int, close double")  # the lines that are named need no highs and lows
+    out = ts.recursive_indicators(df, names=("ema_12", "macd"))
+    assert out.columns == ["code", "date", "close", "ema_12", "macd"] and out.where("date = 0").select("ema_12").first()[0] == rows[0][2]
