@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.expr import ordered, running
 from tessera.operators import timeseries as ts
 from tessera.plans.panel import PANEL, price_panel, table
-from tessera.plans.registry import query, rounded
+from tessera.plans.registry import places, query, rounded
 
 _W = "PARTITION BY code ORDER BY date"
 
@@ -123,13 +123,16 @@ def ts_expanding_z(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT r.code, r.date, r.k, r.close * (2.0 / 13) + e.a * (11.0 / 13), r.close * (2.0 / 27) + e.b * (25.0 / 27) FROM e JOIN r ON r.code = e.code AND r.k = e.k + 1)
   SELECT code, date, round(a, 5) AS ema_12, round(b, 5) AS ema_26, round(a - b, 5) AS macd FROM e""")
 def ts_ema_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ts.recursive_indicators(price_panel(spark, sf_dir)).select("code", "date", "ema_12", "ema_26", "macd"), 5)
+    names = ("ema_12", "ema_26", "macd")
+    rows = ts.recursive_indicators(price_panel(spark, sf_dir).select("code", "date", "close"), names=names)
+    return rows.select("code", "date", *(places(n, 5).alias(n) for n in names))
 
 
 @query()
 def ts_recursive_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("macd_signal", "macd_hist", "rsi_wilder", "atr_wilder", "kdj_k", "kdj_d", "kdj_j", "adx")
-    return rounded(ts.recursive_indicators(price_panel(spark, sf_dir)).select("code", "date", *names), 5)
+    rows = price_panel(spark, sf_dir).select("code", "date", "high", "low", "close")
+    return rounded(ts.recursive_indicators(rows, names=names).select("code", "date", *names), 5)
 
 
 @query(f"""WITH {PANEL}, r AS (SELECT code, date, close, CASE WHEN count(close) OVER w >= 20 THEN avg(close) OVER w END AS m, CASE WHEN count(close) OVER w >= 20 THEN stddev_samp(close) OVER w END AS s
