@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 from tessera.functions.expr import average_rank, corr, ordered, pct_rank, safe_div, trailing, zscore
 
 
+#: Parts that rows are dealt to by time before they are ranked: a task holds a few times at once.
+TIMES = 200
+
+
 def rank_ic(df: DataFrame, factor: str, label: str, time: str = "date", least: int = 30, by: tuple[str, ...] = ()) -> DataFrame:
     """Per time (and ``by``): correlation of average ranks over jointly known rows, and their number."""
     group = [*by, time]
-    rows = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull()).withColumn("__f", average_rank(factor, group)).withColumn("__l", average_rank(label, group))
+    rows = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull()).select(*group, factor, label).repartition(TIMES, *group)
+    rows = rows.withColumn("__f", average_rank(factor, group)).withColumn("__l", average_rank(label, group))
     return rows.groupBy(*group).agg(corr("__f", "__l").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
@@ -110,7 +115,9 @@ def turnover(df: DataFrame, factor: str, share: float = 0.2, key: str = "code",
 
 def factor_correlation(df: DataFrame, factors: list[str], time: str = "date", least: int = 20) -> DataFrame:
     """Mean over times of the rank correlation of each pair of factors."""
-    ranks = df.select(time, *(average_rank(c, [time]).alias(c) for c in factors))
+    ranks = df.select(time, *factors).repartition(TIMES, time)
+    for c in factors:  # one by one: a sorted row is narrow
+        ranks = ranks.withColumn(c, average_rank(c, [time]))
     pairs = [(a, b) for k, a in enumerate(factors) for b in factors[k + 1 :]]
     each = ranks.groupBy(time).agg(*(corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
     long = each.unpivot([time], [F.col(f"`{a}|{b}`") for a, b in pairs], "pair", "rho").where("rho is not null")
@@ -241,7 +248,7 @@ def factor_weights(ic: DataFrame, how: str = "icir", half_life: float = 20, time
 def combined(df: DataFrame, factors: list[str], weights: DataFrame, key: str = "code", time: str = "date", limit: float = 5.0) -> DataFrame:
     """(key, time, score): weighted sum of each time's standard scores (sample deviation; 0 without spread), held to
     ``limit``. A row that lacks one of the factors has no score; a factor without a weight counts nothing."""
-    scores = df.select(key, time, *(F.when(F.col(c).isNotNull(), F.coalesce(zscore(c, [time], ddof=1, limit=limit), F.lit(0.0))).alias(c) for c in factors))
+    scores = df.select(key, time, *factors).repartition(TIMES, time).select(key, time, *(F.when(F.col(c).isNotNull(), F.coalesce(zscore(c, [time], ddof=1, limit=limit), F.lit(0.0))).alias(c) for c in factors))
     named = weights.groupBy().agg(*(F.sum(F.when(F.col("factor") == c, F.col("weight"))).alias(f"__w_{c}") for c in factors))
     total = sum((F.col(c) * F.coalesce(F.col(f"__w_{c}"), F.lit(0.0)) for c in factors), F.lit(0.0))
     return scores.crossJoin(F.broadcast(named)).select(key, time, total.alias("score"))  # one row
