@@ -7,8 +7,9 @@ each child holds the documents that agree there. Nodes of at most ``LEAF`` docum
 exhaustively by signature, and pairs that may reach the threshold are confirmed on the full sets. Larger nodes branch again; what is still larger at
 ``DEPTH`` agrees again and again, and its documents form a crowd. A crowd is dealt into blocks, each
 compared on the full sets, exhaustively and with a few pivots that go to every block; documents which that
-leaves apart from the crowd's largest component are then compared with all its blocks. Only spanning
-links leave a block. Components follow from links on full sets alone.
+leaves apart from the crowd's largest component are then compared with all others of the crowd that may reach the
+threshold with them: two sets that do share one of their first shingles, in whatever order (here those of no
+pivot come first). Only spanning links leave a block. Components follow from links on full sets alone.
 
 Defined cases: letters A-Z count as a-z; fewer than five words make one shingle; null texts and texts
 without words have an empty set, no links and themselves as component; rows are told apart by themselves,
@@ -31,7 +32,10 @@ from tessera.llm.words import Block, blocks, mix, ngram_hashes
 
 SHINGLE, SIGNATURE = 5, 64
 LEAF, DEPTH = 64, 4
-BLOCK, PIVOTS = 128, 4
+#: Blocks of those that are compared with a whole crowd widen with the root of its size, up to WIDEN times.
+BLOCK, PIVOTS, WIDEN = 128, 4, 4
+#: Marks a pivot's copy in a block.
+_PIVOT = 2
 #: Signatures (64 values of 8 bits) of sets at 0.85 agree in 54 places on average, give or take 2.9. All trees
 #: look at one signature, so a pair below the estimate is missed by all of them: by the binomial tail 6 in 10 million at 0.85, 4 in a million at 0.8.
 ESTIMATE_SLACK = 0.25
@@ -235,6 +239,30 @@ def _block_links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
+def _first_shingles(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (node, id, chosen, shingles, crowd) sorted by node; for each that is no pivot, as many of its shingles, those in
+    the fewest pivots first, that a set which reaches the threshold with it shares one of those it gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _grouped(batches):
+            node, ids, chosen, crowd = (batch.column(k).to_numpy() for k in (0, 1, 2, 4))
+            heads = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(node)]):
+                sets = [_shingles(x.as_py()) for x in batch.column(3).slice(a, b - a)]
+                pivot = chosen[a:b] == _PIVOT
+                common, times = np.unique(np.concatenate([sets[k] for k in np.flatnonzero(pivot)]), return_counts=True)
+                found, rows = [], np.flatnonzero(~pivot)
+                for k in rows:
+                    x = sets[k]
+                    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                    found.append(x[np.lexsort((x, np.where(common[at] == x, times[at], 0)))][: len(x) + -percent * len(x) // 100 + 1])
+                if found:
+                    of = a + np.repeat(rows, [len(x) for x in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(crowd[of]), pa.array(np.concatenate(found).view(np.int64)), pa.array(ids[of]), pa.array(chosen[of])], names=["crowd", "shingle", "id", "chosen"])
+
+    return run
+
+
 def _confirm_batches(share_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,9 +312,13 @@ def _sized(members: DataFrame) -> DataFrame:
     return materialize(members.join(sizes, "node"), "nodes")
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (node, id, chosen and others) with their shingles, those of a node together."""
+    return rows.join(sets, "id").select("node", "id", "chosen", "shingles", *rows.columns[3:]).repartition("node").sortWithinPartitions("node")
+
+
 def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    wide = rows.join(sets, "id").select("node", "id", "chosen", "shingles")
-    return wide.repartition("node").sortWithinPartitions("node").mapInArrow(_block_links(percent), "a bigint, b bigint")
+    return _with_sets(rows, sets).mapInArrow(_block_links(percent), "a bigint, b bigint")
 
 
 def _crowd_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -302,14 +334,25 @@ def _crowd_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent:
 
     placed = materialize(dealt.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     largest = placed.groupBy("crowd", "component").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    apart = placed.join(largest, "crowd").where("component <> main and blocks > 1").select("crowd", "id", "blocks")
-    slices = apart.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).alias("slices"))
-    apart = materialize(apart.join(slices, "crowd").withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices"))), "apart")
+    apart = materialize(placed.join(largest, "crowd").where("component <> main and blocks > 1").select("crowd", "id"), "apart")
     if apart.limit(1).count() == 0:
         return links
-    # every block of the crowd meets every slice of what is apart
-    ours = apart.select("crowd", "id", "slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("chosen"))
-    theirs = dealt.join(slices, "crowd").select("crowd", "id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"), "block", F.lit(0).alias("chosen"))
+    # only what shares a first shingle with one that is apart can be linked to it: the others go no further
+    crowded = apart.select("crowd").distinct()
+    told = dealt.join(crowded, "crowd", "left_semi").join(apart.select("id", F.lit(1).alias("chosen")), "id", "left").select("crowd", "block", "id", F.coalesce("chosen", F.lit(0)).alias("chosen"))
+    told = told.unionByName(pivots.join(crowded, "crowd", "left_semi").withColumn("chosen", F.lit(_PIVOT)))
+    told = _with_sets(told.select(F.xxhash64("crowd", "block").alias("node"), "id", "chosen", "crowd"), sets)
+    first = materialize(told.mapInArrow(_first_shingles(percent), "crowd bigint, shingle bigint, id bigint, chosen int"), "first")
+    shared = first.groupBy("crowd", "shingle").agg(F.count("*").alias("n"), F.max("chosen").alias("any")).where("n > 1 and any = 1")
+    met = materialize(first.join(shared, ["crowd", "shingle"], "left_semi").select("crowd", "id", "chosen").distinct(), "met")
+
+    # every block of these meets every slice of those that are apart
+    wide = F.lit(BLOCK) * F.least(F.lit(WIDEN), F.ceil(F.sqrt(F.count("*") / (2 * BLOCK))))
+    counts = met.groupBy("crowd").agg(F.ceil(F.count("*") / wide).alias("blocks"), F.ceil(F.sum("chosen") / wide).alias("slices"))
+    met = met.join(counts, "crowd")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    ours = met.where("chosen = 1").select("crowd", "id", F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).alias("slice"), upto("blocks").alias("block"), "chosen")
+    theirs = met.select("crowd", "id", upto("slices").alias("slice"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(0).alias("chosen"))
     rows = ours.unionByName(theirs).select(F.xxhash64("crowd", "slice", "block").alias("node"), "id", "chosen")
     return links.unionByName(_in_blocks(rows, sets, percent))
 

@@ -263,6 +263,17 @@ def test_near_duplicates(spark, corpus, percent):
     assert got == similar(rows, percent)
 
 
+def test_loose_crowds_are_not_compared_block_by_block(spark, monkeypatch):
+    base, n, met = " ".join(f"t{i}" for i in range(80)), 1500, []
+    rows = [(k, base + " " + " ".join(f"z{k}_{i}" for i in range(20))) for k in range(n)]
+    rows += [(n + k, rows[k][1] + " more") for k in range(0, n, 100)]
+    in_blocks = near_dups._in_blocks
+    monkeypatch.setattr(near_dups, "_in_blocks", lambda rows, *rest: met.append(rows.count()) or in_blocks(rows, *rest))
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {d: d - n if d >= n else d for d, _ in rows}
+    assert len(met) == 2 and met[0] >= n / 2 and met[1] < n / 10
+
+
 def test_near_duplicates_odd(odd):
     got = near_dups.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
