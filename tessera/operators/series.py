@@ -7,11 +7,13 @@ is a value whose window lacks a known row. Columns whose names begin with two un
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import enough, ordered, pct_change, pct_rank, rolling, safe_div, trailing
-from tessera.operators.timeseries import share_below, ts_rank
+from tessera.operators.rolled import quotient, rolled, sorted_by
+from tessera.operators.timeseries import ts_rank
 
 #: What is added to a divisor, decay of the smoothed range, and rows after which it is below rounding.
 TINY = 1e-8
@@ -40,13 +42,6 @@ def steady_corr(x: str, y: str, w: WindowSpec, n: int) -> Column:
     return enough(a, F.when(spread > 1e-12, F.covar_pop(a, b).over(frame) / spread), frame, n)
 
 
-def linear_mean(value: str, row: str, w: WindowSpec, n: int) -> Column:
-    """Mean with weights 1 (oldest) to n, from two sums over the rows' numbers."""
-    frame = trailing(w, n)
-    total = F.sum(F.col(value) * F.col(row)).over(frame) - (F.col(row) - n) * F.sum(value).over(frame)
-    return enough(F.col(value), total / (n * (n + 1) / 2), frame, n)
-
-
 def smoothed(value: str, w: WindowSpec) -> Column:
     """Exponential mean that starts at the first known value; older rows than DECAY_ROWS weigh less than rounding.
     Unknown values are passed over."""
@@ -54,38 +49,46 @@ def smoothed(value: str, w: WindowSpec) -> Column:
     return F.aggregate(seen, F.lit(None).cast("double"), lambda s, v: F.when(s.isNull(), v).otherwise(s * (1 - DECAY) + v * DECAY))
 
 
+def _rolled(panel: DataFrame, bars: tuple[str, ...], specs: dict[str, tuple], key: str, time: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The bars with the columns of ``specs``, and these by name; their names begin with two underscores."""
+    named = lambda c: c if c in bars else f"__{c}"
+    under = {f"__{n}": (how, named(of) if isinstance(of, str) else tuple(map(named, of)), *rest) for n, (how, of, *rest) in specs.items()}
+    return rolled(sorted_by(panel.select(key, time, *bars), key, time), under, key), {n: F.col(f"__{n}") for n, s in specs.items() if not callable(s[0])}
+
+
 def bar_series(panel: DataFrame, key: str = "code", time: str = "date") -> DataFrame:
     """Key, time, and BAR_SERIES: value and trend of trading, ranges, adjusted momentum, moments, spreads."""
-    w = ordered(key, time)
-    c, o, h, low, v, a = (F.col(x) for x in ("close", "open", "high", "low", "volume", "amount"))
-    rows = layered(
-        panel,
-        {
-            "__row": F.row_number().over(w), "__ret": pct_change(c, w), "__move": c - F.lag(c).over(w), "__mom": pct_change(c, w, 20), "__range": safe_div(h - low, c),
-            "__gap": F.coalesce((safe_div(o, F.lag(c).over(w)) - 1 > 0.005).cast("double"), F.lit(0.0)), "__side": F.signum(c - o), "__body": safe_div(c - o, h - low),
-        },
-        {"__wma": linear_mean("close", "__row", w, 20), "__pair": F.col("__move") * F.lag("__move").over(w), "__cost": safe_div(F.abs("__ret"), a)},
-        {"__cov": rolling("__pair", "mean", w, 20)},
-    )
+    c, a, v = F.col("close"), F.col("amount"), F.col("volume")
+    bars = ("open", "high", "low", "close", "volume", "amount")
+    specs = {
+        "row": ("row", "close", 1), **{f"c_lag_{n}": ("lag", "close", n) for n in (1, 20)}, "v_lag_5": ("lag", "volume", 5), "c_mean": ("mean", "close", 20), "v_mean": ("mean", "volume", 20), "v_std": ("std", "volume", 20), "a_mean": ("mean", "amount", 20),
+        "ret": (lambda c, b: quotient(c, b) - 1, ("close", "c_lag_1"), 0), "move": (np.subtract, ("close", "c_lag_1"), 0), "moved": ("lag", "move", 1), "pair": (np.multiply, ("move", "moved"), 0), "cost": (lambda r, a: quotient(abs(r), a), ("ret", "amount"), 0),
+        "mom": (lambda c, b: quotient(c, b) - 1, ("close", "c_lag_20"), 0), "range": (lambda h, low, c: quotient(h - low, c), ("high", "low", "close"), 0), "gap": (lambda o, b: quotient(o, b) - 1 > 0.005, ("open", "c_lag_1"), 0),
+        "side": (lambda c, o: np.sign(c - o), ("close", "open"), 0), "body": (lambda c, o, h, low: quotient(c - o, h - low), ("close", "open", "high", "low"), 0), "placed": (np.multiply, ("close", "row"), 0), "c_sum": ("sum", "close", 20), "p_sum": ("sum", "placed", 20),
+        "wma": (lambda p, row, s: (p - (row - 20) * s) / 210, ("p_sum", "row", "c_sum"), 0), "w": ("lag", "wma", 0), "w_lag_5": ("lag", "wma", 5), "ret_std": ("std", "ret", 20), "skew": ("skew", "ret", 20), "kurt": ("kurt", "ret", 20),
+        "mom_mean": ("mean", "mom", 60), "range_mean": ("mean", "range", 20), "gaps": ("sum", "gap", 5), "sides": ("sum", "side", 5), "cost_mean": ("mean", "cost", 5), "cov": ("mean", "pair", 20), "fit": ("corr", ("close", "volume"), 10), "below": ("below", "close", 20), "strength": ("mean", "body", 20),
+    }
+    rows, x = _rolled(panel, bars, specs, key, time)
+    mom = safe_div(c, x["c_lag_20"]) - 1
     made = {
         "vwap_bias": (safe_div(c, safe_div(a, v)) - 1) * 100,
-        "amt_trend": (safe_div(a, rolling(a, "mean", w, 20)) - 1) * 100,
-        "volume_std_20": safe_div(rolling(v, "std", w, 20), rolling(v, "mean", w, 20)),
-        "high_low_range_20": rolling("__range", "mean", w, 20) * 100,
-        "gap_up_5d": rolling("__gap", "sum", w, 5),
-        "mom_risk_adj": safe_div("__mom", rolling("__ret", "std", w, 20)),
-        "res_mom_approx": F.col("__mom") - rolling("__mom", "mean", w, 60),
-        "wma_mom": (safe_div("__wma", F.lag("__wma", 5).over(w)) - 1) * 100,
-        "skew_20": rolling("__ret", "skew", w, 20),
-        "kurt_20": rolling("__ret", "kurt", w, 20),
-        "ofi_approx": rolling("__side", "sum", w, 5),
-        "amihud_5d": rolling("__cost", "mean", w, 5),
-        "roll_spread": F.when(F.col("__cov") < 0, 2 * F.sqrt(-F.col("__cov"))),
-        "alpha_rank_cm": (safe_div(c, rolling(c, "mean", w, 20)) - 1) * 100,
-        "alpha_corr_cv": steady_corr("close", "volume", w, 10),
-        "alpha_tsrank_20": share_below("close", 20, w),
-        "alpha_delta_vol_5": pct_change(v, w, 5) * 100,
-        "candle_strength": rolling("__body", "mean", w, 20),
+        "amt_trend": (safe_div(a, x["a_mean"]) - 1) * 100,
+        "volume_std_20": safe_div(x["v_std"], x["v_mean"]),
+        "high_low_range_20": x["range_mean"] * 100,
+        "gap_up_5d": x["gaps"],
+        "mom_risk_adj": safe_div(mom, x["ret_std"]),
+        "res_mom_approx": mom - x["mom_mean"],
+        "wma_mom": (safe_div(x["w"], x["w_lag_5"]) - 1) * 100,
+        "skew_20": x["skew"],
+        "kurt_20": x["kurt"],
+        "ofi_approx": x["sides"],
+        "amihud_5d": x["cost_mean"],
+        "roll_spread": F.when(x["cov"] < 0, 2 * F.sqrt(-x["cov"])),
+        "alpha_rank_cm": (safe_div(c, x["c_mean"]) - 1) * 100,
+        "alpha_corr_cv": x["fit"],
+        "alpha_tsrank_20": x["below"],
+        "alpha_delta_vol_5": (safe_div(v, x["v_lag_5"]) - 1) * 100,
+        "candle_strength": x["strength"],
     }
     return rows.select(key, time, *(made[n].alias(n) for n in BAR_SERIES))
 
@@ -174,89 +177,87 @@ YEAR = 252
 def level_series(panel: DataFrame, key: str = "code", time: str = "date") -> DataFrame:
     """Key, time, and LEVEL_SERIES: trends, channels, ranges, volumes and risks that windows alone can give. Flags are
     0 where their window is not full; places in a channel are 0.5 where it has no width."""
-    w = ordered(key, time)
     c, o, h, low, v, a = (F.col(x) for x in ("close", "open", "high", "low", "volume", "amount"))
 
     def flag(test: Column) -> Column:
         return F.coalesce(test.cast("double"), F.lit(0.0))
 
-    def mean(x: Column | str, n: int) -> Column:
-        return rolling(x, "mean", w, n)
-
-    def pop(x: str, n: int) -> Column:
-        return enough(F.col(x), F.stddev_pop(x).over(trailing(w, n)), trailing(w, n), n)
-
     def channel(top: Column, bottom: Column) -> Column:
         return F.when(top > bottom, (c - bottom) / (top - bottom)).otherwise(0.5)
 
-    before = F.lag(c).over(w)
-    rise, fall = h - F.lag(h).over(w), F.lag(low).over(w) - low
-    rows = layered(
-        panel,
-        {
-            "__before": before, "__ret": pct_change(c, w), "__dv": pct_change(v, w), "__range": F.greatest(h - low, F.abs(h - before), F.abs(low - before)), "__up": F.when(rise.isNotNull(), F.greatest(rise, F.lit(0.0))),
-            "__plus": flag((rise > fall) & (rise > 0)) * F.coalesce(rise, F.lit(0.0)), "__minus": flag((fall > rise) & (fall > 0)) * F.coalesce(fall, F.lit(0.0)), "__h": F.lag(h).over(w), "__l": F.lag(low).over(w), "__v": F.lag(v).over(w), "__a": F.lag(a, 5).over(w),
-            "__ma5": mean(c, 5), "__ma20": mean(c, 20), "__ma60": mean(c, 60), "__sd20": rolling(c, "std", w, 20), "__row": F.row_number().over(w),
-        },
-        {
-            "__loss": F.when(F.col("__ret").isNotNull(), F.least(F.col("__ret"), F.lit(0.0))), "__rises": flag(F.col("__ret") > 0), "__falls": flag(F.col("__ret") < 0),
-            "__cross": flag((F.col("__ma5") > F.col("__ma20")) & (F.lag("__ma5").over(w) <= F.lag("__ma20").over(w))), "__rest": F.max(F.when(~F.coalesce(F.col("__ret") > 0, F.lit(False)), F.col("__row"))).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        },
-        {"__n_loss": enough(F.col("__loss"), F.sum("__falls").over(trailing(w, 60)), trailing(w, 60), 60), "__sum_loss": rolling("__loss", "sum", w, 60), "__sum_square": rolling(F.col("__loss") * F.col("__loss"), "sum", w, 60)},
-        {"__sd_loss": F.sqrt(F.greatest(safe_div("__sum_square", "__n_loss") - F.pow(safe_div("__sum_loss", "__n_loss"), 2), F.lit(0.0)))},
-    )
-    x = {n: F.col(n) for n in rows.columns if n.startswith("__")}
-    low_risk = F.when((x["__n_loss"] < 2) | (x["__sd_loss"] < 1e-9), 1.0).otherwise(x["__sd_loss"])
-    top20, bottom20 = rolling("__h", "max", w, 20), rolling("__l", "min", w, 20)
-    high14, low14 = rolling(h, "max", w, 14), rolling(low, "min", w, 14)
-    sum_up, sum_down = rolling("__rises", "sum", w, 20), rolling("__falls", "sum", w, 20)
-    sum_loss = mean("__loss", 60) * 100
-    drop = enough(c, F.max(c).over(trailing(w, 250)), trailing(w, 250), 2)
+    bars = ("close", "open", "high", "low", "volume", "amount")
+    specs = {f"{s}_lag_{n}": ("lag", x, n) for x, s, n in (("close", "c", 1), ("close", "c", 5), ("close", "c", 20), ("close", "c", 60), ("high", "h", 1), ("low", "l", 1), ("volume", "v", 1), ("volume", "v", 5), ("amount", "a", 5))}
+    specs |= {f"{s}_{how}_{n}": (how, x, n) for x, s, how, sizes in (
+        ("close", "c", "mean", (5, 12, 20, 60)), ("close", "c", "std", (20,)), ("close", "c", "min", (20,)), ("close", "c", "max", (20,)), ("high", "h", "max", (10, 14, 20, 60)), ("high", "h", "mean", (10,)), ("low", "l", "min", (10, 14, 20, 60)),
+        ("volume", "v", "mean", (5, 20)), ("volume", "v", "sum", (5, 20)), ("volume", "v", "pop", (20,)), ("amount", "a", "mean", (5, 20)), ("amount", "a", "std", (20,)),
+    ) for n in sizes}
+    specs |= {
+        "c_top_250": ("max", "close", 250, 2), "m5_before": ("lag", "c_mean_5", 1), "m20_before": ("lag", "c_mean_20", 1), "m20_lag_5": ("lag", "c_mean_20", 5),
+        "v_before_5": ("mean", "v_lag_1", 5), "a_before_6": ("mean", "a_lag_5", 6), "h_before_20": ("max", "h_lag_1", 20), "l_before_20": ("min", "l_lag_1", 20),
+    }
+    moved = lambda ahead, behind: np.where((ahead > behind) & (ahead > 0), ahead, 0.0)
+    specs |= {
+        "ret": (lambda c, b: quotient(c, b) - 1, ("close", "c_lag_1"), 0), "dv": (lambda v, b: quotient(v, b) - 1, ("volume", "v_lag_1"), 0), "range": (lambda h, low, b: np.fmax(h - low, np.fmax(abs(h - b), abs(low - b))), ("high", "low", "c_lag_1"), 0),
+        "rise": (np.subtract, ("high", "h_lag_1"), 0), "fall": (np.subtract, ("l_lag_1", "low"), 0), "up": (lambda x: np.maximum(x, 0.0), ("rise",), 0), "plus": (moved, ("rise", "fall"), 0), "minus": (moved, ("fall", "rise"), 0),
+        "cross": (lambda a, b, c, d: (a > b) & (c <= d), ("c_mean_5", "c_mean_20", "m5_before", "m20_before"), 0), "rises": (lambda r: r > 0, ("ret",), 0), "falls": (lambda r: r < 0, ("ret",), 0),
+        "loss": (lambda r: np.minimum(r, 0.0), ("ret",), 0), "square": (np.multiply, ("loss", "loss"), 0), "lost": (lambda x, down: np.where(np.isnan(x), np.nan, down), ("loss", "falls"), 0),
+    }
+    specs |= {f"{s}_{how}_{n}": (how, s, n) for s, how, sizes in (
+        ("ret", "mean", (60,)), ("ret", "std", (5, 60)), ("ret", "pop", (20, 60)), ("up", "mean", (14,)), ("range", "mean", (14,)), ("range", "sum", (14,)), ("plus", "sum", (14,)), ("minus", "sum", (14,)), ("cross", "max", (3,)),
+        ("rises", "sum", (20,)), ("falls", "sum", (20,)), ("loss", "sum", (60,)), ("loss", "mean", (60,)), ("square", "sum", (60,)), ("lost", "sum", (60,)),
+    ) for n in sizes} | {"fit": ("corr", ("ret", "dv"), 20), "rising": ("streak", "ret", 1)}
+    rows, x = _rolled(panel, bars, specs, key, time)
+    n_loss = x["lost_sum_60"]
+    sd_loss = F.sqrt(F.greatest(safe_div(x["square_sum_60"], n_loss) - F.pow(safe_div(x["loss_sum_60"], n_loss), 2), F.lit(0.0)))
+    low_risk = F.when((n_loss < 2) | (sd_loss < 1e-9), 1.0).otherwise(sd_loss)
+    sum_loss = x["loss_mean_60"] * 100
+    change = {n: safe_div(c, x[f"c_lag_{n}"]) - 1 for n in (5, 20, 60)}
+    pop20, mid, sd = x["ret_pop_20"], x["c_mean_20"], x["c_std_20"]
     made = {
-        "tech_mom_accel": pct_change(c, w, 20) - pct_change(c, w, 60),
-        "tech_ret_20_60": safe_div(pct_change(c, w, 20), F.abs(pct_change(c, w, 60))),
-        "tech_ma_bull": F.greatest(flag(x["__ma5"] > x["__ma20"]), flag(x["__ma20"] > x["__ma60"]), flag(c > x["__ma5"])),
-        "tech_ma20_slope": pct_change("__ma20", w, 5),
-        "tech_ma_cross_5_20": F.coalesce(rolling("__cross", "max", w, 3), F.lit(0.0)),
-        "tech_dmi_plus": safe_div(mean("__up", 14) * 100, mean("__range", 14)),
-        "tech_sharpe_60": safe_div(mean("__ret", 60), rolling("__ret", "std", w, 60)) * YEAR**0.5,
-        "tech_sortino_60": safe_div(mean("__ret", 60), low_risk) * YEAR**0.5,
-        "tech_vol_contract": safe_div(rolling("__ret", "std", w, 5), rolling("__ret", "std", w, 60)),
-        "tech_atr_pct": safe_div(mean("__range", 14), c),
-        "tech_boll_pos": F.when(x["__sd20"] >= 1e-9, (c - x["__ma20"] + 2 * x["__sd20"]) / (4 * x["__sd20"])).otherwise(0.5),
-        "tech_boll_width": safe_div("__sd20", "__ma20") * 4,
-        "tech_williams_r": safe_div(high14 - c, high14 - low14) * -100,
-        "tech_hl_range10": safe_div(rolling(h, "max", w, 10) - rolling(low, "min", w, 10), mean(h, 10)),
-        "tech_vol_ratio": safe_div(v, mean("__v", 5)),
-        "tech_amount_trend": safe_div(mean(a, 5), mean("__a", 6)) - 1,
-        "tech_amount_z": safe_div(a - mean(a, 20), rolling(a, "std", w, 20)),
-        "tech_price_vol_div": pct_change(c, w, 5) - pct_change(v, w, 5),
-        "tech_candle_body": safe_div(c - o, x["__before"]),
+        "tech_mom_accel": change[20] - change[60],
+        "tech_ret_20_60": safe_div(change[20], F.abs(change[60])),
+        "tech_ma_bull": F.greatest(flag(x["c_mean_5"] > mid), flag(mid > x["c_mean_60"]), flag(c > x["c_mean_5"])),
+        "tech_ma20_slope": safe_div(mid, x["m20_lag_5"]) - 1,
+        "tech_ma_cross_5_20": F.coalesce(x["cross_max_3"], F.lit(0.0)),
+        "tech_dmi_plus": safe_div(x["up_mean_14"] * 100, x["range_mean_14"]),
+        "tech_sharpe_60": safe_div(x["ret_mean_60"], x["ret_std_60"]) * YEAR**0.5,
+        "tech_sortino_60": safe_div(x["ret_mean_60"], low_risk) * YEAR**0.5,
+        "tech_vol_contract": safe_div(x["ret_std_5"], x["ret_std_60"]),
+        "tech_atr_pct": safe_div(x["range_mean_14"], c),
+        "tech_boll_pos": F.when(sd >= 1e-9, (c - mid + 2 * sd) / (4 * sd)).otherwise(0.5),
+        "tech_boll_width": safe_div(sd, mid) * 4,
+        "tech_williams_r": safe_div(x["h_max_14"] - c, x["h_max_14"] - x["l_min_14"]) * -100,
+        "tech_hl_range10": safe_div(x["h_max_10"] - x["l_min_10"], x["h_mean_10"]),
+        "tech_vol_ratio": safe_div(v, x["v_before_5"]),
+        "tech_amount_trend": safe_div(x["a_mean_5"], x["a_before_6"]) - 1,
+        "tech_amount_z": safe_div(a - x["a_mean_20"], x["a_std_20"]),
+        "tech_price_vol_div": change[5] - (safe_div(v, x["v_lag_5"]) - 1),
+        "tech_candle_body": safe_div(c - o, x["c_lag_1"]),
         "tech_upper_shadow": safe_div(h - F.greatest(c, o), h),
-        "tech_high_20d": flag(h >= top20),
-        "tech_low_20d": flag(low <= bottom20),
-        "tech_close_pos": safe_div(c - rolling(c, "min", w, 20), rolling(c, "max", w, 20) - rolling(c, "min", w, 20)),
-        "tech_breakout_20": safe_div(c, top20) - 1,
-        "tech_gap_fill": flag((o > x["__before"] * 1.005) & (low <= x["__before"])),
-        "tech_consec_up": (x["__row"] - x["__rest"]).cast("double"),
-        "tech_up_down_ratio": safe_div(sum_up, sum_down),
-        "ma_cross": safe_div("__ma5", "__ma20") - 1,
-        "bias12": (safe_div(c, mean(c, 12)) - 1) * 100,
-        "new_high_dist": (safe_div(c, rolling(h, "max", w, 60)) - 1) * 100,
-        "new_low_dist": (safe_div(c, rolling(low, "min", w, 60)) - 1) * 100,
-        "volume_trend": safe_div(mean(v, 5), (rolling(v, "sum", w, 20) - rolling(v, "sum", w, 5)) / 15) - 1,
-        "vol_20d": F.log1p(mean(v, 20)),
-        "volume_price_fit": steady_corr("__ret", "__dv", w, 20),
-        "realized_vol": pop("__ret", 20) * YEAR**0.5 * 100,
-        "downside_vol": F.when(x["__n_loss"] < 3, 0.0).otherwise(x["__sd_loss"] * YEAR**0.5 * 100),
-        "max_dd_12m": (safe_div(c, drop) - 1) * 100,
-        "vol_change": safe_div(pop("__ret", 20), pop("__ret", 60)) - 1,
-        "amount_liquidity": F.log1p(mean(a, 20)),
-        "turnover_stability": -safe_div(pop("volume", 20), mean(v, 20)),
-        "dmi": safe_div((rolling("__plus", "sum", w, 14) - rolling("__minus", "sum", w, 14)) * 100, rolling("__range", "sum", w, 14)),
-        "donchian": channel(rolling(h, "max", w, 20), rolling(low, "min", w, 20)),
-        "ma_trend": safe_div("__ma20", "__ma60") - 1,
-        "beta_60d": mean("__ret", 60) * 100,
+        "tech_high_20d": flag(h >= x["h_before_20"]),
+        "tech_low_20d": flag(low <= x["l_before_20"]),
+        "tech_close_pos": safe_div(c - x["c_min_20"], x["c_max_20"] - x["c_min_20"]),
+        "tech_breakout_20": safe_div(c, x["h_before_20"]) - 1,
+        "tech_gap_fill": flag((o > x["c_lag_1"] * 1.005) & (low <= x["c_lag_1"])),
+        "tech_consec_up": x["rising"],
+        "tech_up_down_ratio": safe_div(x["rises_sum_20"], x["falls_sum_20"]),
+        "ma_cross": safe_div(x["c_mean_5"], mid) - 1,
+        "bias12": (safe_div(c, x["c_mean_12"]) - 1) * 100,
+        "new_high_dist": (safe_div(c, x["h_max_60"]) - 1) * 100,
+        "new_low_dist": (safe_div(c, x["l_min_60"]) - 1) * 100,
+        "volume_trend": safe_div(x["v_mean_5"], (x["v_sum_20"] - x["v_sum_5"]) / 15) - 1,
+        "vol_20d": F.log1p(x["v_mean_20"]),
+        "volume_price_fit": x["fit"],
+        "realized_vol": pop20 * YEAR**0.5 * 100,
+        "downside_vol": F.when(n_loss < 3, 0.0).otherwise(sd_loss * YEAR**0.5 * 100),
+        "max_dd_12m": (safe_div(c, x["c_top_250"]) - 1) * 100,
+        "vol_change": safe_div(pop20, x["ret_pop_60"]) - 1,
+        "amount_liquidity": F.log1p(x["a_mean_20"]),
+        "turnover_stability": -safe_div(x["v_pop_20"], x["v_mean_20"]),
+        "dmi": safe_div((x["plus_sum_14"] - x["minus_sum_14"]) * 100, x["range_sum_14"]),
+        "donchian": channel(x["h_max_20"], x["l_min_20"]),
+        "ma_trend": safe_div(mid, x["c_mean_60"]) - 1,
+        "beta_60d": x["ret_mean_60"] * 100,
         "downside_beta": F.when(sum_loss == 0, 1.0).otherwise(sum_loss),
     }
     return rows.select(key, time, *(made[n].alias(n) for n in LEVEL_SERIES))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.expr import ordered, running
 from tessera.operators import timeseries as ts
+from tessera.operators.rolled import rolled, sorted_by
 from tessera.plans.panel import PANEL, price_panel, table
 from tessera.plans.registry import places, query, rounded
 
@@ -45,7 +46,7 @@ def ts_rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
   max(close) OVER w - min(close) OVER w AS spread FROM panel WINDOW w AS {_roll(20)})
   SELECT code, date, CASE WHEN n >= 20 THEN round(g1, 4) END AS skew_20, CASE WHEN n >= 20 THEN round(g2, 4) END AS kurt_20 FROM r""")
 def ts_rolling_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ts.rolling_stats(price_panel(spark, sf_dir), 20, ("skew", "kurt"))
+    rows = rolled(sorted_by(price_panel(spark, sf_dir).select("code", "date", "close"), "code", "date"), {"skew_20": ("skew", "close", 20), "kurt_20": ("kurt", "close", 20)})
     return rounded(rows.select("code", "date", "skew_20", "kurt_20"), 4)
 
 

@@ -105,3 +105,47 @@ def test_only_named_recursive_lines_are_computed(spark):
     df = spark.createDataFrame(rows, "code int, date int, close double")  # the lines that are named need no highs and lows
     out = ts.recursive_indicators(df, names=("ema_12", "macd"))
     assert out.columns == ["code", "date", "close", "ema_12", "macd"] and out.where("date = 0").select("ema_12").first()[0] == rows[0][2]
+
+
+def test_rolled_is_spark_windows_to_the_last_bit(spark, monkeypatch):
+    """Windows reach back over batches, and keys go on through several; null keys and values count as Spark counts them."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessera.functions.expr import ordered, rolling, trailing
+    from tessera.operators import rolled as ro
+    from tessera.operators.series import steady_corr
+
+    monkeypatch.setattr(ro, "BATCH", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    rng = np.random.default_rng(7)
+    rows = [(k, t, None if rng.random() < 0.03 else float(rng.integers(1, 5)), float(rng.normal(9, 1))) for k, n in ((None, 50), (1, 1), (2, 150), (3, 9), (4, 40)) for t in range(n)]
+    df = spark.createDataFrame(rows, "code long, date int, x double, y double").repartition(5)
+    w = ordered("code", "date")
+    specs = {f"{how}_{n}": (how, c, n) for c, how, n in (("x", "mean", 5), ("y", "sum", 20), ("y", "std", 9), ("y", "pop", 7), ("x", "min", 6), ("y", "max", 13), ("y", "skew", 8), ("y", "kurt", 12), ("x", "lag", 3))}
+    specs |= {"least": ("max", "x", 30, 2), "fit": ("corr", ("x", "y"), 10), "row": ("row", "x", 1), "up": (lambda x: x > 2, ("x",), 0), "up_3": ("sum", "up", 3), "rising": ("streak", "up", 1)}
+    try:
+        got = {(r.code, r.date): r for r in ro.rolled(ro.sorted_by(df, "code", "date"), specs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    up = F.coalesce((F.col("x") > 2).cast("double"), F.lit(0.0))
+    pop = F.when(F.count("y").over(trailing(w, 7)) >= 7, F.stddev_pop("y").over(trailing(w, 7)))
+    want = {n: rolling(c, how, w, k) for n, (how, c, k) in list(specs.items())[:8] if how != "pop"} | {
+        "pop_7": pop, "lag_3": F.lag("x", 3).over(w), "least": rolling("x", "max", w, 30, 2), "fit": steady_corr("x", "y", w, 10), "row": F.row_number().over(w).cast("double"),
+    }
+    flagged = df.withColumn("up", up).withColumns(want).withColumn("up_3", rolling("up", "sum", w, 3))
+    flagged = flagged.withColumn("rising", (F.col("row") - F.coalesce(F.max(F.when(F.col("up") == 0, F.col("row"))).over(w.rowsBetween(-10_000, 0)), F.lit(0.0))))
+    for r in flagged.collect():
+        for n in (*want, "up_3", "rising"):
+            a, b = got[r.code, r.date][n], r[n]
+            assert (a is None) == (b is None) and (a is None or abs(a - b) <= 1e-13 * max(1, abs(b))), (n, r)
+    assert len(got) == len(rows)
+
+
+def test_level_and_bar_series_need_one_shuffle_and_no_window(spark):
+    from tessera.operators import series as sr
+
+    bars = spark.createDataFrame([(1, k, 1.0, 2.0, 0.5, 1.5, 10.0, 15.0) for k in range(3)], "code int, date int, open double, high double, low double, close double, volume double, amount double")
+    for make in (sr.level_series, sr.bar_series):
+        plan = make(bars)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and plan.count("Exchange") == 1
