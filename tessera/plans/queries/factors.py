@@ -68,7 +68,12 @@ def _out(names: tuple[str, ...]) -> str:
 
 
 def _shown(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    return rows.select("code", "date", *((F.round(F.col(n) + NUDGE, PLACES.get(n, 6)) + 0.0).alias(n) for n in names))
+    """The named values rounded. As lists: a column each would make one method too long for the JVM to compile."""
+    digits = {n: PLACES.get(n, 6) for n in names}
+    lists = {k: [n for n in names if digits[n] == k] for k in sorted(set(digits.values()))}
+    to = lambda k: F.transform(F.array(*lists[k]), lambda v: F.round(v + NUDGE, k) + 0.0).alias(f"to_{k}")
+    listed = rows.select("code", "date", *map(to, lists))
+    return listed.select("code", "date", *(F.get(f"to_{digits[n]}", F.lit(lists[digits[n]].index(n))).alias(n) for n in names))
 
 
 @query(f"""WITH {PANEL}, a AS (SELECT *, row_number() OVER w AS k, close / nullif(lag(close) OVER w, 0) - 1 AS ret, close - lag(close) OVER w AS mv, close / nullif(lag(close, 20) OVER w, 0) - 1 AS mom,
