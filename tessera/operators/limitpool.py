@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.expr import ordered
 from tessera.operators.recursion import Recursion, Rows, scan
+from tessera.operators.rolled import rolled
 
 
 def _streaks(earlier: np.ndarray, later: np.ndarray) -> np.ndarray:
@@ -45,7 +46,11 @@ def limit_pool(df: DataFrame, ratio: Column | float = 0.1, slack: float = 1e-6,
     rows = rows.withColumn("locked_down", yes((F.col("close") <= F.col("__down") + slack) & (F.col("pct") <= percent_slack - near)))
     rows = rows.withColumn("broken", ~F.col("locked_up") & yes((F.col("high") >= F.col("__up") - slack) & (F.col("pct") >= near - touch)))
     rows = rows.withColumn("next_pct", F.lead("pct").over(w)).withColumn("__flag", F.col("locked_up").cast("int")).drop("__ratio", "__up", "__down")
-    return scan(rows, [locked_streak("__flag")], key, time, parts=parts).withColumn("streak", F.col("streak").cast("bigint")).drop("__flag")
+    if parts:
+        rows = scan(rows, [locked_streak("__flag")], key, time, parts=parts)
+    else:  # the windows above have dealt the rows by key and sorted them
+        rows = rolled(rows, {"__run": ("streak", "__flag", 1), "streak": ("held", "__run", 1)}, key).drop("__run")
+    return rows.withColumn("streak", F.col("streak").cast("bigint")).drop("__flag")
 
 
 def pool(df: DataFrame, **options) -> DataFrame:

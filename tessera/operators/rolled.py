@@ -20,7 +20,8 @@ from tessera.operators.recursion import _key_starts
 BATCH = 1 << 15
 
 #: Column made: how, of which column (two for corr), over how many rows, and at least how many known ones (all of them, if not given;
-#: fewer for min and max only). A function instead makes a column of the task out of others, row by row, that isn't returned. lag: the value so many rows ago. streak: rows in a row, this one last, with a value above zero. row: the row's number. below: share of the window below the row's value.
+#: fewer for min and max only). A function instead makes a column of the task out of others, row by row, that isn't returned. lag: the value so many rows ago. streak: rows in a row, this one last, with a value above zero. row: the row's number. held: a streak's
+#: length at the last row with one, 0 before any. below: share of the window below the row's value.
 Spec = tuple
 
 
@@ -96,6 +97,10 @@ def _made(rows: dict[str, np.ndarray], pos: np.ndarray, specs: dict[str, Spec])
                 rows[name] = pos + 1.0
                 continue
             x, y = [rows[c] for c in source] if how == "corr" else (rows[source], None)
+            if how == "held":
+                last = np.maximum.accumulate(np.where(x > 0, at, -1))
+                rows[name] = np.where(last >= at - pos, x[last], 0.0)
+                continue
             if how == "lag":
                 rows[name] = np.where(pos >= n, np.concatenate([np.full(min(n, size), np.nan), x[: max(size - n, 0)]]), np.nan)
                 continue
@@ -128,6 +133,7 @@ def rolled(df: DataFrame, specs: dict[str, Spec], key: str = "code") -> DataFram
     for name, (_, source, n, *_) in specs.items():
         reach[name] = n + max(reach.get(c, 0) for c in ((source,) if isinstance(source, str) else source))
     back, carried = max(reach.values()), [n for n, s in specs.items() if s[0] in ("row", "streak")]
+    held = [(n, s[1]) for n, s in specs.items() if s[0] == "held"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: pa.Table | None = None
@@ -146,7 +152,10 @@ def rolled(df: DataFrame, specs: dict[str, Spec], key: str = "code") -> DataFram
                 for c in carried:
                     goes_on = (at >= first) & (at < end) & ((made[c] - made[c][first - 1]) == at - first + 1)
                     made[c] = made[c] + np.where(goes_on, before[c] - made[c][first - 1], 0.0)
-            before = {c: made[c][-1] for c in carried}
+                for c, streak in held:
+                    last = np.maximum.accumulate(np.where((made[streak] > 0) & (at >= first), at, -1))
+                    made[c] = np.where((at >= first) & (at < end), np.where(last >= 0, made[streak][last], before[c]), made[c])
+            before = {c: made[c][-1] for c in (*carried, *(c for c, _ in held))}
             out = {c: table.column(c) for c in table.column_names}
             out |= {c: pa.array(x[first:], pa.float64(), from_pandas=True) for c, x in made.items()}
             yield from pa.table(out).to_batches(max_chunksize=10_000)

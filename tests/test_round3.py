@@ -149,3 +149,32 @@ def test_level_and_bar_series_need_one_shuffle_and_no_window(spark):
     for make in (sr.level_series, sr.bar_series):
         plan = make(bars)._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and plan.count("Exchange") == 1
+
+
+def test_streaks_are_carried_over_batches_without_a_second_shuffle(spark, monkeypatch):
+    from tessera.operators import limitpool as lp
+    from tessera.operators import rolled as ro
+
+    monkeypatch.setattr(ro, "BATCH", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    moves = [1.1] * 12 + [1.0] * 30 + [1.1, 1.0, 1.1, 1.1] + [1.0] * 3
+    rows, close = [], 100.0
+    for k in range(3):
+        for t, m in enumerate(moves[k:]):
+            close = round(close * m, 2)
+            rows.append((k, t, close, close))
+    df = spark.createDataFrame(rows, "code int, date int, close double, high double").repartition(3)
+    try:
+        pool = lp.limit_pool(df)
+        got = {(r.code, r.date): (r.locked_up, r.streak) for r in pool.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = pool._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Scan parquet" not in plan
+    for k in range(3):
+        run = held = 0
+        for t in range(len(moves) - k):
+            run = run + 1 if got[k, t][0] else 0
+            held = run or held
+            assert got[k, t][1] == held
+    assert max(s for _, s in got.values()) >= 10
