@@ -105,8 +105,9 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _stepped(r: Recursion, rows: Rows, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The joined elements of each key's rows up to each one, row by row for all keys at once."""
+def _stepped(r: Recursion, rows: Rows, starts: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """The joined elements of each key's rows up to each one, row by row for all keys at once. ``before`` is that of the first
+    key's earlier rows."""
     elements = r.elements(rows)
     out = np.empty_like(elements)
     order = np.argsort(-lengths, kind="stable")
@@ -114,6 +115,8 @@ def _stepped(r: Recursion, rows: Rows, starts: np.ndarray, lengths: np.ndarray)
     state = elements[at]
     if r.begin:
         state = r.join(np.array([r.begin({c: rows[c][a : a + k] for c in r.inputs}) for a, k in zip(at.tolist(), n.tolist())]), state)
+    if before is not None:
+        state[order == 0] = (r.follow or r.join)(before[None], elements[:1])
     out[at] = state
     long = int((n > STEPS).sum())
     for k in range(long):
@@ -127,6 +130,27 @@ def _stepped(r: Recursion, rows: Rows, starts: np.ndarray, lengths: np.ndarray)
     return out
 
 
+def carried_on(tables: Iterator[pa.Table], recursions: list[Recursion], key: str) -> Iterator[pa.Table]:
+    """Tables of sorted rows, in which a key may go on from one to the next, with the recursions' outputs; each recursion may use
+    those before it."""
+    last: pa.Array | None = None
+    states: list[np.ndarray] = []
+    for table in tables:
+        column = table.column(key)
+        starts = _key_starts(column)
+        goes_on = last is not None and len(_key_starts(pa.chunked_array([last, column[:1].combine_chunks()]))) == 1
+        rows = _rows(table, tuple(dict.fromkeys(c for r in recursions for c in r.inputs if c in table.column_names)))
+        found: list[np.ndarray] = []
+        out = {c: table.column(c) for c in table.column_names}
+        for k, r in enumerate(recursions):
+            elements = _stepped(r, rows, starts, np.diff(np.append(starts, table.num_rows)), states[k] if goes_on else None)
+            found.append(elements[-1])
+            rows |= dict(zip(r.outputs, r.finish(elements)))
+            out |= {c: pa.array(rows[c], pa.float64(), from_pandas=True) for c in r.outputs}
+        last, states = column[-1:].combine_chunks(), found
+        yield pa.table(out)
+
+
 def _scan_whole(df: DataFrame, recursions: list[Recursion], key: str, time: str, reverse: bool) -> DataFrame:
     outputs = [c for r in recursions for c in r.outputs]
     inputs = tuple(dict.fromkeys(c for r in recursions for c in r.inputs))
@@ -226,6 +250,11 @@ def ewm_mean(value: str, alpha: float, name: str) -> Recursion:
     return Recursion((value,), (name,), 3, elements, _affine, lambda e: (e[:, 2],))
 
 
+def running_sum(value: str, name: str) -> Recursion:
+    """The sum of all values so far; missing ones add nothing."""
+    return linear_chain(value, (name,), [[1.0]], [1.0], [1.0], lambda before, added: [before[0] + added[0]])
+
+
 def _decayed(earlier: np.ndarray, later: np.ndarray) -> np.ndarray:
     return np.concatenate([earlier[:, :1] * later[:, :1], earlier[:, 1:] * later[:, :1] + later[:, 1:]], 1)
 

@@ -8,20 +8,21 @@ the rows before it that windows reach back to, however long a key is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.recursion import _key_starts
+from tessera.operators.recursion import Recursion, _key_starts, carried_on
 
 BATCH = 1 << 15
 
 #: Column made: how, of which column (two for corr), over how many rows, and at least how many known ones (all of them, if not given;
 #: fewer for min and max only). A function instead makes a column of the task out of others, row by row, that isn't returned. lag: the value so many rows ago. streak: rows in a row, this one last, with a value above zero. row: the row's number. held: a streak's
-#: length at the last row with one, 0 before any. below: share of the window below the row's value.
+#: length at the last row with one, 0 before any. below: share of the window below the row's value. first: the window's oldest row, however few it has.
+#: deviation: mean distance from the window's mean. fall: the deepest fall from a peak in the window. slope: of the values on their places.
 Spec = tuple
 
 
@@ -72,6 +73,21 @@ def _aggregate(how: str, x: list[np.ndarray], n: int, y: list[np.ndarray] | None
             both = both + dx * (b - my)
         spread = np.sqrt(_moments(x, 2)[0] / n) * np.sqrt(_moments(y, 2)[0] / n)
         return np.where(spread > 1e-12, both / n / spread, np.nan)
+    if how == "deviation":
+        mean = _aggregate("mean", x, n, None)
+        return _aggregate("mean", [abs(v - mean) for v in x], n, None)
+    if how == "fall":
+        peak, worst = x[0], np.zeros(len(x[0]))
+        for v in x:
+            peak = np.fmax(peak, v)
+            worst = np.fmin(worst, v / peak - 1)
+        return worst
+    if how == "slope":
+        mean = both = np.zeros(len(x[0]))
+        for k, v in enumerate(x):
+            mean = mean + (v - mean) / (k + 1.0)
+            both = both + (k + 1) / 2 * (v - mean)  # a place less the mean of those before it
+        return both / (n * (n * n - 1.0) / 12)
     m2, m3, m4 = _moments(x, {"skew": 3, "kurt": 4}.get(how, 2))
     if how == "std":
         return np.sqrt(m2 / (n - 1.0))
@@ -104,6 +120,9 @@ def _made(rows: dict[str, np.ndarray], pos: np.ndarray, specs: dict[str, Spec])
             if how == "lag":
                 rows[name] = np.where(pos >= n, np.concatenate([np.full(min(n, size), np.nan), x[: max(size - n, 0)]]), np.nan)
                 continue
+            if how == "first":
+                rows[name] = x[at - np.minimum(pos, n - 1)]
+                continue
             if how == "streak":
                 last = np.maximum.accumulate(np.where(x > 0, -1, at))
                 rows[name] = (at - np.maximum(last, at - pos - 1)).astype(float)
@@ -125,20 +144,22 @@ def sorted_by(df: DataFrame, key: str, time: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(F.col(key).asc_nulls_first(), F.col(time).asc_nulls_first())
 
 
-def rolled(df: DataFrame, specs: dict[str, Spec], key: str = "code") -> DataFrame:
-    """``df``, as ``sorted_by`` left it, with the columns of ``specs``, each of which may use those before it; rows stay in place.
-    Missing values are unknown; a window that reaches before the key's first row lacks those rows."""
-    inputs = tuple(dict.fromkeys(c for _, source, *_ in specs.values() for c in ((source,) if isinstance(source, str) else source) if c in df.columns))
+Tables = Iterator[pa.Table]
+
+
+def _windows(specs: dict[str, Spec], columns: list[str], key: str) -> Callable[[Tables], Tables]:
+    """The columns of ``specs`` beside sorted tables that have ``columns``."""
+    inputs = tuple(dict.fromkeys(c for _, source, *_ in specs.values() for c in ((source,) if isinstance(source, str) else source) if c in columns))
     reach: dict[str, int] = {}
     for name, (_, source, n, *_) in specs.items():
         reach[name] = n + max(reach.get(c, 0) for c in ((source,) if isinstance(source, str) else source))
     back, carried = max(reach.values()), [n for n, s in specs.items() if s[0] in ("row", "streak")]
     held = [(n, s[1]) for n, s in specs.items() if s[0] == "held"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(tables: Tables) -> Tables:
         tail: pa.Table | None = None
         before: dict[str, float] = {}
-        for table in _tables(batches):
+        for table in tables:
             small = table.select([key, *(c for c in inputs if c != key)])
             first = tail.num_rows if tail is not None else 0
             whole = pa.concat_tables([tail, small]) if first else small
@@ -158,10 +179,35 @@ def rolled(df: DataFrame, specs: dict[str, Spec], key: str = "code") -> DataFram
             before = {c: made[c][-1] for c in (*carried, *(c for c, _ in held))}
             out = {c: table.column(c) for c in table.column_names}
             out |= {c: pa.array(x[first:], pa.float64(), from_pandas=True) for c, x in made.items()}
-            yield from pa.table(out).to_batches(max_chunksize=10_000)
+            yield pa.table(out)
             tail = whole.slice(max(whole.num_rows - back, 0))
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{c}` double" for c, s in specs.items() if not callable(s[0]))])
+    return run
+
+
+def rolled(df: DataFrame, specs: dict[str, Spec] | list[dict[str, Spec] | list[Recursion]], key: str = "code", keep: list[str] | None = None) -> DataFrame:
+    """``df``, as ``sorted_by`` left it, with the columns of ``specs``, each of which may use those before it; rows stay in place.
+    A list holds specs and recursions in turn. ``keep`` names the columns that are wanted (all, if not given). Missing values are
+    unknown; a window that reaches before the key's first row lacks those rows."""
+    stages: list[Callable[[Tables], Tables]] = []
+    given, columns = list(df.columns), list(df.columns)
+    for step in [specs] if isinstance(specs, dict) else specs:
+        if isinstance(step, dict):
+            stages.append(_windows(step, columns, key))
+            columns += [c for c, s in step.items() if not callable(s[0])]
+        else:
+            stages.append(lambda tables, step=step: carried_on(tables, step, key))
+            columns += [c for r in step for c in r.outputs]
+    wanted = [c for c in columns[len(given) :] if keep is None or c in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(batches)
+        for stage in stages:
+            tables = stage(tables)
+        for table in tables:
+            yield from table.select([*given, *wanted]).to_batches(max_chunksize=10_000)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{c}` double" for c in wanted)])
     return df.mapInArrow(run, schema)
 
 
