@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +36,17 @@ from tessera.llm.scratch import materialize
 
 LEXICON = 1 << 17
 MEMO = 300_000
-_BATCH_CHARS = 1 << 20
+_BATCH_CHARS = 1 << 22
+#: Bytes of the longest words that are merged side by side.
+_SIDE_BY_SIDE = 48
 #: Fixed values of the format: how the file's pre-tokenizer parts lower-cased text.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _END = "</w>"
 _BLANK = regex.compile(r"\p{White_Space}+")
+_WIDE_BLANK = regex.compile(r"[^\p{ASCII}\P{White_Space}]")
 _SEPARATOR = regex.compile("[\x1c-\x1f]")  # split() takes these for white space, the format doesn't
+#: Stands before a special string among tokens; no lower-cased token has it.
+_MARK = "S"
 
 
 @functools.cache
@@ -74,6 +80,7 @@ class Merges:
         for rank, (a, b) in enumerate(spec["model"]["merges"]):
             self.ranks[vocab[a] << 20 | vocab[b]] = (rank, vocab[a + b])
         self.path, self.bytes_of, self._library = path, {c: b for b, c in enumerate(letters)}, None
+        self._arrays = self._strings = None
         self.tokens = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
@@ -83,7 +90,7 @@ class Merges:
         data = word.encode()
         ids = [self.inner[b] for b in data[:-1]]
         ids.append(self.last[data[-1]])
-        if len(ids) > 48:
+        if len(ids) > _SIDE_BY_SIDE:
             return self._merge_long(ids)
         ranks = self.ranks
         while len(ids) > 1:
@@ -97,6 +104,77 @@ class Merges:
             ids[at : at + 2] = [best[1]]
         return ids
 
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """``merge`` of many words, those of about one length side by side, as the bytes of 32-bit ids."""
+        out, groups = [b""] * len(words), {}
+        data = [w.encode() for w in words]
+        for i, d in enumerate(data):
+            groups.setdefault(-(-len(d) // 8) * 8, []).append(i)
+        for width, at in groups.items():
+            if width > _SIDE_BY_SIDE:
+                for i in at:
+                    out[i] = np.array(self.merge(words[i]), np.int32).tobytes()
+                continue
+            for rows, ids in self._merged([data[i] for i in at], width):
+                size = (ids >= 0).sum(1)
+                flat, ends = ids[ids >= 0].tobytes(), (np.cumsum(size) * 4).tolist()
+                for row, start, end in zip(rows.tolist(), [0, *ends], ends):
+                    out[at[row]] = flat[start:end]
+        return out
+
+    def _merged(self, data: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows as they are done, and their ids (then -1): in each step every row merges the first of its pairs of least rank."""
+        pairs, ranks, merged, inner, last = self.arrays()
+        none = len(merged)
+
+        def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = a.astype(np.int64) << 20 | b
+            at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            return np.where((b >= 0) & (pairs[at] == key), ranks[at], none)
+
+        size, columns = np.array([len(d) for d in data]), np.arange(width)
+        flat, rows = np.frombuffer(b"".join(data), np.uint8), np.arange(len(data))
+        ids = np.full((len(data), width), -1, np.int32)
+        ids[columns < size[:, None]] = inner[flat]
+        ids[rows, size - 1] = last[flat[np.cumsum(size) - 1]]
+        found = np.full(ids.shape, none)
+        found[:, :-1] = rank(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            at, here = found.argmin(1), np.arange(len(rows))
+            best = found[here, at]
+            going = best < none
+            if not going.all():
+                yield rows[~going], ids[~going]
+                rows, ids, found, at, best = rows[going], ids[going], found[going], at[going], best[going]
+                here = np.arange(len(rows))
+            if not len(rows):
+                break
+            ids[here, at] = merged[best]
+            source = np.minimum(columns + (columns > at[:, None]), width - 1)
+            ids, found = np.take_along_axis(ids, source, 1), np.take_along_axis(found, source, 1)
+            ids[:, -1], found[:, -1] = -1, none
+            after = np.minimum(at + 1, width - 1)
+            found[here, at] = np.where(after > at, rank(ids[here, at], ids[here, after]), none)
+            inside = np.flatnonzero(at > 0)
+            found[inside, at[inside] - 1] = rank(ids[inside, at[inside] - 1], ids[inside, at[inside]])
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """Pairs, ascending, and their ranks; what each rank merges to; ids of bytes inside and at the end of a word."""
+        if self._arrays is None:
+            pairs = np.array(sorted(self.ranks), np.int64)
+            ranks = np.array([self.ranks[p][0] for p in pairs.tolist()])
+            merged = np.zeros(int(ranks.max(initial=-1)) + 1, np.int32)
+            merged[ranks] = [self.ranks[p][1] for p in pairs.tolist()]
+            self._arrays = pairs, ranks, merged, np.array(self.inner, np.int32), np.array(self.last, np.int32)
+        return self._arrays
+
+    def strings(self) -> tuple[pa.Array, pa.Array]:
+        """Of each id, its decimal and its string."""
+        if self._strings is None:
+            ids = range(max(self.tokens) + 1)
+            self._strings = pa.array(map(str, ids), pa.large_string()), pa.array([self.tokens.get(i, "") for i in ids], pa.large_string())
+        return self._strings
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -123,16 +201,27 @@ class Merges:
                 offer(before[i])
         return [x for x in ids if x >= 0]
 
+    def lowered(self, text: str) -> str:
+        """The text in lower case, its white space in ASCII. Lower-casing goes letter by letter: no special final sigma."""
+        if text.isascii():
+            return text.lower()
+        if _has_unlisted(text):
+            return self.library().normalizer.normalize_str(text)
+        return _WIDE_BLANK.sub(" ", unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
     def tokens_of(self, text: str) -> list[str]:
-        """Lower-cased runs without white space, which no piece crosses. Lower-casing goes letter by letter:
-        no special final sigma."""
-        if not text.isascii():
-            if _has_unlisted(text):
-                return [t for t in self.library().normalizer.normalize_str(text).split(" ") if t]
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
+        """Lower-cased runs without white space, which no piece crosses."""
+        text = self.lowered(text)
         return text.split() if _SEPARATOR.search(text) is None else [t for t in _BLANK.split(text) if t]
 
+    def tokens_in(self, texts: list[str | None]) -> tuple[np.ndarray, pa.DictionaryArray]:
+        """The tokens of all texts in a row, special strings marked, and where each text's begin and end."""
+        plain = [self.lowered(t or "") if "<" not in (t or "") else " ".join([_MARK + s if s is not None else self.lowered(p) for s, p in self.parts(t)]) for t in texts]
+        parted = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
+        real = pc.greater(pc.binary_length(parted.values), 0)
+        before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+        return before[parted.offsets.to_numpy()], parted.values.filter(real).dictionary_encode()
+
     def pieces_of(self, token: str) -> list[str]:
         if token.isalpha():
             return [token]
@@ -261,65 +350,55 @@ class Lexicon:
 
 
 class Encoder:
-    """Encodes texts in one task. What it knows of tokens and pieces is kept in a form that joins: their ids
-    as text and strings, or as arrays. Words of the lexicon stay known; the rest is forgotten when it is much."""
+    """Encodes texts in one task. The ids of tokens and pieces are kept as bytes, which join. Words of the lexicon stay known; the
+    rest is forgotten when it is much."""
 
     def __init__(self, path: str, lexicon: bytes, digest: bool):
         self.merges, self.lexicon, self.digest = merges_of(path), Lexicon(lexicon), digest
-        self.said: dict[str, str] = {}
-        self.shown: dict[str, str] = {}
-        self.ids: dict[str, bytes] = {}
-        for s, i in self.merges.special.items():
-            self._remember(s, [i])
-        self.lasting = (dict(self.said), dict(self.shown), dict(self.ids))
-
-    def _known(self) -> dict:
-        return self.said if self.digest else self.ids
-
-    def _remember(self, piece: str, ids: list[int]) -> None:
-        if self.digest:
-            self.said[piece] = " ".join(map(str, ids))
-            self.shown[piece] = " ".join([self.merges.tokens[i] for i in ids])
-        else:
-            self.ids[piece] = np.array(ids, np.int32).tobytes()
-
-    def _join(self, token: str, pieces: list[str]) -> None:
-        if self.digest:
-            self.said[token] = " ".join([self.said[p] for p in pieces])
-            self.shown[token] = " ".join([self.shown[p] for p in pieces])
-        else:
-            self.ids[token] = b"".join([self.ids[p] for p in pieces])
-
-    def _learn(self, tokens: set[str]) -> None:
-        fresh = tokens.difference(self._known())
-        if len(self._known()) + len(fresh) > MEMO:
-            self.said, self.shown, self.ids = (dict(d) for d in self.lasting)
-            fresh = tokens.difference(self._known())
+        self.ids = {_MARK + s: np.array([i], np.int32).tobytes() for s, i in self.merges.special.items()}
+        self.lasting = dict(self.ids)
+
+    def _learn(self, tokens: list[str]) -> None:
+        fresh = [t for t in tokens if t not in self.ids]
+        if len(self.ids) + len(fresh) > MEMO:
+            self.ids = dict(self.lasting)
+            fresh = [t for t in tokens if t not in self.ids]
         parted = {t: self.merges.pieces_of(t) for t in fresh}
-        pieces = [*{p for own in parted.values() for p in own}.difference(self._known())]
+        pieces = [*{p for own in parted.values() for p in own}.difference(self.ids)]
+        rest = []
         for p, ids in zip(pieces, self.lexicon.find(pieces)):
-            self._remember(p, self.merges.merge(p) if ids is None else ids)
-            if ids is not None and len(self.lasting[0 if self.digest else 2]) <= LEXICON:
-                for kept, now in zip(self.lasting, (self.said, self.shown, self.ids)):
-                    if p in now:
-                        kept[p] = now[p]
+            if ids is None:
+                rest.append(p)
+                continue
+            self.ids[p] = np.array(ids, np.int32).tobytes()
+            if len(self.lasting) <= LEXICON:
+                self.lasting[p] = self.ids[p]
+        self.ids.update(zip(rest, self.merges.merge_all(rest)))
         for t, own in parted.items():
             if len(own) != 1 or own[0] != t:
-                self._join(t, own)
-
-    def tokens(self, texts: list[str | None]) -> list[list[str]]:
-        """The tokens of each text; every one of them is known afterwards."""
-        out = []
-        for text in texts:
-            mine: list[str] = []
-            for special, plain in self.merges.parts(text or ""):
-                mine.extend([special] if special is not None else self.merges.tokens_of(plain))
-            out.append(mine)
-        now: set[str] = set()
-        for mine in out:
-            now.update(mine)
-        self._learn(now)
-        return out
+                self.ids[t] = b"".join([self.ids[p] for p in own])
+
+    def encoded(self, texts: list[str | None]) -> tuple[np.ndarray, list[pa.Array]]:
+        """How many ids each text has, and either all ids in a row or, of each text, ids and strings joined by a space."""
+        bounds, tokens = self.merges.tokens_in(texts)
+        words = tokens.dictionary.to_pylist()
+        self._learn(words)
+        known = [self.ids[w] for w in words]
+        ends = np.cumsum([0, *map(len, known)]) // 4
+        passed = np.concatenate(([0], np.cumsum(np.diff(ends)[tokens.indices.to_numpy()])))[bounds]
+        ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(known), np.int32))).take(tokens.indices).flatten()
+        if not self.digest:
+            return np.diff(passed), [ids]
+        of_text = lambda strings: pa.LargeListArray.from_arrays(pa.array(passed, pa.int64()), strings.take(ids))
+        return np.diff(passed), [pc.binary_join(of_text(x), pa.scalar(" ", pa.large_string())) for x in self.merges.strings()]
+
+
+def _sha256(texts: pa.Array) -> list[str]:
+    """Lowercase hex, of each text's bytes."""
+    bounds, data = texts.buffers()[1], texts.buffers()[2]
+    ends = np.frombuffer(bounds, np.int64, len(texts) + 1, texts.offset * 8).tolist()
+    view = memoryview(data) if data is not None else memoryview(b"")
+    return [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
 
 
 def _in_bits(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -387,21 +466,16 @@ def _encode_batches(path: str, shared: object, digest: bool) -> Callable[[Iterat
             *passed, text = batch.columns
             at = 0
             for texts in _in_bits(text.to_pylist()):
-                encoded = encoder.tokens(texts)
+                n, made = encoder.encoded(texts)
                 columns = [c.slice(at, len(texts)) for c in passed]
                 at += len(texts)
                 names = [*batch.schema.names[:-1], "__n", "__ids"]
                 if digest:
-                    said = [" ".join(map(encoder.said.__getitem__, t)) for t in encoded]
-                    sums = [[hashlib.sha256(s.encode()).hexdigest() for s in said], [hashlib.sha256(" ".join(map(encoder.shown.__getitem__, t)).encode()).hexdigest() for t in encoded]]
-                    n = [s.count(" ") + 1 if s else 0 for s in said]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), *(pa.array(s, pa.string()) for s in sums)], names=[*names, "__back"])
+                    sums = [pa.array(_sha256(x), pa.string()) for x in made]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), *sums], names=[*names, "__back"])
                 else:
-                    data = [b"".join(map(encoder.ids.__getitem__, t)) for t in encoded]
-                    n = np.array([len(d) // 4 for d in data], np.int64)
                     bounds = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(data), np.int32), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), ids], names=names)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), made[0])], names=names)
 
     return run
 
