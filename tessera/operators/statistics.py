@@ -80,13 +80,14 @@ def similar_days(df: DataFrame, features: list[str], k: int, skip: int, time: st
 
 def volume_profile(df: DataFrame, step: float, key: str = "code") -> DataFrame:
     """Volume per logarithmic price cell: a bar's volume is spread evenly over the cells that it touches; ``peak``
-    marks the fullest cell of a key."""
+    marks the fullest cell of a key. Bars are dealt by key before they are spread, so that a task adds up its keys' cells at once."""
     width = F.log(F.lit(1.0 + step))
     low, high = F.floor(F.log("low") / width).cast("bigint"), F.floor(F.log("high") / width).cast("bigint")
-    cells = df.select(key, F.explode(F.sequence(low, high)).alias("cell"), (F.col("volume") / (high - low + 1)).alias("v"))
+    bars = df.select(key, low.alias("low"), high.alias("high"), (F.col("volume") / (high - low + 1)).alias("v")).repartition(key)
+    cells = bars.select(key, F.explode(F.sequence("low", "high")).alias("cell"), "v")
     out = cells.groupBy(key, "cell").agg(F.sum("v").alias("volume"))
     w = Window.partitionBy(key)
-    return out.withColumn("share", F.col("volume") / F.sum("volume").over(w)).withColumn("peak", F.row_number().over(w.orderBy(F.round("volume", 6).desc(), "cell")) == 1)
+    return out.withColumn("share", safe_div("volume", F.sum("volume").over(w))).withColumn("peak", F.row_number().over(w.orderBy(F.round("volume", 6).desc(), "cell")) == 1)
 
 
 def relative_strength(df: DataFrame, n: int = 20, key: str = "code", time: str = "date") -> DataFrame:

@@ -43,3 +43,19 @@ def test_chart_series_deal_the_bars_once(spark):
     rows = chartseries.chart_series(spark.createDataFrame([], f"code int, date int, {bars}"))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 0
+
+
+def test_volume_profile_deals_its_bars_once(spark):
+    from tessera.operators import statistics as st
+
+    bars = [(1, 9.0, 12.0, 10.0), (1, 10.1, 10.2, 3.0), (None, 10.0, 10.4, 5.0), (2, 7.0, 7.1, 0.0)]
+    rows = st.volume_profile(spark.createDataFrame(bars, "code int, low double, high double, volume double"), 0.05)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(code" in plan
+    want = {}
+    for k, low, high, v in bars:
+        a, b = (int(np.floor(np.log(x) / np.log(1.05))) for x in (low, high))
+        for cell in range(a, b + 1):
+            want[k, cell] = want.get((k, cell), 0.0) + v / (b - a + 1)
+    got = {(r.code, r.cell): r.volume for r in rows.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
