@@ -151,9 +151,9 @@ def carried_on(tables: Iterator[pa.Table], recursions: list[Recursion], key: str
         yield pa.table(out)
 
 
-def _scan_whole(df: DataFrame, recursions: list[Recursion], key: str, time: str, reverse: bool) -> DataFrame:
-    outputs = [c for r in recursions for c in r.outputs]
-    inputs = tuple(dict.fromkeys(c for r in recursions for c in r.inputs))
+def _scan_whole(df: DataFrame, recursions: list[Recursion], key: str, time: str, reverse: bool, back: list[Recursion]) -> DataFrame:
+    outputs = [c for r in (*recursions, *back) for c in r.outputs]
+    inputs = tuple(dict.fromkeys(c for r in (*recursions, *back) for c in r.inputs if c in df.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_keys(batches, key):
@@ -161,8 +161,12 @@ def _scan_whole(df: DataFrame, recursions: list[Recursion], key: str, time: str,
             lengths = np.diff(np.append(starts, table.num_rows))
             rows = _rows(table, inputs)
             out = {c: table.column(c) for c in table.column_names}
-            for r in recursions:
-                out |= {c: pa.array(x, pa.float64(), from_pandas=True) for c, x in zip(r.outputs, r.finish(_stepped(r, rows, starts, lengths)))}
+            made = dict(x for r in recursions for x in zip(r.outputs, r.finish(_stepped(r, rows, starts, lengths))))
+            if back:
+                turned = {c: x[::-1] for c, x in (rows | made).items()}
+                ends = (table.num_rows - starts - lengths)[::-1]
+                made |= {c: x[::-1] for r in back for c, x in zip(r.outputs, r.finish(_stepped(r, turned, ends, lengths[::-1])))}
+            out |= {c: pa.array(x, pa.float64(), from_pandas=True) for c, x in made.items()}
             yield from pa.table(out).to_batches(max_chunksize=10_000)
 
     line = F.col(time).desc_nulls_last() if reverse else F.col(time).asc_nulls_first()
@@ -170,17 +174,23 @@ def _scan_whole(df: DataFrame, recursions: list[Recursion], key: str, time: str,
     return df.repartition(key).sortWithinPartitions(F.col(key).asc_nulls_first(), line).mapInArrow(run, schema)
 
 
-def scan(df: DataFrame, recursions: list[Recursion], key: str = "code", time: str = "date", reverse: bool = False, parts: int | None = None) -> DataFrame:
-    """``df`` with the recursions' outputs; ``reverse`` runs them from the last row to the first. With ``parts`` the rows
-    are cut into that many blocks, else only keys of more than WHOLE rows are cut."""
+def scan(df: DataFrame, recursions: list[Recursion], key: str = "code", time: str = "date", reverse: bool = False, parts: int | None = None, back: list[Recursion] | None = None) -> DataFrame:
+    """``df`` with the recursions' outputs; ``reverse`` runs them from the last row to the first. ``back`` are run afterwards, the
+    other way, and may use the others' outputs. With ``parts`` the rows are cut into that many blocks, else only keys of more
+    than WHOLE rows are cut."""
+
+    def in_blocks(rows: DataFrame, parts: int | None = None) -> DataFrame:
+        rows = _scan_blocks(rows, recursions, key, time, reverse, parts)
+        return _scan_blocks(rows, back, key, time, not reverse, parts) if back else rows
+
     if parts:
-        return _scan_blocks(df, recursions, key, time, reverse, parts)
+        return in_blocks(df, parts)
     df = stored(df, "steps")
     long = [r[0] for r in df.groupBy(key).count().where(F.col("count") > WHOLE).select(key).collect()]  # a key each WHOLE rows at most
     if not long:
-        return _scan_whole(df, recursions, key, time, reverse)
+        return _scan_whole(df, recursions, key, time, reverse, back or [])
     is_long = F.coalesce(F.col(key).isin([k for k in long if k is not None]), F.lit(False)) | (F.col(key).isNull() & F.lit(None in long))
-    return _scan_whole(df.where(~is_long), recursions, key, time, reverse).unionByName(_scan_blocks(df.where(is_long), recursions, key, time, reverse))
+    return _scan_whole(df.where(~is_long), recursions, key, time, reverse, back or []).unionByName(in_blocks(df.where(is_long)))
 
 
 def _scan_blocks(df: DataFrame, recursions: list[Recursion], key: str, time: str, reverse: bool, parts: int | None = None) -> DataFrame:
@@ -398,5 +408,5 @@ def kalman_beta(df: DataFrame, y: str, x: str, key: str = "code", time: str = "d
 
 def kalman_smooth(df: DataFrame, value: str, key: str = "code", time: str = "date", drift: float = 1e-5, parts: int | None = None) -> DataFrame:
     """``state`` and ``state_std`` of a drifting level from the rows so far, and ``smooth`` from all of them."""
-    level = scan(df, [kalman(value, None, ("state", "state_std"), drift=drift, mean=None, variance=10.0)], key, time, parts=parts)
-    return scan(level, [_smoothing("state", "state_std", "smooth", drift)], key, time, reverse=True, parts=parts)
+    level = kalman(value, None, ("state", "state_std"), drift=drift, mean=None, variance=10.0)
+    return scan(df, [level], key, time, parts=parts, back=[_smoothing("state", "state_std", "smooth", drift)])

@@ -59,3 +59,21 @@ def test_volume_profile_deals_its_bars_once(spark):
             want[k, cell] = want.get((k, cell), 0.0) + v / (b - a + 1)
     got = {(r.code, r.cell): r.volume for r in rows.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_kalman_smoother_goes_both_ways_over_rows_dealt_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(k, t, None if rng.random() < 0.1 and t else float(rng.normal(20, 2))) for k, n in ((None, 12), (1, 1), (2, 60), (3, 25)) for t in range(n)]
+    df = spark.createDataFrame(rows, "code int, date int, y double").repartition(5)
+    copies, stored = [], rc.stored
+    monkeypatch.setattr(rc, "stored", lambda rows, name: copies.append(name) or stored(rows, name))
+    found = lambda **more: {(r.code, r.date): (r.state, r.state_std, r.smooth) for r in rc.kalman_smooth(df, "y", **more).collect()}
+    whole = found()
+    assert len(copies) == 1 and len(whole) == len(rows)
+    for k in (None, 1, 2, 3):  # the last row has nothing after it
+        n = sum(r[0] == k for r in rows)
+        assert whole[k, n - 1][2] == whole[k, n - 1][0]
+    cut = found(parts=3)
+    monkeypatch.setattr(rc, "WHOLE", 30)
+    for other in (cut, found()):
+        assert all(abs(a - b) < 1e-9 for k in whole for a, b in zip(whole[k], other[k]))
