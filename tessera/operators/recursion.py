@@ -351,14 +351,16 @@ def macd(value: str, names: tuple[str, str, str], fast: int = 12, slow: int = 26
     return linear_chain(value, names, [[1 - f, 0, 0], [0, 1 - s, 0], [d * (1 - f), -d * (1 - s), 1 - d]], [f, s, d * (f - s)], [1, 1, 0], plain)
 
 
-def twice_smoothed(value: str, names: tuple[str, str], alpha: float = 1 / 3) -> Recursion:
-    """The mean of a value and the mean of that mean."""
+def twice_smoothed(value: str, names: tuple[str, str], n: int = 3) -> Recursion:
+    """The mean of a value and the mean of that mean, each a new value by 1 / n and what was there by (n - 1) / n. That isn't
+    1 - 1 / n to the last bit, on which the order of the two hangs where they are equal."""
+    keep, alpha = (n - 1) / n, 1 / n
 
     def plain(before: np.ndarray, added: np.ndarray) -> list[np.ndarray]:
-        once = added[0] + (1 - alpha) * before[0]
-        return [once, (1 - alpha) * before[1] + alpha * once]
+        once = added[0] + keep * before[0]
+        return [once, keep * before[1] + alpha * once]
 
-    return linear_chain(value, names, [[1 - alpha, 0], [alpha * (1 - alpha), 1 - alpha]], [alpha, alpha * alpha], [1, 1], plain)
+    return linear_chain(value, names, [[keep, 0], [alpha * keep, keep]], [alpha, alpha * alpha], [1, 1], plain)
 
 
 def _filtered(earlier: np.ndarray, later: np.ndarray) -> np.ndarray:
