@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -23,14 +24,16 @@ class Factor:
     family: str
     direction: int
     build: Builder
+    #: The same for ``operators.rolled``: a function of windows there (see ``ROLLED``), the last one under the factor's name.
+    windows: Callable[[], dict[str, tuple]] | None = None
 
 
 FACTORS: dict[str, Factor] = {}
 
 
-def register(name: str, family: str, direction: int = 1) -> Callable[[Builder], Builder]:
+def register(name: str, family: str, direction: int = 1, windows: Callable[[], dict[str, tuple]] | None = None) -> Callable[[Builder], Builder]:
     def add(build: Builder) -> Builder:
-        FACTORS[name] = Factor(name, family, direction, build)
+        FACTORS[name] = Factor(name, family, direction, build, windows)
         return build
 
     return add
@@ -76,6 +79,55 @@ def _families(n: int) -> dict[str, Builder]:
     }
 
 
+def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(b == 0, np.nan, a / b)
+
+
+def _square_where(test: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    return lambda ret: np.where(np.isnan(ret), np.nan, np.where(test(ret), ret, 0.0) ** 2)
+
+
+#: Columns of a row and the one before it that windows of families are made of, as ``operators.rolled`` takes them.
+ROLLED: dict[str, tuple] = {
+    "__last": ("lag", "close", 1),
+    "__ret": (lambda close, last: _over(close, last) - 1, ("close", "__last"), 0),
+    "__open_gap": (lambda open, last: _over(open, last) - 1, ("open", "__last"), 0),
+    "__day": (lambda close, open: _over(close, open) - 1, ("close", "open"), 0),
+    "__span": (lambda high, low, close: _over(high - low, close), ("high", "low", "close"), 0),
+    "__impact": (lambda ret, amount: _over(abs(ret), amount) * 1e6, ("__ret", "amount"), 0),
+    "__rise": (lambda ret: np.where(np.isnan(ret), np.nan, ret > 0), ("__ret",), 0),
+    "__down": (_square_where(lambda ret: ret < 0), ("__ret",), 0),
+    "__up": (_square_where(lambda ret: ret > 0), ("__ret",), 0),
+    "__traded": (lambda close, volume: close * volume, ("close", "volume"), 0),
+}
+
+
+def _family_windows(n: int) -> dict[str, tuple[dict[str, tuple], tuple]]:
+    """Of every family at horizon n the windows that it uses, and itself from these."""
+    own = lambda how, source: ({}, (how, source, n))
+    window = {f"__{how}_{c.strip('_')}_{n}": (how, c, n) for how, c in (
+        ("mean", "close"), ("max", "high"), ("min", "low"), ("lag", "close"), ("mean", "__down"), ("mean", "__up"), ("mean", "volume"), ("std", "volume"), ("mean", "amount"), ("total", "__traded"), ("total", "volume"), ("mean", "__ret"), ("std", "__ret"))}
+
+    def made(how: Callable, *of: str) -> tuple[dict[str, tuple], tuple]:
+        names = [f"__{c}_{n}" if f"__{c}_{n}" in window else c for c in of]
+        return {c: window[c] for c in names if c in window}, (how, tuple(names), 0)
+
+    return {
+        "mom": made(lambda x, y: _over(x, y) - 1, "close", "lag_close"), "rev": made(lambda x, y: -(_over(x, y) - 1), "close", "lag_close"), "ma_gap": made(lambda x, y: _over(x, y) - 1, "close", "mean_close"),
+        "place": made(lambda x, top, bottom: _over(x - bottom, top - bottom), "close", "max_high", "min_low"), "near_high": made(_over, "close", "max_high"), "near_low": made(_over, "close", "min_low"),
+        "up_share": own("mean", "__rise"), "vol": own("std", "__ret"), "down_vol": made(np.sqrt, "mean_down"), "up_vol": made(np.sqrt, "mean_up"), "skew": own("skew", "__ret"), "kurt": own("kurt", "__ret"),
+        "max_ret": own("max", "__ret"), "min_ret": own("min", "__ret"), "range": own("mean", "__span"), "illiquid": own("mean", "__impact"), "volume_ratio": made(_over, "volume", "mean_volume"),
+        "volume_cv": made(_over, "std_volume", "mean_volume"), "amount_mean": made(lambda x: np.log(np.where(x > 0, x, np.nan)), "mean_amount"), "price_volume": own("rho", ("close", "volume")), "ret_volume": own("rho", ("__ret", "volume")),
+        "vwap_gap": made(lambda x, traded, volume: _over(x, _over(traded, volume)) - 1, "close", "total_traded", "total_volume"), "sharpe": made(_over, "mean_ret", "std_ret"),
+        "gap": own("mean", "__open_gap"), "intraday": own("mean", "__day"),
+    }
+
+
+def _rolled(name: str, n: int) -> dict[str, tuple]:
+    windows, last = _family_windows(n)[name]
+    return windows | {f"{name}_{n}": last}
+
+
 HORIZONS = (5, 10, 20, 60)
 #: Families: what they measure, and whether more (1) or less (-1) is taken to be better.
 FAMILIES = {
@@ -86,7 +138,7 @@ FAMILIES = {
 }
 for _n in HORIZONS:
     for _name, (_family, _direction) in FAMILIES.items():
-        register(f"{_name}_{_n}", _family, _direction)(lambda w, n=_n, name=_name: _families(n)[name](w))
+        register(f"{_name}_{_n}", _family, _direction, lambda n=_n, name=_name: _rolled(name, n))(lambda w, n=_n, name=_name: _families(n)[name](w))
 
 
 def with_factors(panel: DataFrame, names: list[str], key: str = "code", time: str = "date") -> DataFrame:
@@ -102,6 +154,14 @@ def with_factors(panel: DataFrame, names: list[str], key: str = "code", time: st
     return rows.select(*panel.columns, "ret", *(c.alias(n) for n, c in made.items()))
 
 
+def rolled_windows(names: list[str]) -> dict[str, tuple]:
+    """What ``operators.rolled`` makes the named factors of, each column once; they are those of ``with_factors``."""
+    out = dict(ROLLED)
+    for n in names:
+        out |= FACTORS[n].windows()
+    return out
+
+
 def long_factors(panel: DataFrame, names: list[str], key: str = "code", time: str = "date") -> DataFrame:
     """(key, time, factor, value), values turned so that more is better."""
     wide = with_factors(panel, names, key, time)

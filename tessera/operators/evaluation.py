@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import average_rank, corr, ordered, pct_rank, safe_div, trailing, zscore
+from tessera.operators.rolled import Tables, in_tables
 
 
-#: Parts that rows are dealt to by time before they are ranked: a task holds a few times at once.
+#: Parts that rows are dealt to by time before they are ranked: a task holds a few times at once. Up to 200 parts Spark writes
+#: a shuffle straight to a file a part, with nothing held or spilled.
 TIMES = 200
 
 
@@ -25,7 +29,7 @@ def rank_ic(df: DataFrame, factor: str, label: str, time: str = "date", least: i
 
 def _ranks(x: np.ndarray) -> np.ndarray:
     """Average ranks; NaN are equal and the largest."""
-    order = np.argsort(x, kind="stable")
+    order = np.argsort(x)
     y = x[order]
     new = np.concatenate(([True], (y[1:] != y[:-1]) & ~(np.isnan(y[1:]) & np.isnan(y[:-1]))))
     first = np.flatnonzero(new)
@@ -35,32 +39,95 @@ def _ranks(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def rank_ics(df: DataFrame, factors: list[str], label: str, time: str = "date", least: int = 30, width: int = 10, parts: int = 400) -> DataFrame:
+#: A missing value among doubles, as NaN is a value.
+MISSING = 0x7FF8_0000_0000_DEAD
+
+
+def dealt(sets: list[list[str]], time: str, kind: str, known: str | None = None, signs: dict[str, int] | None = None) -> tuple[Callable[[Tables], Tables], str]:
+    """Tables to one row per time and set of columns, and their schema: the columns' doubles one after the other as bytes, the first byte of
+    all before the second, which packs better. So a shuffle by time moves blocks instead of rows. Rows without ``known`` are left out;
+    columns are multiplied by their ``signs``."""
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    places = [[columns.index(c) for c in s] for s in sets]
+
+    def run(tables: Tables) -> Tables:
+        for table in tables:
+            if known:
+                table = table.filter(table.column(known).is_valid())
+            if not table.num_rows:
+                continue
+            times = table.column(time).combine_chunks()
+            codes = times.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(order)]))
+            values = np.empty((len(columns), len(order)))
+            for k, c in enumerate(columns):
+                column = table.column(c)
+                x = column.to_numpy().astype(float) * (signs or {}).get(c, 1)
+                x.view(np.int64)[~column.is_valid().to_numpy()] = MISSING
+                values[k] = x[order]
+            packed = [values[at, a:b].ravel().view(np.uint8).reshape(-1, 8).T.tobytes() for at in places for a, b in cuts]
+            yield pa.table({
+                time: times.take(pa.array(np.tile(order[starts], len(sets)))), "set": pa.array(np.repeat(np.arange(len(sets), dtype=np.int32), len(cuts))), "values": pa.array(packed, pa.binary())})
+
+    return run, f"`{time}` {kind}, `set` int, `values` binary"
+
+
+def _taken(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a time's blocks, a row for each of ``width`` columns, and which are known."""
+    parts = [np.ascontiguousarray(np.frombuffer(v, np.uint8).reshape(8, -1).T).view(float).reshape(width, -1) for v in (x.as_buffer() for x in table.column("values"))]
+    x = np.concatenate(parts, 1)
+    return x, x.view(np.int64) != MISSING
+
+
+def _rank_corr(a: np.ndarray, b: np.ndarray) -> float | None:
+    a, b = a - a.mean(), b - b.mean()
+    spread = np.sqrt(np.mean(a * a)) * np.sqrt(np.mean(b * b))
+    return float(np.mean(a * b) / spread) if spread else None
+
+
+def _ranked(df: DataFrame, columns: list[str], time: str, to: tuple[Callable[[Tables], Tables], str]) -> DataFrame:
+    stage, schema = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in stage(in_tables(batches)):
+            yield from table.to_batches()
+
+    return df.select(time, *(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(run, schema)
+
+
+def sets_of(factors: list[str], label: str, width: int) -> list[list[str]]:
+    """``width`` factors at a time, and the label."""
+    return [[*factors[k : k + width], label] for k in range(0, len(factors), width)]
+
+
+def rank_ics(df: DataFrame, factors: list[str], label: str, time: str = "date", least: int = 30, width: int = 25, parts: int = TIMES) -> DataFrame:
     """``rank_ic`` of many columns, by ``factor``. ``width`` columns of a time go to one task side by side with the label, so
     that every value moves once, in eight bytes; a group holds one time's rows of these columns."""
-    groups = [factors[k : k + width] for k in range(0, len(factors), width)]
-    sets = F.array(*(F.struct(F.lit(k).alias("set"), F.array(*(F.col(c).cast("double") for c in g)).alias("values")) for k, g in enumerate(groups)))
-    rows = df.where(F.col(label).isNotNull()).select(time, F.col(label).cast("double").alias("__label"), F.explode(sets).alias("__s")).select(time, "__label", "__s.set", "__s.values")
+    sets = sets_of(factors, label, width)
+    return rank_ics_of(_ranked(df, [label, *factors], time, dealt(sets, time, df.schema[time].dataType.simpleString(), known=label)), sets, time, least, parts)
+
+
+def rank_ics_of(blocks: DataFrame, sets: list[list[str]], time: str = "date", least: int = 30, parts: int = TIMES) -> DataFrame:
+    """``rank_ics`` of what ``dealt`` made of sets whose last column is the label."""
 
     def run(table: pa.Table) -> pa.Table:
-        names = groups[table.column("set")[0].as_py()]
-        values, label = table.column("values").combine_chunks(), table.column("__label").to_numpy()
-        flat = values.flatten()
-        known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, len(names))
-        x = flat.to_numpy(zero_copy_only=False).reshape(-1, len(names))
-        found = []
-        for k, name in enumerate(names):
-            on = known[:, k]
+        names = sets[table.column("set")[0].as_py()]
+        x, known = _taken(table, len(names))
+        found, rows, ranks = [], None, None
+        for k, name in enumerate(names[:-1]):
+            on = known[k] & known[-1]
             n = int(on.sum())
             if n < least:
                 continue
-            a, b = (r - (n + 1) / 2 for r in (_ranks(x[on, k]), _ranks(label[on])))
-            spread = np.sqrt(np.mean(a * a)) * np.sqrt(np.mean(b * b))
-            found.append((name, float(np.mean(a * b) / spread) if spread else None, n))
+            if rows is None or not np.array_equal(on, rows):  # factors of one horizon mostly know the same rows
+                rows, ranks = on, _ranks(x[-1, on])
+            found.append((name, _rank_corr(_ranks(x[k, on]), ranks), n))
         return pa.table({time: table.column(time)[:1].take(pa.array([0] * len(found), pa.int64())), "factor": pa.array([f[0] for f in found], pa.string()), "ic": pa.array([f[1] for f in found], pa.float64()), "n": pa.array([f[2] for f in found], pa.int64())})
 
-    kind = df.schema[time].dataType.simpleString()
-    return rows.repartition(parts, time, "set").groupBy(time, "set").applyInArrow(run, f"`{time}` {kind}, factor string, ic double, n bigint")
+    kind = blocks.schema[time].dataType.simpleString()
+    return blocks.repartition(parts, time, "set").groupBy(time, "set").applyInArrow(run, f"`{time}` {kind}, factor string, ic double, n bigint")
 
 
 def pearson_ic(df: DataFrame, factor: str, label: str, time: str = "date", least: int = 30) -> DataFrame:

@@ -23,6 +23,7 @@ BATCH = 1 << 15
 #: fewer for min and max only). A function instead makes a column of the task out of others, row by row, that isn't returned. lag: the value so many rows ago. streak: rows in a row, this one last, with a value above zero. row: the row's number. held: a streak's
 #: length at the last row with one, 0 before any. below: share of the window below the row's value. first: the window's oldest row, however few it has.
 #: deviation: mean distance from the window's mean. fall: the deepest fall from a peak in the window. slope: of the values on their places.
+#: total: the sum of the known values of the window, however few it has. rho: corr however little the two vary.
 Spec = tuple
 
 
@@ -43,6 +44,9 @@ def _extreme(how: str, x: np.ndarray, pos: np.ndarray, n: int) -> np.ndarray:
     return joined(n - width) if n > width else out
 
 
+_ORDERS = {"skew": 3, "kurt": 4}
+
+
 def _moments(x: list[np.ndarray], order: int) -> tuple[np.ndarray, ...]:
     mean = m2 = m3 = m4 = np.zeros(len(x[0]))
     for k, v in enumerate(x):
@@ -58,24 +62,27 @@ def _moments(x: list[np.ndarray], order: int) -> tuple[np.ndarray, ...]:
     return m2, m3, m4
 
 
-def _aggregate(how: str, x: list[np.ndarray], n: int, y: list[np.ndarray] | None) -> np.ndarray:
-    """Of the values of full windows, oldest first."""
+Moments = Callable[[int], tuple[np.ndarray, ...]]
+
+
+def _aggregate(how: str, x: list[np.ndarray], n: int, y: list[np.ndarray] | None, of_x: Moments, of_y: Moments | None) -> np.ndarray:
+    """Of the values of full windows, oldest first, whose moments are ``of_x`` and ``of_y``."""
     if how in ("sum", "mean"):
         total = np.zeros(len(x[0]))
         for v in x:
             total = total + v
         return total if how == "sum" else total / n
-    if how == "corr":
+    if how in ("corr", "rho"):
         mx, my, both = np.zeros(len(x[0])), np.zeros(len(x[0])), np.zeros(len(x[0]))
         for k, (a, b) in enumerate(zip(x, y)):
             dx = a - mx
             mx, my = mx + dx / (k + 1.0), my + (b - my) / (k + 1.0)
             both = both + dx * (b - my)
-        spread = np.sqrt(_moments(x, 2)[0] / n) * np.sqrt(_moments(y, 2)[0] / n)
-        return np.where(spread > 1e-12, both / n / spread, np.nan)
+        spread = np.sqrt(of_x(2)[0] / n) * np.sqrt(of_y(2)[0] / n)
+        return np.where(spread > (1e-12 if how == "corr" else 0.0), both / n / spread, np.nan)
     if how == "deviation":
-        mean = _aggregate("mean", x, n, None)
-        return _aggregate("mean", [abs(v - mean) for v in x], n, None)
+        mean = _aggregate("mean", x, n, None, of_x, None)
+        return _aggregate("mean", [abs(v - mean) for v in x], n, None, of_x, None)
     if how == "fall":
         peak, worst = x[0], np.zeros(len(x[0]))
         for v in x:
@@ -88,7 +95,7 @@ def _aggregate(how: str, x: list[np.ndarray], n: int, y: list[np.ndarray] | None
             mean = mean + (v - mean) / (k + 1.0)
             both = both + (k + 1) / 2 * (v - mean)  # a place less the mean of those before it
         return both / (n * (n * n - 1.0) / 12)
-    m2, m3, m4 = _moments(x, {"skew": 3, "kurt": 4}.get(how, 2))
+    m2, m3, m4 = of_x(_ORDERS.get(how, 2))
     if how == "std":
         return np.sqrt(m2 / (n - 1.0))
     if how == "pop":
@@ -104,6 +111,24 @@ def _aggregate(how: str, x: list[np.ndarray], n: int, y: list[np.ndarray] | None
 def _made(rows: dict[str, np.ndarray], pos: np.ndarray, specs: dict[str, Spec]) -> dict[str, np.ndarray]:
     rows, size = dict(rows), len(pos)
     at = np.arange(size)
+    orders: dict[tuple[str, int], int] = {}
+    for how, source, n, *_ in specs.values():
+        for c in () if callable(how) else (source,) if isinstance(source, str) else source:
+            orders[c, n] = max(orders.get((c, n), 2), _ORDERS.get(how, 2))
+    moments: dict[tuple[str, int], tuple[np.ndarray, ...]] = {}
+
+    def windows(v: np.ndarray, n: int) -> list[np.ndarray]:
+        long = np.concatenate([np.full(n - 1, np.nan), v])
+        return [long[k : k + size] for k in range(n)]
+
+    def moments_of(c: str, n: int) -> Moments:
+        def find(order: int) -> tuple[np.ndarray, ...]:
+            if (c, n) not in moments:
+                moments[c, n] = _moments(windows(rows[c], n), max(order, orders[c, n]))
+            return moments[c, n]
+
+        return find
+
     with np.errstate(all="ignore"):
         for name, (how, source, n, *least) in specs.items():
             if callable(how):
@@ -112,7 +137,7 @@ def _made(rows: dict[str, np.ndarray], pos: np.ndarray, specs: dict[str, Spec])
             if how == "row":
                 rows[name] = pos + 1.0
                 continue
-            x, y = [rows[c] for c in source] if how == "corr" else (rows[source], None)
+            x, y = [rows[c] for c in source] if how in ("corr", "rho") else (rows[source], None)
             if how == "held":
                 last = np.maximum.accumulate(np.where(x > 0, at, -1))
                 rows[name] = np.where(last >= at - pos, x[last], 0.0)
@@ -133,11 +158,15 @@ def _made(rows: dict[str, np.ndarray], pos: np.ndarray, specs: dict[str, Spec])
                 value = _extreme(how, x, pos, n)
             elif how == "below":
                 value = sum((np.concatenate([np.full(k, np.nan), x])[:size] < x).astype(float) for k in range(1, n)) / n
+            elif how == "total":
+                value, least = np.zeros(size), [1]
+                for k, v in enumerate(windows(x, n)):
+                    value = value + np.where((pos >= n - 1 - k) & ~np.isnan(v), v, 0.0)
             else:
-                of = lambda v: [(p := np.concatenate([np.full(n - 1, np.nan), v]))[k : k + size] for k in range(n)]
-                value = _aggregate(how, of(x), n, None if y is None else of(y))
+                first, *second = (source,) if y is None else source
+                value = _aggregate(how, windows(x, n), n, None if y is None else windows(y, n), moments_of(first, n), moments_of(second[0], n) if second else None)
             rows[name] = np.where(known >= (least[0] if least else n), value, np.nan)
-    return {name: rows[name] for name, s in specs.items() if not callable(s[0])}
+    return {name: rows[name] for name in specs}
 
 
 def sorted_by(df: DataFrame, key: str, time: str) -> DataFrame:
@@ -147,8 +176,9 @@ def sorted_by(df: DataFrame, key: str, time: str) -> DataFrame:
 Tables = Iterator[pa.Table]
 
 
-def _windows(specs: dict[str, Spec], columns: list[str], key: str) -> Callable[[Tables], Tables]:
-    """The columns of ``specs`` beside sorted tables that have ``columns``."""
+def _windows(specs: dict[str, Spec], columns: list[str], key: str, keep: list[str] | None = None) -> Callable[[Tables], Tables]:
+    """The columns of ``specs`` (those in ``keep``, or all but a task's own) beside sorted tables that have ``columns``."""
+    kept = [c for c, s in specs.items() if (not callable(s[0]) if keep is None else c in keep)]
     inputs = tuple(dict.fromkeys(c for _, source, *_ in specs.values() for c in ((source,) if isinstance(source, str) else source) if c in columns))
     reach: dict[str, int] = {}
     for name, (_, source, n, *_) in specs.items():
@@ -178,40 +208,48 @@ def _windows(specs: dict[str, Spec], columns: list[str], key: str) -> Callable[[
                     made[c] = np.where((at >= first) & (at < end), np.where(last >= 0, made[streak][last], before[c]), made[c])
             before = {c: made[c][-1] for c in (*carried, *(c for c, _ in held))}
             out = {c: table.column(c) for c in table.column_names}
-            out |= {c: pa.array(x[first:], pa.float64(), from_pandas=True) for c, x in made.items()}
+            out |= {c: pa.array(made[c][first:], pa.float64(), from_pandas=True) for c in kept}
             yield pa.table(out)
             tail = whole.slice(max(whole.num_rows - back, 0))
 
     return run
 
 
-def rolled(df: DataFrame, specs: dict[str, Spec] | list[dict[str, Spec] | list[Recursion]], key: str = "code", keep: list[str] | None = None) -> DataFrame:
+def rolled(
+    df: DataFrame, specs: dict[str, Spec] | list[dict[str, Spec] | list[Recursion]], key: str = "code", keep: list[str] | None = None,
+    into: tuple[Callable[[Tables], Tables], str] | None = None,
+) -> DataFrame:
     """``df``, as ``sorted_by`` left it, with the columns of ``specs``, each of which may use those before it; rows stay in place.
-    A list holds specs and recursions in turn. ``keep`` names the columns that are wanted (all, if not given). Missing values are
-    unknown; a window that reaches before the key's first row lacks those rows."""
+    A list holds specs and recursions in turn. ``keep`` names the columns that are wanted (all but a task's own, if not given). Missing
+    values are unknown; a window that reaches before the key's first row lacks those rows. ``into`` is what the tables so made go
+    through in the same task, and the schema of what comes out."""
     stages: list[Callable[[Tables], Tables]] = []
     given, columns = list(df.columns), list(df.columns)
-    for step in [specs] if isinstance(specs, dict) else specs:
+    steps = [specs] if isinstance(specs, dict) else specs
+    for k, step in enumerate(steps):
         if isinstance(step, dict):
-            stages.append(_windows(step, columns, key))
-            columns += [c for c, s in step.items() if not callable(s[0])]
+            chosen = keep if k == len(steps) - 1 else None
+            stages.append(_windows(step, columns, key, chosen))
+            columns += [c for c, s in step.items() if (not callable(s[0]) if chosen is None else c in chosen)]
         else:
             stages.append(lambda tables, step=step: carried_on(tables, step, key))
             columns += [c for r in step for c in r.outputs]
     wanted = [c for c in columns[len(given) :] if keep is None or c in keep]
+    last, schema = into or (None, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{c}` double" for c in wanted)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(batches)
+        tables = in_tables(batches)
         for stage in stages:
             tables = stage(tables)
-        for table in tables:
-            yield from table.select([*given, *wanted]).to_batches(max_chunksize=10_000)
+        tables = (table.select([*given, *wanted]) for table in tables)
+        for table in last(tables) if last else tables:
+            yield from table.to_batches(max_chunksize=10_000)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{c}` double" for c in wanted)])
     return df.mapInArrow(run, schema)
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def in_tables(batches: Iterator[pa.RecordBatch]) -> Tables:
+    """Batches as tables of some BATCH rows."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:

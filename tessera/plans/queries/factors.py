@@ -9,6 +9,7 @@ from tessera.functions import factors as fz
 from tessera.operators import chartseries as cs
 from tessera.operators import evaluation as ev
 from tessera.operators import series as sr
+from tessera.operators.rolled import rolled, sorted_by
 from tessera.operators.timeseries import forward_return
 from tessera.plans.panel import PANEL, price_panel
 from tessera.plans.registry import query, rounded
@@ -33,10 +34,15 @@ def factor_panel_10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def factor_registry_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary of every registered factor's rank coefficients with the return over the next four rows."""
-    names = sorted(fz.FACTORS)
-    wide = fz.with_factors(forward_return(price_panel(spark, sf_dir), 4), names)
-    turned = wide.select("date", "forward", *((F.col(n) * fz.FACTORS[n].direction).alias(n) for n in names))
-    return rounded(ev.ic_summary(ev.rank_ics(turned, names, "forward", least=8), by=("factor",)))
+    names = sorted(fz.FACTORS, key=lambda n: (fz.FACTORS[n].windows is None, n.rpartition("_")[2], n))  # by horizon, which know the same rows
+    known = [n for n in names if fz.FACTORS[n].windows]
+    bars = sorted_by(price_panel(spark, sf_dir).drop("industry"), "code", "date")
+    rows = forward_return(bars, 4).drop("known_on")
+    if len(known) < len(names):  # those that only have columns
+        rows = fz.with_factors(rows, names[len(known) :]).drop("ret")
+    sets = ev.sets_of(names, "forward", 25)
+    blocks = rolled(rows, fz.rolled_windows(known), keep=known, into=ev.dealt(sets, "date", "date", "forward", {n: fz.FACTORS[n].direction for n in names}))
+    return rounded(ev.ic_summary(ev.rank_ics_of(blocks, sets, least=8), by=("factor",)))
 
 
 def _full(x: str, value: str, n: int) -> str:

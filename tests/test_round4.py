@@ -17,3 +17,57 @@ def test_two_means_that_meet_keep_the_weights_order(spark):
             want[key, t] = (k, d)
     got = rc.scan(spark.createDataFrame(rows, "code int, date int, x double"), [rc.twice_smoothed("x", ("k", "d"))])
     assert {(r.code, r.date): (r.k, r.d) for r in got.collect()} == want
+
+
+def _bars(spark, rng):
+    """Keys of several lengths with missing, zero and flat values."""
+    rows = []
+    for key, n in ((None, 70), (1, 1), (2, 130), (3, 9), (4, 66), (5, 64)):
+        for t in range(n):
+            low = 10.0 if key == 5 else float(rng.normal(50, 9))
+            gap = lambda x: None if key != 5 and rng.random() < 0.01 else x
+            rows.append((key, t, gap(low + 0.5), gap(low + 1.0), gap(low), gap(low + 0.25), gap(float(rng.integers(0, 4))), gap(0.0 if rng.random() < 0.02 else float(rng.integers(1, 900)))))
+    return spark.createDataFrame(rows, "code long, date int, open double, high double, low double, close double, volume double, amount double").repartition(5)
+
+
+def test_registered_factors_by_arrays_are_those_by_windows(spark):
+    import numpy as np
+
+    from tessera.functions import factors as fz
+    from tessera.operators.rolled import rolled, sorted_by
+
+    names = sorted(fz.FACTORS)
+    df = _bars(spark, np.random.default_rng(2))
+    got = {(r.code, r.date): r for r in rolled(sorted_by(df, "code", "date"), fz.rolled_windows(names), keep=names).collect()}
+    want = fz.with_factors(df, names).collect()
+    assert len(got) == len(want) == 340
+    for r in want:
+        for n in names:
+            a, b = got[r.code, r.date][n], r[n]
+            assert (a is None) == (b is None) and (a is None or abs(a - b) <= 1e-12 * max(1, abs(b))), (n, r.code, r.date, a, b)
+    assert all(any(r[n] is not None for r in want) for n in names)
+
+
+def test_registry_moves_blocks_instead_of_rows(spark, tmp_path):
+    """No window but that of the later return, one deal of the bars by key, and a row a time and set of columns in the deal by time;
+    a factor that has only a column is there too."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions import factors as fz
+    from tessera.operators import evaluation as ev
+    from tessera.plans.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    old = QUERIES["factor_registry_ic"](spark, data)
+    assert sum(line.lstrip(" :+-").startswith("Window") for line in plan(old).splitlines()) == 1
+    fz.register("later_mom_5", "momentum", -1)(lambda w: fz.pct_change("close", w, 5))
+    try:
+        rows = {r.factor: r for r in QUERIES["factor_registry_ic"](spark, data).collect()}
+    finally:
+        del fz.FACTORS["later_mom_5"]
+    assert len(rows) == 101 and rows["later_mom_5"].mean == -rows["mom_5"].mean
+    df = spark.createDataFrame([(t, float(k), None if k % 7 == 0 else k % 5 * 1.0) for k in range(300) for t in (1, None)], "date int, a double, forward double").coalesce(1)
+    sets = ev.sets_of(["a"], "forward", 25)
+    blocks = ev._ranked(df, ["a", "forward"], "date", ev.dealt(sets, "date", "int", "forward"))
+    assert blocks.count() == 2 and ev.rank_ics_of(blocks, sets).agg(F.sum("n")).first()[0] == 2 * 257
