@@ -156,10 +156,14 @@ def with_factors(panel: DataFrame, names: list[str], key: str = "code", time: st
 
 def rolled_windows(names: list[str]) -> dict[str, tuple]:
     """What ``operators.rolled`` makes the named factors of, each column once; they are those of ``with_factors``."""
-    out = dict(ROLLED)
+    made = dict(ROLLED)
     for n in names:
-        out |= FACTORS[n].windows()
-    return out
+        made |= FACTORS[n].windows()
+    used = set(names)
+    for c in reversed(made):  # each uses those before it
+        if c in used:
+            used |= {made[c][1]} if isinstance(made[c][1], str) else set(made[c][1])
+    return {c: s for c, s in made.items() if c in used}
 
 
 def long_factors(panel: DataFrame, names: list[str], key: str = "code", time: str = "date") -> DataFrame:

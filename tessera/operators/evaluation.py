@@ -130,6 +130,33 @@ def rank_ics_of(blocks: DataFrame, sets: list[list[str]], time: str = "date", le
     return blocks.repartition(parts, time, "set").groupBy(time, "set").applyInArrow(run, f"`{time}` {kind}, factor string, ic double, n bigint")
 
 
+def rank_correlations(blocks: DataFrame, columns: list[str], time: str = "date", parts: int = TIMES) -> DataFrame:
+    """(time, a, b, rho, n) of what ``dealt`` made of one set of columns, the last one the label: for each pair of factors the correlation
+    of their ranks among all rows, as ``factor_correlation`` has it, and for each factor and the label that of their ranks among the n
+    rows that know both, as ``rank_ic`` has it. A group holds one time's rows. Without spread there is no row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, known = _taken(table, len(columns))
+        ranks = np.full(x.shape, np.nan)
+        for k in range(len(columns) - 1):
+            if known[k].any():
+                ranks[k, known[k]] = _ranks(x[k, known[k]])
+        found = []
+        for k, a in enumerate(columns[:-1]):
+            for j, b in enumerate(columns[k + 1 :], k + 1):
+                on = known[k] & known[j]
+                n = int(on.sum())
+                two = (_ranks(x[k, on]), _ranks(x[j, on])) if n and j == len(columns) - 1 else (ranks[k, on], ranks[j, on])
+                rho = _rank_corr(*two) if n else None
+                if rho is not None:
+                    found.append((a, b, rho, n))
+        kinds = (pa.string(), pa.string(), pa.float64(), pa.int64())
+        return pa.table({time: table.column(time)[:1].take(pa.array([0] * len(found), pa.int64()))} | {c: pa.array([f[k] for f in found], kind) for k, (c, kind) in enumerate(zip(("a", "b", "rho", "n"), kinds))})
+
+    kind = blocks.schema[time].dataType.simpleString()
+    return blocks.repartition(parts, time).groupBy(time).applyInArrow(run, f"`{time}` {kind}, a string, b string, rho double, n bigint")
+
+
 def pearson_ic(df: DataFrame, factor: str, label: str, time: str = "date", least: int = 30) -> DataFrame:
     rows = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
     return rows.groupBy(time).agg(corr(factor, label).alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)

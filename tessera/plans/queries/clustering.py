@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import factors as fz
 from tessera.operators import clusters as cl
 from tessera.operators import evaluation as ev
+from tessera.operators.rolled import rolled, sorted_by
 from tessera.operators.timeseries import forward_return
 from tessera.plans.panel import price_panel
 from tessera.plans.registry import query, rounded
@@ -23,12 +24,12 @@ def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ev_factor_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ward families of factors, with the member of the highest |information ratio| as representative."""
-    rows = _factors(spark, sf_dir)
-    pairs = ev.factor_correlation(rows, NAMES, least=5)
-    label = forward_return(rows.select("code", "date", "close"), 4).select("code", "date", "forward")
-    long = rows.unpivot(["code", "date"], NAMES, "factor", "value").join(label, ["code", "date"])
-    scores = ev.ic_summary(ev.rank_ic(long, "value", "forward", least=8, by=("factor",)), by=("factor",)).select("factor", F.col("ir").alias("score"))
-    return rounded(cl.representatives(cl.hierarchical(pairs, 0.8, NAMES), scores))
+    rows = forward_return(sorted_by(price_panel(spark, sf_dir).select("code", "date", "high", "low", "close"), "code", "date"), 4).drop("known_on")
+    columns = [*NAMES, "forward"]
+    found = stored(ev.rank_correlations(rolled(rows, fz.rolled_windows(NAMES), keep=NAMES, into=ev.dealt([columns], "date", "date")), columns), "correlations")
+    means = found.where("b <> 'forward'").groupBy("a", "b").agg(F.avg("rho").alias("rho"), F.count("*").alias("times")).where("times >= 5")
+    scores = ev.ic_summary(found.where("b = 'forward' AND n >= 8").select(F.col("a").alias("factor"), F.col("rho").alias("ic")), by=("factor",)).select("factor", F.col("ir").alias("score"))
+    return rounded(cl.representatives(cl.hierarchical(means, 0.8, NAMES), scores))
 
 
 @query()

@@ -71,3 +71,36 @@ def test_registry_moves_blocks_instead_of_rows(spark, tmp_path):
     sets = ev.sets_of(["a"], "forward", 25)
     blocks = ev._ranked(df, ["a", "forward"], "date", ev.dealt(sets, "date", "int", "forward"))
     assert blocks.count() == 2 and ev.rank_ics_of(blocks, sets).agg(F.sum("n")).first()[0] == 2 * 257
+
+
+def test_factor_families_deal_blocks_and_rank_as_windows_do(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessera.functions import factors as fz
+    from tessera.operators import evaluation as ev
+    from tessera.plans.queries import QUERIES
+
+    assert set(fz.rolled_windows(["range_10"])) == {"__span", "range_10"}
+    rng = np.random.default_rng(3)
+    value = lambda: None if (u := rng.random()) < 0.1 else float("nan") if u < 0.15 else float(rng.integers(-4, 5))
+    df = spark.createDataFrame([(t, *(value() for _ in range(3)), 1.0, value()) for t in range(5) for _ in range(30 if t else 6)], "date int, a double, b double, c double, flat double, forward double")
+    names = ["a", "b", "c", "flat"]
+    found = ev.rank_correlations(ev._ranked(df, [*names, "forward"], "date", ev.dealt([[*names, "forward"]], "date", "int")), [*names, "forward"]).toPandas()
+    pairs = found[found.b != "forward"].groupby(["a", "b"]).rho.agg(["mean", "size"])
+    want = {(r.a, r.b): (r.rho, r.times) for r in ev.factor_correlation(df, names, least=1).collect()}
+    assert {k for k in want} == set(pairs.index) and all(abs(pairs.loc[k, "mean"] - v[0]) < 1e-12 and pairs.loc[k, "size"] == v[1] for k, v in want.items())
+    long = df.unpivot(["date", "forward"], names, "factor", "value").where("value is not null")
+    ics = {(r.factor, r.date): (round(r.ic, 9), r.n) for r in ev.rank_ic(long, "value", "forward", least=1, by=("factor",)).where("ic is not null").collect()}
+    assert ics == {(r.a, r.date): (round(r.rho, 9), r.n) for r in found[found.b == "forward"].itertuples()}
+
+    seen = []
+    from tessera.plans.queries import clustering
+
+    real = clustering.stored
+    clustering.stored = lambda rows, name: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()) or real(rows, name)
+    try:
+        assert QUERIES["ev_factor_families"](spark, "/root/testdata/sf0.001").agg(F.count("*")).first()[0] == 8
+    finally:
+        clustering.stored = real
+    assert len(seen) == 1 and sum(line.lstrip(" :+-").startswith("Window") for line in seen[0].splitlines()) == 1
